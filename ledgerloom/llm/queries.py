@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import byte_bpe, language_ppm, ngram_join, pii, sstable, substring_dedup
+from ledgerloom.llm import byte_bpe, decontaminate, language_ppm, ngram_join, pii, sstable, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_digests(sstable.read_tables(manifest))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"), "start", "words", "distance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
