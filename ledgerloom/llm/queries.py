@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import byte_bpe, chat_tree, decontaminate, language_ppm, ngram_join, pii, quality_mcd, sstable, substring_dedup
+from ledgerloom.llm import byte_bpe, chat_tree, decontaminate, html_extract, language_ppm, ngram_join, pii, quality_mcd, sstable, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("plain_spans").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op7_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = html_extract.extract_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return told.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
