@@ -133,8 +133,10 @@ def _labels(dom) -> list[int]:
             dom.texts[i] = " ".join(dom.texts[i].replace(_OPEN, "").replace(_CLOSE, "").split())
             good[i], every[i] = labels[i] * len(dom.texts[i]), len(dom.texts[i])
         else:
-            # wrappers with other parts are no content themselves
-            labels[i] = int(every[i] > 0 and 2 * good[i] >= every[i] and dom.kind[i] not in ("html", "body") and (dom.mark[i] or "") not in ("side",) and dom.kind[i] not in ("nav", "aside", "footer"))
+            # a container of the article is content whatever else was put into it, a wrapper of the whole page is not
+            own = dom.kind[i] in ("article", "main") or dom.mark[i] == "content"
+            wrapper = dom.kind[i] in ("html", "body") or (not dom.mark[i] and not own and dom.kind[dom.parent[i]] == "body" and good[i] < every[i])
+            labels[i] = int(good[i] > 0 and not wrapper and (own or 2 * good[i] >= every[i]))
         good[dom.parent[i]] += good[i]
         every[dom.parent[i]] += every[i]
     return labels
