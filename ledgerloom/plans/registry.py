@@ -1,15 +1,488 @@
-"""All queries over the ledger, by name, with the SQL that states the same result."""
+"""All queries over the ledger, by name, with the DuckDB SQL that states the same result."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ledgerloom.functions import cost, provider, text
+from ledgerloom.operators import attribution, joins, rollups, search, sequences, series, trees
+from ledgerloom.plans.projection import TURNS_SQL, turns
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql if sql.startswith("with recursive") else f"with {TURNS_SQL}{sql}"
+        return f
+
+    return add
+
+
+def priced_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cost.with_cost(turns(spark, sf_dir), cost.default_rates(spark))
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 10) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+_SUMS = """count(*) turns, cast(sum(input_tokens) as bigint) input_tokens, cast(sum(output_tokens) as bigint) output_tokens, cast(sum(reasoning_tokens) as bigint) reasoning_tokens,
+  cast(sum(cache_read) as bigint) cache_read, cast(sum(cache_create_5m) as bigint) cache_create_5m, cast(sum(cache_create_1h) as bigint) cache_create_1h,
+  round(sum(coalesce(cost_input, 0)), 10) cost_input, round(sum(coalesce(cost_output, 0)), 10) cost_output, round(sum(coalesce(cost_reasoning, 0)), 10) cost_reasoning,
+  round(sum(coalesce(cost_cache_read, 0)), 10) cost_cache_read, round(sum(coalesce(cost_cache_create, 0)), 10) cost_cache_create, round(sum(coalesce(cost, 0)), 10) cost, count(*) filter (not priced) unpriced_turns"""
+_COSTS = (*rollups.COSTS, "cost")
+
+
+@_query(f"select model, {_SUMS} from priced group by model")
+def summary_by_model(spark, d):
+    return _rounded(rollups.by_model(priced_turns(spark, d)), *_COSTS)
+
+
+@_query(f"""select case when model like 'hf:%' then 'synthetic' when source = 'claude-code' then 'anthropic' when source = 'codex' then 'openai' else 'opencode' end provider, {_SUMS} from priced group by 1""")
+def summary_by_provider(spark, d):
+    return _rounded(rollups.by_provider(priced_turns(spark, d)), *_COSTS)
+
+
+@_query("select tool_name, count(*) calls, round(sum(coalesce(cost, 0)), 10) cost from priced group by 1")
+def summary_slim_by_tool(spark, d):
+    return _rounded(rollups.slim_by_tool(priced_turns(spark, d)), "cost")
+
+
+@_query("""select count(*) filter (stop_reason = 'end_turn') end_turn, count(*) filter (stop_reason = 'max_tokens') max_tokens, 0::bigint stop_sequence, count(*) filter (stop_reason = 'tool_use') tool_use, 0::bigint pause_turn,
+  count(*) filter (stop_reason = 'refusal') refusal, count(*) filter (stop_reason = 'odd') silent, count(*) filter (stop_reason is null) "none" from turns""")
+def stop_reason_counts(spark, d):
+    return rollups.stop_reasons(turns(spark, d))
+
+
+@_query("""select session_id, min(ts) first_seen, max(ts) last_seen, count(*) turns, round(sum(coalesce(cost, 0)), 10) cost,
+  cast(sum(input_tokens + output_tokens + reasoning_tokens + cache_read + cache_create_5m + cache_create_1h) as bigint) tokens, string_agg(distinct model, ',' order by model) models from priced group by 1""")
+def session_costs(spark, d):
+    return _rounded(rollups.sessions(priced_turns(spark, d)), "cost")
+
+
+@_query(""", s as (select session_id, max(ts) last_seen, count(*) turns, round(sum(coalesce(cost, 0)), 10) cost from priced group by 1), r as (select *, row_number() over (order by last_seen desc, session_id) "rank", count(*) over () > 20 truncated from s)
+  select session_id, last_seen, turns, cost, "rank", truncated from r where "rank" <= 20""")
+def sessions_list(spark, d):
+    return _rounded(rollups.latest_sessions(priced_turns(spark, d)), "cost").select("session_id", "last_seen", "turns", "cost", "rank", "truncated")
+
+
+@_query("select concat_ws(':', cast(count(*) as varchar), cast(epoch_ms(max(ts)) // 1000 as varchar), cast(sum(strlen(target)) as varchar)) fingerprint from turns")
+def ledger_fingerprint(spark, d):
+    return rollups.fingerprint(turns(spark, d), F.col("target"))
+
+
+@_query("""select session_id, count(*) turns, cast(sum(input_tokens + output_tokens + case when source = 'codex' then 0 else reasoning_tokens end + cache_read + cache_create_5m + cache_create_1h) as bigint) tokens
+  from priced where not priced group by 1""")
+def unpriced_usage(spark, d):
+    return rollups.unpriced_usage(priced_turns(spark, d))
+
+
+@_query("""select distinct model, source from priced where not priced""")
+def unpriced_models(spark, d):
+    t = turns(spark, d).select("model", "source").distinct()
+    return t.join(provider.resolve_models(t.select("model").distinct(), cost.default_rates(spark)), "model", "left_anti")
+
+
+@_query(""", c as (select session_id, model, count(*) n, min(turn_index) a from turns group by 1, 2), r as (select *, row_number() over (partition by session_id order by n desc, a) k from c)
+  select session_id, model, n turns from r where k = 1""")
+def dominant_models(spark, d):
+    return rollups.dominant_model(turns(spark, d))
+
+
+@_query(""", s as (select activity, session_id, count(*) n, sum(coalesce(cost, 0)) c from priced group by 1, 2)
+  select activity, count(*) invocations, cast(sum(n) as bigint) turns, round(sum(c), 10) total, round(quantile_disc(c, 0.5), 10) p50, round(quantile_disc(c, 0.95), 10) p95, round(avg(c), 10) mean from s group by 1""")
+def subagent_statistics(spark, d):
+    return _rounded(rollups.subagent_statistics(priced_turns(spark, d)), "total", "p50", "p95", "mean")
+
+
+@_query(""", i as (select tool_name, target, count(*) n, sum(coalesce(cost, 0)) c from priced group by 1, 2), r as (select *, row_number() over (partition by tool_name order by round(c, 9) desc, target) k from i)
+  select tool_name, cast(sum(n) as bigint) calls, count(*) distinct_examples, round(sum(c), 10) cost, string_agg(target, ',' order by k) filter (k <= 3) examples from r group by 1""")
+def bash_verbs_top_examples(spark, d):
+    return _rounded(rollups.top_examples(priced_turns(spark, d), "tool_name", "target"), "cost")
+
+
+_MCP = "concat('mcp__srv', cast(k % 3 as varchar), '__tool', cast(k % 5 as varchar))"
+
+
+@_query(""", c as (select concat('srv', cast(k % 3 as varchar)) server, concat('tool', cast(k % 5 as varchar)) tool, coalesce(cost, 0) c0 from priced where event_id % 2 = 0), i as (select server, tool, count(*) n, sum(c0) c from c group by 1, 2),
+  r as (select *, row_number() over (partition by server order by round(c, 9) desc, tool) k from i) select server, cast(sum(n) as bigint) calls, count(*) distinct_examples, round(sum(c), 10) cost, string_agg(tool, ',' order by k) filter (k <= 3) examples from r group by 1""")
+def mcp_servers(spark, d):
+    name = F.concat(F.lit("mcp__srv"), (F.col("k") % 3).cast("string"), F.lit("__tool"), (F.col("k") % 5).cast("string"))
+    calls = priced_turns(spark, d).withColumn("tool_name", F.when(F.col("event_id") % 2 == 0, name).otherwise("Bash"))
+    return _rounded(rollups.by_mcp_server(calls), "cost")
+
+
+@_query("""select tool_name, count(*) calls, cast(sum(round((case when k % 2 = 0 then (1000 + 800) / 2.0 else 1000.0 end) * (k % 4))) as bigint) saved_tokens from turns group by 1""")
+def replacement_savings(spark, d):
+    replaced = F.when(F.col("k") % 2 == 0, F.array(F.lit("Read"), F.lit("Other"))).otherwise(F.array(F.lit("Read")))
+    return rollups.replacement_savings(turns(spark, d).withColumn("replaced", replaced), F.col("replaced"), F.col("k") % 4, {"Read": 1000})
+
+
+@_query("select session_id, count(*) filter (tool_name = 'Edit') edit_turns, count(*) filter (tool_name = 'Edit' and k % 3 = 0) one_shot_turns from turns group by 1")
+def one_shot_metrics(spark, d):
+    return rollups.one_shot(turns(spark, d).withColumn("retries", F.col("k") % 3))
+
+
+@_query("""select coalesce(case when event_id % 5 = 0 then concat('w', cast(k % 4 as varchar)) end, '(untagged)') tag, count(*) turns, round(sum(coalesce(cost, 0)), 10) cost from priced group by 1""")
+def summary_by_tag(spark, d):
+    tagged = F.when(F.col("event_id") % 5 == 0, F.create_map(F.lit("workflow"), F.concat(F.lit("w"), (F.col("k") % 4).cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
+    return _rounded(rollups.by_tag(priced_turns(spark, d).withColumn("enrichment", tagged), "workflow"), "cost").select("tag", "turns", "cost")
+
+
+_STAMPS = [("s1", None, None, None, 1, 1, {"team": "a", "run": "1"}), ("s1", None, None, "2024-01-15 00:00:00", 3, 1, {"run": "2"}), (None, "m7", None, None, 2, 1, {"team": "x"}), (None, None, "2024-01-10 00:00:00", "2024-01-11 00:00:00", 0, 1, {"team": "night", "day": "10"})]
+
+
+@_query(""", stamps(sid, mid, a, b, o, team, run, "day") as (values ('s1', null, null, null, 1, 'a', '1', null), ('s1', null, null, timestamp '2024-01-15', 3, null, '2', null), (null, 'm7', null, null, 2, 'x', null, null), (null, null, timestamp '2024-01-10', timestamp '2024-01-11', 0, 'night', null, '10'))
+  select t.session_id, t.message_id, max_by(team, o) filter (team is not null) team, max_by(run, o) filter (run is not null) run, max_by("day", o) filter ("day" is not null) "day" from turns t join stamps s
+  on (sid is null or sid = session_id) and (mid is null or mid = message_id) and (a is null or ts >= a) and (b is null or ts <= b) group by 1, 2""")
+def stamp_fold(spark, d):
+    stamps = spark.createDataFrame([(s, m, a, b, o, w, t) for s, m, a, b, o, w, t in _STAMPS], "session_id string, message_id string, a string, b string, ts int, written_at int, tags map<string,string>")
+    stamps = stamps.select("session_id", "message_id", F.to_timestamp("a").alias("from_ts"), F.to_timestamp("b").alias("to_ts"), "ts", "written_at", "tags")
+    out = joins.fold_stamps(turns(spark, d), stamps).where(F.size("enrichment") > 0)
+    return out.select("session_id", "message_id", *[F.try_element_at("enrichment", F.lit(k)).alias(k) for k in ("team", "run", "day")])
+
+
+_EVENTS_SQL = """, ev as (select event_id, session_id, case when event_id % 3 = 0 then message_id else concat('x', cast(event_id as varchar)) end message_id, case when event_id % 11 = 0 then null else ts + to_microseconds(cast(1000000 * (k - 50) * 3600 as bigint)) end ts from turns where event_id % 2 = 0)"""
+
+
+@_query(_EVENTS_SQL + """, ex as (select ev.event_id, t.message_id own from ev left join turns t using (session_id, message_id)),
+  ao as (select ev.event_id, (select t.message_id from turns t where t.session_id = ev.session_id and t.ts <= ev.ts order by t.ts desc, t.message_id desc limit 1) a, (select t.message_id from turns t where t.session_id = ev.session_id order by t.ts, t.message_id limit 1) f, ev.ts from ev)
+  select ex.event_id, coalesce(own, case when ts is null then null else coalesce(a, f) end) turn_id from ex join ao using (event_id)""")
+def event_to_turn(spark, d):
+    t = turns(spark, d)
+    shifted = F.timestamp_micros(F.unix_micros("ts") + 1000000 * (F.col("k") - 50) * 3600)
+    ev = t.where("event_id % 2 = 0").select("event_id", "session_id", F.when(F.col("event_id") % 3 == 0, F.col("message_id")).otherwise(F.concat(F.lit("x"), F.col("event_id").cast("string"))).alias("message_id"), F.when(F.col("event_id") % 11 != 0, shifted).alias("ts"))
+    return joins.events_to_turns(ev, t).select("event_id", "turn_id")
+
+
+@_query(""", c as (select session_id, event_id compaction_id, ts, lag(ts) over (partition by session_id order by ts, event_id) previous, cache_read lost_tokens, cache_read / 1e6 * r_read lost_cost from priced where turn_index % 10 = 9)
+  select c.session_id, c.compaction_id, any_value(c.lost_tokens) lost_tokens, round(any_value(c.lost_cost), 9) lost_cost, count(t.message_id) turns, count(*) filter (t.tool_name = 'Edit') edits, count(*) filter (t.tool_name = 'Bash') bashes
+  from c left join turns t on t.session_id = c.session_id and t.ts <= c.ts and (c.previous is null or t.ts > c.previous) group by 1, 2""")
+def compaction_losses(spark, d):
+    t = priced_turns(spark, d)
+    c = t.where("turn_index % 10 = 9").select("session_id", F.col("event_id").alias("compaction_id"), "ts", F.col("message_id").alias("preceding"))
+    return _rounded(joins.compaction_losses(c, t), "lost_cost", digits=9)
+
+
+_REL_SQL = """, rt as (select session_id, message_id, case when event_id % 4 = 1 then concat('a', cast(k % 3 as varchar)) end agent_id, event_id % 4 in (1, 2) sidechain, cost from priced),
+  ed as (select distinct concat(session_id, '-', kind) edge_id, kind, session_id, case when kind = 'subagent' then 'a1' end agent_id from turns, (values ('root'), ('subagent'), ('fork')) x(kind) where turn_index = 0),
+  ma as (select edge_id, kind, message_id, cost, case when kind = 'root' then case when not sidechain then 1 end when kind = 'fork' then 1 when ed.agent_id = rt.agent_id then 1 when sidechain then 2 end rk from ed join rt on ed.session_id = rt.session_id),
+  be as (select *, min(rk) over (partition by edge_id) m from ma where rk is not null), ea as (select kind, edge_id, count(*) n, sum(coalesce(cost, 0)) c from be where rk = m group by 1, 2)
+  select kind, count(*) edges, cast(sum(n) as bigint) turns, round(sum(c), 10) cost from ea group by 1"""
+
+
+@_query(_REL_SQL)
+def relationship_statistics(spark, d):
+    t = priced_turns(spark, d).withColumn("agent_id", F.when(F.col("event_id") % 4 == 1, F.concat(F.lit("a"), (F.col("k") % 3).cast("string")))).withColumn("sidechain", (F.col("event_id") % 4).isin(1, 2))
+    e = t.where("turn_index = 0").select("session_id", F.explode(F.array(*map(F.lit, ("root", "subagent", "fork")))).alias("kind"))
+    e = e.select(F.concat_ws("-", "session_id", "kind").alias("edge_id"), "kind", "session_id", F.when(F.col("kind") == "subagent", "a1").alias("agent_id"))
+    return _rounded(joins.relationship_statistics(e, t), "cost")
+
+
+_FILES_SQL = ", f as (select concat('m', cast(event_id as varchar)) uuid, concat('m', cast(event_id // 3 as varchar)) parent, concat('f', cast(user_id % 40 as varchar)) file, case when event_id % 50 = 0 then concat('g', cast(event_id % 7 as varchar)) else concat('f', cast(user_id % 40 as varchar)) end session_id from events where event_id % 9 = 0)"
+
+
+@_query(_FILES_SQL + """, c as (select distinct a.file, b.file other, 'continuation' kind from f a join f b on a.parent = b.uuid where a.file != b.file), s as (select session_id from f where session_id != file group by 1 having count(distinct file) >= 2)
+  select * from c union all select distinct f.file, f.session_id other, 'fork' kind from f join s using (session_id) where f.session_id != f.file and f.file not in (select file from c)""")
+def cross_file_reconciliation(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 9 = 0")
+    file = F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string"))
+    name = lambda n: F.concat(F.lit("m"), n.cast("string"))
+    rows = e.select(name(F.col("event_id")).alias("uuid"), name(F.expr("event_id div 3")).alias("parent"), file.alias("file"), F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("g"), (F.col("event_id") % 7).cast("string"))).otherwise(file).alias("session_id"))
+    return joins.foreign_sessions(rows)
+
+
+@_query(""", b as (select * from turns where event_id % 2 = 0), k as (select source, session_id, message_id, target from b where message_id not in (select message_id from turns where event_id % 6 = 0)) select count(*) appended, count(distinct message_id) keys from k""")
+def append_new_turns(spark, d):
+    t, keys = turns(spark, d), ["source", "session_id", "message_id"]
+    batch = t.where("event_id % 2 = 0")
+    return joins.new_rows(batch.union(batch), t.where("event_id % 6 = 0"), keys).agg(F.count("*").alias("appended"), F.countDistinct("message_id").alias("keys"))
+
+
+@_query(""", u as (select *, 0 v from turns where event_id % 2 = 0 union all select *, 1 v from turns where event_id % 3 = 0), r as (select *, row_number() over (partition by message_id order by v desc) rk from u) select v, count(*) n from r where rk = 1 group by 1""")
+def turn_upsert(spark, d):
+    t = turns(spark, d)
+    both = joins.upsert(t.where("event_id % 2 = 0").withColumn("v", F.lit(0)), t.where("event_id % 3 = 0").withColumn("v", F.lit(1)), ["message_id"], "v")
+    return both.groupBy("v").agg(F.count("*").alias("n"))
+
+
+@_query(""", l as (select *, lag(tool_name) over (partition by session_id order by turn_index) p from priced) select coalesce(p, '(unattributed)') tool_name, count(*) turns, round(sum(coalesce(cost, 0)), 10) cost from l group by 1""")
+def by_tool_attribution(spark, d):
+    return _rounded(attribution.by_tool(priced_turns(spark, d)), "cost")
+
+
+_HOT_SQL = """, c0 as (select *, row_number() over (partition by session_id order by turn_index) rk, input_tokens + cache_create_5m + cache_create_1h fresh from priced),
+  c1 as (select *, lead(fresh) over w pf, lead(coalesce((input_tokens * r_in + (cache_create_5m + cache_create_1h) * r_write) / nullif(fresh, 0), 0)) over w pw from c0 window w as (partition by session_id order by turn_index)),
+  c2 as (select *, coalesce(least(result_tokens, pf), case when pf is null then 0 end, 0) it from c1),
+  ri as (select c.session_id, c.message_id, c.result_tokens, t.cache_read cr, t.r_read rr, sum(c.result_tokens) over (partition by t.session_id, t.rk) act from c2 c join c0 t on c.session_id = t.session_id and t.rk > c.rk + 1 and c.result_tokens > 0 and t.cache_read >= c.result_tokens),
+  rd as (select session_id, message_id, sum(result_tokens / act * least(cr, act)) tk, sum(result_tokens / act * least(cr, act) / 1e6 * coalesce(rr, 0)) co from ri group by 1, 2),
+  hs as (select c.session_id, c.message_id, tool_name, target, case when pf is null then 0 else it end it, coalesce(case when pf is null then 0 else it end * pw / 1e6, 0) ic, coalesce(tk, 0) rt, coalesce(co, 0) rc from c2 c left join rd using (session_id, message_id))"""
+
+
+@_query(_HOT_SQL + """ select target, count(*) calls, cast(sum(it) as bigint) initial_tokens, round(sum(ic), 10) initial_cost, round(sum(rt), 2) riding_tokens, round(sum(rc), 10) riding_cost from hs where tool_name in ('Read', 'Edit') group by 1""")
+def hotspots_by_file(spark, d):
+    out = attribution.by_file(attribution.hotspots(priced_turns(spark, d)))
+    return _rounded(_rounded(out, "initial_cost", "riding_cost"), "riding_tokens", digits=2)
+
+
+@_query(_HOT_SQL + """, g as (select session_id, sum(coalesce(cost, 0)) g from priced group by 1), o as (select session_id, sum(ic + rc) a from hs group by 1) select session_id, round(g, 10) grand, round(a, 10) attributed, round(g - a, 10) unattributed from g join o using (session_id)""")
+def hotspots_by_session(spark, d):
+    t = priced_turns(spark, d)
+    return _rounded(attribution.session_totals(attribution.hotspots(t), t), "grand", "attributed", "unattributed")
+
+
+def _runs_sql(changed: str, where: str, having: str) -> str:
+    return f""", m as (select *, case when row_number() over w = 1 or {changed} then 1 else 0 end nw from priced window w as (partition by session_id order by turn_index)), i as (select *, sum(nw) over (partition by session_id order by turn_index) isl from m)
+  select session_id, count(*) length, min(turn_index) first_turn, max(turn_index) last_turn, count(distinct (tool_name, target)) calls, min(tool_name) tool_name, round(sum(coalesce(cost, 0)), 10) cost from i where {where} group by session_id, isl having {having}"""
+
+
+@_query(_runs_sql("is_error != lag(is_error) over w or tool_name != lag(tool_name) over w or target != lag(target) over w", "is_error = 1", "count(*) >= 1 and count(*) >= 2"))
+def retry_loops(spark, d):
+    return _rounded(sequences.retry_loops(priced_turns(spark, d), least=2), "cost")
+
+
+@_query(_runs_sql("is_error != lag(is_error) over w", "is_error = 1", "count(*) >= 3 and count(distinct (tool_name, target)) >= 2"))
+def failure_runs(spark, d):
+    return _rounded(sequences.failure_runs(priced_turns(spark, d)), "cost")
+
+
+@_query(_runs_sql("(k % 5 = 0) != lag(k % 5 = 0) over w", "k % 5 = 0", "count(*) >= 1"))
+def cancellation_runs(spark, d):
+    t = priced_turns(spark, d).withColumn("status", F.when(F.col("k") % 5 == 0, "cancelled").otherwise("completed"))
+    return _rounded(sequences.cancellation_runs(t), "cost")
+
+
+@_query(""", ev as (select *, k % 13 tool_use_id, event_id event_index, case when k % 7 = 0 then 'running' else 'completed' end status from turns), r as (select *, row_number() over (partition by session_id, tool_use_id order by event_index desc, ts desc, event_id desc) rk from ev)
+  select session_id, tool_use_id, message_id from r where rk = 1 and status != 'running'""")
+def terminal_events(spark, d):
+    t = turns(spark, d).withColumns({"tool_use_id": F.col("k") % 13, "event_index": F.col("event_id"), "status": F.when(F.col("k") % 7 == 0, "running").otherwise("completed")})
+    return sequences.terminal_events(t).select("session_id", "tool_use_id", "message_id")
+
+
+@_query(""", c as (select *, input_tokens + cache_read + cache_create_5m + cache_create_1h context from turns), g as (select *, context - lag(context) over (partition by session_id order by turn_index) delta from c)
+  select session_id, message_id, turn_index, context, delta from g where delta is not null order by delta desc, session_id, turn_index limit 20""")
+def context_deltas(spark, d):
+    return sequences.context_deltas(turns(spark, d))
+
+
+@_query(""", w as (select *, count(*) over (partition by session_id, target order by turn_index range between current row and 4 following) n from turns where tool_name = 'Edit'), r as (select *, row_number() over (partition by session_id, target order by n desc, turn_index) k2 from w)
+  select session_id, target, n edits, turn_index from_turn from r where k2 = 1 and n >= 2""")
+def edit_clusters(spark, d):
+    return sequences.edit_clusters(turns(spark, d), least=2)
+
+
+@_query(""", l as (select session_id, tool_name t0, lag(tool_name, 1) over w t1, lag(tool_name, 2) over w t2 from turns window w as (partition by session_id order by turn_index)) select session_id, count(*) sequences from l where t2 = 'Bash' and t1 = 'Read' and t0 = 'Edit' group by 1""")
+def search_sequences(spark, d):
+    return sequences.search_sequences(turns(spark, d))
+
+
+@_query(""", g as (select *, sum(1 - is_error) over (partition by session_id order by turn_index desc) good from turns), l as (select session_id, count(*) turns, count(*) filter (good = 0) trailing_failures, arg_max_null(stop_reason, turn_index) s from g group by 1)
+  select session_id, turns, trailing_failures, case when turns <= 2 then 'too-short' when trailing_failures >= 3 then 'failed' when s = 'refusal' then 'refused' when s = 'max_tokens' then 'truncated' when s is null then 'interrupted' else 'completed' end outcome from l""")
+def session_outcomes(spark, d):
+    return sequences.outcomes(turns(spark, d))
+
+
+@_query(""", r as (select *, count(*) filter (cache_read > 0) over (partition by session_id order by turn_index rows between 1 following and unbounded following) riding from turns) select session_id, message_id, riding from r where tool_name = 'Task'""")
+def skill_riding(spark, d):
+    return sequences.riding_turns(turns(spark, d), F.col("tool_name") == "Task").select("session_id", "message_id", "riding")
+
+
+@_query("""select session_id, greatest(max(cache_create_5m + cache_create_1h - input_tokens) filter (turn_index = 0), 0) tax_tokens, count(*) filter (turn_index > 0 and cache_read > 0) riding from turns group by 1""")
+def prompt_tax(spark, d):
+    return sequences.prompt_tax(turns(spark, d))
+
+
+@_query("""select session_id, message_id, greatest(input_tokens - coalesce(lag(input_tokens) over (partition by session_id order by turn_index), 0), 0) used from turns""")
+def cumulative_to_turn_usage(spark, d):
+    return sequences.per_turn_usage(turns(spark, d), "input_tokens").select("session_id", "message_id", "used")
+
+
+@_query("""select session_id, count(*) filter (tool_name = 'Edit') edits, count(*) filter (tool_name = 'Read') reads from turns group by 1 having edits >= 5 and edits > 1.5 * reads""")
+def edit_heavy(spark, d):
+    return sequences.edit_heavy(turns(spark, d), ratio=1.5)
+
+
+@_query()
+def edit_reverts(spark, d):
+    e = turns(spark, d).where("tool_name = 'Edit'").withColumn("pre", (F.col("k") % 6).cast("string")).withColumn("post", (F.col("k") % 4).cast("string"))
+    return sequences.edit_reverts(e.withColumn("target", F.lit("/src/a.ts")))
+
+
+@_query()
+def retries_in_turn(spark, d):
+    line = turns(spark, d).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", "tool_name"))).alias("line"))
+    return line.select("session_id", sequences.retries_in_order(F.transform("line", lambda x: x["tool_name"])).alias("retries"))
+
+
+_EDGES = "select distinct user_id node, case when user_id > 0 then user_id // 2 end parent from events"
+
+
+@_query(f"""with recursive ed as ({_EDGES}), nd as (select node from ed union select parent from ed where parent is not null), cl(node, ancestor, distance) as (select node, node, 0 from nd union all select c.node, ed.parent, c.distance + 1 from cl c join ed on ed.node = c.ancestor where ed.parent is not null and ed.parent != ed.node),
+  co as (select user_id node, sum(round(value * 100)) / 100 cost from events group by 1), be as (select ancestor node, round(sum(coalesce(cost, 0)), 2) cumulative, count(*) nodes from cl left join co on co.node = cl.node group by 1), de as (select node, max(distance) depth from cl group by 1)
+  select be.node, round(coalesce(cost, 0), 2) own, cumulative, depth, nodes from be left join co using (node) join de using (node)""")
+def subagent_forest(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    edges = e.select(F.col("user_id").alias("node"), F.when(F.col("user_id") > 0, F.expr("user_id div 2")).alias("parent")).distinct()
+    costs = e.groupBy(F.col("user_id").alias("node")).agg((F.sum(F.round(F.col("value") * 100)) / 100).alias("cost"))
+    return _rounded(trees.forest_costs(edges, costs, deepest=32), "own", "cumulative", digits=2)
+
+
+@_query("""with recursive ed as (select distinct concat('u', cast(user_id as varchar)) a, concat('k', cast(user_id % 37 as varchar)) b from events), bo as (select a, b from ed union select b, a from ed), re(node) as (select 'u1' union select bo.b from re join bo on bo.a = re.node) select node from re""")
+def connected_sessions(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return trees.connected(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("a"), F.concat(F.lit("k"), (F.col("user_id") % 37).cast("string")).alias("b")).distinct(), "u1")
+
+
+@_query(f"with recursive ed as ({_EDGES}), re(node, depth) as (select 1::bigint, 0 union all select ed.node, depth + 1 from re join ed on ed.parent = re.node where ed.node != ed.parent) select node, depth from re")
+def agent_session_tree(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    edges = e.select(F.col("user_id").alias("node"), F.when(F.col("user_id") > 0, F.expr("user_id div 2")).alias("parent")).distinct()
+    return trees.descendants(edges.select(F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("parent")), "1", 32).select(F.col("node").cast("long").alias("node"), "depth")
+
+
+@_query("""select session_id, case when k % 3 = 0 then concat('r', cast(k as varchar)) else message_id end inference_id, min(ts) started, max(ts) ended, cast(sum(input_tokens) as bigint) input_tokens, cast(sum(output_tokens) as bigint) output_tokens, count(distinct tool_name) tools, max_by(activity, event_id) kind from turns group by 1, 2""")
+def inference_rollup(spark, d):
+    rows = turns(spark, d).withColumns({"request_id": F.when(F.col("k") % 3 == 0, F.concat(F.lit("r"), F.col("k").cast("string"))), "row_id": F.col("event_id"), "kind": F.col("activity")})
+    return trees.inferences(rows)
+
+
+@_query(""", s as (select session_id, 'turn' kind, case when stop_reason = 'refusal' then 'error' when stop_reason = 'max_tokens' then 'truncated' when is_error = 1 then 'error' else 'ok' end status, cost from priced
+  union all select session_id, x, case when is_error = 1 then 'error' else 'ok' end, 0.0 from priced, (values ('inference'), ('tool_use')) v(x)) select session_id, kind, status, count(*) spans, round(sum(coalesce(cost, 0)), 10) cost from s group by 1, 2, 3""")
+def span_tree_rollup(spark, d):
+    s = trees.spans(priced_turns(spark, d)).groupBy("session_id", "kind", "status").agg(F.count("*").alias("spans"), F.sum(F.coalesce("cost", F.lit(0.0))).alias("cost"))
+    return _rounded(s, "cost")
+
+
+@_query("""select concat(message_id, ':', cast(r as varchar)) node, case when r = 0 then 'inference' else tool_name end label, turn_index * 96 x, r * 32 y from turns, (values (0), (1)) v(r)""")
+def flow_graph_nodes(spark, d):
+    return trees.flow_graph(turns(spark, d))[0].select("node", "label", "x", "y")
+
+
+_SPINE = ", b as (select min(ts) a, max(ts) z from turns), sp as (select cast(i as bigint) bucket, a + to_microseconds(cast(i as bigint) * 21600000000) from_ts from b, range(0, cast((epoch_us(z) - epoch_us(a)) // 21600000000 + 1 as bigint)) r(i)), pt as (select p.*, cast((epoch_us(ts) - epoch_us(a)) // 21600000000 as bigint) bucket from priced p, b)"
+
+
+@_query(_SPINE + ", g as (select bucket, model, count(*) n, sum(coalesce(cost, 0)) c from pt group by 1, 2) select sp.bucket, from_ts, model, coalesce(n, 0) turns, round(coalesce(c, 0), 10) cost from sp left join g using (bucket)")
+def summary_timeseries(spark, d):
+    return _rounded(series.summary_series(priced_turns(spark, d), 6 * 3600), "cost")
+
+
+@_query(_SPINE + " select bucket, model, activity, count(*) turns, round(sum(coalesce(cost, 0)), 10) cost from pt group by 1, 2, 3")
+def compare_timeseries(spark, d):
+    return _rounded(series.compare_series(priced_turns(spark, d), 6 * 3600), "cost")
+
+
+@_query(""", ms(model) as (values ('claude-sonnet-4-6'), ('gpt-5.5'), ('absent-model')), ac as (select distinct activity from turns), ce as (select model, activity, count(*) n, sum(coalesce(cost, 0)) / nullif(count(*) filter (priced), 0) c, sum(cache_read) / nullif(sum(cache_read) + sum(input_tokens) + sum(cache_create_5m + cache_create_1h), 0) h, median(output_tokens) m from priced group by 1, 2)
+  select ms.model, ac.activity, coalesce(n, 0) turns, round(c, 10) cost_per_turn, round(h, 4) cache_hit, cast(m as double) median_output, coalesce(n, 0) = 0 no_data, coalesce(n, 0) between 1 and 4 insufficient from ms cross join ac left join ce on ce.model = ms.model and ce.activity = ac.activity""")
+def compare_models(spark, d):
+    out = series.compare(priced_turns(spark, d), ["claude-sonnet-4-6", "gpt-5.5", "absent-model"])
+    return _rounded(_rounded(out, "cost_per_turn"), "cache_hit", digits=4)
+
+
+_INSTRUCTIONS = [("CLAUDE.md", 500), ("AGENTS.md", 2500)]
+_SECTIONS = [("CLAUDE.md", "intro", 0, 200), ("CLAUDE.md", "style", 2, 600), ("CLAUDE.md", "tests", 2, 1200), ("AGENTS.md", "rules", 1, 10000)]
+_OVER_SQL = ", fi(file, tokens) as (values ('CLAUDE.md', 500), ('AGENTS.md', 2500)), oc as (select file, session_id, count(*) riding_turns, sum(tokens / 1e6 * coalesce(r_read, 0)) c from priced join fi on cache_read >= tokens group by 1, 2)"
+
+
+@_query(_OVER_SQL + " select file, session_id, riding_turns, round(c, 10) cost from oc")
+def overhead_by_file(spark, d):
+    return _rounded(series.overhead(priced_turns(spark, d), spark.createDataFrame(_INSTRUCTIONS, "file string, tokens long")), "cost")
+
+
+@_query(_OVER_SQL + """, se(file, section, bytes) as (values ('CLAUDE.md', 'intro', 200), ('CLAUDE.md', 'style', 600), ('CLAUDE.md', 'tests', 1200), ('AGENTS.md', 'rules', 10000)), sh as (select *, bytes / sum(bytes) over (partition by file) s from se), ow as (select file, section, c * s o from oc join sh using (file))
+  select file, section, round(sum(o), 10) cost, round(avg(o), 10) average, round(quantile_disc(o, 0.95), 10) p95 from ow group by 1, 2""")
+def overhead_by_section(spark, d):
+    costs = series.overhead(priced_turns(spark, d), spark.createDataFrame(_INSTRUCTIONS, "file string, tokens long"))
+    sections = spark.createDataFrame(_SECTIONS, "file string, section string, level int, bytes long")
+    return _rounded(series.overhead_by_section(costs, sections), "cost", "average", "p95")
+
+
+@_query(""", b as (select source, tool_name, count(*) n, max(result_tokens) most, quantile_disc(result_tokens, 0.95) p95, count(distinct session_id) sessions from turns group by 1, 2) select * from b where most > case when n >= 20 then greatest(100, p95) else 100 end""")
+def observed_bloat(spark, d):
+    return series.observed_bloat(turns(spark, d), static_limit=100)
+
+
+@_query("""select * from (values ('agent', 'Reviewer', 300), ('skill', 'EDIT', 10), ('rule', 'no-print', 40)) s(kind, stem, tokens) where lower(stem) not in (select lower(tool_name) from turns)""")
+def ghost_surfaces(spark, d):
+    surfaces = spark.createDataFrame([("agent", "Reviewer", 300), ("skill", "EDIT", 10), ("rule", "no-print", 40)], "kind string, stem string, tokens int")
+    return series.ghosts(surfaces, turns(spark, d).select(F.col("tool_name").alias("name")))
+
+
+@_query(""", s as (select session_id, message_id, substr(sha256(concat_ws('|', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), model, cast(input_tokens + output_tokens as varchar), cast(cache_read as varchar), cast(cache_create_5m + cache_create_1h as varchar), target)), 1, 16) fp from turns) select count(*) turns, count(distinct fp) distinct_turns, min(fp) least from s""")
+def turn_fingerprints(spark, d):
+    fp = turns(spark, d).withColumn("fp", text.turn_fingerprint())
+    return fp.agg(F.count("*").alias("turns"), F.countDistinct("fp").alias("distinct_turns"), F.min("fp").alias("least"))
+
+
+@_query("""select conv_id, turn, cast(length(text) as bigint) chars, cast(strlen(text) as bigint) bytes, substr(sha256(text), 1, 16) hash, contains(lower(text), '[truncated]') truncated, cast(ceil(strlen(text) / 4) as bigint) tokens, left(trim(split_part(trim(text, chr(10)), chr(10), 1)), 240) signature from conversations where text is not null""")
+def payload_measures(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet").where("text is not null").withColumn("m", text.payload_measure(F.col("text")))
+    return c.select("conv_id", "turn", "m.*", text.approximate_tokens(F.octet_length("text")).alias("tokens"), text.error_signature(F.col("text")).alias("signature"))
+
+
+@_query("""select event_id % 17 shard, cast(sum(((k * 10 + 3) // (k % 4 + 1)) + case when event_id % (k % 4 + 1) = 0 then (k * 10 + 3) % (k % 4 + 1) else 0 end) as bigint) tokens from turns group by 1""")
+def even_split(spark, d):
+    t = turns(spark, d)
+    share = cost.even_split(F.col("k") * 10 + 3, F.col("k") % 4 + 1, F.col("event_id") % (F.col("k") % 4 + 1))
+    return t.groupBy((F.col("event_id") % 17).alias("shard")).agg(F.sum(share).alias("tokens"))
+
+
+@_query("""select case when event_id % 5 = 0 then 'cost-only' when event_id % 7 = 0 then 'aggregate-only' when k % 2 = 0 and k % 3 = 0 then 'full' when k % 2 = 0 then 'usage-only' else 'partial' end class, count(*) turns, count(*) filter (not priced) unpriced from priced group by 1""")
+def fidelity_classes(spark, d):
+    t = priced_turns(spark, d)
+    granularity = F.when(F.col("event_id") % 5 == 0, "cost-only").when(F.col("event_id") % 7 == 0, "per-session-aggregate").otherwise("per-turn")
+    even, third = F.col("k") % 2 == 0, F.col("k") % 3 == 0
+    flags = {"input": even, "output": even, "cache_read": third, "tool_calls": third, "tool_results": third, "relationships": third}
+    return t.groupBy(cost.fidelity_class(granularity, flags).alias("class")).agg(F.count("*").alias("turns"), F.count_if(~F.col("priced")).alias("unpriced"))
+
+
+@_query("""select c_mktsegment, count(*) n, quantile_disc(c_acctbal, 0.5) p50, quantile_disc(c_acctbal, 0.95) p95 from customer group by 1""")
+def nearest_rank_percentiles(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    return c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), rollups.nearest_rank("c_acctbal", 0.5).alias("p50"), rollups.nearest_rank("c_acctbal", 0.95).alias("p95"))
+
+
+@_query("""select count(*) sessions, count(*) filter (least <= timestamp '2024-01-05') early, count(*) filter (least > timestamp '2024-01-05') later from (select session_id, min(ts) least from turns group by 1) x""")
+def filtered_scan(spark, d):
+    s = turns(spark, d).groupBy("session_id").agg(F.min("ts").alias("least"))
+    day = F.lit("2024-01-05").cast("timestamp")
+    return s.agg(F.count("*").alias("sessions"), F.count_if(F.col("least") <= day).alias("early"), F.count_if(F.col("least") > day).alias("later"))
+
+
+@_query("""select 'events' name, count(*) n from events union all select 'conversations', count(*) from conversations union all select 'lineitem', count(*) from lineitem""")
+def table_counts(spark, d):
+    parts = [spark.read.parquet(f"{d}/{t}.parquet").agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in ("events", "conversations", "lineitem")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@_query()
+def findings(spark, d):
+    from ledgerloom.operators.findings import detect_all
+
+    return detect_all(priced_turns(spark, d))
+
+
+@_query(""", q as (select conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x != '') w from conversations), n as (select count(*) n, avg(len(w)) m from q), h as (select conv_id, turn, len(w) l, len(list_filter(w, lambda x: x = 'the')) tf from q), df as (select count(*) d from h where tf > 0)
+  select conv_id, turn, round(ln(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m)), 10) score from h, n, df where tf > 0 order by score desc, conv_id * 1000 + turn limit 25""")
+def search_content(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
+    found = search.search(*search.build_index(c), "the")
+    return _rounded(found.select(F.expr("doc_id div 1000").alias("conv_id"), F.pmod("doc_id", F.lit(1000)).alias("turn"), "score"), "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+__all__ = ["Window", "oracle_sql", "queries"]
