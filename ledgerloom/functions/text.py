@@ -67,7 +67,7 @@ def is_truncated(text: Column) -> Column:
 
 def error_signature(text: Column) -> Column:
     """First line that is not blank, trimmed, 240 characters at most."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.substring(F.get(lines, F.lit(0)), 1, 240)
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ORDER = Window.partitionBy("session_id").orderBy("turn_index")
+
+def _order():
+    return Window.partitionBy("session_id").orderBy("turn_index")
 
 
 def by_tool(turns: DataFrame) -> DataFrame:
@@ -14,7 +16,7 @@ def by_tool(turns: DataFrame) -> DataFrame:
 
     The predecessor is taken from the whole session: filter the result, not the input.
     """
-    charged = turns.withColumn("charged", F.coalesce(F.lag("tool_name").over(ORDER), F.lit("(unattributed)")))
+    charged = turns.withColumn("charged", F.coalesce(F.lag("tool_name").over(_order()), F.lit("(unattributed)")))
     return charged.groupBy(F.col("charged").alias("tool_name")).agg(F.count("*").alias("turns"), F.sum(F.coalesce("cost", F.lit(0.0))).alias("cost"))
 
 
@@ -26,8 +28,8 @@ def hotspots(turns: DataFrame) -> DataFrame:
     every turn after that whose cache read is at least its size; the results that ride there share
     ``min(cache read, their sizes)`` in proportion, at the cache-read rate. An unpriced turn charges nothing.
     """
-    lead = lambda c: F.lead(c).over(ORDER)
-    rows = turns.withColumn("rank", F.row_number().over(ORDER).cast("long"))
+    lead = lambda c: F.lead(c).over(_order())
+    rows = turns.withColumn("rank", F.row_number().over(_order()).cast("long"))
     created = F.col("cache_create_5m") + F.col("cache_create_1h")
     rows = rows.withColumn("fresh", F.col("input_tokens") + created).withColumn("write", F.coalesce(F.try_divide(F.col("input_tokens") * F.col("input") + created * F.col("cache_write"), F.col("fresh")), F.lit(0.0)))
     calls = rows.withColumn("p_fresh", lead("fresh")).withColumn("p_write", lead("write")).withColumn("initial_tokens", F.when(F.col("p_fresh").isNull(), F.lit(0)).otherwise(F.least("result_tokens", "p_fresh")))

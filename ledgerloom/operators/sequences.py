@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ORDER = Window.partitionBy("session_id").orderBy("turn_index")
-SO_FAR = ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _order():
+    return Window.partitionBy("session_id").orderBy("turn_index")
+
+
+def _so_far():
+    return _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def islands(rows: DataFrame, *keys: str | Column) -> DataFrame:
@@ -15,8 +20,8 @@ def islands(rows: DataFrame, *keys: str | Column) -> DataFrame:
     named = [F.col(k) if isinstance(k, str) else k for k in keys]
     changed = F.lit(False)
     for k in named:
-        changed = changed | ~k.eqNullSafe(F.lag(k).over(ORDER))
-    return rows.withColumn("new", F.coalesce(changed | (F.row_number().over(ORDER) == 1), F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(SO_FAR)).drop("new")
+        changed = changed | ~k.eqNullSafe(F.lag(k).over(_order()))
+    return rows.withColumn("new", F.coalesce(changed | (F.row_number().over(_order()) == 1), F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(_so_far())).drop("new")
 
 
 def _runs(rows: DataFrame) -> DataFrame:
@@ -48,7 +53,7 @@ def terminal_events(events: DataFrame) -> DataFrame:
 def context_deltas(turns: DataFrame, limit: int = 20) -> DataFrame:
     """Largest growth of context between consecutive turns of a session."""
     size = F.col("input_tokens") + F.col("cache_read") + F.col("cache_create_5m") + F.col("cache_create_1h")
-    grown = turns.withColumn("context", size).withColumn("delta", F.col("context") - F.lag("context").over(ORDER)).where("delta is not null")
+    grown = turns.withColumn("context", size).withColumn("delta", F.col("context") - F.lag("context").over(_order())).where("delta is not null")
     return grown.orderBy(F.desc("delta"), "session_id", "turn_index").limit(limit).select("session_id", "message_id", "turn_index", "context", "delta")
 
 
@@ -64,7 +69,7 @@ def search_sequences(turns: DataFrame, steps: tuple[str, ...] = ("Bash", "Read",
     """Turns that use the next tool of ``steps`` right after the ones before: tool pairs in a row, counted by session."""
     hit = F.lit(True)
     for back, name in enumerate(reversed(steps)):
-        hit = hit & F.coalesce(F.lag("tool_name", back).over(ORDER) == name if back else F.col("tool_name") == name, F.lit(False))
+        hit = hit & F.coalesce(F.lag("tool_name", back).over(_order()) == name if back else F.col("tool_name") == name, F.lit(False))
     return turns.withColumn("hit", hit).groupBy("session_id").agg(F.count_if("hit").alias("sequences")).where("sequences > 0")
 
 
@@ -84,7 +89,7 @@ def outcomes(turns: DataFrame) -> DataFrame:
 
 def riding_turns(turns: DataFrame, invoked: Column) -> DataFrame:
     """Per invocation the later turns of its session that read from the cache."""
-    later = ORDER.rowsBetween(1, Window.unboundedFollowing)
+    later = _order().rowsBetween(1, Window.unboundedFollowing)
     return turns.withColumn("riding", F.count_if(F.col("cache_read") > 0).over(later)).where(invoked)
 
 
@@ -97,7 +102,7 @@ def prompt_tax(turns: DataFrame) -> DataFrame:
 
 def per_turn_usage(totals: DataFrame, column: str) -> DataFrame:
     """Differences of a running total, never under 0."""
-    return totals.withColumn("used", F.greatest(F.col(column) - F.lag(column, 1, 0).over(ORDER), F.lit(0)))
+    return totals.withColumn("used", F.greatest(F.col(column) - F.lag(column, 1, 0).over(_order()), F.lit(0)))
 
 
 def retries_in_order(tools: Column) -> Column:
