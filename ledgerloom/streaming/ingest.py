@@ -1,0 +1,55 @@
+"""Incremental ingest of transcript logs: a file stream, replays dropped by key, appended to Parquet tables.
+
+The checkpoint holds what was read; a file is taken once, so writers move finished files into the folder. ``once`` drains
+what is there and stops; else the query keeps watching at an interval. A batch that is retried writes the same folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
+
+from ledgerloom.sources import readers
+
+KEYS = ["source", "session_id", "message_id"]
+
+
+def _stored(spark: SparkSession, table: str, schema) -> DataFrame:
+    """The rows of a table's batches; none before the first."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{table}/batch=*")
+
+
+def stream_turns(spark: SparkSession, folder: str, table: str, checkpoint: str, once: bool = True, interval: str = "30 seconds") -> StreamingQuery:
+    """Transcript files of ``folder`` into the turns of ``table``, each message once."""
+    lines = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(folder).withColumn("file", F.input_file_name())
+
+    def write(batch: DataFrame, number: int) -> None:
+        numbered = batch.withColumn("line", F.monotonically_increasing_id())
+        turns = readers.transcript_turns(rows_of(numbered), complete_only=True)
+        before = _stored(batch.sparkSession, table, turns.schema).select(*KEYS)
+        turns.dropDuplicates(KEYS).join(before, KEYS, "left_anti").select(*readers.TURN).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+
+
+def rows_of(lines: DataFrame) -> DataFrame:
+    """Transcript rows of (value, file, line)."""
+    r = lines.withColumn("row", F.from_json("value", readers.TRANSCRIPT)).where(F.ltrim("value").startswith("{") & F.col("row").isNotNull())
+    return readers.rows_from(r)
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """All turns ingested so far, numbered anew within their session."""
+    order = Window.partitionBy("session_id").orderBy("ts", "message_id")
+    return spark.read.parquet(f"{path}/batch=*").withColumn("turn_index", (F.row_number().over(order) - 1).cast("long"))
+
+
+def windowed_usage(stream: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Tokens by event-time window of a stream of turns, rows later than ``late`` dropped."""
+    return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
