@@ -45,11 +45,8 @@ def _sub(text: str, more: str) -> str:
     while m := _CONTROLS.search(text, at):
         first, slashes, rest = (g for g in m.groups() if g is not None)
         inner = more + slashes if more else slashes[1:]
-        out += [text[at : m.start()], first, inner]
-        at = m.end() - len(rest)
-        if rest[0] not in "<>" or len(rest) > 1:
-            out.append(rest)
-            at = m.end()
+        out += [text[at : m.start()], first, inner, rest[:-1]]
+        at = m.end() - 1
     return "".join([*out, text[at:]])
 
 

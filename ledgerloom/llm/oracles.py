@@ -1,3 +1,42 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others have a trained model, a numerical fit, disguised identifiers or a tokenizer in them; they are tested against
+brute force or a library instead.
+"""
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_OP2 = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') w from documents),
+s as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) end s from w),
+n as (select doc_id, cast(len(s) as bigint) n from s),
+x as (select doc_id, unnest(s) g from s),
+p as (select a.doc_id a, b.doc_id b, count(*) c from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n m on m.doc_id = a join n o on o.doc_id = b where 100 * c >= 75 * (m.n + o.n - c)),
+u as (select a, b from l union all select b, a from l),
+r(d, m) as (select doc_id, doc_id from n union select r.d, u.b from r join u on u.a = r.m)
+select doc_id, n n_shingles, m component_id from n join (select d, min(m) m from r group by 1) y on d = doc_id
+"""
+
+_OP3 = f"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') w from documents),
+v as (select doc_id, s, array_to_string(w[s:s + 34], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 33)) s from w where len(w) >= 35) z),
+d as (select g from v group by 1 having count(*) > 1),
+c as (select distinct doc_id, unnest(range(s, s + 35)) j from v semi join d using (g)),
+t as (select doc_id, unnest(range(1, len(w) + 1)) j, unnest(w) word from w),
+k as (select t.doc_id, count(*) n_words, count(c.j) n_removed, coalesce(string_agg(word, ' ' order by t.j) filter (c.j is null), '') kept from t left join c on c.doc_id = t.doc_id and c.j = t.j group by 1)
+select w.doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from w left join k using (doc_id)
+"""
+
+# the marks around a user's, an assistant's and any other text, and one backslash for each control string inside
+_OP4 = r"""
+with c as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+b as (select *, replace(t, '\', '') p, replace(r, '\', '') q from c),
+e as (select *, length(t) + length(p) - length(regexp_replace(p, '<+', '<', 'g')) + length(p) - length(regexp_replace(p, '>+', '>', 'g')) + len(regexp_extract_all(p, '</?s>')) + len(regexp_extract_all(p, '\[/?INST\]')) body,
+  length(r) + length(q) - length(regexp_replace(q, '<+', '<', 'g')) + length(q) - length(regexp_replace(q, '>+', '>', 'g')) + len(regexp_extract_all(q, '</?s>')) + len(regexp_extract_all(q, '\[/?INST\]')) head from b)
+select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn, r, t)) turns_sha256, cast(coalesce(sum(length(t)) filter (r = 'assistant'), 0) as bigint) loss_chars,
+  sha256(coalesce(string_agg(t, '' order by turn, r, t) filter (r = 'assistant'), '')) loss_sha256, cast(sum(body + case r when 'user' then 18 when 'assistant' then 6 else head + 11 end) as bigint) formatted_chars
+from e group by 1
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2, "op3_substring_dedup": _OP3, "op4_chat_tree": _OP4}
