@@ -29,6 +29,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 
 import numpy as np
@@ -47,7 +48,9 @@ SHARD_TEXT_BYTES = 16 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 MAGIC = b"LLSST1"
 FOOTER = struct.Struct("<QIQIQQB6s")
-WORDS_CACHED = 400_000
+WORDS_CACHED = 120_000
+#: Small letters of ASCII and Latin-1 as UTF-8: composed, lower-case and letters under every Unicode version.
+LETTERS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -195,7 +198,7 @@ class WordEncoder:
 
     The vocabulary drops white space, never joins characters over it and lower-cases, so text is encoded word by
     word after A-Z are lowered, and the ids of recurring words come from a table of bounded size. Of a word that is
-    ASCII letters and then other ASCII marks (no digit or apostrophe) both parts are looked up on their own, since
+    letters and then ASCII marks (no digit or apostrophe) both parts are looked up on their own, since
     the pre-tokenizer cuts between them.
     """
 
@@ -205,8 +208,20 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.kind, self.cache = (np.uint16 if self.width == 2 else np.uint32), GenerationCache(WORDS_CACHED)
-        self.two_parts = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+        self.kind, self.code, self.cache = (np.uint16, "H", GenerationCache(WORDS_CACHED)) if self.width == 2 else (np.uint32, "I", GenerationCache(WORDS_CACHED))
+        self.two_parts = re.compile(rb"(%b)([!-&(-/:-@\[-`{-~]+)" % LETTERS).fullmatch
+        self.letters, self.tokenize = re.compile(LETTERS).fullmatch, self.library.model.tokenize
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in plain]
+        #: the vocabulary's character for each byte that is not its own
+        self.characters = {b: 256 + i for i, b in enumerate(others)}
+
+    def _encode_part(self, part: bytes) -> bytes:
+        """Normal letters go straight to the library's model: the steps before it would leave them alone."""
+        if self.letters(part):
+            text = part.decode("latin-1")
+            return array(self.code, [t.id for t in self.tokenize(text if part.isascii() else text.translate(self.characters))]).tobytes()
+        return array(self.code, self.library.encode(part.decode(), add_special_tokens=False).ids).tobytes()
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         parts, young, old = [], self.cache.young, self.cache.old
@@ -218,10 +233,9 @@ class WordEncoder:
             for p in own:
                 if p not in known:
                     known[p] = young.get(p) or old.get(p)
-        absent = [p for p, v in known.items() if v is None]
-        made = self.library.encode_batch_fast([p.decode() for p in absent], add_special_tokens=False)
-        known.update((p, np.array(x.ids, self.kind).tobytes()) for p, x in zip(absent, made, strict=True))
-        young.update((p, known[p]) for p in absent)
+        for p, v in known.items():
+            if v is None:
+                known[p] = young[p] = self._encode_part(p)
         return [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in parts]
 
     def encode(self, text: bytes) -> bytes:
@@ -269,8 +283,11 @@ def write_tables(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
 
     coded = annotate(keyed, encode, [T.StructField("ids", T.BinaryType())], "text").drop("text")
 
+    width = WordEncoder(tokenizer_path).width
+
     def write(batches):
-        width, at, writer, rows = _encoder(tokenizer_path).width, None, None, []
+        _LOADED.clear()  # a worker that encoded before needs its table of words no more
+        at, writer, rows = None, None, []
 
         def done():
             writer.close()
@@ -305,7 +322,7 @@ def read_tables(manifest: DataFrame) -> DataFrame:
                     for c, v in zip(rows, (doc_id, start, ids.astype(np.int32)), strict=True):
                         c.append(v)
                     start, size = start + len(ids), size + len(ids)
-                    if size > 1 << 20:
+                    if size > 1 << 18:
                         yield _batch(rows)
                         rows, size = ([], [], []), 0
                 if rows[0]:
