@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerloom.functions import cost, provider, text
 from ledgerloom.operators import attribution, joins, rollups, search, sequences, series, trees
@@ -109,9 +108,6 @@ def bash_verbs_top_examples(spark, d):
     return _rounded(rollups.top_examples(priced_turns(spark, d), "tool_name", "target"), "cost")
 
 
-_MCP = "concat('mcp__srv', cast(k % 3 as varchar), '__tool', cast(k % 5 as varchar))"
-
-
 @_query(""", c as (select concat('srv', cast(k % 3 as varchar)) server, concat('tool', cast(k % 5 as varchar)) tool, coalesce(cost, 0) c0 from priced where event_id % 2 = 0), i as (select server, tool, count(*) n, sum(c0) c from c group by 1, 2),
   r as (select *, row_number() over (partition by server order by round(c, 9) desc, tool) k from i) select server, cast(sum(n) as bigint) calls, count(*) distinct_examples, round(sum(c), 10) cost, string_agg(tool, ',' order by k) filter (k <= 3) examples from r group by 1""")
 def mcp_servers(spark, d):
@@ -484,5 +480,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
-
-__all__ = ["Window", "oracle_sql", "queries"]
