@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import cost, provider, text
-from ledgerloom.operators import attribution, joins, rollups, search, sequences, series, trees
+from ledgerloom.functions import activity, cost, provider, shell, text
+from ledgerloom.operators import attribution, filters, joins, rollups, search, sequences, series, sidecars, trees
 from ledgerloom.plans.projection import TURNS_SQL, turns
+from ledgerloom.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -473,6 +475,74 @@ def search_content(spark, d):
     return _rounded(found.select(F.expr("doc_id div 1000").alias("conv_id"), F.pmod("doc_id", F.lit(1000)).alias("turn"), "score"), "score")
 
 
+@_query("""select concat(message_id, ':0') source, concat(message_id, ':1') target from turns""")
+def flow_graph_edges(spark, d):
+    return trees.flow_graph(turns(spark, d))[1].select("source", "target")
+
+
+@_query(""", c as (select session_id, ts + to_microseconds(cast(1000000 as bigint)) ts from turns where turn_index % 10 = 4), l as (select session_id, message_id, ts, lag(ts) over (partition by session_id order by turn_index) p from turns)
+  select session_id, message_id from l where p is not null and exists (select 1 from c where c.session_id = l.session_id and c.ts between p and l.ts)""")
+def turns_after_compaction(spark, d):
+    t = turns(spark, d)
+    c = t.where("turn_index % 10 = 4").select("session_id", F.timestamp_micros(F.unix_micros("ts") + 1000000).alias("ts"))
+    return sidecars.compacted_between(t, c).select("session_id", "message_id")
+
+
+@_query(""", r as (select session_id, case when event_id % 4 = 0 then concat('a', cast(k as varchar)) else session_id end agent_id, event_id % 2 = 0 sidechain from turns) select count(*) filter (not sidechain or agent_id = session_id) main, count(*) filter (not (not sidechain or agent_id = session_id)) subagent from r""")
+def rails(spark, d):
+    t = turns(spark, d).withColumn("agent_id", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("a"), F.col("k").cast("string"))).otherwise(F.col("session_id"))).withColumn("sidechain", F.col("event_id") % 2 == 0)
+    n = lambda which: filters.rail(t, which).agg(F.count("*").alias(which))
+    return n("main").crossJoin(n("subagent"))  # one row each
+
+
+@_query(""", f as (select source, case event_id % 4 when 0 then 'cost-only' when 1 then 'partial' when 2 then 'full' end fidelity from turns) select source, count(*) turns, string_agg(distinct fidelity, ',' order by fidelity) classes from f where fidelity in ('cost-only', 'partial') group by 1""")
+def excluded_turns(spark, d):
+    m = F.col("event_id") % 4
+    t = turns(spark, d).withColumn("fidelity", F.when(m == 0, "cost-only").when(m == 1, "partial").when(m == 2, "full"))
+    return filters.excluded(t, "usage-only")
+
+
+@_query("""select m.model, count(t.model) turns from (values ('gpt-5.5'), ('absent-model')) m(model) left join turns t using (model) group by 1""")
+def requested_models(spark, d):
+    return filters.models(turns(spark, d), ["gpt-5.5", "absent-model"])
+
+
+@_query("""select case event_type when 'view' then 'Read' when 'error' then 'error' else event_type end tool, case event_type when 'error' then 'errored' else 'unknown' end status, count(*) n from events group by 1, 2""")
+def tool_aliases(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.groupBy(text.tool_name(F.col("event_type")).alias("tool"), text.status(F.col("event_type")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@_query(f"""select conv_id, turn, case {" ".join(f"when regexp_matches(lower(text), '{p}') then '{n}'" for n, p in activity.REQUESTS)} else 'conversation' end activity from conversations""")
+def request_activities(spark, d):
+    none = F.array().cast("array<struct<name: string, target: string, command: string>>")
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    return c.select("conv_id", "turn", activity.activity(none, F.col("text")).alias("activity"))
+
+
+@_query(""", c as (select user_id % 7 project, case event_id % 3 when 0 then concat('git@GitHub.com:org/p', cast(user_id % 7 as varchar), '.git') when 1 then concat('https://github.com/org/p', cast(user_id % 7 as varchar)) else concat('ssh://git@github.com/org/p', cast(user_id % 7 as varchar), '.git/') end url from events)
+  select concat('github.com/org/p', cast(project as varchar)) project_key, count(*) n from c group by 1""")
+def project_keys(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    name = F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string"))
+    m = F.col("event_id") % 3
+    url = F.when(m == 0, F.concat(F.lit("git@GitHub.com:org/"), name, F.lit(".git"))).when(m == 1, F.concat(F.lit("https://github.com/org/"), name)).otherwise(F.concat(F.lit("ssh://git@github.com/org/"), name, F.lit(".git/")))
+    return e.groupBy(text.git_project_key(url).alias("project_key")).agg(F.count("*").alias("n"))
+
+
+@_query("""select count(*) filter (conv_id % 3 != 0) "rows", cast(coalesce(sum(strlen(text)) filter (conv_id % 3 != 0), 0) as bigint) bytes from conversations""")
+def content_prune(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet").withColumn("created_at", F.when(F.col("conv_id") % 3 == 0, F.lit("2024-06-01")).otherwise("2023-01-01").cast("timestamp"))
+    return files.prune(c, datetime(2024, 1, 1))[1]
+
+
+@_query()
+def command_verbs(spark, d):
+    commands = F.get(F.array(*[F.lit(x) for x in ("cd /x && git push", "sudo npm run build", "cat a.txt", "bash -lc 'pytest -q'")]), (F.col("k") % 4).cast("int"))
+    t = shell.with_verbs(priced_turns(spark, d).withColumn("command", commands))
+    return _rounded(rollups.top_examples(t.withColumn("normalized", F.col("verb.normalized")), "normalized", "command"), "cost")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
