@@ -77,6 +77,7 @@ class ByteBpe:
         self.sizes = [len(t) for t in self.bytes_of]
         #: for each token the longest token that it properly begins with, or -1
         self.shorter = [next((ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ranks), -1) for t in self.bytes_of]
+        self.flat: tuple[np.ndarray, ...] | None = None
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.fits_memo: dict[int, bool] = {}
@@ -207,11 +208,21 @@ class ByteBpe:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.cache.fill(self.units(text), self._encode_units)), np.int32)
 
-    def decode(self, ids) -> bytes:
-        table = self.bytes_of
-        if len(ids) and (min(ids) < 0 or max(ids) >= len(table)):
+    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids one after the other, and how many each has."""
+        if self.flat is None:
+            sizes = np.array(self.sizes, np.int64)
+            self.flat = (np.frombuffer(b"".join(self.bytes_of), np.uint8), sizes, np.cumsum(sizes) - sizes)
+        table, sizes, starts = self.flat
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes)):
             raise ValueError("id outside the vocabulary")
-        return b"".join([table[i] for i in ids])
+        own = sizes[ids]
+        ends = np.cumsum(own)
+        total = int(ends[-1]) if len(ids) else 0
+        return table[np.arange(total) + np.repeat(starts[ids] - ends + own, own)], own
+
+    def decode(self, ids) -> bytes:
+        return self.decode_flat(np.asarray(ids, np.int64))[0].tobytes()
 
 
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
@@ -242,8 +253,10 @@ def decode_documents(df: DataFrame, path: str, pattern: str, ids_col: str = "ids
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
         bpe = _tokenizer(path, pattern)
         lists = part.column(part.schema.get_field_index(ids_col))
-        flat, offs = lists.flatten().to_pylist(), np.zeros(len(lists) + 1, np.int64)
-        np.cumsum(np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64), out=offs[1:])
-        return [pa.array([bpe.decode(flat[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())]
+        raw, sizes = bpe.decode_flat(lists.flatten().to_numpy(zero_copy_only=False))
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        rows = np.concatenate(([0], np.cumsum(np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64))))
+        offs = ends[rows].astype(np.int32)  # a part holds a few MB of text, or one text
+        return [pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(raw.tobytes())])]
 
     return annotate(df, compute, [T.StructField(bytes_col, T.BinaryType())], text_col)
