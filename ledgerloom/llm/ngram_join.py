@@ -9,7 +9,8 @@ A document is its set of distinct word shingles; two documents link at Jaccard s
 2. The rest are collapsed to distinct sets and ordered globally by (frequency, hash), rare first. By the prefix
    principle linked sets share a shingle within their prefixes.
 3. Near copies by the thousand are first joined to a few centres: sets with an equal minimum hash are verified against
-   the smallest of them. This only saves pairs later: sets already connected need no more comparing.
+   one of them, another one for every hash and round. This only saves pairs later: sets already connected need no more
+   comparing.
 4. Grouped prefix join: sets of one component with identical prefix and size are one group. Groups that share a
    prefix shingle and pass the length and position filters, and are of different components, are candidate group
    pairs; these are expanded to members and verified exactly.
@@ -39,7 +40,7 @@ SHINGLE = 5
 LOW_BITS = 40
 #: Shingles that a map task gathers before it sends them off, documents likewise, and bytes of text behind a bucket.
 FLUSH_ENTRIES, FLUSH_DOCS, BUCKET_TEXT = 3_000_000, 50_000, 8 << 20
-CENTRES = 4
+CENTRES, ROUNDS = 3, 3
 _LOW = np.uint64((1 << LOW_BITS) - 1)
 
 
@@ -332,17 +333,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sets = documents.where("tokens is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("frequencies").alias("frequencies"))
     sets = written(sets, folder, "sets")
-    keys = sets.select("sig", "tokens").mapInArrow(_centre_keys, "key long, sig binary")
-    centres = keys.groupBy("key").agg(F.min("sig").alias("a"), F.count("*").alias("k")).where("k > 1").select("key", "a")
-    spokes = keys.join(centres, "key").where("sig != a").select("a", F.col("sig").alias("b")).distinct()
-    links = written(_verified(spokes, sets), folder, "links-to-centres")
-    roots = written(connected_components(links, f"{folder}/centres"), folder, "roots")
+    keys = written(sets.select("sig", "tokens").mapInArrow(_centre_keys, "key long, sig binary"), folder, "keys")
+    roots, links = sets.select(F.col("sig").alias("node"), F.col("sig").alias("root")), None
+    for k in range(ROUNDS):
+        named = keys.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("root")) if k else keys.select("key", "sig", F.col("sig").alias("root"))
+        centres = named.groupBy("key").agg(F.min_by(F.struct("sig", "root"), F.xxhash64("sig", "key", F.lit(k))).alias("c"), (F.min("root") != F.max("root")).alias("apart")).where("apart").select("key", "c.sig", "c.root")
+        spokes = named.join(centres.toDF("key", "centre", "centre_root"), "key").where("root != centre_root")
+        spokes = spokes.select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b")).distinct()
+        spokes = written(spokes, folder, f"spokes-{k}")
+        if spokes.isEmpty():
+            break
+        found = written(_verified(spokes, sets), folder, f"links-to-centres-{k}")
+        links = found if links is None else links.union(found)
+        roots = written(connected_components(links, f"{folder}/centres-{k}"), folder, f"roots-{k}")
 
     rooted = sets.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "n", "tokens", "frequencies")
     members = written(rooted.mapInArrow(_prefixes, "sig binary, grp binary, root binary, n long, lone long, prefix binary"), folder, "members")
     groups = members.groupBy("grp").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("lone").alias("lone"), F.first("prefix").alias("prefix"))
     postings = groups.mapInArrow(_explode_prefixes, "token long, grp binary, root binary, n long, place long")
-    spread = postings.withColumn("bucket", F.pmod(F.col("token"), F.lit(4 * buckets)))
+    spread = postings.withColumn("bucket", F.pmod(F.col("token"), F.lit(max(8, buckets // 4))))
     group_pairs = written(spread.groupBy("bucket").applyInArrow(_bucket_pairs, "ga binary, gb binary").distinct(), folder, "group-pairs")
     more = group_pairs.join(members.select(F.col("grp").alias("ga"), F.col("sig").alias("x")), "ga").join(members.select(F.col("grp").alias("gb"), F.col("sig").alias("y")), "gb")
     pairs = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
