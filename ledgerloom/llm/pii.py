@@ -3,7 +3,8 @@
 Plain identifiers are found on the text itself. For disguised ones a chain of transducers rewrites the text, each
 keeping for every character the stretch of source it came from: look-alike characters and invisible ones, then
 spelled digits, then at/dot disguises. The same detectors run on the rewritten text; a finding whose source
-holds a rewrite and that meets no plain finding of its kind is added, at its source position.
+holds a rewrite and that no plain finding of its kind covers is added, at its source position; a plain finding that is
+only a fragment of it stays beside it.
 
 Results for special input: a null or empty text has no span; spans are code points, end exclusive; texts
 without a trigger of any transducer skip the rewriting, which would be the identity.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -226,9 +227,9 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
         while i < len(changed) and changed[i][0] < b:
             hit = hit or changed[i][1] > a
             i += 1
-        j = bisect_left(taken[kind], (a, a))
-        near = taken[kind][max(0, j - 1) : j + 1]
-        if hit and not any(x < b and y > a for x, y in near):
+        # plain spans of a kind are disjoint: only the last that starts up to here can cover this one
+        j = bisect_right(taken[kind], a, key=lambda s: s[0])
+        if hit and not (j and taken[kind][j - 1][1] >= b):
             more.append((kind, a, b))
     spans = sorted({*plain, *more}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
     return plain, spans

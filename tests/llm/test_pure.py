@@ -75,6 +75,20 @@ def test_disguises_map_back_to_the_source(text, found):
     assert all(f not in pii.redact(text, spans) for f in found)
 
 
+@pytest.mark.parametrize(
+    ("text", "base", "whole"),
+    [
+        ("to j\u043ehn@example.com now", "hn@example.com", "j\u043ehn@example.com"), ("john@example.c\u043em", "john@example.c", "john@example.c\u043em"),
+        ("+49 170 555 one two three four", "+49 170 555", "+49 170 555 one two three four"),
+    ],
+)
+def test_a_fragment_does_not_hide_the_whole_identifier(text, base, whole):
+    plain, spans = pii.find(text)
+    assert [text[a:b] for _, a, b in plain] == [base] and plain[0] in spans
+    assert sorted(text[a:b] for _, a, b in spans) == sorted([base, whole])
+    assert whole[:3] not in pii.redact(text, spans) and whole[-3:] not in pii.redact(text, spans)
+
+
 def test_chat_template_is_reversible():
     marks = ["<", "<<", ">", ">>", "\\", "s>", "/s>", "[", "]", "[INST]", "[/INST]", "</s>", "<s>", " ", "\n", "a", "<</>>", "INST]", "/"]
     r = random.Random(5)
