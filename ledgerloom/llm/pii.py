@@ -65,7 +65,9 @@ _SEPARATED = rf"(?:[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}|[ \t]{{0,3}}\.[ \t]{{0,3}}
 _PLAIN_DOT = rf"[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}"
 _PLAIN_AT = re.compile(rf"(?:[ \t]{{1,3}}(?:{_AT})[ \t]{{1,3}}|[ \t]{{0,3}}@[ \t]{{0,3}})(?={_ATOM}(?:{_PLAIN_DOT}|\.{_ATOM}{_PLAIN_DOT}))", re.I)
 _DOT_AFTER = re.compile(rf"(?:{_PLAIN_DOT})(?={_ATOM})", re.I)
-_LOCAL_DOT = re.compile(rf"{_PLAIN_DOT}(?={_ATOM}@)", re.I)
+_ATOM_RUN = re.compile(_ATOM)
+#: A spelled dot in reversed text, for the walk to the left.
+_DOT_BEFORE = re.compile(rf"[ \t]{{1,3}}(?:{'|'.join(w[::-1] for w in DOT_WORDS)})[ \t]{{1,3}}(?=[A-Za-z0-9_%+-])", re.I)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}(?=[0-9])", re.I)
 
 
@@ -169,12 +171,12 @@ def _join_addresses(r: Rewritten) -> None:
     r.apply([(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(r.text)])
     r.apply([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(r.text)])
     r.apply([(m.start(), m.end(), "@") for m in _PLAIN_AT.finditer(r.text)])
-    # spelled dots of the domain, and of the local part, around each sign
+    # spelled dots of the domain, right of each sign
     edits: dict[int, tuple[int, int, str]] = {}
     at = r.text.find("@")
     while at >= 0:
         pos = at + 1
-        while m := re.compile(_ATOM).match(r.text, pos):
+        while m := _ATOM_RUN.match(r.text, pos):
             pos = m.end()
             if d := _DOT_AFTER.match(r.text, pos):
                 edits[d.start()] = (d.start(), d.end(), ".")
@@ -185,11 +187,22 @@ def _join_addresses(r: Rewritten) -> None:
                 break
         at = r.text.find("@", at + 1)
     r.apply([edits[k] for k in sorted(edits)])
-    for _ in range(4):  # local parts of up to five spelled pieces
-        found = [(m.start(), m.end(), ".") for m in _LOCAL_DOT.finditer(r.text)]
-        if not found:
-            break
-        r.apply(found)
+    # spelled dots of the local part, left of each sign; a sign ends the walk, so all walks together are linear
+    found, last, at = [], 0, r.text.find("@")
+    while at >= 0:
+        back, pos, own = r.text[last:at][::-1], 0, []
+        while m := _ATOM_RUN.match(back, pos):
+            pos = m.end()
+            if d := _DOT_BEFORE.match(back, pos):
+                own.append((at - d.end(), at - d.start(), "."))
+                pos = d.end()
+            elif back.startswith(".", pos):
+                pos += 1
+            else:
+                break
+        found += reversed(own)
+        last, at = at + 1, r.text.find("@", at + 1)
+    r.apply(found)
 
 
 def _triggers(text: str) -> tuple[bool, bool, bool]:

@@ -89,6 +89,24 @@ def test_a_fragment_does_not_hide_the_whole_identifier(text, base, whole):
     assert whole[:3] not in pii.redact(text, spans) and whole[-3:] not in pii.redact(text, spans)
 
 
+@pytest.mark.parametrize(
+    "address",
+    [
+        "john dot doe at example dot com", "john dot q dot doe at example dot com", "john dot q.doe at example dot com", "john.q dot doe@example.com", "a dot b dot c dot d dot e dot f dot g at example dot com",
+        "a dot b.c dot d.e dot f punkt g [at] example [dot] com",
+    ],
+)
+def test_spelled_dots_of_local_parts(address):
+    text = f"mail: {address}, thanks"
+    _, spans = pii.find(text)
+    assert address in [text[a:b] for _, a, b in spans] and pii.redact(text, spans) == "mail: [EMAIL], thanks"
+
+
+def test_walks_from_signs_are_linear():
+    text = "a dot " * 30000 + "b@c.de " + "x@" * 30000
+    assert pii.find(text)[1][0] == ("email", 0, 6 * 30000 + 6)
+
+
 def test_chat_template_is_reversible():
     marks = ["<", "<<", ">", ">>", "\\", "s>", "/s>", "[", "]", "[INST]", "[/INST]", "</s>", "<s>", " ", "\n", "a", "<</>>", "INST]", "/"]
     r = random.Random(5)
