@@ -4,7 +4,13 @@ Plain identifiers are found on the text itself. For disguised ones a chain of tr
 keeping for every character the stretch of source it came from: look-alike characters and invisible ones, then
 spelled digits, then at/dot disguises. The same detectors run on the rewritten text; a finding whose source
 holds a rewrite and that no plain finding of its kind covers is added, at its source position; a plain finding that is
-only a fragment of it stays beside it.
+only a fragment of it stays beside it. Shorter runs of spelled digits are read apart, with the dots, plus signs and digit groups
+around them, and count only where a detector verifies an ip, card or phone in the run; one digit word after an identifier
+that is whole without it ('+1 848 555 1373 un an') isn't part of it.
+
+Not seen as a disguise: a spelled at between a plain word and a real domain ('john at example.com'), which ordinary prose
+has too ('look at example.com'). With a local part that no word is (a dot, digit, underscore, percent or plus sign in it), or
+with a set-off sign ('john @ example.com'), it is seen.
 
 Results for special input: a null or empty text has no span; spans are code points, end exclusive; texts
 without a trigger of any transducer skip the rewriting, which would be the identity.
@@ -14,7 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +55,7 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 AT_WORDS, DOT_WORDS, PLUS_WORDS = ("at", "arobase", "arroba", "klammeraffe"), ("dot", "punkt", "point", "punto"), ("plus", "más")
-#: Spelled digits count as a number from so many in a row.
+#: Spelled digits count as a number by themselves from so many in a row; others only where a detector verifies their run.
 SPELLED_LEAST = 4
 
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -68,6 +74,19 @@ _DOT_AFTER = re.compile(rf"(?:{_PLAIN_DOT})(?={_ATOM})", re.I)
 _ATOM_RUN = re.compile(_ATOM)
 #: A spelled dot in reversed text, for the walk to the left.
 _DOT_BEFORE = re.compile(rf"[ \t]{{1,3}}(?:{'|'.join(w[::-1] for w in DOT_WORDS)})[ \t]{{1,3}}(?=[A-Za-z0-9_%+-])", re.I)
+# an at before a real domain: set-off signs, and words after a local part that is no plain word
+_REAL = r"(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2})"
+_SET_OFF = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:[ \t]{{1,3}}@[ \t]{{0,3}}|@[ \t]{{1,3}}){_REAL}")
+_REAL_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])({_ATOM}{_PLAIN_DOT})?([A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])([ \t]{{1,3}}(?:{_AT})[ \t]{{1,3}}){_REAL}", re.I)
+_NO_WORD = re.compile(r"(?=.*[A-Za-z])[^.]*(?:[0-9_%+]|[^.]\.[^.])")
+# runs of digit words and digit groups with gaps and dots, for the detectors of ip, card and phone
+_RUN_GAP = r"[ \t,()-]{1,3}"
+_RUN_ITEM = rf"(?:(?:{_WORD})(?![^\W_])|[0-9]+(?![^\W_]))"
+_RUN_DOT = rf"(?:[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}|\.)"
+_RUN = re.compile(rf"(?:\+[ (]{{0,2}}|(?<![^\W_])(?:(?:{'|'.join(PLUS_WORDS)}){_RUN_GAP})?){_RUN_ITEM}(?:(?:{_RUN_DOT}|{_RUN_GAP}){_RUN_ITEM})*", re.I)
+_RUN_TOKEN = re.compile(rf"(?P<sign>\+|(?:{'|'.join(PLUS_WORDS)})(?![^\W_]))|(?P<word>{_WORD})|(?P<group>[0-9]+)|(?P<dot>{_DOT}|\.)", re.I)
+_TOKEN = re.compile(r"\w+")
+_DIGIT_WORDS, _RUN_WORDS = frozenset(DIGIT_WORDS), frozenset((*DOT_WORDS, *PLUS_WORDS))
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}(?=[0-9])", re.I)
 
 
@@ -167,10 +186,48 @@ def _read_digits(r: Rewritten) -> None:
     r.apply([e for e in edits if r.text[e[0] : e[1]] != e[2]])
 
 
+def _numbers(r: Rewritten) -> list[tuple[str, int, int]]:
+    """Findings, at their source, of the detectors in runs with digit words of any number; each finding holds one."""
+    out = []
+    for run in _RUN.finditer(r.text):
+        # what is read of the run; for each of its characters the stretch of the run, and whether it was a word
+        read, begin, end, spoken, kind, at = [], [], [], [], None, 0
+        for t in _RUN_TOKEN.finditer(run[0]):
+            word, new = t[0].lower(), t.lastgroup
+            gap = run[0][at : t.start()]
+            # a gap stays between two groups of digits only; beside words it goes
+            pieces = [(gap, at, False)] if gap and kind == new == "group" else []
+            pieces.append({"sign": ("+", t.start(), word != "+"), "word": (DIGIT_WORDS.get(word), t.start(), True), "group": (word, t.start(), False), "dot": (".", t.start(), word != ".")}[new])
+            for text, a, said in pieces:
+                whole = said or text in "+."
+                read.append(text)
+                begin += [a] * len(text) if whole else range(a, a + len(text))
+                end += [t.end()] * len(text) if whole else range(a + 1, a + len(text) + 1)
+                spoken += [said] * len(text)
+            kind, at = new, t.end()
+        if not any(spoken):
+            continue
+        number = "".join(read)
+        for kind, a, b in detect(number):
+            # one digit word after what is whole without it is the next word of the sentence
+            lone = sum(spoken[a:b]) == 1 and spoken[b - 1] and any(k == kind and x == a for k, x, _ in detect(number[: b - 1]))
+            if any(spoken[a:b]) and not lone:
+                out.append((kind, *r.source(run.start() + begin[a], run.start() + end[b - 1])))
+    return out
+
+
+def _real_ats(text: str) -> list[tuple[int, int, str]]:
+    """Edits of the disguised signs between a local part and a real domain."""
+    edits = [(m.start(), m.end(), "@") for m in _SET_OFF.finditer(text)]
+    edits += [(m.start(3), m.end(3), "@") for m in _REAL_AT.finditer(text) if m[1] or _NO_WORD.match(m[2])]
+    return sorted(edits)
+
+
 def _join_addresses(r: Rewritten) -> None:
     r.apply([(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(r.text)])
     r.apply([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(r.text)])
     r.apply([(m.start(), m.end(), "@") for m in _PLAIN_AT.finditer(r.text)])
+    r.apply(_real_ats(r.text))
     # spelled dots of the domain, right of each sign
     edits: dict[int, tuple[int, int, str]] = {}
     at = r.text.find("@")
@@ -205,47 +262,60 @@ def _join_addresses(r: Rewritten) -> None:
     r.apply(found)
 
 
-def _triggers(text: str) -> tuple[bool, bool, bool]:
+def _triggers(text: str) -> tuple[bool, bool, bool, bool]:
     fold = not text.isascii() and (_FOLDABLE.search(text) is not None or any(m[0] in FOLDED for m in _ASTRAL.finditer(text)))
     low = text.lower()
     # a number of SPELLED_LEAST items shows as one item less in a row here, as its last may have a mark attached
     items = bytes(map(_ITEMS.__contains__, low.replace("-", " ").replace(",", " ").split()))
-    spoken = any(w in low for w in DOT_WORDS) or _BRACKETED.search(text) is not None
-    return fold, b"\1" * (SPELLED_LEAST - 1) in items, spoken
+    spoken = any(w in low for w in DOT_WORDS) or _BRACKETED.search(text) is not None or bool(_real_ats(text))
+    # an identifier with a digit word has it beside another item, a dot or a plus
+    words = _TOKEN.findall(low.replace("_", " ").replace("+", " plus "))
+    said = bytes(map(_DIGIT_WORDS.__contains__, words))
+    read = b"\1" in said
+    if read:
+        beside = bytes(w in _DIGIT_WORDS or w in _RUN_WORDS or w.isdigit() for w in words)
+        read = any(said[i] and b"\1" in beside[max(0, i - 1) : i] + beside[i + 1 : i + 2] for i in range(len(words)))
+    return fold, b"\1" * (SPELLED_LEAST - 1) in items, spoken, read
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(plain spans, all spans), each by kind and start."""
     plain = detect(text)
-    fold, spelled, spoken = _triggers(text)
-    if not (fold or spelled or spoken):
+    fold, spelled, spoken, read = _triggers(text)
+    if not (fold or spelled or spoken or read):
         return plain, plain
     r = Rewritten(text)
     if fold:
         _fold_characters(r)
+    told = _numbers(r) if read or fold else []
     if spelled or fold:
         _read_digits(r)
     if spoken or fold:
         _join_addresses(r)
-    if not r.changed:
+    if not (r.changed or told):
         return plain, plain
-    changed = sorted(set(r.changed))
-    starts, most = [a for a, _ in changed], max(b - a for a, b in changed)
-    taken = {k: [(a, b) for kind, a, b in plain if kind == k] for k in KINDS}
-    more = []
-    for kind, a, b in detect(r.text):
-        a, b = r.source(a, b)
-        i = bisect_left(starts, a - most)
-        hit = False
-        while i < len(changed) and changed[i][0] < b:
-            hit = hit or changed[i][1] > a
-            i += 1
-        # plain spans of a kind are disjoint: only the last that starts up to here can cover this one
-        j = bisect_right(taken[kind], a, key=lambda s: s[0])
-        if hit and not (j and taken[kind][j - 1][1] >= b):
-            more.append((kind, a, b))
-    spans = sorted({*plain, *more}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
-    return plain, spans
+    if r.changed:
+        changed = sorted(set(r.changed))
+        starts, most = [a for a, _ in changed], max(b - a for a, b in changed)
+        for kind, a, b in detect(r.text):
+            a, b = r.source(a, b)
+            i = bisect_left(starts, a - most)
+            hit = False
+            while i < len(changed) and changed[i][0] < b:
+                hit = hit or changed[i][1] > a
+                i += 1
+            if hit:
+                told.append((kind, a, b))
+    # a plain span counts in any case, another one where none before it covers it
+    spans = set(plain)
+    for kind in KINDS:
+        reach = 0
+        for own, a, b in sorted({*plain, *told}, key=lambda s: (s[1], -s[2])):
+            if own == kind:
+                if b > reach:
+                    spans.add((kind, a, b))
+                reach = max(reach, b)
+    return plain, sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -102,6 +102,31 @@ def test_spelled_dots_of_local_parts(address):
     assert address in [text[a:b] for _, a, b in spans] and pii.redact(text, spans) == "mail: [EMAIL], thanks"
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("host one nine two dot one six eight dot one dot two.", "ip", "one nine two dot one six eight dot one dot two"), ("10.zwei.0.seven", "ip", "10.zwei.0.seven"), ("at 192 dot one six eight dot 1 dot zwei", "ip", "192 dot one six eight dot 1 dot zwei"),
+        ("call +49 one seven zero 555 1234", "phone", "+49 one seven zero 555 1234"), ("plus 49 (170) 555 one 2 3 4", "phone", "plus 49 (170) 555 one 2 3 4"), ("+49 170 51 three", "phone", "+49 170 51 three"),
+        ("4111 one one one one 1111-1111", "card", "4111 one one one one 1111-1111"), ("4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+        ("ask john.doe at example.com", "email", "john.doe at example.com"), ("john @ example.com", "email", "john @ example.com"), ("j_doe at mail.example.com", "email", "j_doe at mail.example.com"), ("john dot doe at example.com", "email", "john dot doe at example.com"),
+    ],
+)
+def test_short_spelled_groups_and_real_domains(text, kind, found):
+    _, spans = pii.find(text)
+    assert [text[a:b] for k, a, b in spans if k == kind] == [found]
+    assert found[:6] not in pii.redact(text, spans) and found[-4:] not in pii.redact(text, spans)
+
+
+@pytest.mark.parametrize("text", ["one of the two, three or four", "one. two. three. four.", "look at example.com", "2 at 3.50 @ 4.20", "version two point five", "one, two, 3, four or five at no. 6", "un deux trois", "since 2019 at example.com"])
+def test_ordinary_numbers_and_places_stay(text):
+    assert pii.find(text) == ([], [])
+
+
+def test_a_word_after_a_whole_phone_stays():
+    text = "+1 (848) 555-1373 Un an"
+    assert pii.find(text) == (pii.detect(text), pii.detect(text))
+
+
 def test_walks_from_signs_are_linear():
     text = "a dot " * 30000 + "b@c.de " + "x@" * 30000
     assert pii.find(text)[1][0] == ("email", 0, 6 * 30000 + 6)
