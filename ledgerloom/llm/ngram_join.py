@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,16 +96,18 @@ _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("low"
 
 
 def _send_shingles(buckets: int):
-    """Map side of step 1. A chunk is named by its content, so a repeated attempt gives it the same name."""
+    """Map side of step 1. A chunk is named by its content and its place in the input (partition, and number in it):
+    a repeated attempt gives it the same name, and equal rows elsewhere give another one."""
     bits = buckets.bit_length() - 1
 
-    def flush(held):
+    def flush(held, place):
         ids = np.concatenate([h[0] for h in held])
         null = np.concatenate([h[1] for h in held])
         sizes, tokens = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
         sigs = signatures(tokens, sizes)
         with np.errstate(over="ignore"):
-            chunk = int(mix((sigs[:, 0] ^ mix(ids.view(np.uint64))) * np.arange(1, 2 * len(ids), 2, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
+            content = mix((sigs[:, 0] ^ mix(ids.view(np.uint64))) * np.arange(1, 2 * len(ids), 2, dtype=np.uint64)).sum(dtype=np.uint64)
+            chunk = int(mix(np.array([content]) ^ mix(np.array([place], np.uint64)))[0].view(np.int64))
         table = np.concatenate([ids.view(np.uint64)[:, None], sigs, sizes.astype(np.uint64)[:, None], null.astype(np.uint64)[:, None]], axis=1)
         rows = [(buckets + chunk % 64, chunk, b"", b"", table.tobytes())]
         bucket = (tokens >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
@@ -128,7 +131,7 @@ def _send_shingles(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKED_ARROW.types, strict=True)], schema=_PACKED_ARROW)
 
     def run(batches):
-        held, entries, docs = [], 0, 0
+        held, entries, docs, place = [], 0, 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 column = part.column(0)
@@ -136,10 +139,10 @@ def _send_shingles(buckets: int):
                 held.append((np.array(column.fill_null(0), np.int64), np.array(column.is_null(), bool), sizes, tokens))
                 entries, docs = entries + len(tokens), docs + len(sizes)
                 if entries >= FLUSH_ENTRIES or docs >= FLUSH_DOCS:
-                    yield from (batch_of(r) for r in flush(held) if r)
-                    held, entries, docs = [], 0, 0
+                    yield from (batch_of(r) for r in flush(held, place) if r)
+                    held, entries, docs, place = [], 0, 0, place + 1
         if held:
-            yield from (batch_of(r) for r in flush(held) if r)
+            yield from (batch_of(r) for r in flush(held, place) if r)
 
     return run
 

@@ -61,6 +61,16 @@ def test_near_duplicates_of_one_family(spark):
     assert got == brute.components(rows)
 
 
+def test_equal_rows_in_two_partitions(spark):
+    """As of a file that is there twice: each row is told, and no shingle counts twice."""
+    words = [f"v{i}" for i in range(64)]
+    rows = [(1, " ".join(words[:40])), (2, " ".join(words[:28] + words[50:62])), (3, " ".join(words[:39])), (4, "one two three")]
+    want, twice = brute.components(rows), spark.sparkContext.parallelize(rows + rows, 2)
+    assert want[2][1] == 2 and want[3][1] == 1
+    got = ngram_join.near_duplicates(spark.createDataFrame(twice, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((i, *v) for i, v in want.items() for _ in range(2))
+
+
 def test_components(spark, tmp_path):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (5, 5), (3, 4)], "a long, b long")
     assert dict(map(tuple, components.connected_components(edges, str(tmp_path)).collect())) == {1: 1, 2: 1, 3: 1, 4: 1, 6: 6, 7: 6, 8: 6, 9: 6}
