@@ -12,8 +12,10 @@ have it), one that no item has counts as had by one.
 
 RADIUS is wide: at the threshold similarity the expected distance is about 11 bits with a deviation of 3.
 
-The benchmark is broadcast in blocks of at most ITEM_BLOCK items and their postings; with more items the documents are
-read once a block.
+The benchmark is broadcast in blocks of about ITEM_BLOCK items and their postings; with more items the documents are
+read once a block. Item count and shingle frequencies are those of the whole benchmark in every block, so blocks don't
+change results: each block has the weights of its own items' shingles, and of those of other items that occur in more
+than one item (a shingle of one item weighs the same as one of none).
 
 Results for special input: null, empty or blank texts and items match nothing; a document shorter than an item is one
 window; an item of fewer than 5 words is one shingle, found wherever its words stand in a row; equal rows report
@@ -46,23 +48,53 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return ((sums > 0).astype(np.uint64) * _BIT).sum(axis=1, dtype=np.uint64)
 
 
+def _item_shingles(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    return [window_hashes(words[a:b], min(SHINGLE, b - a)) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def _distinct_shingles(batches):
+    """Item texts to one row for each that has words (null), and one for each of its distinct shingles."""
+    for batch in batches:
+        words, first = word_hashes(*text_buffers(batch.column(0)), fold=True)
+        first = np.concatenate([first[:1], first[1:][np.diff(first) > 0]])
+        for own in _item_shingles(words, first):
+            told = np.unique(own).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *told.tolist()], pa.int64())], names=["shingle"])
+
+
+def shared_shingles(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of all items: how many have words, the shingles that more than one has (ascending), and how many have each."""
+    told = items.select("t").mapInArrow(_distinct_shingles, "shingle long").groupBy("shingle").count()
+    table = told.where("shingle is null or count > 1").toArrow()
+    shingle, count = table.column(0).combine_chunks(), np.array(table.column(1), np.int64)
+    none = np.array(shingle.is_null(), bool)
+    known = np.array(shingle.fill_null(0), np.int64).view(np.uint64)[~none]
+    order = np.argsort(known)
+    return int(count[none].sum()), known[order], count[~none][order]
+
+
 class BenchmarkIndex:
-    """Items of one block of the benchmark, their shingles and the multi-index of their fingerprints."""
+    """Items of one block of the benchmark, their shingles and the multi-index of their fingerprints.
+
+    ``shared`` is what shared_shingles tells of the whole benchmark; without it the block is the whole.
+    """
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], shared: tuple[int, np.ndarray, np.ndarray] | None = None):
         kept = [(i, (t or "").encode()) for i, t in items if (t or "").encode().split()]
         self.ids = [i for i, _ in kept]
         offs = np.zeros(len(kept) + 1, np.int64)
         np.cumsum([len(t) for _, t in kept], out=offs[1:])
         words, first = word_hashes(np.frombuffer(b"".join(t for _, t in kept), np.uint8), offs, fold=True)
         self.size = np.diff(first)
-        self.own = [window_hashes(words[a:b], min(SHINGLE, b - a)) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        self.own = _item_shingles(words, first)
         flat = np.concatenate([np.unique(s) for s in self.own]) if kept else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(kept)), [len(np.unique(s)) for s in self.own])
         order = np.argsort(flat, kind="stable")
         self.known, self.begin, counts = np.unique(flat[order], return_index=True, return_counts=True)
         self.owner, self.end = owner[order], self.begin + counts
-        self.weights, self.most = np.log1p(len(kept) / np.maximum(counts, 1)), float(np.log1p(len(kept)))
+        # weights by shingle of those that more than one item has; all others have the most
+        every, self.common, had = shared or (len(kept), self.known[counts > 1], counts[counts > 1])
+        self.weights, self.most = np.log1p(every / had), float(np.log1p(every))
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.known >> np.uint64(64 - _FILTER_BITS)] = True
         self.counts = [dict(zip(*(x.tolist() for x in np.unique(s, return_counts=True)), strict=True)) for s in self.own]
@@ -77,8 +109,10 @@ class BenchmarkIndex:
         self.short = {int(n): {int(self.own[i][0]): i for i in reversed(np.flatnonzero(self.size == n).tolist())} for n in range(1, SHINGLE) if (self.size == n).any()}
 
     def weigh(self, shingles: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, shingles), max(0, len(self.known) - 1))
-        return np.where(self.known[at] == shingles, self.weights[at], self.most) if len(self.known) else np.full(len(shingles), self.most)
+        if not len(self.common):
+            return np.full(len(shingles), self.most)
+        at = np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)
+        return np.where(self.common[at] == shingles, self.weights[at], self.most)
 
     def weight(self, shingle: int) -> float:
         return float(self.weigh(np.array([shingle], np.uint64))[0])
@@ -175,10 +209,11 @@ def with_matches(df: DataFrame, benchmark: DataFrame, id_col: str = "item_id", i
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t"))
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64()), ("words", pa.int64()), ("distance", pa.int64())]))
+    whole = shared_shingles(items) if blocks > 1 else None
     out, parts = df, []
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        shared = df.sparkSession.sparkContext.broadcast(BenchmarkIndex(sorted(map(tuple, own), key=str)))
+        shared = df.sparkSession.sparkContext.broadcast(BenchmarkIndex(sorted(map(tuple, own), key=str), whole))
         name = f"{matches_col}_{b}" if blocks > 1 else matches_col
         parts.append(name)
 

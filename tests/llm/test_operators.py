@@ -220,6 +220,19 @@ def test_items_in_blocks(spark, awkward, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(awkward, bench).collect()} == whole
 
 
+def test_blocks_do_not_change_similarities(spark, monkeypatch):
+    """Items with shingles in common: weights are those of the whole benchmark, whichever block an item is in."""
+    common = [f"c{i}" for i in range(12)]
+    own = [[f"i{k}_{i}" for i in range(24)] for k in range(6)]
+    items = [(k, " ".join(common + w)) for k, w in enumerate(own)] + [(7, "one two"), (8, " "), (9, None), (10, " ".join(own[0]))]
+    rows = [(k, " ".join(common + w[:20] + ["x", "y", "z"])) for k, w in enumerate(own)] + [(50, " ".join(["p"] + common + own[1][:22] + ["q", "r"]))]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, decontaminate.matches(df, bench).collect()))
+    assert whole == sorted((d, i, pytest.approx(v[0]), v[1], *w) for (d, i), v in brute.contamination(rows, [x for x in items if x[1]]).items() for w in [next(r[4:] for r in whole if r[:2] == (d, i))])
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 2)
+    assert len(whole) > 5 and sorted(map(tuple, decontaminate.matches(df, bench).collect())) == whole
+
+
 def test_long_text_is_read_whole(spark):
     rows = [(1, LONG + " secret@example.com"), (2, LONG)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
