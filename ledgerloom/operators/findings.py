@@ -1,4 +1,4 @@
-"""All detectors' results as one table of findings (kind, session_id, tokens, usd, severity, detail)."""
+"""Results of six detectors as one table of findings (kind, session_id, tokens, usd, severity, detail)."""
 
 from __future__ import annotations
 
@@ -22,7 +22,12 @@ def finding(rows: DataFrame, kind: str, tokens: Column, usd: Column, detail: Col
 
 
 def detect_all(turns: DataFrame) -> DataFrame:
-    """Every detector over turns with cost columns. A finding in a session with unpriced turns has no known price."""
+    """The detectors that need only turns with cost columns: retry loops, failure runs, edit-heavy sessions, edit clusters,
+    prompt tax and unpriced usage. A finding in a session with unpriced turns has no known price.
+
+    Not among them, though the package has the operators: cancellation runs, compaction losses, edit reverts, search
+    sequences, observed tool-output bloat and ghost surfaces.
+    """
     none, zero = F.lit(0), F.lit(0.0)
     span = lambda d: F.concat_ws("-", "first_turn", "last_turn") if d else None
     unpriced = rollups.unpriced_usage(turns)
