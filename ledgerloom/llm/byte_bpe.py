@@ -7,8 +7,9 @@ neighbouring tokens are incompatible, i.e. while the merge rules would not leave
 Compatibility of a pair is memoised; together with a mark on byte positions known to be dead ends this
 visits each (position, token) once, so time is linear in the length.
 
-Units of text (a blank-led stretch without another blank) recur, so their ids are kept in a
-two-generation table of bounded size; the table only saves time and never alters a result.
+Units of text (a blank-led stretch without another blank) recur, so their ids are kept in a two-generation table
+bounded in bytes, within a text too; the table only saves time and never alters a result. Long texts are cut into
+units a segment at a time, and decoding holds a few hundred thousand ids' places at a time.
 
 Results for special input: a null or empty text has no ids and decodes to the empty byte string;
 ids outside the vocabulary raise ``ValueError``; a null id list decodes like an empty one.
@@ -27,36 +28,82 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.textkit import annotate, strings
 
-#: Entries of each of the two generations of the unit table.
-CACHE_UNITS = 400_000
+#: Bytes of each of the two generations of the unit table, and of the pairs' memo in entries.
+CACHE_BYTES, CACHE_PAIRS = 16 << 20, 150_000
+#: Units that are looked up at a time, characters of text that are cut into units at a time, and ids decoded at a time.
+STEP, SEGMENT, DECODED = 8192, 1 << 17, 1 << 17
+#: What an entry of a table takes besides its characters, about.
+ENTRY_BYTES = 170
 
 
 class GenerationCache:
-    """A map that forgets entries not used for a while: at ``limit`` new ones, the older half goes."""
+    """A map of at most about twice ``limit`` bytes that forgets entries not used for a while: when the younger half is full,
+    the older one goes."""
 
     def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
+        self.limit, self.young, self.old, self.size = limit, {}, {}, 0
+
+    def get(self, key):
+        found = self.young.get(key)
+        return self.old.get(key) if found is None else found
+
+    def add(self, key, value) -> None:
+        """Remember one more; what is too much for the map is not."""
+        own = len(key) + len(value) + ENTRY_BYTES
+        if self.size + own <= 2 * self.limit:
+            self.young[key] = value
+            self.size += own
 
     def fill(self, keys: list, make) -> list:
         """The values of ``keys``; ``make`` gets the distinct absent keys and returns their values."""
-        young, old = self.young, self.old
-        absent = set(keys).difference(young)
+        if len(keys) > STEP:
+            return [v for at in range(0, len(keys), STEP) for v in self.fill(keys[at : at + STEP], make)]
+        absent, fresh = set(keys).difference(self.young), {}
         if absent:
-            make_these = []
-            for k in absent:
-                v = old.get(k)
-                if v is None:
-                    make_these.append(k)
-                else:
-                    young[k] = v
-            if make_these:
-                young.update(zip(make_these, make(make_these), strict=True))
-        found = list(map(young.__getitem__, keys))
-        if len(young) > self.limit:
-            self.young, self.old = {}, young
+            fresh = {k: v for k, v in zip(absent, map(self.old.get, absent), strict=True) if v is not None}
+            absent.difference_update(fresh)
+            fresh.update(zip(absent, make(list(absent)), strict=True))
+        young = self.young
+        found = [fresh[k] if k in fresh else young[k] for k in keys] if fresh else list(map(young.__getitem__, keys))
+        for k, v in fresh.items():
+            self.add(k, v)
+        if self.size > self.limit:
+            self.young, self.old, self.size = {}, young, 0
         return found
 
 
+class Vocabulary:
+    """The bytes of every id: all that decoding needs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            bytes_of[rank] = token
+        self.sizes = np.array([len(t) for t in bytes_of], np.int64)
+        self.table, self.starts = np.frombuffer(b"".join(bytes_of), np.uint8), np.cumsum(self.sizes) - self.sizes
+
+    def lengths(self, ids: np.ndarray) -> np.ndarray:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes)):
+            raise ValueError("id outside the vocabulary")
+        return self.sizes[ids]
+
+    def decode(self, ids) -> bytes:
+        """The bytes of all ids one after the other; the gather's index is built for some ids at a time."""
+        out, ids = [], np.asarray(ids)
+        for at in range(0, len(ids), DECODED):
+            part = ids[at : at + DECODED]
+            own = self.lengths(part)
+            ends = np.cumsum(own)
+            out.append(self.table[np.arange(int(ends[-1])) + np.repeat(self.starts[part] - ends + own, own)].tobytes())
+        return b"".join(out)
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Token bytes to rank, of a file in tiktoken's format."""
+    lines = (line.split() for line in Path(path).read_bytes().splitlines() if line)
+    return {base64.b64decode(token): int(rank) for token, rank in lines}
+
+
 class ByteBpe:
     """Exact encoder and decoder for ranks in tiktoken's file format."""
 
@@ -70,6 +117,7 @@ class ByteBpe:
             self.bytes_of[rank] = token
         self.pattern = regex.compile(pattern)
         self.odd_blank = regex.compile(r" (?:\s|$)")
+        self.lone_blank = regex.compile(r"(?<=\S) (?=\S)")
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token) - 1, rank))
@@ -77,21 +125,15 @@ class ByteBpe:
         self.sizes = [len(t) for t in self.bytes_of]
         #: for each token the longest token that it properly begins with, or -1
         self.shorter = [next((ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ranks), -1) for t in self.bytes_of]
-        self.flat: tuple[np.ndarray, ...] | None = None
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.fits_memo: dict[int, bool] = {}
         self._learn_merges()
-        self.cache = GenerationCache(CACHE_UNITS)
+        self.cache = GenerationCache(CACHE_BYTES)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
-        ranks = {}
-        for line in Path(path).read_bytes().splitlines():
-            if line:
-                token, rank = line.split()
-                ranks[base64.b64decode(token)] = int(rank)
-        return cls(ranks, pattern)
+        return cls(read_ranks(path), pattern)
 
     def _learn_merges(self) -> None:
         """For every token the two tokens whose merge makes it: the one cut that lower merges leave standing."""
@@ -134,24 +176,24 @@ class ByteBpe:
                 bound, left = left, split[1]
 
     def fits(self, left: int, right: int) -> bool:
-        if len(self.fits_memo) > 500_000:
+        if len(self.fits_memo) > CACHE_PAIRS:
             self.fits_memo.clear()
         known = self.fits_memo[left << 32 | right] = self._stand_side_by_side(left, right, len(self.bytes_of))
         return known
 
-    def encode_piece(self, piece: bytes) -> list[int]:
+    def encode_piece(self, piece: bytes) -> array:
         """Ids of one match of the pattern."""
         whole = self.ranks.get(piece)
         if whole is not None:
-            return [whole]
+            return array("i", [whole])
         n = len(piece)
-        longest = [-1] * n
+        longest = array("i", [-1]) * n
         for end, (before, rank) in self.automaton.iter(piece.decode("latin-1")):
             longest[end - before] = rank  # matches come by rising end: the last one of a start is its longest
         sizes, shorter, memo = self.sizes, self.shorter, self.fits_memo
         # dead marks the positions from which no path leads on
         dead = bytearray(n + 1)
-        path: list[int] = []
+        path = array("i")
         at, token, last = 0, longest[0], -1
         while True:
             while token >= 0:
@@ -178,6 +220,14 @@ class ByteBpe:
                 at -= sizes[token]
                 token, last = shorter[token], path[-1] if path else -1
 
+    def segments(self, text: str):
+        """Stretches of about SEGMENT characters, cut before single blanks, where the pattern cuts in any case."""
+        at = 0
+        while len(text) - at > SEGMENT and (m := self.lone_blank.search(text, at + SEGMENT)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
     def units(self, text: str) -> list[str]:
         """Parts of a text at whose edges the pattern always cuts; joined, they are the text."""
         if not text:
@@ -190,55 +240,48 @@ class ByteBpe:
         return out if parts[0] else out[1:]
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
-        out, cut, one, young, old = [], self.pattern.findall, self.encode_piece, self.cache.young, self.cache.old
+        out, cut, one, cache = [], self.pattern.finditer, self.encode_piece, self.cache
         for u in units:
-            pieces = cut(u)
-            if len(pieces) == 1:
-                out.append(array("i", one(u.encode())).tobytes())
-                continue
-            ids = b""
-            for piece in pieces:
-                known = young.get(piece) or old.get(piece)
+            ids = []
+            for m in cut(u):
+                piece = m[0]
+                if len(piece) == len(u):
+                    ids.append(one(piece.encode()).tobytes())
+                    break
+                known = cache.get(piece)
                 if known is None:
-                    known = young[piece] = array("i", one(piece.encode())).tobytes()
-                ids += known
-            out.append(ids)
+                    known = one(piece.encode()).tobytes()
+                    cache.add(piece, known)
+                ids.append(known)
+            out.append(b"".join(ids))
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(self.cache.fill(self.units(text), self._encode_units)), np.int32)
-
-    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all ids one after the other, and how many each has."""
-        if self.flat is None:
-            sizes = np.array(self.sizes, np.int64)
-            self.flat = (np.frombuffer(b"".join(self.bytes_of), np.uint8), sizes, np.cumsum(sizes) - sizes)
-        table, sizes, starts = self.flat
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes)):
-            raise ValueError("id outside the vocabulary")
-        own = sizes[ids]
-        ends = np.cumsum(own)
-        total = int(ends[-1]) if len(ids) else 0
-        return table[np.arange(total) + np.repeat(starts[ids] - ends + own, own)], own
-
-    def decode(self, ids) -> bytes:
-        return self.decode_flat(np.asarray(ids, np.int64))[0].tobytes()
+        made = [b"".join(self.cache.fill(self.units(part), self._encode_units)) for part in self.segments(text)]
+        return np.frombuffer(made[0] if len(made) == 1 else b"".join(made), np.int32)
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
+_LOADED: dict[tuple, ByteBpe | Vocabulary] = {}
 
 
-def _tokenizer(path: str, pattern: str) -> ByteBpe:
+def tokenizer(path: str, pattern: str) -> ByteBpe:
+    """The encoder of this process; its tables are bounded."""
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = ByteBpe.load(path, pattern)
     return _LOADED[path, pattern]
 
 
+def vocabulary(path: str) -> Vocabulary:
+    if (path,) not in _LOADED:
+        _LOADED[path,] = Vocabulary(read_ranks(path))
+    return _LOADED[path,]
+
+
 def encode_documents(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with the token ids of every whole text. One pass over the rows, no shuffle."""
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
-        bpe = _tokenizer(path, pattern)
+        bpe = tokenizer(path, pattern)
         made = [bpe.encode(t) for t in strings(part, text_col)]
         offs = np.zeros(len(made) + 1, np.int32)
         np.cumsum([len(x) for x in made], out=offs[1:])
@@ -247,16 +290,15 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text_col: str = "te
     return annotate(df, compute, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], text_col)
 
 
-def decode_documents(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded", text_col: str = "text") -> DataFrame:
+def decode_documents(df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``df`` with the bytes that every id list stands for."""
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
-        bpe = _tokenizer(path, pattern)
-        lists = part.column(part.schema.get_field_index(ids_col))
-        raw, sizes = bpe.decode_flat(lists.flatten().to_numpy(zero_copy_only=False))
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        rows = np.concatenate(([0], np.cumsum(np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64))))
+        words, lists = vocabulary(path), part.column(part.schema.get_field_index(ids_col))
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        raw, ends = words.decode(ids), np.concatenate(([0], np.cumsum(words.lengths(ids))))
+        rows = np.concatenate(([0], np.cumsum(np.array(lists.value_lengths().fill_null(0), np.int64))))
         offs = ends[rows].astype(np.int32)  # a part holds a few MB of text, or one text
-        return [pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(raw.tobytes())])]
+        return [pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(raw)])]
 
-    return annotate(df, compute, [T.StructField(bytes_col, T.BinaryType())], text_col)
+    return annotate(df, compute, [T.StructField(bytes_col, T.BinaryType())], ids_col)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.byte_bpe import _tokenizer
+from ledgerloom.llm.byte_bpe import tokenizer, vocabulary
 from ledgerloom.llm.textkit import workspace, written
 
 # The template's control strings, with the backslashes that escaping puts after their first character.
@@ -85,7 +85,7 @@ def parse(formatted: str) -> list[tuple[str, str, bool]]:
 def _encode_nodes(path: str, pattern: str):
     def run(batches):
         for batch in batches:
-            bpe = _tokenizer(path, pattern)
+            bpe = tokenizer(path, pattern)
             key, role, text = (batch.column(i).to_pylist() for i in (0, 1, 2))
             made = [format_turn(r, t)[0] for r, t in zip(role, text, strict=True)]
             ids = [bpe.encode(s) for s in made]
@@ -146,7 +146,7 @@ def read_back(nodes: DataFrame, leaves: DataFrame, tokenizer_path: str, pattern:
 
     def run(batches):
         for batch in batches:
-            bpe = _tokenizer(tokenizer_path, pattern)
+            bpe = vocabulary(tokenizer_path)
             texts = [bpe.decode(x).decode() for x in batch.column(1).to_pylist()]
             turns = [[{"role": r, "text": t, "loss": m} for r, t, m in parse(s)] for s in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(turns, kind), pa.array([len(s) for s in texts], pa.int64())], names=["conv_id", "turns", "formatted_chars"])

@@ -48,7 +48,7 @@ SHARD_TEXT_BYTES = 16 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 MAGIC = b"LLSST1"
 FOOTER = struct.Struct("<QIQIQQB6s")
-WORDS_CACHED = 120_000
+WORDS_CACHED = 24 << 20
 #: Small letters of ASCII and Latin-1 as UTF-8: composed, lower-case and letters under every Unicode version.
 LETTERS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
 
@@ -224,7 +224,7 @@ class WordEncoder:
         return array(self.code, self.library.encode(part.decode(), add_special_tokens=False).ids).tobytes()
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        parts, young, old = [], self.cache.young, self.cache.old
+        parts = []
         known: dict[bytes, bytes | None] = {}
         for w in words:
             m = self.two_parts(w)
@@ -232,10 +232,11 @@ class WordEncoder:
             parts.append(own)
             for p in own:
                 if p not in known:
-                    known[p] = young.get(p) or old.get(p)
+                    known[p] = self.cache.get(p)
         for p, v in known.items():
             if v is None:
-                known[p] = young[p] = self._encode_part(p)
+                known[p] = self._encode_part(p)
+                self.cache.add(p, known[p])
         return [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in parts]
 
     def encode(self, text: bytes) -> bytes:

@@ -135,14 +135,24 @@ def window_rows(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(counts.sum())) - begin[rows] + first[:-1][rows], rows
 
 
+#: Rows that one vectorised step takes at most.
+CHUNK_ROWS = 8192
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
-    """Parts of a batch of about ``limit`` bytes of text, one row at least."""
+    """Parts of a batch of about ``limit`` bytes in ``column`` (texts, or lists of 4-byte ids), one row at least and
+    CHUNK_ROWS at most."""
     if batch.num_rows == 0:
         return
-    _, offs = text_buffers(batch.column(batch.schema.get_field_index(column)))
+    values = batch.column(batch.schema.get_field_index(column))
+    if pa.types.is_list(values.type):
+        offs = np.concatenate(([0], np.cumsum(np.array(values.value_lengths().fill_null(0), np.int64)))) * 4
+    else:
+        _, offs = text_buffers(values)
     at = 0
     while at < batch.num_rows:
         to = max(int(np.searchsorted(offs, offs[at] + limit, "right")) - 1, at + 1)
+        to = min(to, at + CHUNK_ROWS)
         yield batch.slice(at, to - at)
         at = to
 

@@ -168,9 +168,20 @@ def test_pages(spark, nothing):
     assert got[1] == got[2] == "" and got[4] == "A b\nc"
 
 
+def test_bpe_query_equals_the_library(spark, docs):
+    import hashlib
+
+    import tiktoken
+
+    told = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(BPE), special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {i: (len(x := told.encode_ordinary(t or "")), sha(" ".join(map(str, x)).encode()), sha((t or "").encode())) for i, t in docs}
+    assert {r["doc_id"]: tuple(r)[1:] for r in queries.op8_byte_bpe(spark, SMALL).collect()} == want
+
+
 def test_bpe_round_trip(spark, awkward, nothing):
     coded = byte_bpe.encode_documents(awkward, BPE, P.PATTERN)
-    back = byte_bpe.decode_documents(coded, BPE, P.PATTERN).collect()
+    back = byte_bpe.decode_documents(coded, BPE).collect()
     assert len(back) == 12 and all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in back)
     assert byte_bpe.encode_documents(nothing, BPE, P.PATTERN).count() == 0
 

@@ -25,11 +25,25 @@ def bpe():
 def test_byte_bpe_equals_tiktoken(bpe):
     tiktoken = pytest.importorskip("tiktoken")
     told = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    words = byte_bpe.Vocabulary(bpe.ranks)
     for t in [*texts(4000, 1), "x" * 5000, "ab" * 3000, " " * 3000]:
         ids = bpe.encode(t).tolist()
-        assert ids == told.encode_ordinary(t) and bpe.decode(ids) == t.encode()
+        assert ids == told.encode_ordinary(t) and words.decode(ids) == t.encode()
     with pytest.raises(ValueError):
-        bpe.decode([len(bpe.bytes_of)])
+        words.decode([len(words.sizes)])
+
+
+def test_tables_stay_bounded_within_a_long_text(bpe, monkeypatch):
+    """Segments, steps and slices of any size give the same ids, and distinct words by the hundred thousand stay out of memory."""
+    tiktoken = pytest.importorskip("tiktoken")
+    told = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    for name, value in (("SEGMENT", 200), ("STEP", 50), ("DECODED", 333)):
+        monkeypatch.setattr(byte_bpe, name, value)
+    monkeypatch.setattr(bpe, "cache", byte_bpe.GenerationCache(40_000))
+    long = " ".join(f"w{i * 7919 % 100003:x}" for i in range(20_000)) + " \n\n  end" + "ab,c.d" * 3000
+    ids, words = bpe.encode(long), byte_bpe.Vocabulary(bpe.ranks)
+    assert ids.tolist() == told.encode_ordinary(long) and words.decode(ids) == long.encode()
+    assert bpe.cache.size <= 80_000 and len(bpe.cache.old) <= 80_000 // byte_bpe.ENTRY_BYTES
 
 
 def test_words_encode_as_whole_texts_do():
@@ -39,7 +53,7 @@ def test_words_encode_as_whole_texts_do():
 
 
 def test_cache_never_changes_results():
-    cache, made = byte_bpe.GenerationCache(3), []
+    cache, made = byte_bpe.GenerationCache(3 * byte_bpe.ENTRY_BYTES), []
     for keys in (["a", "b"], ["c", "d"], ["a", "e", "a"], ["f"], ["a"]):
         assert cache.fill(keys, lambda k: (made.extend(k), [x * 2 for x in k])[1]) == [k * 2 for k in keys]
 
