@@ -2,22 +2,22 @@
 
 A document is its set of distinct word shingles; two documents link at Jaccard similarity THRESHOLD or more.
 
-1. Document frequencies. Every distinct shingle of every document goes to its hash bucket, packed as arrays (a row
-   holds the shingles of some thousand documents for one bucket). A bucket counts how many documents have a shingle and
-   replies with those that two or more share; a shingle of one document can't be in any intersection. A document with
-   too many such lone shingles can't reach the threshold and is done.
+1. Document frequencies. A chunk is some thousand documents of one task. Of its distinct shingles, each goes to its hash
+   bucket once, whoever holds it, packed as arrays: those of one document with that document, those of several with
+   their count, while the list of holders goes straight to where the chunk is put together again. So a shingle in a third of all
+   documents is one entry a chunk. A bucket sums the counts and replies with what two or more documents share; a shingle
+   of one document can't be in any intersection. A document with too many such lone shingles can't reach the threshold.
 2. The rest are collapsed to distinct sets and ordered globally by (frequency, hash), rare first. By the prefix
    principle linked sets share a shingle within their prefixes.
-3. Near copies by the thousand are first joined to a few centres: sets with an equal minimum hash are verified against
-   one of them, another one for every hash and round. This only saves pairs later: sets already connected need no more
-   comparing.
-4. Grouped prefix join: sets of one component with identical prefix and size are one group. Groups that share a
-   prefix shingle and pass the length and position filters, and are of different components, are candidate group
-   pairs; these are expanded to members and verified exactly.
+3. Sets with identical prefix and size are one group. All groups with a prefix shingle in common are candidates if sizes and places
+   permit; group pairs are expanded to members, and members verified exactly.
+4. Pairs inside one component decide nothing, so the order of comparing matters: first, in a few prefix shingles' groups,
+   every component's member meets one pivot, another one each round, for as long as many of these pairs link. Then all group
+   pairs that are still of different components are expanded and verified.
 5. Links of both kinds give the connected components.
 
-No pairs of copies are made and no bucket's pairs leave it unfiltered. Shingles are compared by 47 or more bits of a
-64-bit hash, so a wrong intersection needs a collision within one pair of sets.
+A family of a thousand near copies so costs about a thousand pairs a round, not their square. Shingles are compared by 47 or
+more bits of a 64-bit hash, so a wrong intersection needs a collision within one pair of sets.
 
 Results for special input: a null, empty or blank text has an empty set and links with nothing; with fewer words than
 a shingle the whole sequence is the one shingle; equal rows link like any copies; a null identifier takes part but is
@@ -41,7 +41,8 @@ SHINGLE = 5
 LOW_BITS = 40
 #: Shingles that a map task gathers before it sends them off, documents likewise, and bytes of text behind a bucket.
 FLUSH_ENTRIES, FLUSH_DOCS, BUCKET_TEXT = 3_000_000, 50_000, 8 << 20
-CENTRES, ROUNDS = 3, 3
+#: Prefix shingles of a set with a pivot; rounds of pivots end after so many, or when less than this share of their pairs links.
+PIVOTS, ROUNDS, WORTH = 3, 8, 0.05
 _LOW = np.uint64((1 << LOW_BITS) - 1)
 
 
@@ -91,133 +92,164 @@ def _unpack_low(raw: bytes) -> np.ndarray:
     return wide.reshape(-1).view(np.uint64)
 
 
-_PACKED = "bucket int, chunk long, low binary, docs binary, extra binary"
-_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("low", pa.binary()), ("docs", pa.binary()), ("extra", pa.binary())])
+_PACKED = "bucket int, chunk long, kind int, low binary, docs binary, extra binary"
+_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("low", pa.binary()), ("docs", pa.binary()), ("extra", pa.binary())])
+#: Kinds of packed rows: a chunk's documents; shingles of one document each; shingles of several with counts; the holders of the latter.
+DOCUMENTS, SINGLE, SEVERAL, HOLDERS = range(4)
+_DOCUMENT_FIELDS = 6
+
+
+def _table(rows: list[tuple], schema: pa.Schema):
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return [pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)]
 
 
 def _send_shingles(buckets: int):
-    """Map side of step 1. A chunk is named by its content and its place in the input (partition, and number in it):
-    a repeated attempt gives it the same name, and equal rows elsewhere give another one."""
+    """Map side of step 1 over (doc_id, h, text). A chunk is named by its content and its place in the input (partition, and
+    number in it): a repeated attempt gives it the same name, and equal rows elsewhere give another one."""
     bits = buckets.bit_length() - 1
 
-    def flush(held, place):
-        ids = np.concatenate([h[0] for h in held])
-        null = np.concatenate([h[1] for h in held])
-        sizes, tokens = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
-        sigs = signatures(tokens, sizes)
-        with np.errstate(over="ignore"):
-            content = mix((sigs[:, 0] ^ mix(ids.view(np.uint64))) * np.arange(1, 2 * len(ids), 2, dtype=np.uint64)).sum(dtype=np.uint64)
-            chunk = int(mix(np.array([content]) ^ mix(np.array([place], np.uint64)))[0].view(np.int64))
-        table = np.concatenate([ids.view(np.uint64)[:, None], sigs, sizes.astype(np.uint64)[:, None], null.astype(np.uint64)[:, None]], axis=1)
-        rows = [(buckets + chunk % 64, chunk, b"", b"", table.tobytes())]
+    def split(tokens, values):
+        """(bucket, the tokens' low bits, values) of ascending buckets; within one the order stays."""
         bucket = (tokens >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         order = np.argsort(bucket, kind="stable")
-        low = (tokens & _LOW)[order]
-        docs = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)[order]
-        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-        at = 0
-        for b, to in enumerate(ends.tolist()):
+        low, values, at = (tokens & _LOW)[order], values[order], 0
+        for b, to in enumerate(np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()):
             if to > at:
-                own = docs[at:to]
-                counts = np.bincount(own, minlength=len(sizes)).astype(np.uint16) if to - at > len(sizes) else None
-                rows.append((b, chunk, _pack_low(low[at:to]), own.tobytes() if counts is None else b"", b"" if counts is None else counts.tobytes()))
+                yield b, _pack_low(low[at:to]), values[at:to]
             at = to
+
+    def flush(held, place):
+        ids, null, texts, sizes, tokens = (np.concatenate([h[i] for h in held]) for i in range(5))
+        sigs, docs = signatures(tokens, sizes), np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+        with np.errstate(over="ignore"):
+            content = mix((sigs[:, 0] ^ mix(ids.view(np.uint64))) * np.arange(1, 2 * len(ids), 2, dtype=np.uint64)).sum(dtype=np.uint64)
+            chunk = int(mix(np.array([content]) ^ mix(np.array([place], np.uint64)))[0].view(np.int64))
+        table = np.concatenate([ids.view(np.uint64)[:, None], sigs, sizes.astype(np.uint64)[:, None], null.astype(np.uint64)[:, None], texts.view(np.uint64)[:, None]], axis=1)
+        own = buckets + chunk % buckets
+        rows = [(own, chunk, DOCUMENTS, b"", b"", table.tobytes())]
+        order = np.argsort(tokens, kind="stable")
+        ranked = tokens[order]
+        heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(heads, len(ranked)))
+        several = np.repeat(counts > 1, counts)
+        if several.any():
+            rows.append((own, chunk, HOLDERS, b"", docs[order[several]].tobytes(), counts[counts > 1].astype(np.uint32).tobytes()))
+            rows += [(b, chunk, SEVERAL, low, b"", n.astype(np.uint32).tobytes()) for b, low, n in split(ranked[heads[counts > 1]], counts[counts > 1])]
+        single = np.sort(order[~several])
+        yield rows
+        rows = []
+        for b, low, mine in split(tokens[single], docs[single]):
+            held_by = np.bincount(mine, minlength=len(sizes)).astype(np.uint32).tobytes() if len(mine) > 2 * len(sizes) else b""
+            rows.append((b, chunk, SINGLE, low, b"" if held_by else mine.tobytes(), held_by))
             if len(rows) >= 64:
                 yield rows
                 rows = []
         yield rows
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKED_ARROW.types, strict=True)], schema=_PACKED_ARROW)
-
     def run(batches):
         held, entries, docs, place = [], 0, 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 column = part.column(0)
-                tokens, sizes = document_shingles(*text_buffers(part.column(1)))
-                held.append((np.array(column.fill_null(0), np.int64), np.array(column.is_null(), bool), sizes, tokens))
+                tokens, sizes = document_shingles(*text_buffers(part.column(2)))
+                held.append((np.array(column.fill_null(0), np.int64), np.array(column.is_null(), bool), np.array(part.column(1), np.int64), sizes, tokens))
                 entries, docs = entries + len(tokens), docs + len(sizes)
+                # a part has CHUNK_ROWS rows at most, so documents are numbered by 16 bits
                 if entries >= FLUSH_ENTRIES or docs >= FLUSH_DOCS:
-                    yield from (batch_of(r) for r in flush(held, place) if r)
+                    yield from (pa.RecordBatch.from_arrays(_table(r, _PACKED_ARROW), schema=_PACKED_ARROW) for r in flush(held, place) if r)
                     held, entries, docs, place = [], 0, 0, place + 1
         if held:
-            yield from (batch_of(r) for r in flush(held, place) if r)
+            yield from (pa.RecordBatch.from_arrays(_table(r, _PACKED_ARROW), schema=_PACKED_ARROW) for r in flush(held, place) if r)
 
     return run
 
 
 def _count_bucket(buckets: int):
-    """A bucket of step 1: replies to each chunk with its shared shingles (document, hash, frequency)."""
+    """A bucket of step 1: replies to each chunk with its shared shingles and their frequencies."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         if bucket >= buckets:
             return table
-        chunks, lows = table.column("chunk").to_pylist(), table.column("low").to_pylist()
-        docs = []
-        for own, counts in zip(table.column("docs").to_pylist(), table.column("extra").to_pylist(), strict=True):
-            c = np.frombuffer(counts, np.uint16)
-            docs.append(np.repeat(np.arange(len(c), dtype=np.uint16), c) if len(c) else np.frombuffer(own, np.uint16))
+        chunks, kinds, lows, docs, extra = (table.column(c).to_pylist() for c in ("chunk", "kind", "low", "docs", "extra"))
         low = np.concatenate([_unpack_low(x) for x in lows])
+        sizes = [len(x) // (LOW_BITS // 8) for x in lows]
+        weight = np.concatenate([np.frombuffer(x, np.uint32) if k == SEVERAL else np.ones(n, np.uint32) for k, x, n in zip(kinds, extra, sizes, strict=True)]).astype(np.int64)
         order = np.argsort(low, kind="stable")
         ranked = low[order]
-        new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-        counts = np.diff(np.append(np.flatnonzero(new), len(ranked)))
+        heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
         frequency = np.empty(len(low), np.int64)
-        frequency[order] = np.repeat(counts, counts)
+        frequency[order] = np.repeat(np.add.reduceat(weight[order], heads), np.diff(np.append(heads, len(ranked))))
+        told = np.minimum(frequency, 65535).astype(np.uint16)
         out, at = [], 0
-        for chunk, own in zip(chunks, docs, strict=True):
-            to = at + len(own)
-            shared = np.flatnonzero(frequency[at:to] > 1)
-            if len(shared):
-                out.append((bucket, chunk, _pack_low(low[at:to][shared]), own[shared].tobytes(), np.minimum(frequency[at:to][shared], 65535).astype(np.uint16).tobytes()))
+        for chunk, kind, own, held_by, n in zip(chunks, kinds, docs, extra, sizes, strict=True):
+            to = at + n
+            if kind == SEVERAL:
+                out.append((bucket, chunk, SEVERAL, _pack_low(low[at:to]), b"", told[at:to].tobytes()))
+            else:
+                shared = np.flatnonzero(frequency[at:to] > 1)
+                if len(shared):
+                    c = np.frombuffer(held_by, np.uint32)
+                    mine = np.repeat(np.arange(len(c), dtype=np.uint16), c) if len(c) else np.frombuffer(own, np.uint16)
+                    out.append((bucket, chunk, SINGLE, _pack_low(low[at:to][shared]), mine[shared].tobytes(), told[at:to][shared].tobytes()))
             at = to
-        cols = list(zip(*out, strict=True)) if out else [()] * 5
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, _PACKED_ARROW.types, strict=True)], schema=_PACKED_ARROW)
+        return pa.Table.from_arrays(_table(out, _PACKED_ARROW), schema=_PACKED_ARROW)
 
     return run
 
 
-_SETS = "doc_id long, sig binary, n long, tokens binary, frequencies binary"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("frequencies", pa.binary())])
+_SETS = "doc_id long, h long, sig binary, n long, tokens binary, frequencies binary"
+_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("frequencies", pa.binary())])
 
 
 def _gather_chunk(table: pa.Table) -> pa.Table:
     """The documents of a chunk, with their shared shingles (ascending) where these suffice for a link."""
-    parts, docs = ([], [], []), None
-    for bucket, low, own, extra in zip(*(table.column(c).to_pylist() for c in ("bucket", "low", "docs", "extra")), strict=True):
-        if not low:
-            docs = np.frombuffer(extra, np.uint64).reshape(-1, 5)
-            continue
-        parts[0].append(np.frombuffer(own, np.uint16))
-        parts[1].append(_unpack_low(low) | np.uint64(bucket << LOW_BITS))
-        parts[2].append(np.frombuffer(extra, np.uint16))
+    parts, several, holders, docs = ([], [], []), [], None, None
+    for bucket, kind, low, own, extra in zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "low", "docs", "extra")), strict=True):
+        if kind == DOCUMENTS:
+            docs = np.frombuffer(extra, np.uint64).reshape(-1, _DOCUMENT_FIELDS)
+        elif kind == HOLDERS:
+            holders = np.frombuffer(own, np.uint16), np.frombuffer(extra, np.uint32)
+        else:
+            token, count = _unpack_low(low) | np.uint64(bucket << LOW_BITS), np.frombuffer(extra, np.uint16)
+            if kind == SEVERAL:
+                several.append((bucket, (token, count)))
+            else:
+                for part, x in zip(parts, (token, count, np.frombuffer(own, np.uint16)), strict=True):
+                    part.append(x)
     if docs is None:
         raise RuntimeError("a chunk has no document table")
+    if holders is not None:
+        # one reply a bucket, in the order sent: by bucket they stand as their shingles did
+        told = [x for _, x in sorted(several, key=lambda x: x[0])]
+        n = holders[1]
+        parts[0].append(np.repeat(np.concatenate([t for t, _ in told]), n))
+        parts[1].append(np.repeat(np.concatenate([c for _, c in told]), n))
+        parts[2].append(holders[0])
     size, n = docs[:, 3].astype(np.int64), len(docs)
     tokens, frequencies = [None] * n, [None] * n
     if parts[0]:
-        own, token, count = (np.concatenate(p) for p in parts)
+        token, count, own = (np.concatenate(p) for p in parts)
         order = np.lexsort((token, own))
         own, token, count = own[order], token[order], count[order]
         ends = np.cumsum(np.bincount(own, minlength=n))
         starts = ends - np.bincount(own, minlength=n)
         for i in np.flatnonzero((size > 0) & (ends - starts >= -(-3 * size // 4))).tolist():
             tokens[i], frequencies[i] = token[starts[i] : ends[i]].tobytes(), count[starts[i] : ends[i]].tobytes()
-    sigs = np.ascontiguousarray(docs[:, 1:3])
-    raw = sigs.tobytes()
+    raw = np.ascontiguousarray(docs[:, 1:3]).tobytes()
     ids = pa.array(docs[:, 0].astype(np.uint64).view(np.int64), mask=docs[:, 4] > 0)
-    cols = [ids, pa.array([raw[16 * i : 16 * i + 16] if s else None for i, s in enumerate(size.tolist())], pa.binary()), pa.array(size), pa.array(tokens, pa.binary()), pa.array(frequencies, pa.binary())]
+    sigs = pa.array([raw[16 * i : 16 * i + 16] if s else None for i, s in enumerate(size.tolist())], pa.binary())
+    cols = [ids, pa.array(docs[:, 5].astype(np.uint64).view(np.int64)), sigs, pa.array(size), pa.array(tokens, pa.binary()), pa.array(frequencies, pa.binary())]
     return pa.Table.from_arrays(cols, schema=_SETS_ARROW)
 
 
 def _verify(batches):
-    """Pairs of sets with their tokens to links: exact intersection."""
+    """Pairs of sets with their tokens (last four columns) to links: exact intersection."""
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(6)]
+        own = batch.num_columns - 4
         keep = []
-        for i, (ta, tb, na, nb) in enumerate(zip(*cols[2:], strict=True)):
+        for i, (ta, tb, na, nb) in enumerate(zip(*(batch.column(own + j).to_pylist() for j in range(4)), strict=True)):
             if 4 * min(na, nb) < 3 * max(na, nb):
                 continue
             a, b = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
@@ -227,45 +259,35 @@ def _verify(batches):
             at[at == len(b)] = 0
             if 7 * int((b[at] == a).sum()) >= 3 * (na + nb):
                 keep.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+        yield batch.select(list(range(own))).take(pa.array(keep, pa.int64()))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of (a, b) those that link. A set in very many pairs is one row of a join that Spark can split."""
+    """Of the pairs (a, b, ...) those that link. A set in very many pairs is one row of a join that Spark can split."""
     left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
     right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb", "na", "nb")
-    return both.mapInArrow(_verify, "a binary, b binary")
-
-
-def _centre_keys(batches):
-    """Minimum of each of CENTRES random orders of the shared shingles."""
-    for batch in batches:
-        keys, sigs = [], []
-        for sig, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            t = np.frombuffer(raw, np.uint64)
-            for i in range(CENTRES):
-                keys.append(int((mix(t ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)).min() ^ np.uint64(i)).view(np.int64)))
-                sigs.append(sig)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())], names=["key", "sig"])
+    both = pairs.join(right, "b").join(left, "a").select(*pairs.columns, "ta", "tb", "na", "nb")
+    return both.mapInArrow(_verify, pairs.schema)
 
 
 def _prefixes(batches):
-    """For each set its group's name and, of its prefix, the shared shingles in global order with the place of the first."""
+    """For each set its group's name, its prefix (the shared shingles, in global order) with the place of the first, and the
+    prefix shingles that get pivots: the least in a few random orders."""
+    salts = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1) for i in range(PIVOTS)]
     for batch in batches:
-        sigs, roots, sizes, tokens, frequencies = (batch.column(i).to_pylist() for i in range(5))
-        names, raws, lone = [], [], []
-        for root, n, t, f in zip(roots, sizes, tokens, frequencies, strict=True):
+        sizes, tokens, frequencies = (batch.column(i).to_pylist() for i in (1, 2, 3))
+        names, raws, lone, keys = [], [], [], []
+        for n, t, f in zip(sizes, tokens, frequencies, strict=True):
             t, f = np.frombuffer(t, np.uint64), np.frombuffer(f, np.uint16)
             alone, length = n - len(t), n - -(-3 * n // 4) + 1
             own = t[np.lexsort((t, f))[: max(0, length - alone)]]
-            head = np.array([n, alone], np.uint64)
-            name = signatures(np.concatenate([head, own, np.frombuffer(root, np.uint64)]) * np.arange(1, 2 * len(own) + 8, 2, dtype=np.uint64), np.array([len(own) + 4]))
-            # without a lone shingle the prefix is known whole; lone ones tell sets apart
-            names.append(name.tobytes())
+            head = np.concatenate([np.array([n, alone], np.uint64), own])
+            names.append(signatures(head * np.arange(1, 2 * len(head), 2, dtype=np.uint64), np.array([len(head)])).tobytes())
             raws.append(own.tobytes())
             lone.append(alone)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), batch.column(1), batch.column(2), pa.array(lone, pa.int64()), pa.array(raws, pa.binary())], names=["sig", "grp", "root", "n", "lone", "prefix"])
+            keys.append(sorted({int(own[np.argmin(mix(own ^ s))].view(np.int64)) for s in salts}))
+        cols = [batch.column(0), pa.array(names, pa.binary()), batch.column(1), pa.array(lone, pa.int64()), pa.array(raws, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["sig", "grp", "n", "lone", "prefix", "keys"])
 
 
 def _explode_prefixes(batches):
@@ -282,11 +304,14 @@ def _explode_prefixes(batches):
 
 
 def _bucket_pairs(table: pa.Table) -> pa.Table:
-    """Candidate group pairs of one bucket of prefix shingles: of different components, sizes and places permitting."""
+    """Candidate group pairs of one bucket of prefix shingles: sizes and places permitting, and not all of one component."""
     token = np.array(table.column("token"), np.int64)
     n, place = np.array(table.column("n"), np.int64), np.array(table.column("place"), np.int64)
     grp, grp_of = np.unique(np.array(table.column("grp").to_pylist(), object), return_inverse=True)
-    root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+    # a group whose members are of several components has none (null) and differs from all
+    one = np.array(table.column("root").is_valid())
+    root = np.unique(np.array([x or b"" for x in table.column("root").to_pylist()], object), return_inverse=True)[1]
+    root = np.where(one, root, -1 - grp_of)
     order = np.lexsort((n, token))
     token, n, place, g, root = token[order], n[order], place[order], grp_of[order], root[order]
     ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
@@ -321,11 +346,36 @@ def _bucket_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"ga": pa.array([grp[i] for i in (pairs >> 32).tolist()], pa.binary()), "gb": pa.array([grp[i] for i in (pairs & 0xFFFFFFFF).tolist()], pa.binary())})
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """One row a document: (doc_id, n_shingles, component_id); component_id is the smallest identifier reachable by links."""
+def _pivot_rounds(members: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """(node, root) of the sets that links with pivots connect."""
+    keys, roots = written(members.select(F.explode("keys").alias("key"), "sig"), folder, "keys"), None
+    for k in range(ROUNDS):
+        named = keys.withColumn("root", F.col("sig")) if roots is None else keys.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("root"))
+        # of a component one member a shingle is compared, another one each round; the pivot is of the largest
+        speakers = named.groupBy("key", "root").agg(F.min_by("sig", F.xxhash64("sig", "key", F.lit(k))).alias("sig"), F.count("*").alias("members"))
+        pivots = speakers.groupBy("key").agg(F.max_by(F.struct("sig", "root"), F.struct("members", F.xxhash64("root", F.lit(k)))).alias("c"), F.count("*").alias("roots")).where("roots > 1")
+        spokes = speakers.join(pivots.select("key", F.col("c.sig").alias("p"), F.col("c.root").alias("rp")), "key").where("root != rp")
+        spokes = written(spokes.select(F.col("sig").alias("a"), F.col("p").alias("b"), F.col("root").alias("ra"), F.col("rp").alias("rb")).distinct(), folder, f"spokes-{k}")
+        compared = spokes.count()
+        found = written(_verified(spokes, sets), folder, f"links-to-pivots-{k}") if compared else None
+        linked = found.count() if compared else 0
+        if linked:
+            joined = connected_components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")), f"{folder}/pivots-{k}")
+            if roots is not None:
+                up = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+                moved = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+                joined = moved.union(joined.join(roots.select("node"), "node", "left_anti"))
+            roots = written(joined, folder, f"roots-{k}")
+        if linked <= WORTH * compared:
+            break
+    return roots if roots is not None else sets.select(F.col("sig").alias("node"), F.col("sig").alias("root")).limit(0)
+
+
+def _labelled(df: DataFrame, id_col: str, text_col: str, folder: str) -> DataFrame:
+    """One row a document: (doc_id, h, root, n_shingles, component_id); h is a hash of the text, root tells components apart."""
     spark = df.sparkSession
-    folder = folder or workspace(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     buckets = power_of_two(text_volume(docs, "text") / BUCKET_TEXT, 128, 1 << 20)
 
     packed = docs.mapInArrow(_send_shingles(buckets), _PACKED)
@@ -336,28 +386,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sets = documents.where("tokens is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("frequencies").alias("frequencies"))
     sets = written(sets, folder, "sets")
-    keys = written(sets.select("sig", "tokens").mapInArrow(_centre_keys, "key long, sig binary"), folder, "keys")
-    roots, links = sets.select(F.col("sig").alias("node"), F.col("sig").alias("root")), None
-    for k in range(ROUNDS):
-        named = keys.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("root")) if k else keys.select("key", "sig", F.col("sig").alias("root"))
-        centres = named.groupBy("key").agg(F.min_by(F.struct("sig", "root"), F.xxhash64("sig", "key", F.lit(k))).alias("c"), (F.min("root") != F.max("root")).alias("apart")).where("apart").select("key", "c.sig", "c.root")
-        spokes = named.join(centres.toDF("key", "centre", "centre_root"), "key").where("root != centre_root")
-        spokes = spokes.select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b")).distinct()
-        spokes = written(spokes, folder, f"spokes-{k}")
-        if spokes.isEmpty():
-            break
-        found = written(_verified(spokes, sets), folder, f"links-to-centres-{k}")
-        links = found if links is None else links.union(found)
-        roots = written(connected_components(links, f"{folder}/centres-{k}"), folder, f"roots-{k}")
-
-    rooted = sets.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "n", "tokens", "frequencies")
-    members = written(rooted.mapInArrow(_prefixes, "sig binary, grp binary, root binary, n long, lone long, prefix binary"), folder, "members")
-    groups = members.groupBy("grp").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("lone").alias("lone"), F.first("prefix").alias("prefix"))
-    postings = groups.mapInArrow(_explode_prefixes, "token long, grp binary, root binary, n long, place long")
+    members = written(sets.select("sig", "n", "tokens", "frequencies").mapInArrow(_prefixes, "sig binary, grp binary, n long, lone long, prefix binary, keys array<long>"), folder, "members")
+    roots = _pivot_rounds(members, sets, folder)
+
+    rooted = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "grp", F.coalesce("root", "sig").alias("root"), "n", "lone", "prefix")
+    one = F.when(F.min("root") == F.max("root"), F.min("root")).alias("root")
+    groups = written(rooted.groupBy("grp").agg(one, F.first("n").alias("n"), F.first("lone").alias("lone"), F.first("prefix").alias("prefix")), folder, "groups")
+    postings = groups.select("grp", "root", "n", "lone", "prefix").mapInArrow(_explode_prefixes, "token long, grp binary, root binary, n long, place long")
     spread = postings.withColumn("bucket", F.pmod(F.col("token"), F.lit(max(8, buckets // 4))))
-    group_pairs = written(spread.groupBy("bucket").applyInArrow(_bucket_pairs, "ga binary, gb binary").distinct(), folder, "group-pairs")
-    more = group_pairs.join(members.select(F.col("grp").alias("ga"), F.col("sig").alias("x")), "ga").join(members.select(F.col("grp").alias("gb"), F.col("sig").alias("y")), "gb")
-    pairs = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    between = spread.groupBy("bucket").applyInArrow(_bucket_pairs, "ga binary, gb binary").distinct()
+    within = groups.where("root is null").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
+    group_pairs = written(between.union(within), folder, "group-pairs")
+    sides = [rooted.select(F.col("grp").alias(f"g{x}"), F.col("sig").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
+    pairs = group_pairs.join(sides[0], "ga").join(sides[1], "gb").where("ra != rb")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, "pairs")
     later = written(_verified(pairs, sets), folder, "links-of-groups")
 
     tree = roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(later)
@@ -366,14 +408,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = documents.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id"))
     least = least.join(final.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "first_id")
     named = least.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = least.join(named, "root").select("sig", "component_id")
-    out = documents.select("doc_id", "sig", "n").join(labels, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    labels = least.join(named, "root").select("sig", "root", "component_id")
+    out = documents.select("doc_id", "h", "sig", "n").join(labels, "sig", "left")
+    return out.select("doc_id", "h", "root", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """One row a document: (doc_id, n_shingles, component_id); component_id is the smallest identifier reachable by links."""
+    return _labelled(df, id_col, text_col, folder or workspace(df.sparkSession)).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of every component the row with the smallest identifier (one of equal ones); rows without identifier or words stay."""
-    found = near_duplicates(df, id_col, text_col)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = df.join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(*df.columns).union(df.where(F.col(id_col).isNull()).select(*df.columns))
+    """Of every component one row, that with the smallest identifier (null last; of equal ones the smallest hash of text, then of
+    the row); all rows without words stay. Rows of one identifier whose texts don't link are components of their own."""
+    folder = workspace(df.sparkSession)
+    found = written(_labelled(df, id_col, text_col, folder), folder, "labelled")
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("f")).select(F.col("f.doc_id").alias("_i"), F.col("f.h").alias("_h")).distinct()
+    own = df.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.xxhash64(F.col(text_col).cast("string"))})
+    chosen = own.join(first, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_h")), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    single = chosen.groupBy("_id", "_text").agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])).alias("_row")).select("_row.*")
+    blank = df.where(F.coalesce(~F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+    return single.union(blank.select(*df.columns))
