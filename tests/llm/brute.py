@@ -69,8 +69,7 @@ def contamination(docs, items):
     """{(doc_id, item_id): (best similarity, start)}."""
     kept = [(i, words(t, True)) for i, t in items if words(t)]
     own = {i: Counter(shingles(w)) for i, w in kept}
-    have = Counter(x for s in own.values() for x in s)
-    weight = lambda x: math.log1p(len(kept) / max(1, have[x]))
+    weight = lambda x: sum(len(w.encode()) for w in x)
     out = {}
     for d, t in docs:
         w = words(t, True)

@@ -1,5 +1,6 @@
 """Operators on awkward rows and on nothing, and queries against brute force on the small tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,8 @@ def test_decontamination(spark, awkward, nothing, docs):
     got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["start"]) for r in queries.op10_decontaminate(spark, SMALL).collect()}
     want = brute.contamination([(d, " ".join(brute.words(t)[:400])) for d, t in few if len(brute.words(t)) <= 400], items)
     assert want and all(got.get(k) == (round(v[0], 9), v[1]) for k, v in want.items())
+    plain = {d for d, t in few if len(brute.words(t)) <= 400}
+    assert {k for k in got if k[0] in plain} == set(want)
     bench = spark.createDataFrame([(1, PASSAGE), (2, "one two"), (3, None), (None, "")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(awkward, bench).collect()}
     assert found == {(8, 1), (9, 1), (7, 2)}
@@ -232,7 +235,7 @@ def test_items_in_blocks(spark, awkward, monkeypatch):
 
 
 def test_blocks_do_not_change_similarities(spark, monkeypatch):
-    """Items with shingles in common: weights are those of the whole benchmark, whichever block an item is in."""
+    """Items with shingles in common: a similarity is the same whichever block an item is in."""
     common = [f"c{i}" for i in range(12)]
     own = [[f"i{k}_{i}" for i in range(24)] for k in range(6)]
     items = [(k, " ".join(common + w)) for k, w in enumerate(own)] + [(7, "one two"), (8, " "), (9, None), (10, " ".join(own[0]))]
@@ -244,6 +247,43 @@ def test_blocks_do_not_change_similarities(spark, monkeypatch):
     assert len(whole) > 5 and sorted(map(tuple, decontaminate.matches(df, bench).collect())) == whole
 
 
+def test_multi_index_finds_all_within_the_radius_and_prunes():
+    import random
+
+    r = random.Random(3)
+    items = [(k, " ".join(f"{r.choice('abcdefgh')}{r.randrange(5000)}" for _ in range(40))) for k in range(60)]
+    index = decontaminate.BenchmarkIndex(items)
+    noise = decontaminate._blocks(np.random.default_rng(1).normal(size=(400, decontaminate.FINGERPRINT)))
+    flip = index.prints.copy()
+    for row in flip:  # RADIUS bits off, spread evenly over the blocks
+        for bit in range(decontaminate.RADIUS):
+            row[bit % decontaminate.BLOCKS] ^= np.uint32(1 << bit // decontaminate.BLOCKS)
+    near = set(zip(*(x.tolist() for x in index.near(flip, 40)), strict=True))
+    assert {(i, i) for i in range(60)} <= near and not len(index.near(noise, 40)[0]) and not len(index.near(flip, 41)[0])
+    passed = sum(int(((np.bitwise_count(noise[:, None, b] ^ index.prints[None, :, b]) <= decontaminate.NEAR)).sum()) for b in range(decontaminate.BLOCKS))
+    assert passed <= 0.2 * len(noise) * len(items)
+
+
+def test_recall_near_the_threshold(spark):
+    """Edited items around the threshold: nearly all similar windows are found, and nothing else."""
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    items = [(k, " ".join(word() for _ in range(50))) for k in range(40)]
+    rows = []
+    for d in range(400):
+        w = items[d % 40][1].split()
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(50)] = word()
+        rows.append((d, " ".join([word() for _ in range(r.randrange(20))] + w + [word() for _ in range(9)])))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got, want = {(x["doc_id"], x["item_id"]) for x in decontaminate.matches(df, bench).collect()}, set()
+    for row in rows:  # other items have no word of it
+        want |= set(brute.contamination([row], [items[row[0] % 40]]))
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 150
+
+
 def test_long_text_is_read_whole(spark):
     rows = [(1, LONG + " secret@example.com"), (2, LONG)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
