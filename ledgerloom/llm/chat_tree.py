@@ -7,7 +7,11 @@ sequence that its ancestors fill: with the tokens of the node up to itself, that
 
 Template: ``<s>[INST] text [/INST]`` for a user, `` text </s>`` for an assistant, ``<<role>>\\ntext\\n<</>>`` for any other
 role. A control string inside a text or role gets one backslash after its first character (one more if it has some), which
-reading back removes. Tokens are those of the byte-level BPE, so decoding them gives the formatted turn exactly.
+reading back removes. Tokens are those of the byte-level BPE, of the marks before a text, the text, and the marks after it each on their
+own; so the loss mask (a span of a node's tokens) covers an assistant's text exactly, and decoding gives the formatted turn exactly.
+
+Reading back uses nothing but the trees: a conversation is the tokens of the intervals that its last turn's node attends to, then
+that node's own.
 
 Nodes are merged by partial aggregation, ordered by ranges of their paths and placed by partition-wise running sums, so a
 first turn shared by a third of all conversations costs no single task more than its share. A conversation itself is one row.
@@ -65,19 +69,19 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
 _MARKS = re.compile(r"<s>\[INST\] (?P<user>.*?) \[/INST\]|<<(?P<role>.*?)>>\n(?P<other>.*?)\n<</>>| (?P<assistant>.*?) </s>", re.S)
 
 
-def parse(formatted: str) -> list[tuple[str, str, bool]]:
-    """(role, text, under the loss mask) of each turn of a formatted conversation."""
+def parse(formatted: str) -> list[tuple[str, str]]:
+    """(role, text) of each turn of a formatted conversation."""
     out, at = [], 0
     while at < len(formatted):
         m = _MARKS.match(formatted, at)
         if m is None:
             raise ValueError("not a formatted conversation")
         if m["user"] is not None:
-            out.append(("user", unescape(m["user"]), False))
+            out.append(("user", unescape(m["user"])))
         elif m["assistant"] is not None:
-            out.append(("assistant", unescape(m["assistant"]), True))
+            out.append(("assistant", unescape(m["assistant"])))
         else:
-            out.append((unescape(m["role"]), unescape(m["other"]), False))
+            out.append((unescape(m["role"]), unescape(m["other"])))
         at = m.end()
     return out
 
@@ -87,19 +91,25 @@ def _encode_nodes(path: str, pattern: str):
         for batch in batches:
             bpe = tokenizer(path, pattern)
             key, role, text = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            made = [format_turn(r, t)[0] for r, t in zip(role, text, strict=True)]
-            ids = [bpe.encode(s) for s in made]
+            ids, spans = [], []
+            for r, t in zip(role, text, strict=True):
+                whole, start, end = format_turn(r, t)
+                parts = [bpe.encode(x) for x in (whole[:start], whole[start:end], whole[end:])]
+                ids.append(np.concatenate(parts))
+                first = len(parts[0])
+                spans.append({"start": first, "end": first + len(parts[1])} if r == "assistant" else None)
             offs = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=offs[1:])
             lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), batch.column(1), batch.column(3), lists, pa.array(np.diff(offs).astype(np.int64))], names=["node", "role", "path", "ids", "n_tokens"])
+            span = pa.array(spans, pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), batch.column(1), batch.column(3), lists, pa.array(np.diff(offs).astype(np.int64)), span], names=["node", "role", "path", "ids", "n_tokens", "loss"])
 
     return run
 
 
 def build_trees(df: DataFrame, tokenizer_path: str, pattern: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaves). Nodes: (tree, node, depth, role, ids, seq_start, position_ids, attends, loss); leaves: (conv_id, path),
-    the nodes that make up each conversation."""
+    """(nodes, leaves). Nodes: (tree, node, depth, role, ids, seq_start, position_ids, attends, loss), the latter the span of a
+    node's tokens that count for the loss (null: none); leaves: (conv_id, node), the node of each conversation's last turn."""
     spark = df.sparkSession
     folder = folder or workspace(spark)
     turns = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -111,10 +121,10 @@ def build_trees(df: DataFrame, tokenizer_path: str, pattern: str, conv_col: str
     name = F.md5(F.concat_ws("/", *[F.sum(h.cast("decimal(20,0)")).over(so_far).cast("string") for h in hashes], F.col("k").cast("string")))
     named = placed.withColumn("node", name).withColumn("path", F.collect_list("node").over(so_far))
     named = written(named, folder, "turns")
-    leaves = named.groupBy("conv_id").agg(F.max_by("path", "k").alias("path"))
+    leaves = named.groupBy("conv_id").agg(F.max_by("node", "k").alias("node"))
 
     merged = named.groupBy("node").agg(F.first("role").alias("role"), F.first("text").alias("text"), F.first("path").alias("path"))
-    nodes = written(merged.mapInArrow(_encode_nodes(tokenizer_path, pattern), "node string, role string, path array<string>, ids array<int>, n_tokens long"), folder, "nodes")
+    nodes = written(merged.mapInArrow(_encode_nodes(tokenizer_path, pattern), "node string, role string, path array<string>, ids array<int>, n_tokens long, loss struct<start: int, end: int>"), folder, "nodes")
 
     # depth-first order is the order of paths: ranges, then a running sum within each and over their totals
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -133,23 +143,27 @@ def build_trees(df: DataFrame, tokenizer_path: str, pattern: str, conv_col: str
     attends = F.transform(line, lambda x: F.struct((x["up_start"] - tree_start).alias("start"), (x["up_start"] - tree_start + x["up_tokens"]).alias("end")))
     # a turn is never empty: its marks make tokens
     placed = above.select("node", (own["up_start"] - tree_start).alias("seq_start"), F.sequence(first, first + own["up_tokens"] - 1).alias("position_ids"), attends.alias("attends"))
-    out = nodes.join(placed, "node").select(F.get("path", F.lit(0)).alias("tree"), "node", (F.size("path") - 1).alias("depth"), "role", "ids", "seq_start", "position_ids", "attends", (F.col("role") == "assistant").alias("loss"))
+    out = nodes.join(placed, "node").select(F.get("path", F.lit(0)).alias("tree"), "node", (F.size("path") - 1).alias("depth"), "role", "ids", "seq_start", "position_ids", "attends", "loss")
     return written(out, folder, "trees"), leaves
 
 
-def read_back(nodes: DataFrame, leaves: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
-    """(conv_id, turns, formatted_chars) of every conversation, decoded from the trees' tokens and parsed; turns are
-    (role, text, loss)."""
-    lines = leaves.select("conv_id", F.posexplode("path").alias("k", "node")).join(nodes.select("node", "ids"), "node")
-    whole = lines.groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string()), ("loss", pa.bool_())]))
+def read_back(nodes: DataFrame, leaves: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(conv_id, turns, formatted_chars, loss_text) of every conversation, from the trees' tokens: the turns (role, text) are
+    parsed from the decoded whole, the loss text is what decodes from under the mask, unescaped."""
+    last = leaves.join(nodes.select("node", "tree", "seq_start", "attends"), "node")
+    starts = F.concat(F.transform("attends", lambda x: x["start"]), F.array("seq_start"))
+    lines = last.select("conv_id", "tree", F.posexplode(starts).alias("k", "seq_start")).join(nodes.select("tree", "seq_start", "ids", "loss"), ["tree", "seq_start"])
+    whole = lines.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids", "loss"))).alias("nodes"))
+    kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
     def run(batches):
         for batch in batches:
-            bpe = vocabulary(tokenizer_path)
-            texts = [bpe.decode(x).decode() for x in batch.column(1).to_pylist()]
-            turns = [[{"role": r, "text": t, "loss": m} for r, t, m in parse(s)] for s in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(turns, kind), pa.array([len(s) for s in texts], pa.int64())], names=["conv_id", "turns", "formatted_chars"])
+            words, texts, turns, losses = vocabulary(tokenizer_path), [], [], []
+            for line in batch.column(1).to_pylist():
+                texts.append(words.decode([i for n in line for i in n["ids"]]).decode())
+                turns.append([{"role": r, "text": t} for r, t in parse(texts[-1])])
+                losses.append("".join(unescape(words.decode(n["ids"][n["loss"]["start"] : n["loss"]["end"]]).decode()) for n in line if n["loss"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(turns, kind), pa.array([len(s) for s in texts], pa.int64()), pa.array(losses, pa.string())], names=["conv_id", "turns", "formatted_chars", "loss_text"])
 
     id_type = leaves.schema["conv_id"].dataType.simpleString()
-    return whole.select("conv_id", "ids").mapInArrow(run, f"conv_id {id_type}, turns array<struct<role: string, text: string, loss: boolean>>, formatted_chars long")
+    return whole.select("conv_id", "nodes").mapInArrow(run, f"conv_id {id_type}, turns array<struct<role: string, text: string>>, formatted_chars long, loss_text string")

@@ -51,7 +51,8 @@ CUES = {
 }
 _CUE_OF = {w: cue for cue, words in CUES.items() for w in words.split()}
 _CUE_ORDER = ["comment", "advert", "notice", "menu", "side", "foot", "head", "form", "share", "caption", "content"]
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_OPEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?]")
+_STOP = re.compile(r">|=\s*(?=([\"'])|)")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 CONTENT, LABELS = 1, (0, 1)
@@ -65,6 +66,48 @@ def cue(attributes: str) -> str:
     return next((c for c in _CUE_ORDER if c in found), "")
 
 
+class Tags:
+    """The tags of a page in order. A quote counts only as the first character of a value, and one that is never closed is a
+    character like any other; what was looked for in vain is not looked for again, so time is linear in the page."""
+
+    def __init__(self, page: str):
+        self.page, self.absent = page, set()
+
+    def _find(self, what: str, at: int) -> int:
+        found = -1 if what in self.absent else self.page.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def _end(self, at: int) -> int:
+        """Place after the tag whose attributes begin at ``at``, or -1."""
+        if self._find(">", at) < 0:
+            return -1
+        while m := _STOP.search(self.page, at):
+            at = m.end()
+            if m[0] == ">":
+                return at
+            if m[1]:
+                close = self._find(m[1], at + 1)
+                at = close + 1 if close >= 0 else at + 1
+        self.absent.add(">")
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, whether it closes, name or None for what is no element, attributes) of the next tag."""
+        while m := _OPEN.search(self.page, at):
+            name = m[2]
+            if name is None:
+                end = self._find("-->" if m[0] == "<!--" else ">", m.end())
+                end = len(self.page) if end < 0 and m[0] == "<!--" else end + (3 if m[0] == "<!--" else 1)
+            else:
+                end = self._end(m.end())
+            if end > 0:
+                return m.start(), end, bool(m[1]), name and name.lower(), self.page[m.end() : end - 1] if name else ""
+            at = m.end()
+        return None
+
+
 class Dom:
     """Block elements and text blocks in page order: parent, kind and evidence of each, and the texts of blocks."""
 
@@ -72,7 +115,7 @@ class Dom:
         self.parent, self.kind, self.texts = [-1], ["#document"], [None]
         self.linked: list[int] = [0]
         self.mark: list[str | None] = [None]
-        stack, tags = [0], ["#document"]
+        stack, tags, opened, reader = [0], ["#document"], {}, Tags(page)
         pieces: list[str] = []
         links = in_link = at = 0
 
@@ -91,8 +134,16 @@ class Dom:
 
         def close_to(depth: int):
             end_block()
+            for name in tags[depth:]:
+                opened[name] -= 1
             del stack[depth:], tags[depth:]
 
+        def close_last(name: str):
+            depth = len(tags) - 1
+            while tags[depth] != name:
+                depth -= 1
+            close_to(depth)
+
         def add_text(raw: str):
             nonlocal links
             if raw:
@@ -103,28 +154,28 @@ class Dom:
 
         size = len(page)
         while at < size:
-            m = _TAG.search(page, at)
-            if m is None:
+            tag = reader.next(at)
+            if tag is None:
                 add_text(page[at:])
                 break
-            add_text(page[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+            start, end, closes, name, attributes = tag
+            add_text(page[at:start])
+            at = end
+            if name is None:
                 continue
-            name = m[2].lower()
-            if m[1]:
+            if closes:
                 if name == "a":
                     in_link = max(0, in_link - 1)
-                elif name in BLOCKS and name in tags:
-                    close_to(len(tags) - 1 - tags[::-1].index(name))
+                elif opened.get(name):
+                    close_last(name)
                 elif name == "p":
                     end_block()
                 continue
-            if name in DROPPED and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                if name == "head" and end is None:
+            if name in DROPPED and not attributes.endswith("/"):
+                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                if name == "head" and close is None:
                     continue
-                at = end.end() if end else size
+                at = close.end() if close else size
                 if name == "head":
                     end_block()
                 continue
@@ -132,8 +183,8 @@ class Dom:
                 in_link += 1
             if name not in BLOCKS:
                 continue
-            if name in CLOSES_P and "p" in tags:
-                close_to(len(tags) - 1 - tags[::-1].index("p"))
+            if name in CLOSES_P and opened.get("p"):
+                close_last("p")
             end_block()
             for depth in range(len(tags) - 1, 0, -1):
                 if tags[depth] in SAME_KIND.get(name, ()):
@@ -141,15 +192,16 @@ class Dom:
                     break
                 if tags[depth] in SCOPES.get(name, BLOCKS):
                     break
-            if name in VOID or m[3].endswith("/"):
+            if name in VOID or attributes.endswith("/"):
                 continue
             self.parent.append(stack[-1])
             self.kind.append(name)
             self.texts.append(None)
             self.linked.append(0)
-            self.mark.append(cue(m[3]))
+            self.mark.append(cue(attributes))
             stack.append(len(self.kind) - 1)
             tags.append(name)
+            opened[name] = opened.get(name, 0) + 1
         end_block()
 
     def evidence(self) -> list[tuple[str, tuple[str, ...]]]:

@@ -46,9 +46,8 @@ def op4_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     nodes, leaves = chat_tree.build_trees(chats, path, pattern)
-    back = chat_tree.read_back(nodes, leaves, path, pattern)
+    back = chat_tree.read_back(nodes, leaves, path)
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    back = back.withColumn("loss_text", F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), ""))
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 

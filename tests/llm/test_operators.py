@@ -103,8 +103,12 @@ def test_chat_trees(spark, duck):
     for tree in {t for t, _ in rows}:  # each token has one place
         taken = sorted((r["seq_start"], r["seq_start"] + len(r["ids"])) for (t, _), r in rows.items() if t == tree)
         assert taken[0][0] == 0 and all(a[1] == b[0] for a, b in zip(taken, taken[1:], strict=False))
-    back = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat_tree.read_back(nodes, leaves, BPE, P.PATTERN).collect()}
+    back = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat_tree.read_back(nodes, leaves, BPE).collect()}
     assert back == {1: [("user", "hi"), ("assistant", "yo")], 2: [("user", "hi"), ("assistant", "no"), ("", "")], None: [("user", "hi")], 3: [("user", "other")]}
+    said = {r["conv_id"]: r["loss_text"] for r in chat_tree.read_back(nodes, leaves, BPE).collect()}
+    assert said == {1: "yo", 2: "no", None: "", 3: ""}
+    blind = chat_tree.read_back(nodes.withColumn("loss", F.lit(None).cast(nodes.schema["loss"].dataType)), leaves, BPE)
+    assert not any(r["loss_text"] for r in blind.collect())  # it comes from the mask alone
     nodes, leaves = chat_tree.build_trees(chats.where("false"), BPE, P.PATTERN)
     assert nodes.count() == 0 and leaves.count() == 0
 

@@ -151,7 +151,7 @@ def test_chat_template_is_reversible():
     r = random.Random(5)
     for _ in range(8000):
         rows = [(r.choice(["user", "assistant", "system", "<<x>>", "<s>>", ""]), "".join(r.choice(marks) for _ in range(r.randint(0, 9)))) for _ in range(r.randint(1, 4))]
-        assert [(a, b) for a, b, _ in chat_tree.parse("".join(chat_tree.format_turn(*x)[0] for x in rows))] == rows
+        assert chat_tree.parse("".join(chat_tree.format_turn(*x)[0] for x in rows)) == rows
 
 
 def test_html_held_out_pages():
@@ -180,3 +180,15 @@ def test_messages_equal_enumeration():
         total += p
         good = [g + p * x for g, x in zip(good, label, strict=True)]
     assert model.marginals(dom) == pytest.approx([g / total for g in good], abs=1e-9)
+
+
+def test_malformed_pages_leak_no_markup_and_stay_linear():
+    import time
+
+    model = html_extract.train(html_pages.labelled_pages(60))
+    page = "<body><nav><a href='/'>home</a></nav><article><p title=it's>Some words here and there.</p><p a=\"x>y\">And some more of them.</p><p class='open>Last words of all.</p></article></body>"
+    assert model.extract(page) == "Some words here and there.\nAnd some more of them.\nLast words of all."
+    for junk in ("<div>", '<p a="x>', "<", "<a ", "</div>", "<li>", "<!-- ", "='"):
+        began = time.time()
+        model.extract("x" + junk * 20000)
+        assert time.time() - began < 4
