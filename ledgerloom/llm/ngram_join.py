@@ -9,8 +9,10 @@ A document is its set of distinct word shingles; two documents link at Jaccard s
    of one document can't be in any intersection. A document with too many such lone shingles can't reach the threshold.
 2. The rest are collapsed to distinct sets and ordered globally by (frequency, hash), rare first. By the prefix
    principle linked sets share a shingle within their prefixes.
-3. Sets with identical prefix and size are one group. All groups with a prefix shingle in common are candidates if sizes and places
-   permit; group pairs are expanded to members, and members verified exactly.
+3. Sets with identical prefix and size are one group. All groups with a prefix shingle in common are candidates if sizes, places
+   and bitmaps permit; group pairs are expanded to members, and members verified exactly. A bitmap has the parities of a set's
+   shingles by hash: two sets differ in at least as many shingles as bits, and linked sets in a seventh of their sizes' sum at most. Of a
+   group those bits count in which all its members agree.
 4. Pairs inside one component decide nothing, so the order of comparing matters: first, in a few prefix shingles' groups,
    every component's member meets one pivot, another one each round, for as long as many of these pairs link. Then all group
    pairs that are still of different components are expanded and verified.
@@ -43,6 +45,8 @@ LOW_BITS = 40
 FLUSH_ENTRIES, FLUSH_DOCS, BUCKET_TEXT = 3_000_000, 50_000, 8 << 20
 #: Prefix shingles of a set with a pivot; rounds of pivots end after so many, or when less than this share of their pairs links.
 PIVOTS, ROUNDS, WORTH = 3, 8, 0.05
+#: Words of 64 bits of a set's bitmap.
+BITMAP = 4
 _LOW = np.uint64((1 << LOW_BITS) - 1)
 
 
@@ -270,13 +274,22 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, pairs.schema)
 
 
+def _bitmap(tokens: np.ndarray) -> np.ndarray:
+    """For each bit the parity of the number of shingles that fall on it."""
+    odd = np.bincount((mix(tokens) >> np.uint64(56)).astype(np.int64), minlength=64 * BITMAP)[: 64 * BITMAP] & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_MEMBERS = "sig binary, grp binary, n long, lone long, prefix binary, keys array<long>, " + ", ".join(f"bits{i} long" for i in range(BITMAP))
+
+
 def _prefixes(batches):
-    """For each set its group's name, its prefix (the shared shingles, in global order) with the place of the first, and the
-    prefix shingles that get pivots: the least in a few random orders."""
+    """For each set its group's name, its prefix (the shared shingles, in global order) with the place of the first, the
+    prefix shingles that get pivots (the least in a few random orders), and its bitmap."""
     salts = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1) for i in range(PIVOTS)]
     for batch in batches:
         sizes, tokens, frequencies = (batch.column(i).to_pylist() for i in (1, 2, 3))
-        names, raws, lone, keys = [], [], [], []
+        names, raws, lone, keys, bits = [], [], [], [], []
         for n, t, f in zip(sizes, tokens, frequencies, strict=True):
             t, f = np.frombuffer(t, np.uint64), np.frombuffer(f, np.uint16)
             alone, length = n - len(t), n - -(-3 * n // 4) + 1
@@ -285,9 +298,15 @@ def _prefixes(batches):
             names.append(signatures(head * np.arange(1, 2 * len(head), 2, dtype=np.uint64), np.array([len(head)])).tobytes())
             raws.append(own.tobytes())
             lone.append(alone)
+            bits.append(_bitmap(t))
             keys.append(sorted({int(own[np.argmin(mix(own ^ s))].view(np.int64)) for s in salts}))
         cols = [batch.column(0), pa.array(names, pa.binary()), batch.column(1), pa.array(lone, pa.int64()), pa.array(raws, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["sig", "grp", "n", "lone", "prefix", "keys"])
+        bits = np.stack(bits) if bits else np.zeros((0, BITMAP), np.int64)
+        cols += [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(BITMAP)]
+        yield pa.RecordBatch.from_arrays(cols, names=["sig", "grp", "n", "lone", "prefix", "keys", *[f"bits{i}" for i in range(BITMAP)]])
+
+
+_POSTINGS = "token long, place long, grp binary, root binary, n long, lone long, " + ", ".join(f"{k}{i} long" for k in ("all", "any") for i in range(BITMAP))
 
 
 def _explode_prefixes(batches):
@@ -300,7 +319,8 @@ def _explode_prefixes(batches):
             place = np.arange(int(sizes.sum())) - begin[rows] + np.array(part.column(3), np.int64)[rows]
             flat = (np.concatenate(lists) if lists else np.zeros(0, np.uint64)).view(np.int64)
             take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(place)], names=["token", "grp", "root", "n", "place"])
+            rest = [part.column(i).take(take) for i in (0, 1, 2, 3, *range(5, 5 + 2 * BITMAP))]
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(place), *rest], names=[f.split(" ")[0] for f in _POSTINGS.split(", ")])
 
 
 def _bucket_pairs(table: pa.Table) -> pa.Table:
@@ -312,8 +332,15 @@ def _bucket_pairs(table: pa.Table) -> pa.Table:
     one = np.array(table.column("root").is_valid())
     root = np.unique(np.array([x or b"" for x in table.column("root").to_pylist()], object), return_inverse=True)[1]
     root = np.where(one, root, -1 - grp_of)
+    lone, everywhere, anywhere = np.array(table.column("lone"), np.int64), *(np.stack([np.array(table.column(f"{k}{i}"), np.int64).view(np.uint64) for i in range(BITMAP)], axis=1) for k in ("all", "any"))
     order = np.lexsort((n, token))
-    token, n, place, g, root = token[order], n[order], place[order], grp_of[order], root[order]
+    token, n, place, g, root, lone, bits, sure = (x[order] for x in (token, n, place, grp_of, root, lone, everywhere, ~(everywhere ^ anywhere)))
+
+    def alike(x: int, ys: np.ndarray) -> np.ndarray:
+        """Those of ``ys`` whose bitmaps and lone shingles leave room for a link with ``x``."""
+        apart = np.bitwise_count((bits[x] ^ bits[ys]) & sure[x] & sure[ys]).sum(axis=1, dtype=np.int64) + lone[x] + lone[ys]
+        return ys[7 * apart <= n[x] + n[ys]]
+
     ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
     found, at = [], 0
     for to in ends.tolist():
@@ -325,7 +352,7 @@ def _bucket_pairs(table: pa.Table) -> pa.Table:
             for x, last in zip(index.tolist(), reach.tolist(), strict=True):
                 y = slice(x + 1, last)
                 room = 1 + np.minimum(ns[x] - ps[x] - 1, ns[y] - ps[y] - 1)
-                ok = np.flatnonzero((rs[y] != rs[x]) & (7 * room >= 3 * (ns[x] + ns[y]))) + x + 1
+                ok = alike(at + x, np.flatnonzero((rs[y] != rs[x]) & (7 * room >= 3 * (ns[x] + ns[y]))) + x + 1 + at) - at
                 # equal sizes come in any order: the other may be the one that is indexed
                 if len(ok):
                     a, b = np.minimum(gs[x], gs[ok]), np.maximum(gs[x], gs[ok])
@@ -335,7 +362,7 @@ def _bucket_pairs(table: pa.Table) -> pa.Table:
                 x0 = int(np.searchsorted(ns, ns[y], "left"))
                 x = slice(x0, y)
                 room = 1 + np.minimum(ns[x] - ps[x] - 1, ns[y] - ps[y] - 1)
-                ok = np.flatnonzero((rs[x] != rs[y]) & (7 * room >= 3 * (ns[x] + ns[y]))) + x0
+                ok = alike(at + y, np.flatnonzero((rs[x] != rs[y]) & (7 * room >= 3 * (ns[x] + ns[y]))) + x0 + at) - at
                 if len(ok):
                     a, b = np.minimum(gs[y], gs[ok]), np.maximum(gs[y], gs[ok])
                     found.append(a.astype(np.int64) << 32 | b)
@@ -386,20 +413,26 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, folder: str) -> DataFra
 
     sets = documents.where("tokens is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("frequencies").alias("frequencies"))
     sets = written(sets, folder, "sets")
-    members = written(sets.select("sig", "n", "tokens", "frequencies").mapInArrow(_prefixes, "sig binary, grp binary, n long, lone long, prefix binary, keys array<long>"), folder, "members")
+    members = written(sets.select("sig", "n", "tokens", "frequencies").mapInArrow(_prefixes, _MEMBERS), folder, "members")
     roots = _pivot_rounds(members, sets, folder)
 
-    rooted = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "grp", F.coalesce("root", "sig").alias("root"), "n", "lone", "prefix")
+    bits = [f"bits{i}" for i in range(BITMAP)]
+    rooted = members.drop("keys").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     one = F.when(F.min("root") == F.max("root"), F.min("root")).alias("root")
-    groups = written(rooted.groupBy("grp").agg(one, F.first("n").alias("n"), F.first("lone").alias("lone"), F.first("prefix").alias("prefix")), folder, "groups")
-    postings = groups.select("grp", "root", "n", "lone", "prefix").mapInArrow(_explode_prefixes, "token long, grp binary, root binary, n long, place long")
+    agreed = [f(x).alias(x.replace("bits", k)) for k, f in (("all", F.bit_and), ("any", F.bit_or)) for x in bits]
+    groups = written(rooted.groupBy("grp").agg(one, F.first("n").alias("n"), F.first("lone").alias("lone"), F.first("prefix").alias("prefix"), *agreed), folder, "groups")
+    postings = groups.mapInArrow(_explode_prefixes, _POSTINGS)
     spread = postings.withColumn("bucket", F.pmod(F.col("token"), F.lit(max(8, buckets // 4))))
     between = spread.groupBy("bucket").applyInArrow(_bucket_pairs, "ga binary, gb binary").distinct()
     within = groups.where("root is null").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
     group_pairs = written(between.union(within), folder, "group-pairs")
-    sides = [rooted.select(F.col("grp").alias(f"g{x}"), F.col("sig").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
-    pairs = group_pairs.join(sides[0], "ga").join(sides[1], "gb").where("ra != rb")
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, "pairs")
+    sides = [rooted.select(*[F.col(c).alias(f"{x}_{c}") for c in ("grp", "sig", "root", "n", "lone", *bits)]) for x in "ab"]
+    apart = F.col("a_lone") + F.col("b_lone")
+    for x in bits:
+        apart = apart + F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}")))
+    fit = (F.col("a_root") != F.col("b_root")) & (7 * apart <= F.col("a_n") + F.col("b_n"))
+    pairs = group_pairs.join(sides[0], F.col("ga") == F.col("a_grp")).join(sides[1], (F.col("gb") == F.col("b_grp")) & fit)
+    pairs = written(pairs.select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct(), folder, "pairs")
     later = written(_verified(pairs, sets), folder, "links-of-groups")
 
     tree = roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(later)
