@@ -126,14 +126,17 @@ class PpmModel:
             out[new] = low
         return out
 
-    def code_lengths(self, data: np.ndarray, offs: np.ndarray, block: int = 1 << 18) -> np.ndarray:
-        """Bits of every row's text under every language."""
-        grams, out = _grams(data, offs), np.zeros((len(offs) - 1, len(self.languages)))
-        rows = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-        for a in range(0, len(grams), block):
-            bits, r = self._lower(grams[a : a + block], ORDER), rows[a : a + block]
-            first = np.flatnonzero(np.diff(r, prepend=-1))
-            out[r[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.float64)
+    def code_lengths(self, data: np.ndarray, offs: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+        """Bits of every row's text under every language; ``block`` bytes at a time, within a text too."""
+        out = np.zeros((len(offs) - 1, len(self.languages)))
+        for a in range(0, len(data), block):
+            at = np.arange(a, min(a + block, len(data)))
+            rows = np.searchsorted(offs, at, "right") - 1
+            place, grams = at - offs[rows], data[at].astype(_U)
+            for lag in range(1, ORDER + 1):
+                grams |= np.where(place >= lag, data[at - lag], 0).astype(_U) << _U(8 * lag)
+            first = np.flatnonzero(np.diff(rows, prepend=-1))
+            out[rows[first]] += np.add.reduceat(self._lower(grams, ORDER), first, axis=0, dtype=np.float64)
         return out
 
 

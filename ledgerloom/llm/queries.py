@@ -80,8 +80,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_bpe.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    back = byte_bpe.decode_documents(coded.select("doc_id", "ids"), path)
+    back = byte_bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, without=("text",))
     text = F.array_join(F.col("ids").cast("array<string>"), " ")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -44,7 +44,6 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_bpe.encode_documents(docs.select(*DOCUMENT_COLUMNS), path, pattern)
-    back = byte_bpe.decode_documents(coded, path)
+    back = byte_bpe.round_trip(docs.select(*DOCUMENT_COLUMNS), path, pattern)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return back.select(*DOCUMENT_COLUMNS, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))

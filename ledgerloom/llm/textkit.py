@@ -157,12 +157,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
         at = to
 
 
-def annotate(df: DataFrame, compute, fields: list[T.StructField], text_col: str) -> DataFrame:
+def annotate(df: DataFrame, compute, fields: list[T.StructField], text_col: str, without: tuple[str, ...] = ()) -> DataFrame:
     """Every row of ``df`` with new columns. ``compute`` gets a record batch and returns one Arrow array a field.
 
-    A column of ``df`` that has the name of a new one is replaced.
+    A column of ``df`` that has the name of a new one is replaced; those in ``without`` are left out of the result.
     """
-    names = [f.name for f in fields]
+    names = [*(f.name for f in fields), *without]
     keep = [f for f in df.schema.fields if f.name not in names]
     schema = T.StructType(keep + fields)
 
@@ -176,6 +176,7 @@ def annotate(df: DataFrame, compute, fields: list[T.StructField], text_col: str)
                 own = [part.column(part.schema.get_field_index(f.name)) for f in keep]
                 arrays = [a if a.type == f.type else a.cast(f.type) for a, f in zip([*own, *made], target, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in target])
+        pa.default_memory_pool().release_unused()  # the process waits for its next task
 
     return df.mapInArrow(run, schema)
 
