@@ -10,8 +10,10 @@ one is met, at the same offset, by a rolling window of BLOCK words in the other.
    seen twice or more are repeats. Consecutive and overlapping repeats are merged: the maximal exact repeats.
 3. Words covered by a repeat are removed.
 
-Nothing is paired: a passage in a third of all documents is one hash with that many occurrences. Anchors compare by 38
-or more bits (a false hit only adds windows to step 2), windows by 64 bits and more.
+A map task packs some thousand documents as a chunk and sends each distinct hash of it to the hash's bucket once; what the chunk
+has several times is marked so, and the list of its places goes straight to where the chunk's replies meet. So a passage in a third of
+all documents is one entry a chunk, and nothing is paired. Anchors compare by 37 or more bits (a false hit only adds windows to
+step 2), windows by 63 bits and more.
 
 Results for special input: a null or empty text has no words and keeps the empty text; a text with fewer words than a
 window keeps all of them; equal rows are occurrences elsewhere, so both lose their windows; an empty table gives no rows;
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +33,10 @@ from ledgerloom.llm.textkit import mix, power_of_two, release, slices, text_buff
 WINDOW, BLOCK = 35, 18
 FLUSH_WINDOWS, FLUSH_DOCS, BUCKET_TEXT = 4_000_000, 100_000, 8 << 20
 
-_PACKED = "bucket int, chunk long, hashes binary, gaps binary, docs binary"
-_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("gaps", pa.binary()), ("docs", pa.binary())])
+_PACKED = "bucket int, chunk long, kind int, hashes binary, gaps binary, docs binary"
+_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("hashes", pa.binary()), ("gaps", pa.binary()), ("docs", pa.binary())])
+#: Kinds of packed rows: a chunk's documents; entries of a bucket; places that are hits for sure; places that share an entry.
+DOCUMENTS, ENTRIES, SURE, SHARED = range(4)
 _PLACES_ARROW = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("places", pa.binary())])
 _PLACES = "doc_id long, h long, places binary"
 
@@ -50,19 +55,40 @@ def _places(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, np.uint16 if raw[0] == 2 else np.uint32, offset=1), dtype=np.int64)
 
 
-def _send(chunk_docs: np.ndarray, hashes: np.ndarray, low: np.ndarray, buckets: int):
-    """Rows of one chunk: its document table, and for every bucket the hashes of its windows and their places in the
-    chunk. A chunk is named by its content, so that a repeated attempt gives it the same name."""
-    bits = buckets.bit_length() - 1
-    weights = np.arange(1, 2 * chunk_docs.size, 2, dtype=np.uint64)
-    chunk = int(mix(chunk_docs.reshape(-1).view(np.uint64) * weights).sum(dtype=np.uint64).view(np.int64))
-    rows = [(buckets + chunk % 64, chunk, b"", b"", chunk_docs.tobytes())]
-    bucket = (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+def _send(chunk_docs: np.ndarray, hashes: np.ndarray, grid: np.ndarray | None, buckets: int, place: int):
+    """Rows of one chunk: its document table, and for every bucket its distinct hashes and the first place of each. An entry's lowest
+    bit tells whether the chunk has it several times; for anchors, the next one whether one of them is a grid block. Places of
+    a hash that is live within the chunk are sure hits; other places of one hash share its entry. A chunk is named by its content and
+    its place in the input (partition, and number in it)."""
+    bits, anchors = buckets.bit_length() - 1, grid is not None
+    with np.errstate(over="ignore"):
+        weights = np.arange(1, 2 * chunk_docs.size, 2, dtype=np.uint64)
+        content = mix(chunk_docs.reshape(-1).view(np.uint64) * weights).sum(dtype=np.uint64)
+        chunk = int(mix(np.array([content]) ^ mix(np.array([place], np.uint64)))[0].view(np.int64))
+    own = buckets + chunk % buckets
+    rows = [(own, chunk, DOCUMENTS, b"", b"", chunk_docs.tobytes())]
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    counts = np.diff(np.append(heads, len(ranked)))
+    several = counts > 1
+    on_grid = np.add.reduceat(grid[order].astype(np.int64), heads) > 0 if anchors else np.ones(len(heads), bool)
+    sure, shared = np.repeat(several & on_grid, counts), np.repeat(several & ~on_grid, counts)
+    if sure.any():
+        rows.append((own, chunk, SURE, b"", _gaps(np.sort(order[sure])), b""))
+    if shared.any():
+        rows.append((own, chunk, SHARED, counts[several & ~on_grid].astype(np.uint32).tobytes(), order[shared].astype(np.uint32).tobytes(), b""))
+    first, h = order[heads], ranked[heads]
+    entry = ((h & np.uint64(0x3FFFFFFF)) << np.uint64(2) | on_grid.astype(np.uint64) << np.uint64(1) | several).astype(np.uint32) if anchors else h & ~np.uint64(1) | several
+    # distinct hashes in the order of their first places, which then ascend within each bucket
+    by_place = np.argsort(first, kind="stable")
+    first, h, entry = first[by_place], h[by_place], entry[by_place]
+    bucket = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
     order = np.argsort(bucket, kind="stable")
-    low, at = low[order], 0
+    first, entry, at = first[order], entry[order], 0
     for b, to in enumerate(np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()):
         if to > at:
-            rows.append((b, chunk, low[at:to].tobytes(), _gaps(order[at:to]), b""))
+            rows.append((b, chunk, ENTRIES, entry[at:to].tobytes(), _gaps(first[at:to]), b""))
         at = to
         if len(rows) >= 32:
             yield _packed_batch(rows)
@@ -72,14 +98,14 @@ def _send(chunk_docs: np.ndarray, hashes: np.ndarray, low: np.ndarray, buckets:
 
 
 def _send_anchors(buckets: int):
-    """Step 1, map side, over (doc_id, h, text): 31 bits of each hash and whether the window is a grid block."""
+    """Step 1, map side, over (doc_id, h, text)."""
 
-    def flush(held):
-        docs, hashes, low = (np.concatenate([h[i] for h in held]) for i in range(3))
-        yield from _send(docs, hashes, low, buckets)
+    def flush(held, place):
+        docs, hashes, grid = (np.concatenate([h[i] for h in held]) for i in range(3))
+        yield from _send(docs, hashes, grid, buckets, place)
 
     def run(batches):
-        held, size, docs = [], 0, 0
+        held, size, docs, chunk = [], 0, 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 words, first = word_hashes(*text_buffers(part.column(2)))
@@ -91,16 +117,15 @@ def _send_anchors(buckets: int):
                 rows = np.repeat(np.arange(len(own)), n)
                 place = np.arange(int(n.sum())) - (np.cumsum(n) - n)[rows]
                 hashes = hashes[first[own][rows] + place]
-                low = ((hashes & np.uint64(0x7FFFFFFF)) << np.uint64(1) | (place % BLOCK == 0)).astype(np.uint32)
                 ids, null = part.column(0).fill_null(0), np.array(part.column(0).is_null(), np.int64)
                 table = np.stack([np.array(ids, np.int64)[own], np.array(part.column(1), np.int64)[own], n, null[own]], axis=1)
-                held.append((table, hashes, low))
+                held.append((table, hashes, place % BLOCK == 0))
                 size, docs = size + len(hashes), docs + len(own)
                 if size >= FLUSH_WINDOWS or docs >= FLUSH_DOCS:
-                    yield from flush(held)
-                    held, size, docs = [], 0, 0
+                    yield from flush(held, chunk)
+                    held, size, docs, chunk = [], 0, 0, chunk + 1
         if held:
-            yield from flush(held)
+            yield from flush(held, chunk)
 
     return run
 
@@ -109,12 +134,12 @@ def _send_windows(buckets: int):
     """Step 2, map side, over (doc_id, h, z, places): hashes of the windows that hold a hit."""
     import zstandard
 
-    def flush(held):
+    def flush(held, place):
         docs, hashes = (np.concatenate([h[i] for h in held]) for i in range(2))
-        yield from _send(docs, hashes, hashes, buckets)
+        yield from _send(docs, hashes, None, buckets, place)
 
     def run(batches):
-        held, size, unpack = [], 0, zstandard.ZstdDecompressor()
+        held, size, unpack, chunk = [], 0, zstandard.ZstdDecompressor(), TaskContext.get().partitionId() << 32
         for batch in batches:
             for doc_id, h, z, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data = np.frombuffer(unpack.decompress(z), np.uint8)
@@ -136,16 +161,16 @@ def _send_windows(buckets: int):
                 held.append((table, window_hashes(words, WINDOW)[starts]))
                 size += len(starts)
                 if size >= FLUSH_WINDOWS // 2:
-                    yield from flush(held)
-                    held, size = [], 0
+                    yield from flush(held, chunk)
+                    held, size, chunk = [], 0, chunk + 1
         if held:
-            yield from flush(held)
+            yield from flush(held, chunk)
 
     return run
 
 
 def _live(buckets: int, anchors: bool):
-    """A bucket: replies to each chunk with the places of its windows that are live (anchors) or occur twice."""
+    """A bucket: replies to each chunk with the first places of its hashes that are live (anchors) or occur twice."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -154,23 +179,24 @@ def _live(buckets: int, anchors: bool):
         raws = table.column("hashes").to_pylist()
         hashes = [np.frombuffer(x, np.uint32 if anchors else np.uint64) for x in raws]
         flat = np.concatenate(hashes)
-        order = np.argsort(flat >> np.uint32(1) if anchors else flat, kind="stable")
+        drop = flat.dtype.type(2 if anchors else 1)
+        order = np.argsort(flat, kind="stable")
         ranked = flat[order]
-        name = ranked >> np.uint32(1) if anchors else ranked
+        name = ranked >> drop
         heads = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-        sizes = np.diff(np.append(heads, len(name)))
-        good = sizes > 1
+        sizes, one = np.diff(np.append(heads, len(name))), flat.dtype.type(1)
+        good = (sizes > 1) | (np.add.reduceat((ranked & one).astype(np.int64), heads) > 0)
         if anchors:
-            good &= np.add.reduceat((ranked & np.uint32(1)).astype(np.int64), heads) > 0
+            good &= np.add.reduceat((ranked >> one & one).astype(np.int64), heads) > 0
         hit = np.empty(len(flat), bool)
         hit[order] = np.repeat(good, sizes)
         out, at = [], 0
         for chunk, own, raw in zip(table.column("chunk").to_pylist(), hashes, table.column("gaps").to_pylist(), strict=True):
             mine = np.flatnonzero(hit[at : at + len(own)])
             if len(mine):
-                out.append((bucket, chunk, b"", _gaps(_places(raw)[mine]), b""))
+                out.append((bucket, chunk, ENTRIES, b"", _gaps(_places(raw)[mine]), b""))
             at += len(own)
-        cols = list(zip(*out, strict=True)) if out else [()] * 5
+        cols = list(zip(*out, strict=True)) if out else [()] * len(_PACKED_ARROW)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, _PACKED_ARROW.types, strict=True)], schema=_PACKED_ARROW)
 
     return run
@@ -180,15 +206,20 @@ def _gather(anchors: bool):
     """The replies to a chunk as places in its documents: hit words (anchors), or (start, end) words of merged repeats."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, places = None, []
-        for gaps, raw in zip(table.column("gaps").to_pylist(), table.column("docs").to_pylist(), strict=True):
-            if raw:
+        docs, places, shared = None, [], None
+        for kind, hashes, gaps, raw in zip(*(table.column(c).to_pylist() for c in ("kind", "hashes", "gaps", "docs")), strict=True):
+            if kind == DOCUMENTS:
                 docs = np.frombuffer(raw, np.int64).reshape(-1, 4 if anchors else 5)
+            elif kind == SHARED:
+                shared = np.frombuffer(gaps, np.uint32).astype(np.int64), np.frombuffer(hashes, np.uint32).astype(np.int64)
             else:
                 places.append(_places(gaps))
         if docs is None:
             raise RuntimeError("a chunk has no document table")
-        at = np.sort(np.concatenate(places)) if places else np.zeros(0, np.int64)
+        at = np.unique(np.concatenate(places)) if places else np.zeros(0, np.int64)
+        if shared is not None:
+            held, counts = shared
+            at = np.union1d(at, held[np.repeat(np.isin(held[np.cumsum(counts) - counts], at), counts)])
         size = docs[:, 2] if anchors else docs[:, 3]
         begin = np.cumsum(size) - size
         row = np.searchsorted(begin, at, "right") - 1
