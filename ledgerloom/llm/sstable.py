@@ -15,8 +15,9 @@ flipped, so that byte order is numeric order. A value holds the ids as unsigned
 A lookup asks the Bloom filter, finds the block by binary search over the index and reads one block (more if
 equal keys go on in the next).
 
-Shards are ranges of identifiers, so shard after shard gives all documents in ascending order. An identifier
-with more rows than a shard takes is spread over several shards by the hash of its text.
+Shards are the ranges that Spark's range partitioning makes of (identifier, hash of the text, number of the row), one partition a
+shard, so shard after shard gives all documents in ascending order, and an identifier with very many rows, equal ones too, is spread
+over several shards.
 
 Results for special input: a null or empty text has only the end id; null identifiers come first; rows
 with equal identifiers are all kept, ordered by the hash of their text; an empty table gives no shard.
@@ -24,6 +25,7 @@ with equal identifiers are all kept, ordered by the hash of their text; an empty
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -31,16 +33,17 @@ import uuid
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerloom.llm.byte_bpe import GenerationCache
-from ledgerloom.llm.textkit import annotate, slices, text_buffers, text_volume, workspace, written
+from ledgerloom.llm.textkit import slices, text_buffers, text_volume, workspace, written
 
 BLOCK_BYTES = 64 << 10
 #: Bytes of text for which one shard is made.
@@ -193,13 +196,21 @@ class TableReader:
         return out
 
 
+# The steps before the model (normaliser, pre-tokenizer, none after) under which encoding by words is exact.
+_STEPS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    None,
+]
+
+
 class WordEncoder:
     """Ids by the ``tokenizers`` library.
 
     The vocabulary drops white space, never joins characters over it and lower-cases, so text is encoded word by
     word after A-Z are lowered, and the ids of recurring words come from a table of bounded size. Of a word that is
     letters and then ASCII marks (no digit or apostrophe) both parts are looked up on their own, since
-    the pre-tokenizer cuts between them.
+    the pre-tokenizer cuts between them. A tokenizer file with other steps before the model is used for whole texts instead.
     """
 
     def __init__(self, path: str):
@@ -207,6 +218,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        told = json.loads(Path(path).read_text())
+        self.by_words = [told["normalizer"], told["pre_tokenizer"], told["post_processor"]] == _STEPS and not any(t["normalized"] for t in told["added_tokens"])
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.code, self.cache = (np.uint16, "H", GenerationCache(WORDS_CACHED)) if self.width == 2 else (np.uint32, "I", GenerationCache(WORDS_CACHED))
         self.two_parts = re.compile(rb"(%b)([!-&(-/:-@\[-`{-~]+)" % LETTERS).fullmatch
@@ -240,6 +253,8 @@ class WordEncoder:
         return [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in parts]
 
     def encode(self, text: bytes) -> bytes:
+        if not self.by_words or b"<|" in text:  # an added token may hold a blank or reach over one
+            return array(self.code, self.library.encode(text.decode(), add_special_tokens=False).ids).tobytes()
         return b"".join(self.cache.fill(text.lower().split(), self._encode_words))
 
 
@@ -256,58 +271,30 @@ def write_tables(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
     """Encode every whole text, append ``end_id`` and write shards. Returns the manifest: one row a shard with
     (shard, path, n_docs, n_tokens, start), ``start`` being the ids of all shards before it.
 
-    Shard borders come from the identifiers alone, so texts are encoded once and shuffled once, as ids.
+    Texts are shuffled once; each partition is encoded and written in one pass, and only the manifest's rows come back.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shards = max(1, -(-text_volume(docs, "text") // SHARD_TEXT_BYTES))
-    spark, borders = df.sparkSession, []
-    if shards > 1:
-        cuts = [i / shards for i in range(1, shards)]
-        borders = docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * shards)).alias("q")).first()["q"] or []
-    # a shard is 2 * (borders below) for what lies between borders; an identifier that makes several borders has its rows spread over them
-    spread = {b: borders.count(b) for b in borders if borders.count(b) > 1}
-    where = F.lit(0)
-    for lo in range(0, len(borders), 64):  # blocks of borders keep the expression flat
-        part = F.array(*[F.lit(b).cast("long") for b in borders[lo : lo + 64]])
-        where = where + F.size(F.filter(part, lambda b: b < F.coalesce(F.col("doc_id"), F.lit(-(2**63)))))
-    h = F.xxhash64("text")
-    for b, n in spread.items():
-        where = where + F.when(F.col("doc_id") == b, F.least(F.lit(n), F.floor((h / F.lit(2.0**64) + 0.5) * (n + 1)).cast("int"))).otherwise(0)
-    keyed = docs.withColumn("h", h).withColumn("shard", where.cast("int"))
-
-    def encode(part: pa.RecordBatch) -> list[pa.Array]:
-        enc = _encoder(tokenizer_path)
-        tail = np.array([end_id], enc.kind).tobytes()
-        data, offs = text_buffers(part.column(part.schema.get_field_index("text")))
-        raw, offs = data.tobytes(), offs.tolist()
-        return [pa.array([enc.encode(raw[a:b]) + tail for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary())]
-
-    coded = annotate(keyed, encode, [T.StructField("ids", T.BinaryType())], "text").drop("text")
-
-    width = WordEncoder(tokenizer_path).width
+    text = F.col(text_col).cast("string")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    shards = max(1, -(-text_volume(df.select(text.alias("text")), "text") // SHARD_TEXT_BYTES))
+    order = [F.asc_nulls_first("doc_id"), F.asc("h"), F.asc("row")]
+    rows = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches):
-        _LOADED.clear()  # a worker that encoded before needs its table of words no more
-        at, writer, rows = None, None, []
-
-        def done():
-            writer.close()
-            rows.append((at, f"{folder}/shard-{at:08d}.sst", writer.documents, writer.tokens))
-
+        enc, at, writer = _encoder(tokenizer_path), TaskContext.get().partitionId(), None
+        path, tail = f"{folder}/shard-{at:08d}.sst", np.array([end_id], enc.kind).tobytes()
         for batch in batches:
-            for key, shard, ids in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "shard", "ids")), strict=True):
-                if shard != at:
-                    if writer:
-                        done()
-                    at, writer = shard, TableWriter(f"{folder}/shard-{shard:08d}.sst", width)
-                writer.add(key_of(key), ids)
+            for part in slices(batch, "text"):
+                data, offs = text_buffers(part.column(1))
+                raw, offs = data.tobytes(), offs.tolist()
+                for key, a, b in zip(part.column(0).to_pylist(), offs[:-1], offs[1:], strict=True):
+                    writer = writer or TableWriter(path, enc.width)
+                    writer.add(key_of(key), enc.encode(raw[a:b]) + tail)
         if writer:
-            done()
-        cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "path", "n_docs", "n_tokens"])
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([path]), pa.array([writer.documents], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])
+        pa.default_memory_pool().release_unused()
 
-    sorted_rows = coded.repartition(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "h", "ids")
-    manifest = written(sorted_rows.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), folder, "manifest")
+    manifest = written(rows.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), folder, "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -336,7 +323,7 @@ def read_tables(manifest: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), lists], names=["doc_id", "start", "ids"])
 
     n = max(1, manifest.count())
-    return manifest.select("path", "start", "shard").repartition(n, "shard").select("path", "start").mapInArrow(read, "doc_id long, start long, ids array<int>")
+    return manifest.select("path", "start", "shard").repartitionByRange(n, "shard").select("path", "start").mapInArrow(read, "doc_id long, start long, ids array<int>")
 
 
 def token_digests(tables: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators on awkward rows and on nothing, and queries against brute force on the small tables."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +89,16 @@ def test_substrings(spark, awkward, nothing, docs):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_substrings_of_equal_rows_in_two_partitions(spark):
+    """As of a file that is there twice, and passages that one chunk, or each of two, has several times."""
+    words = [f"v{i}" for i in range(300)]
+    rows = [(1, " ".join(words[:60] + words[100:160] + words[10:55])), (2, " ".join(words[200:290])), (3, " ".join(words[105:150])), (4, " ".join(["x", *words[210:250], "y", *words[215:252]])), (5, "few words")]
+    frame = lambda rows, n: spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "doc_id long, text string")
+    for given, parts in ((rows, 1), (rows, 5), (rows + rows, 2)):
+        out = substring_dedup.remove_repeats(frame(given, parts)).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256))
+        assert sorted((tuple(r) for r in out.collect()), key=str) == brute.repeats(given)
+
+
 def test_chat_trees(spark, duck):
     from ledgerloom.llm.oracles import ORACLES
 
@@ -198,9 +210,9 @@ def test_token_tables(spark, awkward, nothing, tmp_path, docs):
     got = {r["doc_id"]: r for r in queries.op9_token_tables(spark, SMALL).collect()}
     at = 0
     for i, t in sorted(docs):
-        n = len(library.encode(t or "", add_special_tokens=False).ids) + 1
-        assert (got[i]["start"], got[i]["n_tokens"]) == (at, n)
-        at += n
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
     manifest = sstable.write_tables(awkward, WORDS, str(tmp_path / "a"))
     rows = sstable.read_tables(manifest).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [None, None, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9] and all(r["ids"][-1] == 1 for r in rows)
@@ -210,10 +222,10 @@ def test_token_tables(spark, awkward, nothing, tmp_path, docs):
 
 def test_hot_identifier_spreads_over_shards(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sstable, "SHARD_TEXT_BYTES", 400)
-    rows = [(5, f"text number {i}") for i in range(200)] + [(i, "x") for i in range(3)] + [(9, "y")]
+    rows = [(5, f"text number {i // 4}") for i in range(200)] + [(6, "the same")] * 100 + [(i, "x") for i in range(3)] + [(9, "y")]
     manifest = sstable.write_tables(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, str(tmp_path / "hot"))
     out = sstable.read_tables(manifest).orderBy("start").collect()
-    assert len(out) == 204 and [r["doc_id"] for r in out] == sorted(i for i, _ in rows) and manifest.agg(F.max("n_docs")).first()[0] < 150
+    assert len(out) == 304 and [r["doc_id"] for r in out] == sorted(i for i, _ in rows) and manifest.agg(F.max("n_docs")).first()[0] < 100
 
 
 def test_decontamination(spark, awkward, nothing, docs):
