@@ -2,12 +2,14 @@
 
 Every text gets counts, and base rules on them. Texts that pass are judged by a vector of transformed statistics
 (log words, log mean word length, logs of symbols, repeated lines and repeated words per 100 words) against a
-minimum-covariance-determinant estimate of their language and source: from the coordinate-wise medians, C_STEPS
-concentration steps each refit centre and covariance on the SUBSET share of the rows that is nearest under the last fit, which
-never raises the determinant. A row is rejected when its squared Mahalanobis distance under the last fit is over CUTOFF.
+minimum-covariance-determinant estimate of their language and source. Three deterministic starts are taken (coordinate-wise medians
+with quartile scales; the correlations of tanh of the standardised rows; those of their spatial signs), each is improved by C_STEPS concentration
+steps, which refit centre and covariance on the SUBSET share of the rows nearest under the last fit and never raise the determinant, and the start
+with the smallest determinant wins. A row is rejected when its squared Mahalanobis distance under that fit is over CUTOFF.
 
-FLOORS are added to the standard deviations: most texts have no symbol at all, and a determinant of zero would
-make a single one an outlier. Groups of fewer than LEAST_ROWS passing rows share one pooled estimate.
+The covariance is regularised by a diagonal target (FLOORS squared is added to the variances): most texts have no symbol at all, and a
+determinant of zero would make a single one an outlier. Determinants are compared with it. Groups of fewer than LEAST_ROWS
+passing rows share one pooled estimate.
 
 All group statistics are partial aggregates (sums and mergeable quantile sketches), so a group with a third of all rows
 is reduced before the shuffle. The estimates, one row a language and source, are broadcast only if they are at
@@ -83,60 +85,93 @@ def _vector() -> list[Column]:
     return [F.log1p(F.col("n_words").cast("double")), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), *rates]
 
 
-def _cholesky(cov: dict[tuple[int, int], Column]) -> Column:
-    """Lower factor, row by row, as one array; each entry is bound once."""
-    order = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
+def _inverse(matrix: Column) -> Column:
+    """(p, ld) of a positive definite matrix as a flat array: its inverse, by Gauss-Jordan steps, and the logarithm of its determinant."""
+    n = DIMENSIONS
 
-    def entry(i: int, j: int, known: dict) -> Column:
-        rest = cov[i, j]
-        for k in range(j):
-            rest = rest - known[i, k] * known[j, k]
-        return F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / known[j, j]
+    def step(s: Column, k: Column) -> Column:
+        a = s["p"]
+        at = lambda i, j: F.get(a, (i * n + j).cast("int"))
+        pivot = F.greatest(at(k, k), F.lit(1e-12))
 
-    def chain(at: int, known: dict) -> Column:
-        if at == len(order):
-            return F.array(*[known[o] for o in order])
-        return F.get(F.transform(F.array(entry(*order[at], known)), lambda v: chain(at + 1, {**known, order[at]: v})), F.lit(0))
+        def entry(e: Column) -> Column:
+            i, j = F.floor(e / n).cast("int"), e % n
+            return F.when((i == k) & (j == k), 1 / pivot).when(i == k, at(k, j) / pivot).when(j == k, -at(i, k) / pivot).otherwise(at(i, j) - at(i, k) * at(k, j) / pivot)
 
-    return chain(0, {})
+        return F.struct(F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), entry).alias("p"), (s["ld"] + F.log(pivot)).alias("ld"))
+
+    start = F.struct(matrix.alias("p"), F.lit(0.0).alias("ld"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, step)
+
+
+def _fit(groups: DataFrame, centre: list[Column], cov) -> DataFrame:
+    """(gl, gs, start, m, p, ld) from columns of ``groups``; ``cov(i, j)`` for i >= j."""
+    flat = F.array(*[cov(max(i, j), min(i, j)) for i in range(DIMENSIONS) for j in range(DIMENSIONS)])
+    out = groups.select("gl", "gs", "start", F.array(*centre).alias("m"), flat.alias("c")).withColumn("i", _inverse(F.col("c")))
+    return out.select("gl", "gs", "start", "m", F.col("i.p").alias("p"), F.col("i.ld").alias("ld"))
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance of x1.. from the centre m with factor f."""
-    z: list[Column] = []
+    """Squared Mahalanobis distance of x0.. from the centre m with the inverse p."""
+    y = [F.col(f"x{i}") - F.get("m", F.lit(i)) for i in range(DIMENSIONS)]
+    total = F.lit(0.0)
     for i in range(DIMENSIONS):
-        rest = F.col(f"x{i}") - F.get("m", F.lit(i))
-        for k in range(i):
-            rest = rest - F.get("f", F.lit(i * (i + 1) // 2 + k)) * z[k]
-        z.append(rest / F.get("f", F.lit(i * (i + 1) // 2 + i)))
-    total = z[0] * z[0]
-    for v in z[1:]:
-        total = total + v * v
+        row = F.get("p", F.lit(i * DIMENSIONS + i)) * y[i]
+        for j in range(i):
+            row = row + 2 * F.get("p", F.lit(i * DIMENSIONS + j)) * y[j]
+        total = total + row * y[i]
     return total
 
 
-def _with_fit(rows: DataFrame, fit: DataFrame, groups: int) -> DataFrame:
-    return rows.join(F.broadcast(fit) if groups <= BROADCAST_GROUPS else fit, ["gl", "gs"], "left")
+def _with_fit(rows: DataFrame, fit: DataFrame, groups: int, *also: str, how: str = "inner") -> DataFrame:
+    return rows.join(F.broadcast(fit) if groups <= BROADCAST_GROUPS else fit, ["gl", "gs", *also], how)
+
+
+def _starts(rows: DataFrame, folder: str) -> tuple[DataFrame, int]:
+    """The three first fits of each group, and the number of groups."""
+    xs, dims = [f"x{i}" for i in range(DIMENSIONS)], range(DIMENSIONS)
+    told = rows.groupBy("gl", "gs").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(x) for x in xs])
+    scale = lambda x, i: F.sqrt(F.pow((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, 2) + FLOORS[i] ** 2)
+    told = written(told.select("gl", "gs", F.array(*[F.get(x, F.lit(1)) for x in xs]).alias("m"), F.array(*[scale(x, i) for i, x in enumerate(xs)]).alias("d")), folder, "medians")
+    groups = told.count()
+    z = _with_fit(rows, told, groups).select("gl", "gs", *[((F.col(x) - F.get("m", F.lit(i))) / F.get("d", F.lit(i))).alias(f"z{i}") for i, x in enumerate(xs)])
+    norm = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in dims[1:]), F.col("z0") * F.col("z0"))
+    z = z.withColumn("r", F.greatest(norm, F.lit(1e-12))).withColumns({f"t{i}": F.tanh(f"z{i}") for i in dims})
+    tanh = [F.avg(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"t{i}{j}") for i in dims for j in range(i + 1)]
+    sign = [F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("r")).alias(f"s{i}{j}") for i in dims for j in range(i + 1)]
+    both = _with_fit(z.groupBy("gl", "gs").agg(*tanh, *sign), told, groups)
+    centre, out = [F.get("m", F.lit(i)) for i in dims], None
+    for k, name in enumerate(("", "t", "s")):
+
+        def cov(i: int, j: int, name=name) -> Column:
+            scales = F.get("d", F.lit(i)) * F.get("d", F.lit(j))
+            if i == j:
+                return scales
+            if not name:
+                return F.lit(0.0)
+            own = F.sqrt(F.greatest(F.col(f"{name}{i}{i}") * F.col(f"{name}{j}{j}"), F.lit(1e-12)))
+            return scales * 0.95 * F.col(f"{name}{i}{j}") / own  # correlations a little under their bound
+
+        one = _fit(both.withColumn("start", F.lit(k)), centre, cov)
+        out = one if out is None else out.union(one)
+    return written(out, folder, "fit-0"), groups
 
 
 def fit_groups(rows: DataFrame, folder: str) -> tuple[DataFrame, int]:
-    """MCD fit (gl, gs, m, f) of each group of ``rows`` (gl, gs, x0..), and the number of groups."""
-    xs = [f"x{i}" for i in range(DIMENSIONS)]
-    start = rows.groupBy("gl", "gs").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(x) for x in xs])
-    spread = {(i, j): (F.pow((F.get(f"x{i}", F.lit(2)) - F.get(f"x{i}", F.lit(0))) / 1.349, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(i + 1)}
-    fit = written(start.select("gl", "gs", F.array(*[F.get(x, F.lit(1)) for x in xs]).alias("m"), _cholesky(spread).alias("f")), folder, "fit-0")
-    groups = fit.count()
+    """MCD fit (gl, gs, m, p, ld) of each group of ``rows`` (gl, gs, x0..), and the number of groups."""
+    dims = range(DIMENSIONS)
+    fit, groups = _starts(rows, folder)
     for step in range(1, C_STEPS + 1):
         far = _with_fit(rows, fit, groups).withColumn("d", _distance())
-        border = written(far.groupBy("gl", "gs").agg(F.percentile_approx("d", SUBSET, 5000).alias("q")), folder, f"border-{step}")
-        near = _with_fit(far, border, groups).where("d <= q")
-        y = [F.col(x) - F.get("m", F.lit(i)) for i, x in enumerate(xs)]  # about the last centre, for exact sums
-        sums = [F.sum(y[i]).alias(f"s{i}") for i in range(DIMENSIONS)] + [F.sum(y[i] * y[j]).alias(f"p{i}{j}") for i in range(DIMENSIONS) for j in range(i + 1)]
-        moments = near.groupBy("gl", "gs").agg(F.count("*").alias("n"), F.first("m").alias("m"), *sums)
-        centre = F.array(*[F.get("m", F.lit(i)) + F.col(f"s{i}") / F.col("n") for i in range(DIMENSIONS)])
-        cov = {(i, j): CONSISTENCY * (F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.pow("n", F.lit(2))) + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(DIMENSIONS) for j in range(i + 1)}
-        fit = written(moments.select("gl", "gs", centre.alias("m"), _cholesky(cov).alias("f")), folder, f"fit-{step}")
-    return fit, groups
+        border = written(far.groupBy("gl", "gs", "start").agg(F.percentile_approx("d", SUBSET, 5000).alias("q")), folder, f"border-{step}")
+        near = _with_fit(far, border, groups, "start").where("d <= q")
+        y = [F.col(f"x{i}") - F.get("m", F.lit(i)) for i in dims]  # about the last centre, for exact sums
+        sums = [F.avg(y[i]).alias(f"s{i}") for i in dims] + [F.avg(y[i] * y[j]).alias(f"p{i}{j}") for i in dims for j in range(i + 1)]
+        moments = near.groupBy("gl", "gs", "start").agg(F.first("m").alias("m"), *sums)
+        cov = lambda i, j: CONSISTENCY * (F.col(f"p{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}")) + (FLOORS[i] ** 2 if i == j else 0.0)
+        fit = written(_fit(moments, [F.get("m", F.lit(i)) + F.col(f"s{i}") for i in dims], cov), folder, f"fit-{step}")
+    best = fit.groupBy("gl", "gs").agg(F.min_by(F.struct("m", "p", "ld"), F.struct("ld", "start")).alias("b"))
+    return written(best.select("gl", "gs", "b.*"), folder, "fit"), groups
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", folder: str | None = None) -> DataFrame:
@@ -153,6 +188,6 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     name = lambda c: F.when(own, F.concat(F.lit("="), F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")))).otherwise("*")
     placed = placed.withColumns({"gl": name("lang"), "gs": name("source"), **{f"x{i}": v for i, v in enumerate(_vector())}})
     fit, groups = fit_groups(placed.where("not base_failed").select("gl", "gs", *[f"x{i}" for i in range(DIMENSIONS)]), folder)
-    told = _with_fit(placed, fit, groups).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    told = _with_fit(placed, fit, groups, how="left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return told.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))

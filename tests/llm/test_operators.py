@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import byte_bpe, chat_tree, components, decontaminate, html_extract, language_ppm, ngram_join, pii, quality_mcd, queries, sstable, substring_dedup
+from ledgerloom.llm import byte_bpe, chat_tree, components, decontaminate, html_extract, language_ppm, ngram_join, pii, quality_mcd, queries, sstable, substring_dedup, textkit
 from tests.conftest import SMALL
 from tests.llm import brute
 from tests.llm.conftest import LONG, PASSAGE
@@ -38,6 +38,36 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[1000 + i] for i in range(20))
 
 
+def test_quality_verdicts_equal_a_search_over_random_starts(spark):
+    """The determinant is as small as the best of many random starts finds, and the verdicts are the same."""
+    rng, rows = np.random.default_rng(4), []
+    for k, (g, n) in enumerate([("en", 240), ("fr", 120)]):
+        mix = rng.normal(size=(quality_mcd.DIMENSIONS, quality_mcd.DIMENSIONS))
+        x = rng.normal(size=(n, quality_mcd.DIMENSIONS)) @ mix + k
+        x[: n // 6] = rng.normal(size=(n // 6, quality_mcd.DIMENSIONS)) * 0.3 + 25  # a cluster of outliers
+        rows += [(g, "s", *map(float, r)) for r in x]
+    names = [f"x{i}" for i in range(quality_mcd.DIMENSIONS)]
+    df = spark.createDataFrame(rows, "gl string, gs string, " + ", ".join(f"{x} double" for x in names))
+    fit, groups = quality_mcd.fit_groups(df, textkit.workspace(spark))
+    told = {r["gl"]: r for r in fit.collect()}
+    assert groups == 2
+    floors = np.diag(np.square(quality_mcd.FLOORS))
+    for g in told:
+        x = np.array([r[2:] for r in rows if r[0] == g])
+        best = (np.inf, None)
+        for _ in range(60):
+            own = x[rng.choice(len(x), quality_mcd.DIMENSIONS + 1, replace=False)]
+            for _ in range(60):
+                m, c = own.mean(0), quality_mcd.CONSISTENCY * np.cov(own.T, bias=True) + floors
+                d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+                own = x[d <= np.sort(d)[int(np.ceil(quality_mcd.SUBSET * len(x))) - 1]]
+            best = min(best, (np.linalg.slogdet(c)[1], d), key=lambda b: b[0])
+        ours = x - np.array(told[g]["m"])
+        d = np.einsum("ij,jk,ik->i", ours, np.array(told[g]["p"]).reshape(len(names), -1), ours)
+        assert told[g]["ld"] <= best[0] + 0.02
+        assert ((d > quality_mcd.CUTOFF) == (best[1] > quality_mcd.CUTOFF)).all() and (d > quality_mcd.CUTOFF)[: len(x) // 6].all()
+
+
 def test_near_duplicates(spark, awkward, nothing, docs):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op2_ngram_jaccard(spark, SMALL).collect()}
     assert got == brute.components(docs)
