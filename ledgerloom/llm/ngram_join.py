@@ -42,7 +42,7 @@ SHINGLE = 5
 #: Links need 100 * intersection >= 75 * union, i.e. 7 * intersection >= 3 * (size + size).
 LOW_BITS = 40
 #: Shingles that a map task gathers before it sends them off, documents likewise, and bytes of text behind a bucket.
-FLUSH_ENTRIES, FLUSH_DOCS, BUCKET_TEXT = 3_000_000, 50_000, 8 << 20
+FLUSH_ENTRIES, FLUSH_DOCS, BUCKET_TEXT = 1_000_000, 50_000, 8 << 20
 #: Prefix shingles of a set with a pivot; rounds of pivots end after so many, or when less than this share of their pairs links.
 PIVOTS, ROUNDS, WORTH = 3, 8, 0.05
 #: Words of 64 bits of a set's bitmap.
@@ -125,6 +125,7 @@ def _send_shingles(buckets: int):
 
     def flush(held, place):
         ids, null, texts, sizes, tokens = (np.concatenate([h[i] for h in held]) for i in range(5))
+        held.clear()
         sigs, docs = signatures(tokens, sizes), np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
         with np.errstate(over="ignore"):
             content = mix((sigs[:, 0] ^ mix(ids.view(np.uint64))) * np.arange(1, 2 * len(ids), 2, dtype=np.uint64)).sum(dtype=np.uint64)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.textkit import mix, power_of_two, release, slices, text_buffers, text_volume, window_hashes, word_hashes, workspace, written
 
 WINDOW, BLOCK = 35, 18
-FLUSH_WINDOWS, FLUSH_DOCS, BUCKET_TEXT = 4_000_000, 100_000, 8 << 20
+FLUSH_WINDOWS, FLUSH_DOCS, BUCKET_TEXT = 1_500_000, 100_000, 8 << 20
 
 _PACKED = "bucket int, chunk long, kind int, hashes binary, gaps binary, docs binary"
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("hashes", pa.binary()), ("gaps", pa.binary()), ("docs", pa.binary())])
@@ -102,6 +102,7 @@ def _send_anchors(buckets: int):
 
     def flush(held, place):
         docs, hashes, grid = (np.concatenate([h[i] for h in held]) for i in range(3))
+        held.clear()
         yield from _send(docs, hashes, grid, buckets, place)
 
     def run(batches):
@@ -136,6 +137,7 @@ def _send_windows(buckets: int):
 
     def flush(held, place):
         docs, hashes = (np.concatenate([h[i] for h in held]) for i in range(2))
+        held.clear()
         yield from _send(docs, hashes, None, buckets, place)
 
     def run(batches):
