@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
-from ledgerloom.llm.textkit import mix, power_of_two, release, slices, text_buffers, text_volume, window_hashes, word_hashes, workspace, written
+from ledgerloom.llm.textkit import discard, mix, power_of_two, release, slices, text_buffers, text_volume, window_hashes, word_hashes, workspace, written
 
 SHINGLE = 5
 #: Links need 100 * intersection >= 75 * union, i.e. 7 * intersection >= 3 * (size + size).
@@ -444,7 +444,11 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, folder: str) -> DataFra
     named = least.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = least.join(named, "root").select("sig", "root", "component_id")
     out = documents.select("doc_id", "h", "sig", "n").join(labels, "sig", "left")
-    return out.select("doc_id", "h", "root", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.select("doc_id", "h", "root", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    told = written(out, folder, "labelled")
+    discard(spark, *[f"{folder}/{x}" for x in ("documents", "sets", "members", "groups", "group-pairs", "pairs", "links-of-groups", "keys", "all")])
+    discard(spark, *[f"{folder}/{x}-{k}" for k in range(ROUNDS) for x in ("spokes", "links-to-pivots", "pivots", "roots")])
+    return told
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -455,8 +459,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of every component one row, that with the smallest identifier (null last; of equal ones the smallest hash of text, then of
     the row); all rows without words stay. Rows of one identifier whose texts don't link are components of their own."""
-    folder = workspace(df.sparkSession)
-    found = written(_labelled(df, id_col, text_col, folder), folder, "labelled")
+    found = _labelled(df, id_col, text_col, workspace(df.sparkSession))
     first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("f")).select(F.col("f.doc_id").alias("_i"), F.col("f.h").alias("_h")).distinct()
     own = df.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.xxhash64(F.col(text_col).cast("string"))})
     chosen = own.join(first, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_h")), "left_semi")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.textkit import workspace, written
+from ledgerloom.llm.textkit import discard, workspace, written
 
 LEAST_WORDS, REPEAT_PERCENT = 10, 20
 SUBSET, C_STEPS = 0.75, 3
@@ -171,7 +171,9 @@ def fit_groups(rows: DataFrame, folder: str) -> tuple[DataFrame, int]:
         cov = lambda i, j: CONSISTENCY * (F.col(f"p{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}")) + (FLOORS[i] ** 2 if i == j else 0.0)
         fit = written(_fit(moments, [F.get("m", F.lit(i)) + F.col(f"s{i}") for i in dims], cov), folder, f"fit-{step}")
     best = fit.groupBy("gl", "gs").agg(F.min_by(F.struct("m", "p", "ld"), F.struct("ld", "start")).alias("b"))
-    return written(best.select("gl", "gs", "b.*"), folder, "fit"), groups
+    best = written(best.select("gl", "gs", "b.*"), folder, "fit")
+    discard(rows.sparkSession, f"{folder}/medians", *[f"{folder}/{x}-{k}" for k in range(C_STEPS + 1) for x in ("border", "fit")])
+    return best, groups
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", folder: str | None = None) -> DataFrame:

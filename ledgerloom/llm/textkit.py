@@ -187,14 +187,27 @@ def strings(part: pa.RecordBatch, column: str) -> list[str]:
 
 
 def workspace(spark: SparkSession) -> str:
-    """A fresh folder in the shared checkpoint folder of the cluster (a local one only where none is set)."""
+    """A fresh folder in the shared checkpoint folder of the cluster. Where none is set, one of this machine serves, but only if driver and
+    executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = set_already.get() if set_already.isDefined() else "/tmp/checkpoints"
+        base = set_already.get() if set_already.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of a workspace that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """``df`` written as a table of the shared folder and read again: cuts lineage, survives lost executors."""
     path = f"{folder}/{name}"
