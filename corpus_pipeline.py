@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import stages
-from ledgerloom.llm.textkit import workspace
+from ledgerloom.llm.textkit import discard, workspace
 
 STAGES = [
     ("language_id", stages.keep_known_language),
@@ -20,10 +20,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``, each written as Parquet to the shared folder and reread."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), workspace(spark)
+    """The stages in order over ``documents``, each written as Parquet to the shared folder and reread; only the last one's table stays."""
+    docs, before, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), "", workspace(spark)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            discard(spark, before)
+        before = path
     return docs
