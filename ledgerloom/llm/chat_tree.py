@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.llm.byte_bpe import tokenizer, vocabulary
-from ledgerloom.llm.textkit import workspace, written
+from ledgerloom.llm.textkit import tidy, workspace, written
 
 # The template's control strings, with the backslashes that escaping puts after their first character.
 _CONTROLS = re.compile(r"(<)(\\*)(/?s>)|(\[)(\\*)(/?INST\])|(<)(\\*)(<)|(>)(\\*)(>)")
@@ -124,7 +124,7 @@ def build_trees(df: DataFrame, tokenizer_path: str, pattern: str, conv_col: str
     leaves = named.groupBy("conv_id").agg(F.max_by("node", "k").alias("node"))
 
     merged = named.groupBy("node").agg(F.first("role").alias("role"), F.first("text").alias("text"), F.first("path").alias("path"))
-    nodes = written(merged.mapInArrow(_encode_nodes(tokenizer_path, pattern), "node string, role string, path array<string>, ids array<int>, n_tokens long, loss struct<start: int, end: int>"), folder, "nodes")
+    nodes = written(merged.mapInArrow(tidy(_encode_nodes(tokenizer_path, pattern)), "node string, role string, path array<string>, ids array<int>, n_tokens long, loss struct<start: int, end: int>"), folder, "nodes")
 
     # depth-first order is the order of paths: ranges, then a running sum within each and over their totals
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -166,4 +166,4 @@ def read_back(nodes: DataFrame, leaves: DataFrame, tokenizer_path: str) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(turns, kind), pa.array([len(s) for s in texts], pa.int64()), pa.array(losses, pa.string())], names=["conv_id", "turns", "formatted_chars", "loss_text"])
 
     id_type = leaves.schema["conv_id"].dataType.simpleString()
-    return whole.select("conv_id", "nodes").mapInArrow(run, f"conv_id {id_type}, turns array<struct<role: string, text: string>>, formatted_chars long, loss_text string")
+    return whole.select("conv_id", "nodes").mapInArrow(tidy(run), f"conv_id {id_type}, turns array<struct<role: string, text: string>>, formatted_chars long, loss_text string")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.textkit import annotate, mix, text_buffers, window_hashes, word_hashes, word_spans, workspace, written
+from ledgerloom.llm.textkit import annotate, mix, text_buffers, tidy, window_hashes, word_hashes, word_spans, workspace, written
 
 SHINGLE, SIMILARITY = 5, 0.75
 FINGERPRINT, BLOCKS, NEAR = 256, 16, 3
@@ -248,7 +248,7 @@ def _united(table: pa.Table) -> pa.Table:
 
 def _with_bitmap(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of (h, g, text) that have a shingle of some item, and some others."""
-    slots = items.select("t").mapInArrow(_bitmap_slots, "slot int, bits binary").groupBy("slot").applyInArrow(_united, "slot int, bits binary")
+    slots = items.select("t").mapInArrow(tidy(_bitmap_slots), "slot int, bits binary").groupBy("slot").applyInArrow(tidy(_united), "slot int, bits binary")
     bits = np.zeros((1 << _BITMAP_BITS - _SLOT_BITS, 1 << _SLOT_BITS - 3), np.uint8)  # 16 MB, whatever the benchmark
     for r in slots.collect():
         bits[r["slot"]] = np.frombuffer(r["bits"], np.uint8)
@@ -265,7 +265,7 @@ def _with_bitmap(docs: DataFrame, items: DataFrame) -> DataFrame:
             total = np.concatenate(([0], np.cumsum(hit)))
             yield batch.filter(pa.array(total[first[1:]] > total[first[:-1]]))
 
-    return docs.mapInArrow(pick, docs.schema)
+    return docs.mapInArrow(tidy(pick), docs.schema)
 
 
 def with_matches(df: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_text_col: str = "text", text_col: str = "text", matches_col: str = "matches", folder: str | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
-from ledgerloom.llm.textkit import discard, mix, power_of_two, release, slices, text_buffers, text_volume, window_hashes, word_hashes, workspace, written
+from ledgerloom.llm.textkit import discard, mix, power_of_two, release, slices, text_buffers, text_volume, tidy, window_hashes, word_hashes, workspace, written
 
 SHINGLE = 5
 #: Links need 100 * intersection >= 75 * union, i.e. 7 * intersection >= 3 * (size + size).
@@ -272,7 +272,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
     right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
     both = pairs.join(right, "b").join(left, "a").select(*pairs.columns, "ta", "tb", "na", "nb")
-    return both.mapInArrow(_verify, pairs.schema)
+    return both.mapInArrow(tidy(_verify), pairs.schema)
 
 
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -406,15 +406,15 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, folder: str) -> DataFra
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     buckets = power_of_two(text_volume(docs, "text") / BUCKET_TEXT, 128, 1 << 20)
 
-    packed = docs.mapInArrow(_send_shingles(buckets), _PACKED)
-    replies = packed.groupBy("bucket").applyInArrow(_count_bucket(buckets), _PACKED)
-    documents = written(replies.groupBy("chunk").applyInArrow(_gather_chunk, _SETS), folder, "documents")
+    packed = docs.mapInArrow(tidy(_send_shingles(buckets)), _PACKED)
+    replies = packed.groupBy("bucket").applyInArrow(tidy(_count_bucket(buckets)), _PACKED)
+    documents = written(replies.groupBy("chunk").applyInArrow(tidy(_gather_chunk), _SETS), folder, "documents")
     del packed, replies
     release(spark)
 
     sets = documents.where("tokens is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("frequencies").alias("frequencies"))
     sets = written(sets, folder, "sets")
-    members = written(sets.select("sig", "n", "tokens", "frequencies").mapInArrow(_prefixes, _MEMBERS), folder, "members")
+    members = written(sets.select("sig", "n", "tokens", "frequencies").mapInArrow(tidy(_prefixes), _MEMBERS), folder, "members")
     roots = _pivot_rounds(members, sets, folder)
 
     bits = [f"bits{i}" for i in range(BITMAP)]
@@ -422,9 +422,9 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, folder: str) -> DataFra
     one = F.when(F.min("root") == F.max("root"), F.min("root")).alias("root")
     agreed = [f(x).alias(x.replace("bits", k)) for k, f in (("all", F.bit_and), ("any", F.bit_or)) for x in bits]
     groups = written(rooted.groupBy("grp").agg(one, F.first("n").alias("n"), F.first("lone").alias("lone"), F.first("prefix").alias("prefix"), *agreed), folder, "groups")
-    postings = groups.mapInArrow(_explode_prefixes, _POSTINGS)
+    postings = groups.mapInArrow(tidy(_explode_prefixes), _POSTINGS)
     spread = postings.withColumn("bucket", F.pmod(F.col("token"), F.lit(max(8, buckets // 4))))
-    between = spread.groupBy("bucket").applyInArrow(_bucket_pairs, "ga binary, gb binary").distinct()
+    between = spread.groupBy("bucket").applyInArrow(tidy(_bucket_pairs), "ga binary, gb binary").distinct()
     within = groups.where("root is null").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
     group_pairs = written(between.union(within), folder, "group-pairs")
     sides = [rooted.select(*[F.col(c).alias(f"{x}_{c}") for c in ("grp", "sig", "root", "n", "lone", *bits)]) for x in "ab"]

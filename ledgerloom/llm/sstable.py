@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.llm.byte_bpe import GenerationCache
-from ledgerloom.llm.textkit import slices, text_buffers, text_volume, workspace, written
+from ledgerloom.llm.textkit import slices, text_buffers, text_volume, tidy, workspace, written
 
 BLOCK_BYTES = 64 << 10
 #: Bytes of text for which one shard is made.
@@ -292,9 +292,8 @@ def write_tables(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
         if writer:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([path]), pa.array([writer.documents], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])
-        pa.default_memory_pool().release_unused()
 
-    manifest = written(rows.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), folder, "manifest")
+    manifest = written(rows.mapInArrow(tidy(write), "shard int, path string, n_docs long, n_tokens long"), folder, "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -323,7 +322,7 @@ def read_tables(manifest: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), lists], names=["doc_id", "start", "ids"])
 
     n = max(1, manifest.count())
-    return manifest.select("path", "start", "shard").repartitionByRange(n, "shard").select("path", "start").mapInArrow(read, "doc_id long, start long, ids array<int>")
+    return manifest.select("path", "start", "shard").repartitionByRange(n, "shard").select("path", "start").mapInArrow(tidy(read), "doc_id long, start long, ids array<int>")
 
 
 def token_digests(tables: DataFrame) -> DataFrame:
@@ -336,7 +335,7 @@ def token_digests(tables: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offs) // 4, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tables.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tables.mapInArrow(tidy(digest), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_folder(df: DataFrame) -> str:

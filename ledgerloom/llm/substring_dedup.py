@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.textkit import mix, power_of_two, release, slices, text_buffers, text_volume, window_hashes, word_hashes, workspace, written
+from ledgerloom.llm.textkit import mix, power_of_two, release, slices, text_buffers, text_volume, tidy, window_hashes, word_hashes, workspace, written
 
 WINDOW, BLOCK = 35, 18
 FLUSH_WINDOWS, FLUSH_DOCS, BUCKET_TEXT = 1_500_000, 100_000, 8 << 20
@@ -299,18 +299,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = lambda other: (F.col("d.doc_id").eqNullSafe(F.col(f"{other}.doc_id"))) & (F.col("d.h") == F.col(f"{other}.h"))
 
     def places(packed: DataFrame, anchors: bool, name: str) -> DataFrame:
-        replies = packed.groupBy("bucket").applyInArrow(_live(buckets, anchors), _PACKED)
-        found = replies.groupBy("chunk").applyInArrow(_gather(anchors), _PLACES)
+        replies = packed.groupBy("bucket").applyInArrow(tidy(_live(buckets, anchors)), _PACKED)
+        found = replies.groupBy("chunk").applyInArrow(tidy(_gather(anchors)), _PLACES)
         table = written(found, folder, name)
         return table.groupBy("doc_id", "h").agg(F.first("places").alias("places"))  # equal rows have equal places
 
-    hits = places(docs.mapInArrow(_send_anchors(buckets), _PACKED), True, "hits")
+    hits = places(docs.mapInArrow(tidy(_send_anchors(buckets)), _PACKED), True, "hits")
     release(spark)
-    compact = docs.mapInArrow(_compressed, "doc_id long, h long, z binary")
+    compact = docs.mapInArrow(tidy(_compressed), "doc_id long, h long, z binary")
     around = compact.alias("d").join(hits.alias("p"), same("p")).select("d.doc_id", "d.h", "z", "places")
-    windows = around.sortWithinPartitions("doc_id", "h").mapInArrow(_send_windows(buckets), _PACKED)
+    windows = around.sortWithinPartitions("doc_id", "h").mapInArrow(tidy(_send_windows(buckets)), _PACKED)
     repeats = places(windows, False, "repeats")
     release(spark)
     joined = compact.alias("d").join(repeats.alias("p"), same("p"), "left").select("d.doc_id", "z", "places")
-    return joined.mapInArrow(_cut, _CUT)
+    return joined.mapInArrow(tidy(_cut), _CUT)
 

@@ -6,7 +6,9 @@ computed with numpy straight from the Arrow buffers, so no Python object is made
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import inspect
 import uuid
 
 import numpy as np
@@ -157,6 +159,32 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
         at = to
 
 
+def give_back() -> None:
+    """Return freed memory to the system: the process may wait long for its next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(f):
+    """``f`` over a group or an iterator of batches, and then ``give_back``."""
+
+    def rest(out):
+        yield from out
+        give_back()
+
+    def run(given):
+        out = f(given)
+        if inspect.isgenerator(out):
+            return rest(out)
+        give_back()
+        return out
+
+    return run
+
+
 def annotate(df: DataFrame, compute, fields: list[T.StructField], text_col: str, without: tuple[str, ...] = ()) -> DataFrame:
     """Every row of ``df`` with new columns. ``compute`` gets a record batch and returns one Arrow array a field.
 
@@ -176,9 +204,8 @@ def annotate(df: DataFrame, compute, fields: list[T.StructField], text_col: str,
                 own = [part.column(part.schema.get_field_index(f.name)) for f in keep]
                 arrays = [a if a.type == f.type else a.cast(f.type) for a, f in zip([*own, *made], target, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in target])
-        pa.default_memory_pool().release_unused()  # the process waits for its next task
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def strings(part: pa.RecordBatch, column: str) -> list[str]:
