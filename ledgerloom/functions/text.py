@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Names that harnesses give to the same tool.
+# Names that harnesses give to the same tool, and to the same status of a result.
 TOOL_ALIASES = {
-    "bash": "Bash", "shell": "Bash", "exec_command": "Bash", "local_shell": "Bash", "read": "Read", "read_file": "Read", "view": "Read", "edit": "Edit", "apply_patch": "Edit",
-    "patch": "Edit", "write": "Write", "write_file": "Write", "glob": "Glob", "grep": "Grep", "list": "Glob", "task": "Task", "webfetch": "WebFetch", "web_search": "WebSearch", "todowrite": "TodoWrite",
+    "apply_patch": "Edit", "exec_command": "Bash", "shell": "Bash", "read_file": "Read", "write_file": "Write", "update_plan": "ExitPlanMode", "spawn_agent": "Agent", "send_input": "Task", "wait_agent": "Task", "close_agent": "Task",
+    "resume_agent": "Task", "view_image": "Read", "read_mcp_resource": "Read", "read": "Read", "write": "Write", "edit": "Edit", "bash": "Bash", "grep": "Grep", "glob": "Glob", "webfetch": "WebFetch", "task": "Task",
+}
+STATUS_NAMES = {
+    "completed": "completed", "complete": "completed", "success": "completed", "succeeded": "completed", "done": "completed", "error": "errored", "errored": "errored", "failed": "errored", "failure": "errored",
+    "running": "running", "in_progress": "running", "queued": "running", "pending": "running", "started": "running", "cancelled": "cancelled", "canceled": "cancelled", "aborted": "cancelled",
 }
-STATUS_NAMES = {"ok": "completed", "success": "completed", "completed": "completed", "done": "completed", "error": "errored", "errored": "errored", "failed": "errored", "failure": "errored", "cancelled": "cancelled", "canceled": "cancelled", "aborted": "cancelled", "interrupted": "cancelled", "running": "running", "in_progress": "running", "pending": "running"}
 STOP_REASONS = ("end_turn", "max_tokens", "stop_sequence", "tool_use", "pause_turn", "refusal", "silent")
-TRUNCATION_MARKS = ("[truncated]", "output truncated", "truncated output", "... truncated", "characters truncated", "lines truncated")
+# Marks of a cut tool result, and phrases of an assistant that gives up.
+TRUNCATION_MARKS = ("<system-truncated>", "[truncated]", "output truncated", "result truncated", "response truncated", "truncated to ")
+GIVE_UP = ("i'm unable to", "i am unable to", "i can't proceed", "i cannot proceed", "i don't have access", "i cannot access", "unable to verify", "doesn't appear to exist")
 
 
 def _lookup(values: dict[str, str], key: Column) -> Column:
@@ -24,7 +29,8 @@ def tool_name(name: Column) -> Column:
 
 
 def status(value: Column) -> Column:
-    return F.coalesce(_lookup(STATUS_NAMES, F.lower(value)), F.lit("unknown"))
+    """Status by its name, hyphens and blanks counting as underscores; ``unknown`` for other names and for none."""
+    return F.coalesce(_lookup(STATUS_NAMES, F.translate(F.lower(value), "- ", "__")), F.lit("unknown"))
 
 
 def stop_reason(value: Column) -> Column:
@@ -77,7 +83,7 @@ def ellipsis(text: Column, limit: int) -> Column:
 
 def stripped_assignments(command: Column) -> Column:
     """A command without the variable assignments before it."""
-    return F.regexp_replace(command, r"^(?:[A-Za-z_][A-Za-z0-9_]*=\S*\s+)+", "")
+    return F.regexp_replace(command, r"^(?:\s*[A-Z_][A-Z0-9_]*=\S+\s+)+", "")
 
 
 def slash_command(text: Column) -> Column:
@@ -95,7 +101,11 @@ def valid_session_id(value: Column) -> Column:
 
 
 def gives_up(text: Column) -> Column:
-    return F.lower(text).rlike(r"(i give up|unable to (?:continue|proceed|complete)|i(?:'m| am) (?:stuck|unable)|cannot (?:continue|proceed|complete))")
+    """Whether a text has a phrase of giving up, whatever the case."""
+    out = F.lit(False)
+    for phrase in GIVE_UP:
+        out = out | F.contains(F.lower(text), F.lit(phrase))
+    return out
 
 
 def git_project_key(url: Column) -> Column:

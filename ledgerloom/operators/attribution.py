@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.functions.cost import rate
+from ledgerloom.functions.text import mcp_parts
+
+#: Turns whose riding results are weighed at a time.
+BLOCK = 512
+FILE_TOOLS = ("Read", "Edit", "Write", "NotebookEdit")
+
 
 def _order():
     return Window.partitionBy("session_id").orderBy("turn_index")
@@ -20,38 +29,120 @@ def by_tool(turns: DataFrame) -> DataFrame:
     return charged.groupBy(F.col("charged").alias("tool_name")).agg(F.count("*").alias("turns"), F.sum(F.coalesce("cost", F.lit(0.0))).alias("cost"))
 
 
-def hotspots(turns: DataFrame) -> DataFrame:
-    """Cost of each tool result: entering the context at the next turn, and riding in later ones.
+def attributable(turns: DataFrame) -> DataFrame:
+    """Turns whose record covers both tool calls and their results (columns has_tool_calls, has_tool_results; null is covered)."""
+    return turns.where(F.coalesce("has_tool_calls", F.lit(True)) & F.coalesce("has_tool_results", F.lit(True)))
+
+
+_RIDES = "session_id string, tool_use_id string, riding_tokens double, riding_cost double, riding_turns long"
+_RIDES_ARROW = pa.schema([("session_id", pa.string()), ("tool_use_id", pa.string()), ("riding_tokens", pa.float64()), ("riding_cost", pa.float64()), ("riding_turns", pa.int64())])
+
+
+def _ride(calls: pa.Table, turns: pa.Table) -> pa.Table:
+    """One session: what each result takes of every later turn's cache reads. A turn after the paying one whose cache read is at least
+    a result's size has it in its context; the results that it has share ``min(cache read, their sizes)`` by size."""
+    size, at = np.array(calls.column("size"), np.float64), np.array(calls.column("rank"), np.int64)
+    when, read = np.array(turns.column("at"), np.int64), np.array(turns.column("read"), np.float64)
+    price = np.array(turns.column("price").fill_null(np.nan), np.float64)
+    paid = np.flatnonzero(~np.isnan(price) & (read > 0))
+    share, cost, n = np.zeros(len(size)), np.zeros(len(size)), np.zeros(len(size), np.int64)
+    for lo in range(0, len(paid), BLOCK):
+        t = paid[lo : lo + BLOCK]
+        inside = (size[None, :] > 0) & (at[None, :] + 1 < when[t][:, None]) & (size[None, :] <= read[t][:, None])
+        active = inside @ size
+        part = np.divide(np.minimum(read[t], active), active, out=np.zeros(len(t)), where=active > 0)
+        share += part @ inside
+        cost += (part * price[t]) @ inside
+        n += inside.sum(axis=0)
+    cols = [calls.column("session_id"), calls.column("tool_use_id"), pa.array(share * size), pa.array(cost * size / 1e6), pa.array(n)]
+    return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=_RIDES_ARROW)
 
-    Columns used: result_tokens (size), input_tokens, cache_create_*, cache_read and the rate columns. A result enters at
-    the next turn with ``min(size, new content)`` tokens at the mix of input and cache-write rates of that turn. It rides in
-    every turn after that whose cache read is at least its size; the results that ride there share
-    ``min(cache read, their sizes)`` in proportion, at the cache-read rate. An unpriced turn charges nothing.
+
+def hotspots(calls: DataFrame, turns: DataFrame) -> DataFrame:
+    """Cost of each tool call's result: entering the context at the next turn, and riding in later ones.
+
+    ``calls``: session_id, turn_index, tool_use_id, tool_name, target, args_hash, size (tokens of the result, null: unknown);
+    ``turns``: session_id, turn_index, usage and rate columns, ``priced``. In a session with any known size (``method`` sized) the results of a
+    turn enter at the next one with at most its new content, by size, at its mix of input and cache-write rates, and ride
+    after that; in one without (even-split) the next turn's new content is split evenly and nothing rides. A turn without a rate
+    charges neither tokens nor cost. A session is one task's work: its turns times its calls, in blocks, as arrays.
     """
-    lead = lambda c: F.lead(c).over(_order())
-    rows = turns.withColumn("rank", F.row_number().over(_order()).cast("long"))
     created = F.col("cache_create_5m") + F.col("cache_create_1h")
-    rows = rows.withColumn("fresh", F.col("input_tokens") + created).withColumn("write", F.coalesce(F.try_divide(F.col("input_tokens") * F.col("input") + created * F.col("cache_write"), F.col("fresh")), F.lit(0.0)))
-    calls = rows.withColumn("p_fresh", lead("fresh")).withColumn("p_write", lead("write")).withColumn("initial_tokens", F.when(F.col("p_fresh").isNull(), F.lit(0)).otherwise(F.least("result_tokens", "p_fresh")))
-    calls = calls.withColumn("initial_cost", F.coalesce(F.col("initial_tokens") * F.col("p_write") / 1e6, F.lit(0.0)))
-    c = calls.select("session_id", "message_id", "rank", "result_tokens", "target", "tool_name", "initial_tokens", "initial_cost").alias("c")
-    t = rows.select("session_id", F.col("rank").alias("at"), "cache_read", "cache_read_rate").alias("t")
-    rides = c.join(t, (F.col("c.session_id") == F.col("t.session_id")) & (F.col("t.at") > F.col("c.rank") + 1) & (F.col("c.result_tokens") > 0) & (F.col("t.cache_read") >= F.col("c.result_tokens")))
-    active = F.sum("result_tokens").over(Window.partitionBy("t.session_id", "at"))
-    tokens = F.col("result_tokens") / active * F.least(F.col("cache_read"), active)
-    paid = rides.select("c.session_id", "message_id", tokens.alias("tokens"), (tokens / 1e6 * F.coalesce("cache_read_rate", F.lit(0.0))).alias("paid"))
-    riding = paid.groupBy("session_id", "message_id").agg(F.sum("tokens").alias("riding_tokens"), F.sum("paid").alias("riding_cost"))
-    out = c.join(riding, ["session_id", "message_id"], "left")
-    return out.select("session_id", "message_id", "tool_name", "target", "initial_tokens", "initial_cost", F.coalesce("riding_tokens", F.lit(0.0)).alias("riding_tokens"), F.coalesce("riding_cost", F.lit(0.0)).alias("riding_cost"))
+    bound = turns.select("session_id", "turn_index", "cache_read", "priced", "input_tokens", created.alias("created"), rate("input").alias("p_in"), rate("cache_write").alias("p_write"), rate("cache_read_rate").alias("price"))
+    lead = lambda c: F.lead(c).over(_order())
+    bound = bound.withColumn("rank", F.row_number().over(_order()).cast("long"))
+    paying = bound.select("session_id", "turn_index", "rank", lead("priced").alias("pays"), lead("input_tokens").alias("new_in"), lead("created").alias("new_created"), lead("p_in").alias("p_in"), lead("p_write").alias("p_write"))
+    sized = F.max(F.col("size").isNotNull()).over(Window.partitionBy("session_id"))
+    of_turn = Window.partitionBy("session_id", "turn_index")
+    own = calls.withColumns({"sized": sized, "size": F.coalesce("size", F.lit(0)).cast("long")}).withColumns({"siblings": F.sum("size").over(of_turn), "k": F.count("*").over(of_turn)})
+    c = own.join(paying, ["session_id", "turn_index"])
+    fresh = F.col("new_in") + F.col("new_created")
+    able = F.coalesce(F.col("pays") & (fresh > 0), F.lit(False))
+    mixed = F.col("new_in") / fresh * F.col("p_in") + (1 - F.col("new_in") / fresh) * F.col("p_write")
+    by_size = F.when(able & (F.col("siblings") > 0), F.col("size") / F.col("siblings") * F.least("siblings", fresh))
+    tokens = F.coalesce(F.when(F.col("sized"), by_size).otherwise(F.when(able, fresh / F.col("k"))), F.lit(0.0))
+    c = c.withColumns({"initial_tokens": tokens, "initial_cost": F.coalesce(tokens / 1e6 * mixed, F.lit(0.0))})
+    results = c.where("sized").select(F.col("session_id").alias("session_id"), F.col("tool_use_id").alias("tool_use_id"), F.col("rank").alias("rank"), F.col("size").alias("size"))
+    readers = bound.select(F.col("session_id").alias("reader"), F.col("rank").alias("at"), F.col("cache_read").alias("read"), F.when(F.col("priced"), F.col("price")).alias("price"))
+    rides = results.groupBy("session_id").cogroup(readers.groupBy("reader")).applyInArrow(_ride, _RIDES)
+    out = c.join(rides, ["session_id", "tool_use_id"], "left")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return out.select(
+        *[F.col(x) for x in c.columns if x in calls.columns and x != "size"], "size", F.when(F.col("sized"), "sized").otherwise("even-split").alias("method"), "initial_tokens", "initial_cost",
+        zero("riding_tokens").alias("riding_tokens"), zero("riding_cost").alias("riding_cost"), F.coalesce("riding_turns", F.lit(0)).alias("riding_turns"), (F.col("initial_cost") + zero("riding_cost")).alias("total_cost"),
+    )
+
+
+_SUMMED = ("initial_tokens", "initial_cost", "riding_tokens", "riding_cost", "total_cost")
+
+
+def _sums(spots: DataFrame) -> list[Column]:
+    """Sums of a group of results; bytes, the largest and the truncated ones where the columns are there."""
+    out = [F.count("*").alias("calls"), *[F.sum(c).alias(c) for c in _SUMMED], F.avg("riding_turns").alias("average_ride")]
+    if "output_bytes" in spots.columns:
+        out += [F.sum("output_bytes").alias("output_bytes"), F.max("output_bytes").alias("max_output_bytes"), F.count_if("output_truncated").alias("truncated")]
+    return out
 
 
 def by_file(spots: DataFrame) -> DataFrame:
-    files = spots.where(F.col("tool_name").isin("Read", "Edit", "Write", "NotebookEdit"))
-    return files.groupBy("target").agg(F.count("*").alias("calls"), F.sum("initial_tokens").alias("initial_tokens"), F.sum("initial_cost").alias("initial_cost"), F.sum("riding_tokens").alias("riding_tokens"), F.sum("riding_cost").alias("riding_cost"))
+    """By target of the file tools, with the turn that first named it (smallest by session, then turn)."""
+    files = spots.where(F.col("tool_name").isin(*FILE_TOOLS) & F.col("target").isNotNull())
+    return files.groupBy("target").agg(*_sums(spots), F.min(F.struct("session_id", "turn_index")).alias("f")).withColumns({"first_session": F.col("f.session_id"), "first_turn": F.col("f.turn_index")}).drop("f")
+
+
+def by_command(spots: DataFrame) -> DataFrame:
+    """Bash calls by exact arguments, with the first command text of each."""
+    bash = spots.where("tool_name = 'Bash'")
+    return bash.groupBy("args_hash").agg(*_sums(spots), F.min_by("target", F.struct("session_id", "turn_index", "tool_use_id")).alias("command"))
+
+
+def by_verb(spots: DataFrame, examples: int = 3) -> DataFrame:
+    """Bash calls by the normalised verb of their command: distinct commands, average ride, and the costliest examples."""
+    from ledgerloom.functions.shell import with_verbs
+
+    bash = with_verbs(spots.where("tool_name = 'Bash'"), "target").withColumn("verb", F.col("verb.normalized")).where("verb is not null")
+    each = bash.groupBy("verb", "target").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in _SUMMED], F.sum("riding_turns").alias("rides"))
+    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy("verb").orderBy(F.desc(F.round("total_cost", 9)), "target")))
+    best = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.struct("r", "target")))), lambda x: x["target"]), ",")
+    return ranked.groupBy("verb").agg(F.sum("n").alias("calls"), F.count("*").alias("distinct_commands"), *[F.sum(c).alias(c) for c in _SUMMED], (F.sum("rides") / F.sum("n")).alias("average_ride"), best.alias("examples"))
+
+
+def by_subagent(spots: DataFrame) -> DataFrame:
+    """Spawning calls by the kind of agent they name."""
+    return spots.where(F.col("tool_name").isin("Agent", "Task")).groupBy(F.coalesce("target", F.lit("(unknown)")).alias("subagent_type")).agg(*_sums(spots))
+
+
+def by_server(spots: DataFrame, examples: int = 3) -> DataFrame:
+    """Calls of ``mcp__server__tool`` by server, with its costliest tools."""
+    calls = spots.withColumn("m", mcp_parts(F.col("tool_name"))).where("m is not null").withColumns({"server": F.col("m.server"), "tool": F.col("m.tool")})
+    each = calls.groupBy("server", "tool").agg(F.count("*").alias("n"), F.sum("total_cost").alias("total_cost"))
+    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy("server").orderBy(F.desc(F.round("total_cost", 9)), "tool")))
+    best = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.struct("r", "tool")))), lambda x: x["tool"]), ",")
+    return ranked.groupBy("server").agg(F.sum("n").alias("calls"), F.sum("total_cost").alias("total_cost"), best.alias("tools"))
 
 
 def session_totals(spots: DataFrame, turns: DataFrame) -> DataFrame:
     """Per session the whole cost, what results account for, and the rest."""
     grand = turns.groupBy("session_id").agg(F.sum(F.coalesce("cost", F.lit(0.0))).alias("grand"))
-    own = spots.groupBy("session_id").agg(F.sum(F.col("initial_cost") + F.col("riding_cost")).alias("attributed"))
+    own = spots.groupBy("session_id").agg(F.sum("total_cost").alias("attributed"))
     return grand.join(own, "session_id", "left").select("session_id", "grand", F.coalesce("attributed", F.lit(0.0)).alias("attributed"), (F.col("grand") - F.coalesce("attributed", F.lit(0.0))).alias("unattributed"))

@@ -91,28 +91,9 @@ def subagent_statistics(turns: DataFrame, kind: str = "activity") -> DataFrame:
     return each.groupBy(kind).agg(F.count("*").alias("invocations"), F.sum("n").alias("turns"), F.sum("c").alias("total"), nearest_rank("c", 0.5).alias("p50"), nearest_rank("c", 0.95).alias("p95"), F.avg("c").alias("mean"))
 
 
-def top_examples(rows: DataFrame, key: str, example: str, n: int = 3) -> DataFrame:
-    """Cost by ``key`` with the ``n`` costliest examples in it (ties by name): two levels, so a hot key is pre-aggregated."""
-    inner = rows.groupBy(key, example).agg(F.count("*").alias("n"), usd("cost").alias("c"))
-    ranked = inner.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("c", 9)), example)))
-    best = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= n, F.struct("r", F.col(example).alias("v"))))), lambda x: x["v"]), ",")
-    return ranked.groupBy(key).agg(F.sum("n").alias("calls"), F.count("*").alias("distinct_examples"), F.sum("c").alias("cost"), best.alias("examples"))
-
-
-def by_mcp_server(calls: DataFrame) -> DataFrame:
-    parts = calls.withColumn("m", mcp_parts(F.col("tool_name"))).where("m is not null")
-    return top_examples(parts.select(F.col("m.server").alias("server"), F.col("m.tool").alias("tool"), "cost"), "server", "tool")
-
-
 def replacement_savings(calls: DataFrame, replaced: Column, count: Column, average: dict[str, int], fallback: int = 800) -> DataFrame:
     """Tokens saved by calls that stand for others: ``count`` times the mean cost of the replaced tools, rounded half away."""
     table = F.create_map(*[F.lit(x) for kv in average.items() for x in kv])
     each = F.transform(replaced, lambda t: F.coalesce(F.try_element_at(table, t), F.lit(fallback)))
     mean = F.when(F.size(each) > 0, F.aggregate(each, F.lit(0), lambda a, x: a + x) / F.size(each)).otherwise(F.lit(float(fallback)))
     return calls.withColumn("saved", F.round(mean * count).cast("long")).groupBy("tool_name").agg(F.count("*").alias("calls"), F.sum("saved").alias("saved_tokens"))
-
-
-def one_shot(turns: DataFrame) -> DataFrame:
-    """Per session: turns with edits and those that needed no retry (``retries`` 0)."""
-    edits = F.col("tool_name") == "Edit"
-    return turns.groupBy("session_id").agg(F.count_if(edits).alias("edit_turns"), F.count_if(edits & (F.col("retries") == 0)).alias("one_shot_turns"))

@@ -15,35 +15,6 @@ def _so_far():
     return _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def islands(rows: DataFrame, *keys: str | Column) -> DataFrame:
-    """``island``: number of the run of equal keys that a row of its session is in."""
-    named = [F.col(k) if isinstance(k, str) else k for k in keys]
-    changed = F.lit(False)
-    for k in named:
-        changed = changed | ~k.eqNullSafe(F.lag(k).over(_order()))
-    return rows.withColumn("new", F.coalesce(changed | (F.row_number().over(_order()) == 1), F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(_so_far())).drop("new")
-
-
-def _runs(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("session_id", "island").agg(F.count("*").alias("length"), F.min("turn_index").alias("first_turn"), F.max("turn_index").alias("last_turn"), F.countDistinct("tool_name", "target").alias("calls"), F.min("tool_name").alias("tool_name"), F.sum(F.coalesce("cost", F.lit(0.0))).alias("cost")).drop("island")
-
-
-def retry_loops(turns: DataFrame, least: int = 3) -> DataFrame:
-    """``least`` or more failed calls in a row of the same tool with the same arguments."""
-    marked = islands(turns, "is_error", "tool_name", "target").where("is_error = 1")
-    return _runs(marked).where(F.col("length") >= least)
-
-
-def failure_runs(turns: DataFrame, least: int = 3) -> DataFrame:
-    """``least`` or more failures in a row over two or more different calls."""
-    return _runs(islands(turns, "is_error").where("is_error = 1")).where((F.col("length") >= least) & (F.col("calls") >= 2))
-
-
-def cancellation_runs(events: DataFrame) -> DataFrame:
-    """Runs of cancelled events (``status``)."""
-    return _runs(islands(events, "status").where("status = 'cancelled'"))
-
-
 def terminal_events(events: DataFrame) -> DataFrame:
     """The last event of each tool call by (event_index, ts, id), unless it still runs."""
     last = Window.partitionBy("session_id", "tool_use_id").orderBy(F.desc("event_index"), F.desc("ts"), F.desc("event_id"))
@@ -57,66 +28,11 @@ def context_deltas(turns: DataFrame, limit: int = 20) -> DataFrame:
     return grown.orderBy(F.desc("delta"), "session_id", "turn_index").limit(limit).select("session_id", "message_id", "turn_index", "context", "delta")
 
 
-def edit_clusters(edits: DataFrame, span: int = 5, least: int = 3) -> DataFrame:
-    """Most edits of a file within ``span`` turns; the earliest window of the most edits."""
-    ahead = Window.partitionBy("session_id", "target").orderBy("turn_index").rangeBetween(0, span - 1)
-    counted = edits.where("tool_name = 'Edit'").withColumn("n", F.count("*").over(ahead))
-    best = counted.groupBy("session_id", "target").agg(F.max_by(F.struct("n", "turn_index"), F.struct("n", -F.col("turn_index"))).alias("b"))
-    return best.select("session_id", "target", F.col("b.n").alias("edits"), F.col("b.turn_index").alias("from_turn")).where(F.col("edits") >= least)
-
-
-def search_sequences(turns: DataFrame, steps: tuple[str, ...] = ("Bash", "Read", "Edit")) -> DataFrame:
-    """Turns that use the next tool of ``steps`` right after the ones before: tool pairs in a row, counted by session."""
-    hit = F.lit(True)
-    for back, name in enumerate(reversed(steps)):
-        hit = hit & F.coalesce(F.lag("tool_name", back).over(_order()) == name if back else F.col("tool_name") == name, F.lit(False))
-    return turns.withColumn("hit", hit).groupBy("session_id").agg(F.count_if("hit").alias("sequences")).where("sequences > 0")
-
-
-def trailing_failures(turns: DataFrame) -> DataFrame:
-    """Failed turns at the end of each session."""
-    back = Window.partitionBy("session_id").orderBy(F.desc("turn_index")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    good = F.sum(1 - F.col("is_error")).over(back)
-    return turns.withColumn("good", good).groupBy("session_id").agg(F.count_if(F.col("good") == 0).alias("trailing_failures"))
-
-
-def outcomes(turns: DataFrame) -> DataFrame:
-    """How each session ended: from its length, its trailing failures and the last stop reason."""
-    last = turns.groupBy("session_id").agg(F.count("*").alias("turns"), F.max_by("stop_reason", "turn_index").alias("last_stop"))
-    ladder = F.when(F.col("turns") <= 2, "too-short").when(F.col("trailing_failures") >= 3, "failed").when(F.col("last_stop") == "refusal", "refused").when(F.col("last_stop") == "max_tokens", "truncated").when(F.col("last_stop").isNull(), "interrupted").otherwise("completed")
-    return last.join(trailing_failures(turns), "session_id").select("session_id", "turns", "trailing_failures", ladder.alias("outcome"))
-
-
-def riding_turns(turns: DataFrame, invoked: Column) -> DataFrame:
-    """Per invocation the later turns of its session that read from the cache."""
-    later = _order().rowsBetween(1, Window.unboundedFollowing)
-    return turns.withColumn("riding", F.count_if(F.col("cache_read") > 0).over(later)).where(invoked)
-
-
-def prompt_tax(turns: DataFrame) -> DataFrame:
-    """Cache written by a session's first turn beyond its input, and the turns that then read the cache."""
-    first = turns.groupBy("session_id").agg(F.min_by(F.struct("cache_create_5m", "cache_create_1h", "input_tokens"), "turn_index").alias("f"), F.count_if((F.col("turn_index") > 0) & (F.col("cache_read") > 0)).alias("riding"))
-    tax = F.greatest(F.col("f.cache_create_5m") + F.col("f.cache_create_1h") - F.col("f.input_tokens"), F.lit(0))
-    return first.select("session_id", tax.alias("tax_tokens"), "riding")
-
-
 def per_turn_usage(totals: DataFrame, column: str) -> DataFrame:
     """Differences of a running total, never under 0."""
     return totals.withColumn("used", F.greatest(F.col(column) - F.lag(column, 1, 0).over(_order()), F.lit(0)))
 
 
-def retries_in_order(tools: Column) -> Column:
-    """Edits that follow a Bash call that follows an edit, within an array of tool names."""
-    start = F.struct(F.lit(0).alias("stage"), F.lit(0).alias("n"))
-
-    def step(s: Column, t: Column) -> Column:
-        again = (t == "Edit") & (s["stage"] == 2)
-        stage = F.when(t == "Edit", 1).when((t == "Bash") & (s["stage"] == 1), 2).otherwise(s["stage"])
-        return F.struct(stage.alias("stage"), (s["n"] + again.cast("int")).alias("n"))
-
-    return F.aggregate(tools, start, step, lambda s: s["n"])
-
-
 def edit_reverts(edits: DataFrame) -> DataFrame:
     """Edits whose result equals the state before an earlier edit of the file since the last such hit.
 
@@ -131,9 +47,3 @@ def edit_reverts(edits: DataFrame) -> DataFrame:
         return F.struct(F.when(hit, none).otherwise(F.array_append(s["seen"], e["pre"])).alias("seen"), F.when(hit, F.array_append(s["hits"], e["turn_index"].cast("long"))).otherwise(s["hits"]).alias("hits"))
 
     return line.select("session_id", "target", F.explode(F.aggregate("line", empty, step, lambda s: s["hits"])).alias("turn_index"))
-
-
-def edit_heavy(turns: DataFrame, least: int = 5, ratio: float = 4.0) -> DataFrame:
-    """Sessions with many edits for what they read."""
-    n = turns.groupBy("session_id").agg(F.count_if(F.col("tool_name") == "Edit").alias("edits"), F.count_if(F.col("tool_name") == "Read").alias("reads"))
-    return n.where((F.col("edits") >= least) & (F.col("edits") > ratio * F.col("reads")))

@@ -77,16 +77,3 @@ def trim_candidates(sections: DataFrame, n: int = 3) -> DataFrame:
 
     largest = Window.partitionBy("file").orderBy(F.desc("bytes"), "section")
     return sections.where("level > 0").withColumn("rank", F.row_number().over(largest)).where(F.col("rank") <= n)
-
-
-def observed_bloat(events: DataFrame, static_limit: int = 15_000, enough: int = 20) -> DataFrame:
-    """Tools whose largest result exceeds the limit, and p95 where there are enough results."""
-    b = events.groupBy("source", "tool_name").agg(F.count("*").alias("n"), F.max("result_tokens").alias("most"), nearest_rank("result_tokens", 0.95).cast("long").alias("p95"), F.countDistinct("session_id").alias("sessions"))
-    limit = F.when(F.col("n") >= enough, F.greatest(F.lit(static_limit), F.col("p95"))).otherwise(F.lit(static_limit))
-    return b.where(F.col("most") > limit)
-
-
-def ghosts(surfaces: DataFrame, invoked: DataFrame) -> DataFrame:
-    """Surfaces (kind, stem, tokens) whose name no session ever used, whatever the case."""
-    used = invoked.select(F.lower("name").alias("used")).distinct()
-    return surfaces.join(used, F.lower("stem") == F.col("used"), "left_anti")

@@ -5,51 +5,78 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEEPEST = 64
-
-
-def closure(edges: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """(node, ancestor, distance) over (node, parent), every node being its own ancestor at 0.
-
-    Paths double each round, so ``deepest`` levels take its logarithm of joins. Cycles end at ``deepest``.
-    """
-    nodes = edges.select("node").union(edges.where("parent is not null").select("parent")).distinct()
-    step = edges.where("parent is not null and node != parent").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    found, reach = step, 1
-    while reach < deepest:
-        up = found.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"), F.col("distance").alias("more"))
-        longer = found.join(up, "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
-        found = found.union(longer.where((F.col("distance") <= deepest) & (F.col("node") != F.col("ancestor")))).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
-        reach *= 2
-    own = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
-    return own.union(found.select("node", "ancestor", "distance"))
-
-
-def forest_costs(edges: DataFrame, costs: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """Per node its own cost, that of its subtree, its depth and the size of the subtree."""
-    lines = closure(edges, deepest)
-    depth = lines.groupBy("node").agg(F.max("distance").alias("depth"))
-    below = lines.join(costs, "node", "left").groupBy(F.col("ancestor").alias("node")).agg(F.sum(F.coalesce("cost", F.lit(0.0))).alias("cumulative"), F.count("*").alias("nodes"))
-    return below.join(costs, "node", "left").join(depth, "node").select("node", F.coalesce("cost", F.lit(0.0)).alias("own"), "cumulative", "depth", "nodes")
-
-
-def connected(edges: DataFrame, start: str, rounds: int = DEEPEST) -> DataFrame:
-    """All nodes that undirected edges (a, b) join to ``start``. A round without news ends the search."""
-    both = edges.select("a", "b").union(edges.select("b", "a"))
-    seen = edges.sparkSession.createDataFrame([(start,)], "a string")
-    count = 1
-    for _ in range(rounds):
-        seen = seen.union(both.join(seen, "a", "left_semi").select(F.col("b").alias("a"))).distinct()
-        now = seen.count()
-        if now == count:
-            break
-        count = now
-    return seen.withColumnRenamed("a", "node")
-
-
-def descendants(edges: DataFrame, root: str, deepest: int = DEEPEST) -> DataFrame:
-    """The tree of sessions or agents under ``root``, with depth."""
-    return closure(edges, deepest).where(F.col("ancestor") == root).select("node", F.col("distance").alias("depth"))
+from ledgerloom.sources.scratch import cut
+
+
+
+def _rounds(node_count: int) -> int:
+    """Doublings after which every chain without a cycle has ended."""
+    return max(1, node_count).bit_length() + 1
+
+
+def pointers(edges: DataFrame) -> DataFrame:
+    """(node, parent) of every node, one parent each (the smallest), loops and the edge below a cycle's smallest node cut."""
+    nodes = edges.select("node").union(edges.where("parent is not null").select(F.col("parent").alias("node"))).distinct()
+    ups = edges.where("parent is not null and node != parent").groupBy("node").agg(F.min("parent").alias("parent"))
+    all_up = cut(nodes.join(ups, "node", "left"))
+    n = all_up.count()
+    # the smallest node within reach and the pointer, both doubled; a pointer that is left after all rounds leads into a cycle
+    jump, k = all_up.withColumns({"low": F.coalesce("parent", "node"), "up": F.col("parent")}).select("node", "low", "up"), 0
+    while k < _rounds(n) and not jump.where("up is not null").isEmpty():
+        far = jump.select(F.col("node").alias("up"), F.col("low").alias("far_low"), F.col("up").alias("far"))
+        jump, k = cut(jump.join(far, "up", "left").select("node", F.least("low", "far_low").alias("low"), F.col("far").alias("up"))), k + 1
+    heads = jump.where("up is not null and node = low").select("node", F.lit(True).alias("head"))
+    return all_up.join(heads, "node", "left").select("node", F.when(F.col("head").isNull(), F.col("parent")).alias("parent"))
+
+
+def _doubled(tree: DataFrame, start: dict, step) -> DataFrame:
+    """Pointer doubling over (node, parent) without cycles: ``step(state, jump)`` gets the state and each node's pointer ``up`` of this round, and
+    returns the new state; rows stay one a node, rounds grow with the logarithm of the depth."""
+    jump = cut(tree.select("node", F.col("parent").alias("up")))
+    state = cut(tree.select("node", *[v.alias(k) for k, v in start.items()]))
+    while not jump.where("up is not null").isEmpty():
+        state = cut(step(state, jump))
+        far = jump.select(F.col("node").alias("up"), F.col("up").alias("far"))
+        jump = cut(jump.join(far, "up", "left").select("node", F.col("far").alias("up")))
+    return state
+
+
+def forest_costs(edges: DataFrame, costs: DataFrame) -> DataFrame:
+    """Per node its own cost, that of its subtree, its depth and the size of the subtree, over (node, parent). No limit on depth; a cycle is
+    cut below its smallest node."""
+    tree = pointers(edges).join(costs, "node", "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
+
+    def step(state: DataFrame, jump: DataFrame) -> DataFrame:
+        # descendants nearer than 2^k are summed already; those of nodes exactly 2^k below come on top
+        moved = state.join(jump, "node").where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("cumulative").alias("more"), F.sum("nodes").alias("more_nodes"))
+        above = jump.where("up is not null").join(state.select(F.col("node").alias("up"), F.col("depth").alias("rest")), "up").select("node", "rest")
+        out = state.join(moved, "node", "left").join(above, "node", "left")
+        return out.select("node", "own", (F.col("cumulative") + F.coalesce("more", F.lit(0.0))).alias("cumulative"), (F.col("nodes") + F.coalesce("more_nodes", F.lit(0))).alias("nodes"), (F.col("depth") + F.coalesce("rest", F.lit(0))).alias("depth"))
+
+    start = {"own": F.col("cost"), "cumulative": F.col("cost"), "nodes": F.lit(1).cast("long"), "depth": F.col("parent").isNotNull().cast("int")}
+    return _doubled(tree, start, step).select("node", "own", "cumulative", "depth", "nodes")
+
+
+def descendants(edges: DataFrame, root: str) -> DataFrame:
+    """The tree of sessions or agents under ``root``, with depth; a level a round, each node once."""
+    down = edges.where("parent is not null and node != parent").select("node", "parent").distinct()
+    found = level = cut(edges.sparkSession.createDataFrame([(root, 0)], "node string, depth int"))
+    while not level.isEmpty():
+        below = down.join(level.select(F.col("node").alias("parent"), "depth"), "parent").select("node", (F.col("depth") + 1).alias("depth")).distinct()
+        level = cut(below.join(found, "node", "left_anti"))
+        found = found.union(level)
+    return found
+
+
+def connected(edges: DataFrame, start: str) -> DataFrame:
+    """All nodes that undirected edges (a, b) join to ``start``; a round looks only from the nodes that are new."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    seen = news = cut(edges.sparkSession.createDataFrame([(start,)], "node string"))
+    while not news.isEmpty():
+        near = both.join(news.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node")).distinct()
+        news = cut(near.join(seen, "node", "left_anti"))
+        seen = seen.union(news)
+    return seen
 
 
 def inferences(rows: DataFrame) -> DataFrame:

@@ -60,3 +60,37 @@ costed as (select t.*, r_in is not null priced, r_in, r_out, r_read, r_write,
   from turns t left join rates on priced_as = case when model like 'hf:%' then regexp_extract(model, '^hf:(?:[^/]+/)?(.+)$', 1) else model end),
 priced as (select *, cost_input + cost_output + cost_reasoning + cost_cache_read + cost_cache_create cost from costed)
 """
+
+
+# The calls of a turn by its number's remainder, the commands of Bash calls and the kinds of spawned agents.
+CALLS = [["Glob", "Grep", "Read"], ["Edit"], ["Bash", "Bash"], ["Task"], ["skill"], [], ["Edit", "Read"]]
+COMMANDS = ["git status", "pytest -q", "gh pr view 7", "cd /x && git diff", "npm run build"]
+AGENTS = ["Explore", "Plan", None]
+
+
+def calls(turns: DataFrame) -> DataFrame:
+    """Tool calls of the turns, one row each with the columns of its turn: every twelve turns, four in a row repeat one failing command and three
+    others fail; sessions with a number divisible by 5 know no sizes."""
+    k, at = F.col("k"), F.pmod("turn_index", F.lit(12))
+    names = F.when(at.between(6, 9), F.array(F.lit("Bash"))).otherwise(F.get(F.array(*[F.array(*map(F.lit, c)) if c else F.array().cast("array<string>") for c in CALLS]), F.pmod(k, F.lit(7)).cast("int")))
+    rows = turns.drop("tool_name", "target", "is_error").select("*", F.posexplode(names).alias("call_index", "tool_name"))
+    i = F.col("call_index")
+    file = F.concat(F.lit("/src/f"), F.pmod(F.floor(F.col("turn_index") / 4), F.lit(3)).cast("string"), F.lit(".ts"))
+    command = F.when(at.between(6, 9), "pytest -q").otherwise(_pick(k + i, COMMANDS))
+    target = F.when(F.col("tool_name").isin("Edit", "Read"), file).when(F.col("tool_name") == "Bash", command).when(F.col("tool_name") == "Task", _pick(k, AGENTS)).when(F.col("tool_name") == "skill", F.when(k % 2 == 0, "fmt").otherwise("lint")).otherwise("*.ts")
+    known = F.substring("session_id", 2, 20).cast("long") % 5 != 0
+    return rows.withColumns({"tool_use_id": F.concat_ws(":", "message_id", i), "target": target, "is_error": (at.between(2, 4) | at.between(6, 9)).cast("int"), "size": F.when(known, k * 7 + i * 10)}).withColumns({
+        "args_hash": F.concat_ws("|", "tool_name", "target"), "skill_name": F.when(F.col("tool_name") == "skill", F.col("target")),
+    })
+
+
+#: The same as DuckDB SQL, after TURNS_SQL: tables ``cl`` and, with verbs of commands, ``cv``.
+CALLS_SQL = """
+c0 as (select * exclude (tool_name, target, is_error), unnest(range(1, len(names) + 1)) - 1 call_index, unnest(names) tool_name from (select *,
+  case when turn_index % 12 between 6 and 9 then ['Bash'] else case k % 7 when 0 then ['Glob', 'Grep', 'Read'] when 1 then ['Edit'] when 2 then ['Bash', 'Bash'] when 3 then ['Task'] when 4 then ['skill'] when 6 then ['Edit', 'Read'] else [] end end names from priced) z),
+c1 as (select *, case when tool_name in ('Edit', 'Read') then concat('/src/f', cast(turn_index // 4 % 3 as varchar), '.ts') when tool_name = 'Bash' then case when turn_index % 12 between 6 and 9 then 'pytest -q'
+  else ['git status', 'pytest -q', 'gh pr view 7', 'cd /x && git diff', 'npm run build'][(k + call_index) % 5 + 1] end when tool_name = 'Task' then case k % 3 when 0 then 'Explore' when 1 then 'Plan' end when tool_name = 'skill' then case when k % 2 = 0 then 'fmt' else 'lint' end else '*.ts' end target from c0),
+cl as (select *, concat(message_id, ':', cast(call_index as varchar)) tool_use_id, concat_ws('|', tool_name, target) args_hash, case when turn_index % 12 between 2 and 4 or turn_index % 12 between 6 and 9 then 1 else 0 end is_error,
+  case when cast(substr(session_id, 2) as bigint) % 5 != 0 then k * 7 + call_index * 10 end size from c1),
+cv as (select *, case target when 'git status' then 'git status' when 'pytest -q' then 'pytest' when 'gh pr view 7' then 'gh pr' when 'cd /x && git diff' then 'git diff' when 'npm run build' then 'npm run build' end verb from cl where tool_name = 'Bash')
+"""

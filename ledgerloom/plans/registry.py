@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import activity, cost, provider, shell, text
+from ledgerloom.functions import cost, provider, text
 from ledgerloom.operators import attribution, filters, joins, rollups, search, sequences, series, sidecars, trees
 from ledgerloom.plans.projection import TURNS_SQL, turns
 from ledgerloom.sources import files
@@ -104,31 +104,12 @@ def subagent_statistics(spark, d):
     return _rounded(rollups.subagent_statistics(priced_turns(spark, d)), "total", "p50", "p95", "mean")
 
 
-@_query(""", i as (select tool_name, target, count(*) n, sum(coalesce(cost, 0)) c from priced group by 1, 2), r as (select *, row_number() over (partition by tool_name order by round(c, 9) desc, target) k from i)
-  select tool_name, cast(sum(n) as bigint) calls, count(*) distinct_examples, round(sum(c), 10) cost, string_agg(target, ',' order by k) filter (k <= 3) examples from r group by 1""")
-def bash_verbs_top_examples(spark, d):
-    return _rounded(rollups.top_examples(priced_turns(spark, d), "tool_name", "target"), "cost")
-
-
-@_query(""", c as (select concat('srv', cast(k % 3 as varchar)) server, concat('tool', cast(k % 5 as varchar)) tool, coalesce(cost, 0) c0 from priced where event_id % 2 = 0), i as (select server, tool, count(*) n, sum(c0) c from c group by 1, 2),
-  r as (select *, row_number() over (partition by server order by round(c, 9) desc, tool) k from i) select server, cast(sum(n) as bigint) calls, count(*) distinct_examples, round(sum(c), 10) cost, string_agg(tool, ',' order by k) filter (k <= 3) examples from r group by 1""")
-def mcp_servers(spark, d):
-    name = F.concat(F.lit("mcp__srv"), (F.col("k") % 3).cast("string"), F.lit("__tool"), (F.col("k") % 5).cast("string"))
-    calls = priced_turns(spark, d).withColumn("tool_name", F.when(F.col("event_id") % 2 == 0, name).otherwise("Bash"))
-    return _rounded(rollups.by_mcp_server(calls), "cost")
-
-
 @_query("""select tool_name, count(*) calls, cast(sum(round((case when k % 2 = 0 then (1000 + 800) / 2.0 else 1000.0 end) * (k % 4))) as bigint) saved_tokens from turns group by 1""")
 def replacement_savings(spark, d):
     replaced = F.when(F.col("k") % 2 == 0, F.array(F.lit("Read"), F.lit("Other"))).otherwise(F.array(F.lit("Read")))
     return rollups.replacement_savings(turns(spark, d).withColumn("replaced", replaced), F.col("replaced"), F.col("k") % 4, {"Read": 1000})
 
 
-@_query("select session_id, count(*) filter (tool_name = 'Edit') edit_turns, count(*) filter (tool_name = 'Edit' and k % 3 = 0) one_shot_turns from turns group by 1")
-def one_shot_metrics(spark, d):
-    return rollups.one_shot(turns(spark, d).withColumn("retries", F.col("k") % 3))
-
-
 @_query("""select coalesce(case when event_id % 5 = 0 then concat('w', cast(k % 4 as varchar)) end, '(untagged)') tag, count(*) turns, round(sum(coalesce(cost, 0)), 10) cost from priced group by 1""")
 def summary_by_tag(spark, d):
     tagged = F.when(F.col("event_id") % 5 == 0, F.create_map(F.lit("workflow"), F.concat(F.lit("w"), (F.col("k") % 4).cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
@@ -148,7 +129,7 @@ def stamp_fold(spark, d):
     return out.select("session_id", "message_id", *[F.try_element_at("enrichment", F.lit(k)).alias(k) for k in ("team", "run", "day")])
 
 
-_EVENTS_SQL = """, ev as (select event_id, session_id, case when event_id % 3 = 0 then message_id else concat('x', cast(event_id as varchar)) end message_id, case when event_id % 11 = 0 then null else ts + to_microseconds(cast(1000000 * (k - 50) * 3600 as bigint)) end ts from turns where event_id % 2 = 0)"""
+_EVENTS_SQL = """, ev as (select event_id, session_id, case when event_id % 3 = 0 then message_id else concat('x', cast(event_id as varchar)) end message_id, case when event_id % 11 = 0 then null else ts + to_microseconds(cast(1000000 * (k - 50) * 3600 as bigint)) end ts from turns)"""
 
 
 @_query(_EVENTS_SQL + """, ex as (select ev.event_id, t.message_id own from ev left join turns t using (session_id, message_id)),
@@ -157,7 +138,7 @@ _EVENTS_SQL = """, ev as (select event_id, session_id, case when event_id % 3 =
 def event_to_turn(spark, d):
     t = turns(spark, d)
     shifted = F.timestamp_micros(F.unix_micros("ts") + 1000000 * (F.col("k") - 50) * 3600)
-    ev = t.where("event_id % 2 = 0").select("event_id", "session_id", F.when(F.col("event_id") % 3 == 0, F.col("message_id")).otherwise(F.concat(F.lit("x"), F.col("event_id").cast("string"))).alias("message_id"), F.when(F.col("event_id") % 11 != 0, shifted).alias("ts"))
+    ev = t.select("event_id", "session_id", F.when(F.col("event_id") % 3 == 0, F.col("message_id")).otherwise(F.concat(F.lit("x"), F.col("event_id").cast("string"))).alias("message_id"), F.when(F.col("event_id") % 11 != 0, shifted).alias("ts"))
     return joins.events_to_turns(ev, t).select("event_id", "turn_id")
 
 
@@ -185,30 +166,31 @@ def relationship_statistics(spark, d):
     return _rounded(joins.relationship_statistics(e, t), "cost")
 
 
-_FILES_SQL = ", f as (select concat('m', cast(event_id as varchar)) uuid, concat('m', cast(event_id // 3 as varchar)) parent, concat('f', cast(user_id % 40 as varchar)) file, case when event_id % 50 = 0 then concat('g', cast(event_id % 7 as varchar)) else concat('f', cast(user_id % 40 as varchar)) end session_id from events where event_id % 9 = 0)"
+_FILES_SQL = ", f as (select concat('m', cast(event_id as varchar)) uuid, concat('m', cast(event_id // 3 as varchar)) parent, concat('f', cast(user_id % 40 as varchar)) file, case when event_id % 50 = 0 then concat('g', cast(event_id % 7 as varchar)) else concat('f', cast(user_id % 40 as varchar)) end session_id from events)"
 
 
 @_query(_FILES_SQL + """, c as (select distinct a.file, b.file other, 'continuation' kind from f a join f b on a.parent = b.uuid where a.file != b.file), s as (select session_id from f where session_id != file group by 1 having count(distinct file) >= 2)
   select * from c union all select distinct f.file, f.session_id other, 'fork' kind from f join s using (session_id) where f.session_id != f.file and f.file not in (select file from c)""")
 def cross_file_reconciliation(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 9 = 0")
+    e = spark.read.parquet(f"{d}/events.parquet")
     file = F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string"))
     name = lambda n: F.concat(F.lit("m"), n.cast("string"))
     rows = e.select(name(F.col("event_id")).alias("uuid"), name(F.expr("event_id div 3")).alias("parent"), file.alias("file"), F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("g"), (F.col("event_id") % 7).cast("string"))).otherwise(file).alias("session_id"))
     return joins.foreign_sessions(rows)
 
 
-@_query(""", b as (select * from turns where event_id % 2 = 0), k as (select source, session_id, message_id, target from b where message_id not in (select message_id from turns where event_id % 6 = 0)) select count(*) appended, count(distinct message_id) keys from k""")
+@_query(""", st as (select *, row_number() over (partition by session_id order by turn_index) > 30 late from turns) select count(*) filter (late) appended, count(distinct message_id) filter (late) keys from st""")
 def append_new_turns(spark, d):
+    """Every turn, twice, against a store of each session's first thirty."""
     t, keys = turns(spark, d), ["source", "session_id", "message_id"]
-    batch = t.where("event_id % 2 = 0")
-    return joins.new_rows(batch.union(batch), t.where("event_id % 6 = 0"), keys).agg(F.count("*").alias("appended"), F.countDistinct("message_id").alias("keys"))
+    return joins.new_rows(t.union(t), t.where("turn_index < 30"), keys).agg(F.count("*").alias("appended"), F.countDistinct("message_id").alias("keys"))
 
 
-@_query(""", u as (select *, 0 v from turns where event_id % 2 = 0 union all select *, 1 v from turns where event_id % 3 = 0), r as (select *, row_number() over (partition by message_id order by v desc) rk from u) select v, count(*) n from r where rk = 1 group by 1""")
+@_query(""", u as (select message_id, 0 v from turns union all select message_id, 1 from turns where turn_index >= 20), r as (select *, row_number() over (partition by message_id order by v desc) rk from u) select v, count(*) n from r where rk = 1 group by 1""")
 def turn_upsert(spark, d):
+    """Every turn, and newer versions of those from the twentieth of a session on."""
     t = turns(spark, d)
-    both = joins.upsert(t.where("event_id % 2 = 0").withColumn("v", F.lit(0)), t.where("event_id % 3 = 0").withColumn("v", F.lit(1)), ["message_id"], "v")
+    both = joins.upsert(t.withColumn("v", F.lit(0)), t.where("turn_index >= 20").withColumn("v", F.lit(1)), ["message_id"], "v")
     return both.groupBy("v").agg(F.count("*").alias("n"))
 
 
@@ -217,47 +199,6 @@ def by_tool_attribution(spark, d):
     return _rounded(attribution.by_tool(priced_turns(spark, d)), "cost")
 
 
-_HOT_SQL = """, c0 as (select *, row_number() over (partition by session_id order by turn_index) rk, input_tokens + cache_create_5m + cache_create_1h fresh from priced),
-  c1 as (select *, lead(fresh) over w pf, lead(coalesce((input_tokens * r_in + (cache_create_5m + cache_create_1h) * r_write) / nullif(fresh, 0), 0)) over w pw from c0 window w as (partition by session_id order by turn_index)),
-  c2 as (select *, coalesce(least(result_tokens, pf), case when pf is null then 0 end, 0) it from c1),
-  ri as (select c.session_id, c.message_id, c.result_tokens, t.cache_read cr, t.r_read rr, sum(c.result_tokens) over (partition by t.session_id, t.rk) act from c2 c join c0 t on c.session_id = t.session_id and t.rk > c.rk + 1 and c.result_tokens > 0 and t.cache_read >= c.result_tokens),
-  rd as (select session_id, message_id, sum(result_tokens / act * least(cr, act)) tk, sum(result_tokens / act * least(cr, act) / 1e6 * coalesce(rr, 0)) co from ri group by 1, 2),
-  hs as (select c.session_id, c.message_id, tool_name, target, case when pf is null then 0 else it end it, coalesce(case when pf is null then 0 else it end * pw / 1e6, 0) ic, coalesce(tk, 0) rt, coalesce(co, 0) rc from c2 c left join rd using (session_id, message_id))"""
-
-
-@_query(_HOT_SQL + """ select target, count(*) calls, cast(sum(it) as bigint) initial_tokens, round(sum(ic), 10) initial_cost, round(sum(rt), 2) riding_tokens, round(sum(rc), 10) riding_cost from hs where tool_name in ('Read', 'Edit') group by 1""")
-def hotspots_by_file(spark, d):
-    out = attribution.by_file(attribution.hotspots(priced_turns(spark, d)))
-    return _rounded(_rounded(out, "initial_cost", "riding_cost"), "riding_tokens", digits=2)
-
-
-@_query(_HOT_SQL + """, g as (select session_id, sum(coalesce(cost, 0)) g from priced group by 1), o as (select session_id, sum(ic + rc) a from hs group by 1) select session_id, round(g, 10) grand, round(a, 10) attributed, round(g - a, 10) unattributed from g join o using (session_id)""")
-def hotspots_by_session(spark, d):
-    t = priced_turns(spark, d)
-    return _rounded(attribution.session_totals(attribution.hotspots(t), t), "grand", "attributed", "unattributed")
-
-
-def _runs_sql(changed: str, where: str, having: str) -> str:
-    return f""", m as (select *, case when row_number() over w = 1 or {changed} then 1 else 0 end nw from priced window w as (partition by session_id order by turn_index)), i as (select *, sum(nw) over (partition by session_id order by turn_index) isl from m)
-  select session_id, count(*) length, min(turn_index) first_turn, max(turn_index) last_turn, count(distinct (tool_name, target)) calls, min(tool_name) tool_name, round(sum(coalesce(cost, 0)), 10) cost from i where {where} group by session_id, isl having {having}"""
-
-
-@_query(_runs_sql("is_error != lag(is_error) over w or tool_name != lag(tool_name) over w or target != lag(target) over w", "is_error = 1", "count(*) >= 1 and count(*) >= 2"))
-def retry_loops(spark, d):
-    return _rounded(sequences.retry_loops(priced_turns(spark, d), least=2), "cost")
-
-
-@_query(_runs_sql("is_error != lag(is_error) over w", "is_error = 1", "count(*) >= 3 and count(distinct (tool_name, target)) >= 2"))
-def failure_runs(spark, d):
-    return _rounded(sequences.failure_runs(priced_turns(spark, d)), "cost")
-
-
-@_query(_runs_sql("(k % 5 = 0) != lag(k % 5 = 0) over w", "k % 5 = 0", "count(*) >= 1"))
-def cancellation_runs(spark, d):
-    t = priced_turns(spark, d).withColumn("status", F.when(F.col("k") % 5 == 0, "cancelled").otherwise("completed"))
-    return _rounded(sequences.cancellation_runs(t), "cost")
-
-
 @_query(""", ev as (select *, k % 13 tool_use_id, event_id event_index, case when k % 7 = 0 then 'running' else 'completed' end status from turns), r as (select *, row_number() over (partition by session_id, tool_use_id order by event_index desc, ts desc, event_id desc) rk from ev)
   select session_id, tool_use_id, message_id from r where rk = 1 and status != 'running'""")
 def terminal_events(spark, d):
@@ -271,55 +212,11 @@ def context_deltas(spark, d):
     return sequences.context_deltas(turns(spark, d))
 
 
-@_query(""", w as (select *, count(*) over (partition by session_id, target order by turn_index range between current row and 4 following) n from turns where tool_name = 'Edit'), r as (select *, row_number() over (partition by session_id, target order by n desc, turn_index) k2 from w)
-  select session_id, target, n edits, turn_index from_turn from r where k2 = 1 and n >= 2""")
-def edit_clusters(spark, d):
-    return sequences.edit_clusters(turns(spark, d), least=2)
-
-
-@_query(""", l as (select session_id, tool_name t0, lag(tool_name, 1) over w t1, lag(tool_name, 2) over w t2 from turns window w as (partition by session_id order by turn_index)) select session_id, count(*) sequences from l where t2 = 'Bash' and t1 = 'Read' and t0 = 'Edit' group by 1""")
-def search_sequences(spark, d):
-    return sequences.search_sequences(turns(spark, d))
-
-
-@_query(""", g as (select *, sum(1 - is_error) over (partition by session_id order by turn_index desc) good from turns), l as (select session_id, count(*) turns, count(*) filter (good = 0) trailing_failures, arg_max_null(stop_reason, turn_index) s from g group by 1)
-  select session_id, turns, trailing_failures, case when turns <= 2 then 'too-short' when trailing_failures >= 3 then 'failed' when s = 'refusal' then 'refused' when s = 'max_tokens' then 'truncated' when s is null then 'interrupted' else 'completed' end outcome from l""")
-def session_outcomes(spark, d):
-    return sequences.outcomes(turns(spark, d))
-
-
-@_query(""", r as (select *, count(*) filter (cache_read > 0) over (partition by session_id order by turn_index rows between 1 following and unbounded following) riding from turns) select session_id, message_id, riding from r where tool_name = 'Task'""")
-def skill_riding(spark, d):
-    return sequences.riding_turns(turns(spark, d), F.col("tool_name") == "Task").select("session_id", "message_id", "riding")
-
-
-@_query("""select session_id, greatest(max(cache_create_5m + cache_create_1h - input_tokens) filter (turn_index = 0), 0) tax_tokens, count(*) filter (turn_index > 0 and cache_read > 0) riding from turns group by 1""")
-def prompt_tax(spark, d):
-    return sequences.prompt_tax(turns(spark, d))
-
-
 @_query("""select session_id, message_id, greatest(input_tokens - coalesce(lag(input_tokens) over (partition by session_id order by turn_index), 0), 0) used from turns""")
 def cumulative_to_turn_usage(spark, d):
     return sequences.per_turn_usage(turns(spark, d), "input_tokens").select("session_id", "message_id", "used")
 
 
-@_query("""select session_id, count(*) filter (tool_name = 'Edit') edits, count(*) filter (tool_name = 'Read') reads from turns group by 1 having edits >= 5 and edits > 1.5 * reads""")
-def edit_heavy(spark, d):
-    return sequences.edit_heavy(turns(spark, d), ratio=1.5)
-
-
-@_query()
-def edit_reverts(spark, d):
-    e = turns(spark, d).where("tool_name = 'Edit'").withColumn("pre", (F.col("k") % 6).cast("string")).withColumn("post", (F.col("k") % 4).cast("string"))
-    return sequences.edit_reverts(e.withColumn("target", F.lit("/src/a.ts")))
-
-
-@_query()
-def retries_in_turn(spark, d):
-    line = turns(spark, d).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", "tool_name"))).alias("line"))
-    return line.select("session_id", sequences.retries_in_order(F.transform("line", lambda x: x["tool_name"])).alias("retries"))
-
-
 _EDGES = "select distinct user_id node, case when user_id > 0 then user_id // 2 end parent from events"
 
 
@@ -330,7 +227,7 @@ def subagent_forest(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     edges = e.select(F.col("user_id").alias("node"), F.when(F.col("user_id") > 0, F.expr("user_id div 2")).alias("parent")).distinct()
     costs = e.groupBy(F.col("user_id").alias("node")).agg((F.sum(F.round(F.col("value") * 100)) / 100).alias("cost"))
-    return _rounded(trees.forest_costs(edges, costs, deepest=32), "own", "cumulative", digits=2)
+    return _rounded(trees.forest_costs(edges, costs), "own", "cumulative", digits=2)
 
 
 @_query("""with recursive ed as (select distinct concat('u', cast(user_id as varchar)) a, concat('k', cast(user_id % 37 as varchar)) b from events), bo as (select a, b from ed union select b, a from ed), re(node) as (select 'u1' union select bo.b from re join bo on bo.a = re.node) select node from re""")
@@ -343,7 +240,7 @@ def connected_sessions(spark, d):
 def agent_session_tree(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     edges = e.select(F.col("user_id").alias("node"), F.when(F.col("user_id") > 0, F.expr("user_id div 2")).alias("parent")).distinct()
-    return trees.descendants(edges.select(F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("parent")), "1", 32).select(F.col("node").cast("long").alias("node"), "depth")
+    return trees.descendants(edges.select(F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("parent")), "1").select(F.col("node").cast("long").alias("node"), "depth")
 
 
 @_query("""select session_id, case when k % 3 = 0 then concat('r', cast(k as varchar)) else message_id end inference_id, min(ts) started, max(ts) ended, cast(sum(input_tokens) as bigint) input_tokens, cast(sum(output_tokens) as bigint) output_tokens, count(distinct tool_name) tools, max_by(activity, event_id) kind from turns group by 1, 2""")
@@ -402,24 +299,13 @@ def overhead_by_section(spark, d):
     return _rounded(series.overhead_by_section(costs, sections), "cost", "average", "p95")
 
 
-@_query(""", b as (select source, tool_name, count(*) n, max(result_tokens) most, quantile_disc(result_tokens, 0.95) p95, count(distinct session_id) sessions from turns group by 1, 2) select * from b where most > case when n >= 20 then greatest(100, p95) else 100 end""")
-def observed_bloat(spark, d):
-    return series.observed_bloat(turns(spark, d), static_limit=100)
-
-
-@_query("""select * from (values ('agent', 'Reviewer', 300), ('skill', 'EDIT', 10), ('rule', 'no-print', 40)) s(kind, stem, tokens) where lower(stem) not in (select lower(tool_name) from turns)""")
-def ghost_surfaces(spark, d):
-    surfaces = spark.createDataFrame([("agent", "Reviewer", 300), ("skill", "EDIT", 10), ("rule", "no-print", 40)], "kind string, stem string, tokens int")
-    return series.ghosts(surfaces, turns(spark, d).select(F.col("tool_name").alias("name")))
-
-
 @_query(""", s as (select session_id, message_id, substr(sha256(concat_ws('|', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), model, cast(input_tokens + output_tokens as varchar), cast(cache_read as varchar), cast(cache_create_5m + cache_create_1h as varchar), target)), 1, 16) fp from turns) select count(*) turns, count(distinct fp) distinct_turns, min(fp) least from s""")
 def turn_fingerprints(spark, d):
     fp = turns(spark, d).withColumn("fp", text.turn_fingerprint())
     return fp.agg(F.count("*").alias("turns"), F.countDistinct("fp").alias("distinct_turns"), F.min("fp").alias("least"))
 
 
-@_query("""select conv_id, turn, cast(length(text) as bigint) chars, cast(strlen(text) as bigint) bytes, substr(sha256(text), 1, 16) hash, contains(lower(text), '[truncated]') truncated, cast(ceil(strlen(text) / 4) as bigint) tokens, left(trim(split_part(trim(text, chr(10)), chr(10), 1)), 240) signature from conversations where text is not null""")
+@_query("""select conv_id, turn, cast(length(text) as bigint) chars, cast(strlen(text) as bigint) bytes, substr(sha256(text), 1, 16) hash, regexp_matches(lower(text), '<system-truncated>|\\[truncated\\]|output truncated|result truncated|response truncated|truncated to ') truncated, cast(ceil(strlen(text) / 4) as bigint) tokens, left(trim(split_part(trim(text, chr(10)), chr(10), 1)), 240) signature from conversations where text is not null""")
 def payload_measures(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet").where("text is not null").withColumn("m", text.payload_measure(F.col("text")))
     return c.select("conv_id", "turn", "m.*", text.approximate_tokens(F.octet_length("text")).alias("tokens"), text.error_signature(F.col("text")).alias("signature"))
@@ -447,26 +333,12 @@ def nearest_rank_percentiles(spark, d):
     return c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), rollups.nearest_rank("c_acctbal", 0.5).alias("p50"), rollups.nearest_rank("c_acctbal", 0.95).alias("p95"))
 
 
-@_query("""select count(*) sessions, count(*) filter (least <= timestamp '2024-01-05') early, count(*) filter (least > timestamp '2024-01-05') later from (select session_id, min(ts) least from turns group by 1) x""")
-def filtered_scan(spark, d):
-    s = turns(spark, d).groupBy("session_id").agg(F.min("ts").alias("least"))
-    day = F.lit("2024-01-05").cast("timestamp")
-    return s.agg(F.count("*").alias("sessions"), F.count_if(F.col("least") <= day).alias("early"), F.count_if(F.col("least") > day).alias("later"))
-
-
 @_query("""select 'events' name, count(*) n from events union all select 'conversations', count(*) from conversations union all select 'lineitem', count(*) from lineitem""")
 def table_counts(spark, d):
     parts = [spark.read.parquet(f"{d}/{t}.parquet").agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in ("events", "conversations", "lineitem")]
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@_query()
-def findings(spark, d):
-    from ledgerloom.operators.findings import detect_all
-
-    return detect_all(priced_turns(spark, d))
-
-
 @_query(""", q as (select conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x != '') w from conversations), n as (select count(*) n, avg(len(w)) m from q), h as (select conv_id, turn, len(w) l, len(list_filter(w, lambda x: x = 'the')) tf from q), df as (select count(*) d from h where tf > 0)
   select conv_id, turn, round(ln(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m)), 10) score from h, n, df where tf > 0 order by score desc, conv_id * 1000 + turn limit 25""")
 def search_content(spark, d):
@@ -507,19 +379,6 @@ def requested_models(spark, d):
     return filters.models(turns(spark, d), ["gpt-5.5", "absent-model"])
 
 
-@_query("""select case event_type when 'view' then 'Read' when 'error' then 'error' else event_type end tool, case event_type when 'error' then 'errored' else 'unknown' end status, count(*) n from events group by 1, 2""")
-def tool_aliases(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    return e.groupBy(text.tool_name(F.col("event_type")).alias("tool"), text.status(F.col("event_type")).alias("status")).agg(F.count("*").alias("n"))
-
-
-@_query(f"""select conv_id, turn, case {" ".join(f"when regexp_matches(lower(text), '{p}') then '{n}'" for n, p in activity.REQUESTS)} else 'conversation' end activity from conversations""")
-def request_activities(spark, d):
-    none = F.array().cast("array<struct<name: string, target: string, command: string>>")
-    c = spark.read.parquet(f"{d}/conversations.parquet")
-    return c.select("conv_id", "turn", activity.activity(none, F.col("text")).alias("activity"))
-
-
 @_query(""", c as (select user_id % 7 project, case event_id % 3 when 0 then concat('git@GitHub.com:org/p', cast(user_id % 7 as varchar), '.git') when 1 then concat('https://github.com/org/p', cast(user_id % 7 as varchar)) else concat('ssh://git@github.com/org/p', cast(user_id % 7 as varchar), '.git/') end url from events)
   select concat('github.com/org/p', cast(project as varchar)) project_key, count(*) n from c group by 1""")
 def project_keys(spark, d):
@@ -536,11 +395,7 @@ def content_prune(spark, d):
     return files.prune(c, datetime(2024, 1, 1))[1]
 
 
-@_query()
-def command_verbs(spark, d):
-    commands = F.get(F.array(*[F.lit(x) for x in ("cd /x && git push", "sudo npm run build", "cat a.txt", "bash -lc 'pytest -q'")]), (F.col("k") % 4).cast("int"))
-    t = shell.with_verbs(priced_turns(spark, d).withColumn("command", commands))
-    return _rounded(rollups.top_examples(t.withColumn("normalized", F.col("verb.normalized")), "normalized", "command"), "cost")
+from ledgerloom.plans import calls  # noqa: E402, F401  registers the queries over tool calls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

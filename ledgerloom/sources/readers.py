@@ -116,13 +116,23 @@ def transcript_user_turns(rows: DataFrame) -> DataFrame:
     return rows.where("type = 'user'").select("session_id", F.col("uuid").alias("user_uuid"), "parent", "ts", said.alias("text"), text.approximate_tokens(F.octet_length(said)).alias("tokens"))
 
 
-def user_ancestors(rows: DataFrame, deepest: int = 64) -> DataFrame:
-    """For every row its nearest user prompt up the parent chain; cycles and broken chains have none."""
-    from ledgerloom.operators.trees import closure
-
-    lines = closure(rows.select(F.col("uuid").alias("node"), "parent"), deepest)
-    users = rows.where("type = 'user'").select(F.col("uuid").alias("ancestor"))
-    return lines.where("distance > 0").join(users, "ancestor").groupBy("node").agg(F.min_by("ancestor", "distance").alias("prompt"))
+def user_ancestors(rows: DataFrame) -> DataFrame:
+    """For every row its nearest user prompt up the parent chain (node, prompt), however long; cycles and broken chains have none.
+
+    A pointer stops at a prompt; until then it doubles each round, so rounds grow with the logarithm of the longest chain.
+    """
+    from ledgerloom.sources.scratch import cut
+
+    users = rows.where("type = 'user'").select(F.col("uuid").alias("at"), F.lit(True).alias("prompt"))
+    step = rows.where("parent is not null").groupBy(F.col("uuid").alias("node")).agg(F.min("parent").alias("at"))
+    open_ends = cut(step.join(users, "at", "left").select("node", "at", F.coalesce("prompt", F.lit(False)).alias("done")))
+    for _ in range(rows.count().bit_length() + 1):
+        here = open_ends.where("not done")
+        if here.isEmpty():
+            break
+        far = open_ends.select(F.col("node").alias("at"), F.col("at").alias("far"), F.col("done").alias("far_done"))
+        open_ends = cut(here.join(far, "at").select("node", F.col("far").alias("at"), F.col("far_done").alias("done")).union(open_ends.where("done")))
+    return open_ends.where("done").select("node", F.col("at").alias("prompt"))
 
 
 _ROLLOUT = "timestamp string, type string, payload string"

@@ -65,8 +65,15 @@ def test_edit_revert_resets_history(spark):
 def test_forest_and_cycles(spark):
     edges = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "node string, parent string")
     costs = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 4.0)], "node string, cost double")
-    got = {r["node"]: (r["own"], r["cumulative"], r["depth"]) for r in trees.forest_costs(edges, costs, 8).collect()}
+    got = {r["node"]: (r["own"], r["cumulative"], r["depth"]) for r in trees.forest_costs(edges, costs).collect()}
     assert got["a"] == (1.0, 7.0, 0) and got["b"] == (2.0, 6.0, 1) and got["c"] == (4.0, 4.0, 2)
+    assert got["x"] == (0.0, 0.0, 0) and got["y"] == (0.0, 0.0, 1)  # the cycle is cut below its smallest node
+
+
+def test_forest_has_no_depth_limit(spark):
+    chain = spark.range(1, 151).select(F.col("id").alias("node"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"))
+    got = {r["node"]: tuple(r)[1:] for r in trees.forest_costs(chain, chain.select("node", F.lit(1.0).alias("cost"))).collect()}
+    assert got == {i: (1.0, 151.0 - i, i - 1, 151 - i) for i in range(1, 151)}
 
 
 def test_buckets_keep_empty_ones_and_are_bounded(spark):

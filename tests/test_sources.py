@@ -39,7 +39,14 @@ def test_transcript(spark, tmp_path):
     assert (e["tool_use_id"], e["status"], e["chars"], e["bytes"]) == ("t1", "errored", 1, 2)
     assert readers.transcript_compactions(rows).count() == 1
     assert readers.transcript_user_turns(rows).where("user_uuid = 'u1'").first()["text"] == 'fix the "bug"'
-    assert {r["node"]: r["prompt"] for r in readers.user_ancestors(rows, 8).collect()}["a3"] == "u2"
+    assert {r["node"]: r["prompt"] for r in readers.user_ancestors(rows).collect()}["a3"] == "u2"
+
+
+def test_prompt_at_the_end_of_a_long_chain(spark):
+    """However long the chain is; a cycle and a broken chain have no prompt."""
+    rows = [("u", "user", None), ("a0", "assistant", "u"), *[(f"a{i}", "assistant", f"a{i - 1}") for i in range(1, 101)], ("x", "assistant", "y"), ("y", "assistant", "x"), ("z", "assistant", "gone")]
+    got = {r["node"]: r["prompt"] for r in readers.user_ancestors(spark.createDataFrame(rows, "uuid string, type string, parent string")).collect()}
+    assert got == {f"a{i}": "u" for i in range(101)}
 
 
 def test_rollout_usage_is_the_growth_of_totals(spark, tmp_path):
@@ -68,7 +75,11 @@ def test_shell():
 def test_verbs_and_activity(spark):
     assert {r["command"]: r["verb"]["normalized"] for r in shell.with_verbs(spark.createDataFrame([("git push",), ("ls",), (None,)], "command string")).where("command is not null").collect()} == {"git push": "git push", "ls": "ls"}
     call = "array<struct<name: string, target: string, command: string>>"
-    rows = [([("Edit", "a.md", None)], "x", "documentation"), ([("Edit", "a.py", None)], "fix it", "debugging"), ([("Bash", None, "cargo test")], "", "testing"), ([("Task", None, None)], "", "delegation"), ([], "make a plan", "planning"), ([("Read", "a", None)], None, "exploration")]
+    rows = [
+        ([("Edit", "a.md", None)], "x", "docs"), ([("Edit", "a.py", None)], "rename it", "refactoring"), ([("apply_patch", "a.py", None)], "hm", "coding"), ([("Bash", None, "CI=1 cargo test")], "", "testing"), ([("Bash", None, "black . --check")], "", "verification"),
+        ([("Bash", None, "black .")], "", "format"), ([("spawn_agent", None, None)], "", "delegation"), ([("update_plan", None, None)], "", "planning"), ([], "a roadmap please", "planning"), ([], "what if not", "brainstorming"), ([("Read", "a", None)], None, "exploration"), ([], None, "conversation"),
+        ([("Edit", "a", None), ("Bash", None, "x"), ("Edit", "a", None), ("Bash", None, "x"), ("Edit", "a", None)], "", "debugging"),
+    ]
     df = spark.createDataFrame(rows, f"calls {call}, request string, want string")
     assert all(r["got"] == r["want"] for r in df.withColumn("got", activity.activity(F.col("calls"), F.col("request"))).collect())
 
