@@ -460,10 +460,14 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """Of every component one row, that with the smallest identifier (null last; of equal ones the smallest hash of text, then of
     the row); all rows without words stay. Rows of one identifier whose texts don't link are components of their own."""
     found = _labelled(df, id_col, text_col, workspace(df.sparkSession))
-    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("f")).select(F.col("f.doc_id").alias("_i"), F.col("f.h").alias("_h")).distinct()
-    own = df.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.xxhash64(F.col(text_col).cast("string"))})
-    chosen = own.join(first, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_h")), "left_semi")
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("f"))
+    # plain equality of three keys, which the grouping shares: the texts are shuffled once
+    keys = ["_none", "_id", "_text"]
+    first = first.select(F.col("f.none").alias("_none"), F.coalesce("f.doc_id", F.lit(0)).alias("_id"), F.col("f.h").alias("_text")).distinct()
+    id_ = F.col(id_col).cast("long")
+    own = df.withColumns({"_none": id_.isNull(), "_id": F.coalesce(id_, F.lit(0)), "_text": F.xxhash64(F.col(text_col).cast("string"))})
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    single = chosen.groupBy("_id", "_text").agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])).alias("_row")).select("_row.*")
+    chosen = own.join(first, keys, "left_semi").groupBy(*keys)
+    single = chosen.agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])).alias("_row")).select("_row.*")
     blank = df.where(F.coalesce(~F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
     return single.union(blank.select(*df.columns))
