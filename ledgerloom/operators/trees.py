@@ -41,20 +41,27 @@ def _doubled(tree: DataFrame, start: dict, step) -> DataFrame:
     return state
 
 
-def forest_costs(edges: DataFrame, costs: DataFrame) -> DataFrame:
-    """Per node its own cost, that of its subtree, its depth and the size of the subtree, over (node, parent). No limit on depth; a cycle is
-    cut below its smallest node."""
-    tree = pointers(edges).join(costs, "node", "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
+def forest_sums(edges: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
+    """(node, own_<c>, cumulative_<c>, depth, nodes) over (node, parent) for the ``columns`` of ``values`` (node, ...): own values, sums over the
+    subtree, depth and size of the subtree. No limit on depth; a cycle is cut below its smallest node."""
+    tree = pointers(edges).join(values, "node", "left").withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
 
     def step(state: DataFrame, jump: DataFrame) -> DataFrame:
         # descendants nearer than 2^k are summed already; those of nodes exactly 2^k below come on top
-        moved = state.join(jump, "node").where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("cumulative").alias("more"), F.sum("nodes").alias("more_nodes"))
+        more = [F.sum(f"cumulative_{c}").alias(f"more_{c}") for c in columns]
+        moved = state.join(jump, "node").where("up is not null").groupBy(F.col("up").alias("node")).agg(*more, F.sum("nodes").alias("more_nodes"))
         above = jump.where("up is not null").join(state.select(F.col("node").alias("up"), F.col("depth").alias("rest")), "up").select("node", "rest")
         out = state.join(moved, "node", "left").join(above, "node", "left")
-        return out.select("node", "own", (F.col("cumulative") + F.coalesce("more", F.lit(0.0))).alias("cumulative"), (F.col("nodes") + F.coalesce("more_nodes", F.lit(0))).alias("nodes"), (F.col("depth") + F.coalesce("rest", F.lit(0))).alias("depth"))
+        sums = [(F.col(f"cumulative_{c}") + F.coalesce(f"more_{c}", F.lit(0.0))).alias(f"cumulative_{c}") for c in columns]
+        return out.select("node", *[f"own_{c}" for c in columns], *sums, (F.col("nodes") + F.coalesce("more_nodes", F.lit(0))).alias("nodes"), (F.col("depth") + F.coalesce("rest", F.lit(0))).alias("depth"))
+
+    start = {**{f"own_{c}": F.col(c) for c in columns}, **{f"cumulative_{c}": F.col(c) for c in columns}, "nodes": F.lit(1).cast("long"), "depth": F.col("parent").isNotNull().cast("int")}
+    return _doubled(tree, start, step)
 
-    start = {"own": F.col("cost"), "cumulative": F.col("cost"), "nodes": F.lit(1).cast("long"), "depth": F.col("parent").isNotNull().cast("int")}
-    return _doubled(tree, start, step).select("node", "own", "cumulative", "depth", "nodes")
+
+def forest_costs(edges: DataFrame, costs: DataFrame) -> DataFrame:
+    """(node, own, cumulative, depth, nodes) for the column ``cost`` of ``costs``."""
+    return forest_sums(edges, costs, ["cost"]).select("node", F.col("own_cost").alias("own"), F.col("cumulative_cost").alias("cumulative"), "depth", "nodes")
 
 
 def descendants(edges: DataFrame, root: str) -> DataFrame:

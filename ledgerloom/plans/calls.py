@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import activity, text
-from ledgerloom.operators import attribution, filters, findings, patterns, quality, sequences
+from ledgerloom.operators import agents, attribution, filters, findings, patterns, quality, sequences, spans
 from ledgerloom.plans.projection import CALLS_SQL, TURNS_SQL, calls, turns
 from ledgerloom.plans.registry import ORACLES, QUERIES, _rounded, priced_turns
 
@@ -314,3 +314,76 @@ def filtered_scan(spark, d):
     t = turns(spark, d).withColumns({"project": F.lit("p"), "project_key": F.lit("k")})
     kept = filters.scan(t, datetime(2024, 1, 3, tzinfo=timezone.utc), datetime(2024, 1, 9, 12, tzinfo=timezone.utc), source="codex", project="k")
     return kept.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"))
+
+
+_SPANS = """, rs as (select session_id, message_id, tool_use_id, is_error, case when k % 7 = 0 then null when k % 5 = 0 then 'cancelled' when is_error = 1 then 'error' else 'ok' end result from cl), rf as (select session_id, message_id, max(result = 'error') bad from rs group by 1, 2),
+  rt as (select p.session_id, stop_reason, coalesce(bad, false) bad, cost from priced p left join rf using (session_id, message_id)),
+  sp as (select session_id, 'turn' kind, case stop_reason when 'refusal' then 'error: refusal' when 'max_tokens' then 'error: max_tokens' else case when bad then 'error' else 'ok' end end status, cost from rt
+  union all select session_id, 'inference', case when bad then 'error' else 'ok' end, 0 from rt union all select session_id, 'tool_use', case when result = 'error' then 'error' else 'ok' end, 0 from rs union all select session_id, 'tool_result', result, 0 from rs where result is not null)"""
+
+
+@_query(_SPANS + " select session_id, kind, status, count(*) spans, round(sum(coalesce(cost, 0)), 10) cost from sp group by 1, 2, 3")
+def span_status(spark, d):
+    """Results of calls from events: one that still runs for every seventh, cancelled ones, and an earlier running one for all."""
+    t, c = _both(spark, d)
+    last = F.when(F.col("k") % 7 == 0, "running").when(F.col("k") % 5 == 0, "cancelled").when(F.col("is_error") == 1, "errored").otherwise("completed")
+    events = c.select("session_id", "tool_use_id", F.posexplode(F.array(F.lit("running"), last)).alias("event_index", "status"))
+    out = spans.spans(t, c, events).groupBy("session_id", "kind", "status").agg(F.count("*").alias("spans"), F.sum(F.coalesce("cost", F.lit(0.0))).alias("cost"))
+    return _rounded(out, "cost")
+
+
+_FLOW = """, fn as (select session_id, message_id, row_number() over (partition by session_id order by turn_index) - 1 number from priced qualify number < 50), fc as (select cl.*, number, row_number() over (partition by cl.session_id, cl.message_id order by call_index) ro from cl join fn using (session_id, message_id)),
+  fs as (select *, row_number() over (partition by session_id order by number, ro) rail from fc where tool_name = 'Task')"""
+
+
+@_query(_FLOW + """ select session_id, message_id || ':inf-0' node, 'inference' kind, 'inf #1' label, 0 rail, number * 96 x, 0 y from fn union all select session_id, message_id || ':tu-' || tool_use_id, case when tool_name = 'skill' then 'skill' else 'tool-use' end, tool_name, 0, number * 96, ro * 32 from fc
+  union all select session_id, message_id || ':tu-' || tool_use_id || ':sub', 'subagent', coalesce(target, '(unknown)'), rail, number * 96, (ro + 1) * 32 from fs""")
+def flow_nodes(spark, d):
+    return spans.flow(*_both(spark, d))[0]
+
+
+@_query(_FLOW + """ select session_id, coalesce(lag(message_id || ':tu-' || tool_use_id) over (partition by session_id, message_id order by call_index), message_id || ':inf-0') source, message_id || ':tu-' || tool_use_id target, 'default' kind from fc
+  union all select session_id, message_id || ':tu-' || tool_use_id, message_id || ':tu-' || tool_use_id || ':sub', 'dispatch' from fs union all select fs.session_id, fs.message_id || ':tu-' || tool_use_id || ':sub', fn.message_id || ':inf-0', 'return' from fs join fn on fn.session_id = fs.session_id and fn.number = fs.number + 1""")
+def flow_edges(spark, d):
+    return spans.flow(*_both(spark, d))[1]
+
+
+@_query(""", ra as (select *, case when event_id % 4 = 1 then 'a' || cast(k % 3 as varchar) else 'main' end rail, input_tokens + cache_read + cache_create_5m + cache_create_1h context from priced), de as (select *, context - lag(context) over (partition by session_id, rail order by turn_index) delta from ra)
+  select session_id, rail, message_id, turn_index, context, delta, round(coalesce(greatest(delta, 0) / 1e6 * r_read, 0), 9) usd from de where delta is not null order by delta desc, context desc, session_id, turn_index, message_id limit 20""")
+def rail_deltas(spark, d):
+    t = priced_turns(spark, d).withColumn("agent_id", F.when(F.col("event_id") % 4 == 1, F.concat(F.lit("a"), (F.col("k") % 3).cast("string"))))
+    return _rounded(spans.context_deltas(t), "usd", digits=9)
+
+
+def _family(spark, d):
+    """Turns of which some belong to agents, and edges: every session is a root; all but the first also run as agents of the session with half
+    their number. Sessions with an even number have turns of named agents."""
+    n = F.substring("session_id", 2, 20).cast("long")
+    m = F.col("event_id") % 4
+    t = priced_turns(spark, d).withColumns({"agent_id": F.when((n % 2 == 0) & (m == 1), F.concat(F.lit("x"), "session_id", F.lit("-"), (F.col("k") % 3).cast("string"))), "sidechain": m.isin(1, 2)})
+    t = t.withColumns({"parent_agent_id": F.lit(None).cast("string"), "subagent_type": F.when(F.col("k") % 3 == 0, "explore").when(F.col("k") % 3 == 1, "plan")})
+    s = t.select("session_id", n.alias("n")).distinct()
+    roots = s.select("session_id", F.lit(None).cast("string").alias("related_session_id"), F.lit("root").alias("kind"), F.lit(None).cast("string").alias("agent_id"), F.lit(None).cast("string").alias("subagent_type"), F.lit(0).alias("position"))
+    subs = s.where("n > 0").select("session_id", F.concat(F.lit("s"), F.expr("n div 2").cast("string")).alias("related_session_id"), F.lit("subagent").alias("kind"), F.concat(F.lit("ag"), F.col("n").cast("string")).alias("agent_id"), F.when(F.col("n") % 3 == 0, "review").alias("subagent_type"), F.lit(1).alias("position"))
+    return t, roots.unionByName(subs)
+
+
+_TREE = """, tn as (select *, cast(substr(session_id, 2) as bigint) n, event_id % 4 in (1, 2) side, case when cast(substr(session_id, 2) as bigint) % 2 = 0 and event_id % 4 = 1 then concat('x', session_id, '-', cast(k % 3 as varchar)) end agent from priced),
+  nv as (select distinct session_id from tn where agent is not null), ss as (select distinct session_id, n from tn),
+  ag as (select session_id, n, case when session_id in (from nv) then concat('ag', cast(n as varchar)) else session_id end node, concat('s', cast(n // 2 as varchar)) parent from ss where n > 0),
+  pa as (select node, parent from ag union select agent, session_id from tn where agent is not null union select concat(session_id, ':__unresolved'), session_id from tn where side and agent is null),
+  nd as (select node from pa union select parent from pa union select session_id from tn), ow as (select case when side and agent is null then concat(session_id, ':__unresolved') else coalesce(agent, session_id) end node, count(*) turns, sum(coalesce(cost, 0)) cost from tn group by 1),
+  lb as (select node, case when node like '%:__unresolved' then '(unresolved)' when node like 'x%' then coalesce((select min(case when k % 3 = 0 then 'explore' when k % 3 = 1 then 'plan' end) from tn where agent = nd.node), '(unknown)')
+    when node in (select node from ag) then case when (select any_value(n) from ag where ag.node = nd.node) % 3 = 0 then 'review' else '(unknown)' end when node in (select session_id from tn) then 'main' else node end label from nd),
+  an(node, up, depth) as (select node, node, 0 from nd union all select an.node, pa.parent, depth + 1 from an join pa on pa.node = an.up where pa.node != pa.parent),
+  cu as (select up node, sum(coalesce(turns, 0)) cumulative_turns, sum(coalesce(cost, 0)) cumulative_cost, count(*) nodes from an left join ow on ow.node = an.node group by 1), dp as (select node, max(depth) depth from an group by 1)"""
+
+
+@_query(_TREE + " select node, parent, label, coalesce(turns, 0) turns, round(coalesce(cost, 0), 9) cost, cast(cumulative_turns as bigint) cumulative_turns, round(cumulative_cost, 9) cumulative_cost, depth, nodes from nd left join pa using (node) join lb using (node) left join ow using (node) join cu using (node) join dp using (node)", recursive=True)
+def subagent_tree(spark, d):
+    return _rounded(agents.subagent_tree(*_family(spark, d)), "cost", "cumulative_cost", digits=9)
+
+
+@_query(_TREE + " select label subagent_type, count(*) invocations, cast(sum(turns) as bigint) turns, round(sum(cost), 9) total, round(quantile_disc(cost, 0.5), 9) p50, round(quantile_disc(cost, 0.95), 9) p95, round(avg(cost), 9) mean from lb join ow using (node) where label not in ('main', '(unresolved)') group by 1", recursive=True)
+def subagent_types(spark, d):
+    return _rounded(agents.type_statistics(agents.subagent_tree(*_family(spark, d))), "total", "p50", "p95", "mean", digits=9)
