@@ -1,7 +1,8 @@
 """Incremental ingest of transcript logs: a file stream, replays dropped by key, appended to Parquet tables.
 
 The checkpoint holds what was read; a file is taken once, so writers move finished files into the folder. ``once`` drains
-what is there and stops; else the query keeps watching at an interval. A batch that is retried writes the same folder.
+what is there and stops; else the query keeps watching at an interval. A batch that is retried writes the same folder. Turns lie in
+BUCKETS folders by their session's hash, so a batch looks for stored keys only where its own sessions are.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 from ledgerloom.sources import readers
 
 KEYS = ["source", "session_id", "message_id"]
+BUCKETS = 256
 
 
 def _stored(spark: SparkSession, table: str, schema) -> DataFrame:
@@ -21,7 +23,7 @@ def _stored(spark: SparkSession, table: str, schema) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{table}/batch=*")
+    return spark.read.schema(schema).option("basePath", table).parquet(f"{table}/batch=*")
 
 
 def stream_turns(spark: SparkSession, folder: str, table: str, checkpoint: str, once: bool = True, interval: str = "30 seconds") -> StreamingQuery:
@@ -30,9 +32,13 @@ def stream_turns(spark: SparkSession, folder: str, table: str, checkpoint: str,
 
     def write(batch: DataFrame, number: int) -> None:
         numbered = batch.withColumn("line", F.monotonically_increasing_id())
-        turns = readers.transcript_turns(rows_of(numbered), complete_only=True)
-        before = _stored(batch.sparkSession, table, turns.schema).select(*KEYS)
-        turns.dropDuplicates(KEYS).join(before, KEYS, "left_anti").select(*readers.TURN).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        turns = readers.transcript_turns(rows_of(numbered), complete_only=True).dropDuplicates(KEYS)
+        turns = turns.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")).persist()
+        touched = [r["bucket"] for r in turns.select("bucket").distinct().collect()]  # BUCKETS at most
+        stored = _stored(batch.sparkSession, table, turns.schema.add("batch", "long"))
+        before = stored.where(F.col("bucket").isin(touched) & (F.col("batch") < number)).select(*KEYS)
+        turns.join(before, KEYS, "left_anti").select(*readers.TURN, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={number}")
+        turns.unpersist()
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
@@ -47,7 +53,7 @@ def rows_of(lines: DataFrame) -> DataFrame:
 def table(spark: SparkSession, path: str) -> DataFrame:
     """All turns ingested so far, numbered anew within their session."""
     order = Window.partitionBy("session_id").orderBy("ts", "message_id")
-    return spark.read.parquet(f"{path}/batch=*").withColumn("turn_index", (F.row_number().over(order) - 1).cast("long"))
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch", "bucket").withColumn("turn_index", (F.row_number().over(order) - 1).cast("long"))
 
 
 def windowed_usage(stream: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

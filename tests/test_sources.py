@@ -105,3 +105,43 @@ def test_stream_equals_batch(spark, tmp_path):
     write(tmp_path / "in/s2.jsonl", transcript("s2"))
     run()
     assert sorted(tuple(r) for r in ingest.table(spark, str(tmp_path / "out")).select("session_id", "message_id").collect()) == [("s1", "m1"), ("s2", "m1")]
+
+
+def test_records_of_transcripts(spark, tmp_path):
+    from ledgerloom.sources import records
+
+    row = lambda **x: {"sessionId": "s1", "timestamp": "2024-01-01T00:00:00Z", **x}
+    lines = [
+        row(type="user", uuid="u1", message={"role": "user", "content": "/resume old-1"}),
+        row(type="assistant", uuid="a1", parentUuid="u1", message={"id": "m1", "content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "ok"}, {"type": "tool_use", "id": "t1", "name": "Edit", "input": {"file_path": "/f", "old_string": "a", "new_string": "b"}}, {"type": "tool_use", "id": "t2", "name": "Write", "input": {"file_path": "/g", "content": "b"}}]}),
+        row(type="user", uuid="u2", parentUuid="a1", message={"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1", "is_error": True, "content": [{"type": "text", "text": "no"}, {"type": "text", "text": "way"}]}]}),
+    ]
+    rows = readers.transcript_rows(spark, write(tmp_path / "s1.jsonl", lines))
+    told = [(r["message_id"], r["role"], r["kind"], r["position"], r["tool_use_id"], r["text"]) for r in records.transcript_content(rows).orderBy("ts", "message_id", "position").collect()]
+    assert ("m1", "assistant", "thinking", 0, None, "hm") in told and ("u2", "user", "tool_result", 0, "t1", "no\nway") in told and len(told) == 6
+    assert [tuple(r) for r in records.transcript_errors(rows).select("tool_use_id").collect()] == [("t1",)]
+    edits = {r["tool_use_id"]: r for r in records.transcript_edits(rows).collect()}
+    assert edits["t1"]["post"] == edits["t2"]["post"] and edits["t2"]["pre"] is None and edits["t1"]["pre"] != edits["t1"]["post"]
+    session = rows.first()["session_id"]
+    assert {(r["kind"], r["related_session_id"]) for r in records.transcript_edges(rows).where(F.col("session_id") == session).collect()} >= {("root", None), ("continuation", "old-1")}
+
+
+def test_records_of_rollouts_and_storage(spark, tmp_path):
+    from ledgerloom.sources import records
+
+    line = lambda kind, **p: json.dumps({"timestamp": "2024-01-01T00:00:00Z", "type": "response_item" if kind in ("function_call", "function_call_output", "message") else "event_msg" if kind.endswith("end") else kind, "payload": {"type": kind, **p}})
+    path = tmp_path / "rollout-x.jsonl"
+    path.write_text("\n".join([
+        line("session_meta", id="s9"), line("turn_context", turn_id="1", model="m"), line("message", role="user", content=[{"type": "input_text", "text": "<environment_context>"}, {"type": "input_text", "text": "do it"}]),
+        line("function_call", call_id="c1", name="spawn_agent", arguments="{}"), line("function_call_output", call_id="c1", output=json.dumps({"agent_id": "kid"})), line("exec_command_end", call_id="c2", exit_code=2, aggregated_output="boom"),
+    ]))
+    got = {r["tool_use_id"]: (r["status"], r["content_length"]) for r in records.rollout_results(spark, str(path)).collect()}
+    assert got["c2"] == ("errored", 4) and got["c1"][0] == "completed"
+    assert [(r["role"], r["text"]) for r in records.rollout_content(spark, str(path)).collect()] == [("user", "do it")]
+    assert {(r["kind"], r["agent_id"]) for r in records.rollout_edges(spark, str(path)).collect()} == {("root", None), ("subagent", "kid")}
+    for where, what in (("message/s/m.json", {"id": "m", "sessionID": "s", "role": "assistant", "time": {"created": 1}}), ("part/m/p1.json", {"id": "p1", "type": "tool", "callID": "c", "tool": "bash", "state": {"status": "completed", "output": "out", "metadata": {"exit": 1}}}), ("part/m/p2.json", {"id": "p2", "type": "text", "text": "hello"})):
+        (tmp_path / where).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / where).write_text(json.dumps(what))
+    r = records.storage_results(spark, str(tmp_path)).first()
+    assert (r["tool_use_id"], r["status"], r["content_length"]) == ("c", "errored", 3)
+    assert [(r["kind"], r["text"]) for r in records.storage_content(spark, str(tmp_path)).orderBy("position").collect()] == [("tool_result", "out"), ("text", "hello")]
