@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.textkit import annotate, mix, text_buffers, tidy, window_hashes, word_hashes, word_spans, workspace, written
+from ledgerloom.llm.textkit import annotate, forget_between_tasks, mix, text_buffers, tidy, window_hashes, word_hashes, word_spans, workspace, written
 
 SHINGLE, SIMILARITY = 5, 0.75
 FINGERPRINT, BLOCKS, NEAR = 256, 16, 3
@@ -201,7 +201,7 @@ class BenchmarkIndex:
 
 _MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("words", T.LongType()), T.StructField("distance", T.LongType())])
 _MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64()), ("words", pa.int64()), ("distance", pa.int64())]))
-_BUILT: dict[str, BenchmarkIndex] = {}
+_BUILT: dict[str, BenchmarkIndex] = forget_between_tasks({})
 
 
 def _index(name: str, items: list) -> BenchmarkIndex:

@@ -159,8 +159,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
         at = to
 
 
+#: What a process forgets between tasks: calls that empty tables which the next task that needs them builds again.
+_FORGET: list = []
+
+
+def forget_between_tasks(table: dict) -> dict:
+    """``table``, emptied whenever a task of this process is over."""
+    _FORGET.append(table.clear)
+    return table
+
+
 def give_back() -> None:
-    """Return freed memory to the system: the process may wait long for its next task."""
+    """Forget tables, and return freed memory to the system: the process may wait long for its next task."""
+    for empty in _FORGET:
+        empty()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
