@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import byte_bpe, chat_tree, decontaminate, html_extract, language_ppm, ngram_join, pii, quality_mcd, sstable, substring_dedup
+from ledgerloom.llm import byte_bpe, chat_tree, conversation_repair, decontaminate, hard_negatives, html_extract, language_ppm, ngram_join, pii, quality_mcd, sstable, substring_dedup, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"), "start", "words", "distance")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = conversation_repair.repair(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
+    return told.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.col("repaired").cast("binary"), 256).alias("repaired_sha256"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = word_bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"), without=("text",))
+    text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.integer_rows(_table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 256)
+    return hard_negatives.hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 

@@ -1,8 +1,10 @@
 """Plain statements of what the operators compute."""
 
 import hashlib
+import heapq
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -97,3 +99,68 @@ def private(text):
             if {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else False, "card": 16 <= len(d) <= 19 and luhn, "phone": 8 <= len(d) <= 15}[kind]:
                 out.append((kind, m.start(), m.end()))
     return out
+
+
+def damaged(rows):
+    """(conv_id, turn, role, text) rows after damage."""
+    out = []
+    for c, t, r, x in rows:
+        k = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        r, x = " " if r is None else r, " " if x is None else x
+        x = "" if k == 1 else re.sub("[.!?]", "", x) if k == 2 else x
+        out += [(c, t, "user" if k == 4 else r, x)] * (0 if k == 0 else 2 if k == 3 else 1)
+    return out
+
+
+def repaired(rows):
+    """gaps, blank, duplicate, truncated, illegal, cost, audit and repaired hash of one conversation: a uniform-cost search over whole audits."""
+    rows = sorted(rows, key=lambda q: (q[1] is not None, q[1] or 0, q[2], q[3]))
+    turns, seen, faults = [q[1] for q in rows if q[1] is not None], set(), []
+    for _, _, r, x in rows:
+        solid = "".join(WORD.findall(x))
+        faults.append("b" if not solid else "d" if (r, x) in seen else "t" if solid[-1] not in ".!?" else "")
+        seen.add((r, x))
+    initials = [q[2][:1] for q in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    heap, done = [(0, "", 0, "", ())], set()
+    while True:
+        cost, audit, i, roles, said = heapq.heappop(heap)
+        if (i, roles[-1:]) in done:
+            continue
+        done.add((i, roles[-1:]))
+        if i == len(rows) and re.fullmatch("(s?(ua)+)?", roles):
+            break
+        following = "a" if roles[-1:] == "u" else "u"
+        name = {"u": "user", "a": "assistant"}[following]
+        heapq.heappush(heap, (cost + 2, audit + "I", i, roles + following, (*said, name + ":")))
+        if i < len(rows):
+            _, _, r, x = rows[i]
+            more = int(faults[i] == "t")
+            heapq.heappush(heap, (cost + 3, audit + "D", i + 1, roles, said))
+            if faults[i] not in ("b", "d"):
+                if initials[i] == following or (initials[i] == "s" and not roles):
+                    heapq.heappush(heap, (cost + more, audit + "K", i + 1, roles + initials[i], (*said, f"{r}:{x}")))
+                heapq.heappush(heap, (cost + 2 + more, audit + "R", i + 1, roles + following, (*said, f"{name}:{x}")))
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    return gaps, *(faults.count(f) for f in "bdt"), illegal, cost, audit, hashlib.sha256("\n".join(said).encode()).hexdigest()
+
+
+def repairs(rows):
+    by = {q[0]: [] for q in rows}
+    for q in damaged(rows):
+        by[q[0]].append(q)
+    return {c: repaired(v) for c, v in by.items()}
+
+
+def hard_negatives(rows, every=100):
+    """Results for (vec_id, label, components) rows with distinct identifiers."""
+    rows = [(i, y, [math.floor(256 * c) for c in v]) for i, y, v in rows if None not in (i, y, v) and all(c is not None and math.isfinite(c) for c in v)]
+    out = []
+    for i, y, v in rows:
+        if i % every:
+            continue
+        told = sorted((-sum(a * b for a, b in zip(v, w)), j, z) for j, z, w in rows if j != i)
+        for s, p, _ in [t for t in told if t[2] == y][:5]:
+            window = [t for t in told if t[2] != y and 30 * -s <= 100 * -t[0] <= 90 * -s][:10]
+            out += [(i, p, k + 1, j, -s, -t) for k, (t, j, _) in enumerate(window)]
+    return sorted(out)
