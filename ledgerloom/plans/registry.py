@@ -395,7 +395,7 @@ def content_prune(spark, d):
     return files.prune(c, datetime(2024, 1, 1))[1]
 
 
-from ledgerloom.plans import calls  # noqa: E402, F401  registers the queries over tool calls
+from ledgerloom.plans import calls, logs  # noqa: E402, F401  register the queries over tool calls and over logs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -139,33 +139,10 @@ _ROLLOUT = "timestamp string, type string, payload string"
 
 
 def rollout_turns(spark: SparkSession, path: str) -> DataFrame:
-    """Turns of rollout logs: running totals become per-turn usage, and only turns with a task_complete count."""
-    r = json_lines(spark, path, _ROLLOUT).select("file", "line", F.col("row.type").alias("type"), F.try_to_timestamp("row.timestamp").alias("ts"), F.col("row.payload").alias("payload"))
-    get = lambda p: F.get_json_object("payload", f"$.{p}")
-    line = Window.partitionBy("file").orderBy("line")
-    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kind = F.when(F.col("type").isin("event_msg", "response_item"), get("type")).otherwise(F.col("type"))
-    r = r.withColumn("kind", kind)
-    named = r.withColumns({
-        "session_id": F.coalesce(F.first(F.when(F.col("kind") == "session_meta", get("id")), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.regexp_extract("file", r"([0-9a-fA-F]{8}-[0-9a-fA-F-]{27})\.jsonl$", 1)),
-        "model": F.last(F.when(F.col("kind") == "turn_context", get("model")), ignorenulls=True).over(so_far), "cwd": F.last(F.when(F.col("kind").isin("turn_context", "session_meta"), get("cwd")), ignorenulls=True).over(so_far),
-        "turn": F.last(F.when(F.col("kind").isin("turn_context", "task_started"), get("turn_id")), ignorenulls=True).over(so_far),
-    })
-    total = lambda c: F.max(F.when(F.col("kind") == "token_count", get(f"info.total_token_usage.{c}").cast("long")))
-    name = text.tool_name(get("name"))
-    call = F.when(F.col("kind").isin("function_call", "custom_tool_call"), F.struct(get("call_id").alias("id"), name.alias("name"), F.coalesce(F.get_json_object(get("arguments"), "$.path"), F.get_json_object(get("arguments"), "$.command"), get("input")).alias("target"), F.get_json_object(get("arguments"), "$.command").alias("command"), text.short_hash(F.coalesce(get("arguments"), get("input"), F.lit(""))).alias("args_hash")))
-    turns = named.where("turn is not null").groupBy("file", "session_id", "turn").agg(
-        F.min("ts").alias("ts"), F.last("model", ignorenulls=True).alias("model"), F.last("cwd", ignorenulls=True).alias("cwd"), F.min("line").alias("line"), total("input_tokens").alias("t_in"), total("cached_input_tokens").alias("t_cached"), total("output_tokens").alias("t_out"), total("reasoning_output_tokens").alias("t_reason"),
-        F.max((F.col("kind") == "task_complete").cast("int")).alias("done"), F.transform(F.array_sort(F.collect_list(F.when(call.isNotNull(), F.struct("line", call.alias("c"))))), lambda x: x["c"]).alias("calls"),
-    )
-    order = Window.partitionBy("file").orderBy("line")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    used = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)) - F.coalesce(F.max(c).over(before), F.lit(0)), F.lit(0))
-    out = turns.withColumns({
-        "source": F.lit("codex"), "message_id": F.col("turn"), "turn_index": (F.row_number().over(order) - 1).cast("long"), "cache_read": used("t_cached"), "input_tokens": F.greatest(used("t_in") - used("t_cached"), F.lit(0)), "output_tokens": used("t_out"), "reasoning_tokens": used("t_reason"),
-        "cache_create_5m": F.lit(0).cast("long"), "cache_create_1h": F.lit(0).cast("long"), "stop_reason": F.lit(None).cast("string"), "request_id": F.lit(None).cast("string"), "sidechain": F.lit(False),
-    })
-    return out.where("done = 1").select(*TURN)
+    """Turns of rollout logs up to the last complete one; usage is the growth of the running totals."""
+    from ledgerloom.sources import rollouts
+
+    return rollouts.as_turns(rollouts.turns(rollouts.read_lines(spark, path)))
 
 
 def storage_turns(spark: SparkSession, root: str) -> DataFrame:

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder and read again, so that lineage ends here and lost executors cost a
-    round. Where no folder is set, one of this machine serves, but only if driver and executors are one process."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A fresh folder in the cluster's shared checkpoint folder. Where none is set, one of this machine serves, but only if driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to a shared folder and read again, so that lineage ends here and lost executors cost a round."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

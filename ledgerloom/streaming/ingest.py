@@ -1,7 +1,7 @@
-"""Incremental ingest of transcript logs: a file stream, replays dropped by key, appended to Parquet tables.
+"""Incremental ingest of transcript logs: a stream of files, replays dropped by key, appended to Parquet tables.
 
-The checkpoint holds what was read; a file is taken once, so writers move finished files into the folder. ``once`` drains
-what is there and stops; else the query keeps watching at an interval. A batch that is retried writes the same folder. Turns lie in
+The checkpoint holds what was read. ``stream_turns`` takes a file once, so writers move finished files into the folder; ``follow_turns`` reads on in files that grow, up to the
+first line of a message that isn't finished. ``once`` drains what is there and stops; else the query keeps watching at an interval. A batch that is retried writes the same folder. Turns lie in
 BUCKETS folders by their session's hash, so a batch looks for stored keys only where its own sessions are.
 """
 
@@ -30,8 +30,21 @@ def stream_turns(spark: SparkSession, folder: str, table: str, checkpoint: str,
     """Transcript files of ``folder`` into the turns of ``table``, each message once."""
     lines = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(folder).withColumn("file", F.input_file_name())
 
+    return _start(lines, table, checkpoint, once, interval)
+
+
+def follow_turns(spark: SparkSession, folder: str, table: str, checkpoint: str, once: bool = True, interval: str = "30 seconds") -> StreamingQuery:
+    """Growing transcripts of ``folder`` into the turns of ``table``, each message once, when it is finished."""
+    from ledgerloom.sources.growing import GrowingLogs
+
+    spark.dataSource.register(GrowingLogs)
+    lines = spark.readStream.format("growing_logs").option("path", folder).option("unfinished", "transcript").load()
+    return _start(lines.select("value", "file", F.col("start").alias("line")), table, checkpoint, once, interval)
+
+
+def _start(lines: DataFrame, table: str, checkpoint: str, once: bool, interval: str) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
-        numbered = batch.withColumn("line", F.monotonically_increasing_id())
+        numbered = batch if "line" in batch.columns else batch.withColumn("line", F.monotonically_increasing_id())
         turns = readers.transcript_turns(rows_of(numbered), complete_only=True).dropDuplicates(KEYS)
         turns = turns.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")).persist()
         touched = [r["bucket"] for r in turns.select("bucket").distinct().collect()]  # BUCKETS at most
