@@ -47,3 +47,63 @@ def test_content_and_queries(spark, ledger):
             store.merge_tags(*bad)
     df = spark.createDataFrame([(1, "b", 3), (2, "a", 1), (1, "c", 2)], "k int, v string, at int")
     assert [(r["k"], r["v"]) for r in store.first_seen(df, ["k"], "at").collect()] == [(2, "a"), (1, "c")]
+
+
+def _batch(spark, k):
+    turns = spark.createDataFrame([("c", f"s{k}", "m1"), ("c", "s0", f"m{k}")], "source string, session_id string, message_id string")
+    events = spark.createDataFrame([("c", f"s{k}", "t", 0)], "source string, session_id string, tool_use_id string, event_index int")
+    calls = spark.createDataFrame([("c", "s0", "i", k)], "source string, session_id string, inference_id string, n int")
+    return {"turns": turns, "tool_result_events": events}, {"inferences": calls}
+
+
+def _all(ledger):
+    return {k: sorted(map(str, ledger.table(k).collect())) for k in store.KEYS if ledger.table(k) is not None}
+
+
+def test_a_batch_killed_anywhere_and_tried_again_equals_a_clean_run(spark, tmp_path, monkeypatch):
+    """Every table of a batch is written, and the manifest renamed, one after the other; a stop before each of these, then a retry."""
+    clean = store.Ledger(spark, str(tmp_path / "clean"))
+    reports = [clean.append_batch("logs", k, *_batch(spark, k)) for k in range(2)]
+    assert reports == [{"turns": 2, "tool_result_events": 1}, {"turns": 1, "tool_result_events": 1}] and store.merge_reports(*reports) == {"turns": 3, "tool_result_events": 2}  # one turn of the second is stored
+    for stop in range(4):
+        ledger = store.Ledger(spark, str(tmp_path / f"killed{stop}"))
+        ledger.append_batch("logs", 0, *_batch(spark, 0))
+        before, left, write, rename = _all(ledger), [stop], ledger._write, ledger.commits.commit
+
+        def step(f, *a, left=left):
+            if left[0] == 0:
+                raise KeyboardInterrupt
+            left[0] -= 1
+            return f(*a)
+
+        with monkeypatch.context() as m:
+            m.setattr(ledger, "_write", lambda *a, f=write: step(f, *a))  # noqa: B023
+            m.setattr(ledger.commits, "commit", lambda *a, f=rename: step(f, *a))  # noqa: B023
+            with pytest.raises(KeyboardInterrupt):
+                ledger.append_batch("logs", 1, *_batch(spark, 1))
+        assert _all(ledger) == before
+        assert ledger.append_batch("logs", 1, *_batch(spark, 1)) == reports[1] and _all(ledger) == _all(clean)
+        assert ledger.append_batch("logs", 1, *_batch(spark, 1)) == {} and _all(ledger) == _all(clean)
+        assert ledger.vacuum() == stop and _all(ledger) == _all(clean)
+
+
+def test_rows_without_a_fingerprint_stay(spark, ledger):
+    rows = spark.createDataFrame([("c", "s", str(i), None) for i in range(3)], "source string, session_id string, message_id string, fp string")
+    assert ledger.append("turns", rows, "fp") == 3 and ledger.append("turns", rows, "fp") == 0 and ledger.table("turns").count() == 3
+
+
+def test_two_writers_and_many_folders(spark, ledger, monkeypatch):
+    from ledgerloom.sources.commits import Conflict
+
+    monkeypatch.setattr(store, "FOLDERS", 3)
+    rows = lambda i: spark.createDataFrame([("c", f"s{i}", str(i))], "source string, session_id string, ts string")
+    assert [ledger.append("compactions", rows(i)) for i in range(5)] == [1] * 5 and ledger.append("compactions", rows(2)) == 0
+    version, state = ledger.commits.latest()
+    assert ledger.table("compactions").count() == 5 and len(state["tables"]["compactions"]) <= 3
+    wider = rows(9).withColumn("tokens", F.lit(7))
+    assert ledger.append("compactions", wider) == 1 and sorted(str(r["tokens"]) for r in ledger.table("compactions").collect()) == ["7"] + ["None"] * 5
+    with pytest.raises(Conflict):
+        ledger.commits.commit(version, state)
+    for _ in range(12):
+        ledger.commits.commit(*ledger.commits.latest())
+    assert len(ledger.commits._versions()) == 9
