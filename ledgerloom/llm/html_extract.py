@@ -2,13 +2,16 @@
 
 Nodes are block elements and the text blocks between them; each is content or not. A node's evidence (kind of element, words
 of its class, id and role, length, share of link text, copyright sign) has a potential per label, and a parent and
-child have a joint potential by kind of child. Sum-product messages go up from the leaves and back down, which gives every
+child have a joint potential by kind of child and by the region that it is in: that of the nearest ancestor whose element or class words tell one (menu, side,
+comment, content, ...), where a region of no content holds for all below it, and ``plain`` where no ancestor tells. So articles without any marks are
+found by their texts, and the same texts in a sidebar are not. Sum-product messages go up from the leaves and back down, which gives every
 node's exact marginal; text blocks with a content marginal of one half or more are the main text.
 
 All potentials are smoothed counts over labelled pages (``html_pages.labelled_pages``), frozen before extraction.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by one line
-feed in page order. Inline elements and ``br`` do not end a block.
+feed in page order. Inline elements and ``br`` do not end a block. A link ends at its end tag, at the next link, or at the first edge of a block after text
+in it; an anchor without an address is none.
 
 Results for special input: a null or empty page gives the empty text; text without any element is one block under
 the document; unclosed elements end where the next block of their kind or their parent ends; nesting has no limit, as
@@ -34,6 +37,7 @@ DROPPED = frozenset("script style noscript template svg math iframe object canva
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES_P = BLOCKS - {"label", "button", "select", "option", "legend"}
 SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tbody", "tfoot"}}
+REGIONS = {"nav": "menu", "menu": "menu", "aside": "side", "footer": "foot", "header": "head", "form": "form", "dialog": "notice", "article": "content", "main": "content"}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 # Words of class, id and role by what they tell.
 CUES = {
@@ -41,7 +45,7 @@ CUES = {
     "menu": "nav navbar menu breadcrumb breadcrumbs navigation toc pagination pager tabs",
     "head": "header masthead banner topbar logo branding",
     "foot": "footer copyright colophon legal bottom contentinfo",
-    "side": "sidebar side aside related widget widgets recommended recommend trending popular complementary teaser more",
+    "side": "sidebar side aside related widget widgets recommended recommend trending popular complementary teaser",
     "advert": "ad ads advert advertisement adsense sponsor sponsored promo promotion",
     "notice": "cookie cookies consent notice notices gdpr newsletter subscribe subscription popup modal alert paywall signup overlay dialog",
     "comment": "comment comments reply replies discussion disqus respond thread",
@@ -55,7 +59,11 @@ _OPEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?]")
 _STOP = re.compile(r">|=\s*(?=([\"'])|)")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+_EMPTY_COMMENT = re.compile(r"-?>")
+_HREF = re.compile(r"\bhref\b", re.I)
 CONTENT, LABELS = 1, (0, 1)
+#: Texts of all regions that count as seen in each one.
+REGION_WEIGHT = 50
 
 
 def cue(attributes: str) -> str:
@@ -98,8 +106,9 @@ class Tags:
         while m := _OPEN.search(self.page, at):
             name = m[2]
             if name is None:
-                end = self._find("-->" if m[0] == "<!--" else ">", m.end())
-                end = len(self.page) if end < 0 and m[0] == "<!--" else end + (3 if m[0] == "<!--" else 1)
+                empty = m[0] == "<!--" and _EMPTY_COMMENT.match(self.page, m.end())
+                end = empty.end() - 1 if empty else self._find("-->" if m[0] == "<!--" else ">", m.end())
+                end = len(self.page) if end < 0 and m[0] == "<!--" else end + (1 if empty or m[0] != "<!--" else 3)
             else:
                 end = self._end(m.end())
             if end > 0:
@@ -115,12 +124,15 @@ class Dom:
         self.parent, self.kind, self.texts = [-1], ["#document"], [None]
         self.linked: list[int] = [0]
         self.mark: list[str | None] = [None]
-        stack, tags, opened, reader = [0], ["#document"], {}, Tags(page)
+        stack, tags, reader = [0], ["#document"], Tags(page)
+        places: dict[str, list[int]] = {}  # depths of the open elements of each name
         pieces: list[str] = []
         links = in_link = at = 0
 
         def end_block():
-            nonlocal links
+            nonlocal links, in_link
+            if links:
+                in_link = 0
             if pieces:
                 text = " ".join("".join(pieces).split())
                 pieces.clear()
@@ -135,14 +147,11 @@ class Dom:
         def close_to(depth: int):
             end_block()
             for name in tags[depth:]:
-                opened[name] -= 1
+                places[name].pop()
             del stack[depth:], tags[depth:]
 
         def close_last(name: str):
-            depth = len(tags) - 1
-            while tags[depth] != name:
-                depth -= 1
-            close_to(depth)
+            close_to(places[name][-1])
 
         def add_text(raw: str):
             nonlocal links
@@ -165,8 +174,8 @@ class Dom:
                 continue
             if closes:
                 if name == "a":
-                    in_link = max(0, in_link - 1)
-                elif opened.get(name):
+                    in_link = 0
+                elif places.get(name):
                     close_last(name)
                 elif name == "p":
                     end_block()
@@ -180,18 +189,17 @@ class Dom:
                     end_block()
                 continue
             if name == "a":
-                in_link += 1
+                in_link = int(_HREF.search(attributes) is not None)
             if name not in BLOCKS:
                 continue
-            if name in CLOSES_P and opened.get("p"):
+            if name in CLOSES_P and places.get("p"):
                 close_last("p")
             end_block()
-            for depth in range(len(tags) - 1, 0, -1):
-                if tags[depth] in SAME_KIND.get(name, ()):
-                    close_to(depth)
-                    break
-                if tags[depth] in SCOPES.get(name, BLOCKS):
-                    break
+            if name in SAME_KIND:
+                nearest = lambda names: max((places[k][-1] for k in names if places.get(k)), default=0)
+                same = nearest(SAME_KIND[name])
+                if same and same >= (nearest(SCOPES[name]) if name in SCOPES else len(tags) - 1):
+                    close_to(same)
             if name in VOID or attributes.endswith("/"):
                 continue
             self.parent.append(stack[-1])
@@ -200,14 +208,16 @@ class Dom:
             self.linked.append(0)
             self.mark.append(cue(attributes))
             stack.append(len(self.kind) - 1)
+            places.setdefault(name, []).append(len(tags))
             tags.append(name)
-            opened[name] = opened.get(name, 0) + 1
         end_block()
 
     def evidence(self) -> list[tuple[str, tuple[str, ...]]]:
-        """For every node the kind that its tie to the parent depends on, and its features."""
+        """For every node the kind that its tie to the parent depends on, ``element mark@region``, and its features."""
         out = []
+        regions = ["plain"] * len(self.kind)
         for i, kind in enumerate(self.kind):
+            around = regions[self.parent[i]] if i else "plain"
             if kind == "#text":
                 text = self.texts[i]
                 words = text.count(" ") + 1
@@ -215,12 +225,20 @@ class Dom:
                 share = self.linked[i] / max(1, len(text))
                 link = "none" if share == 0 else "some" if share < 0.6 else "most"
                 sign = "sign" if "©" in text else "plain"
-                out.append(("#text", (f"shape {length} {link}", f"copyright {sign}")))
+                out.append((f"#text@{around}", (f"shape@{around} {length} {link}", f"copyright {sign}")))
             else:
-                out.append((f"{kind} {self.mark[i]}" if self.mark[i] else kind, (f"cue {self.mark[i]}",) if self.mark[i] else ()))
+                mark = self.mark[i]
+                regions[i] = around if around not in ("plain", "content") else mark or REGIONS.get(kind, around)
+                out.append((f"{kind} {mark}@{around}" if mark else f"{kind}@{around}", (f"cue {mark}",) if mark else ()))
         return out
 
 
+def _anywhere(feature: str) -> str:
+    """A feature without the region that it is counted for."""
+    head, _, rest = feature.partition(" ")
+    return f"{head.split('@')[0]} {rest}"
+
+
 class TreeModel:
     """Potentials of nodes and of parent-child ties."""
 
@@ -234,11 +252,12 @@ class TreeModel:
     def learn(self, dom: Dom, labels: list[int]) -> None:
         for i, (kind, features) in enumerate(dom.evidence()):
             if i:
-                for k in {kind, kind.split(" ")[-1] if " " in kind else kind, "*"}:
+                for k in {*self._keys(kind)}:
                     self.tie_counts.setdefault(k, [0.0] * 4)[2 * labels[dom.parent[i]] + labels[i]] += 1
             self.label_counts[labels[i]] += dom.kind[i] == "#text"
             for f in features:
-                self.feature_counts.setdefault(f, [0.0] * 2)[labels[i]] += 1
+                for k in {f, _anywhere(f)}:
+                    self.feature_counts.setdefault(k, [0.0] * 2)[labels[i]] += 1
 
     def freeze(self) -> None:
         """Smoothed counts: P(child | parent) per kind of child, and P(feature | label) ratios."""
@@ -248,12 +267,20 @@ class TreeModel:
         for f, c in self.feature_counts.items():
             t = totals.setdefault(f.split(" ")[0], [0.0, 0.0])
             t[0], t[1] = t[0] + c[0], t[1] + c[1]
-        for f, c in self.feature_counts.items():
-            t = totals[f.split(" ")[0]]
-            self.feature[f] = [(c[x] + 0.5) / (t[x] + 1) for x in LABELS]
+        share = lambda f, x, prior, weight: (self.feature_counts[f][x] + weight * prior) / (totals[f.split(" ")[0]][x] + weight)
+        for f in self.feature_counts:
+            # a region's shapes are smoothed by those of all regions
+            own = _anywhere(f)
+            wide = [share(own, x, 0.5, 1) for x in LABELS]
+            self.feature[f] = wide if own == f else [share(f, x, wide[x], REGION_WEIGHT) for x in LABELS]
+
+    @staticmethod
+    def _keys(kind: str) -> tuple[str, ...]:
+        """A kind and what stands for it where it was never seen: its mark and region, its region."""
+        return kind, kind.split(" ")[-1], kind[kind.index("@") :], "*"
 
     def _tie(self, kind: str) -> list[float]:
-        return self.tie.get(kind) or self.tie.get(kind.split(" ")[-1]) or self.tie["*"]
+        return next(t for k in self._keys(kind) if (t := self.tie.get(k)))
 
     def marginals(self, dom: Dom) -> list[float]:
         """P(content) of every node by sum-product: messages to parents, then to children. Parents stand before children."""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
-SEED, PAGES = 11, 500
+SEED, PAGES = 11, 900
 #: Marks around content while a page is composed: private-use characters.
 _OPEN, _CLOSE = "\ue000", "\ue001"
+_letters = random.Random(5)
+_WORDS = ["".join(_letters.choices("abcdefghilmnoprstuv", k=_letters.randint(2, 9))) for _ in range(3000)]
 
 
 class _Page:
@@ -15,7 +17,7 @@ class _Page:
 
     def words(self, a: int, b: int) -> str:
         r = self.rng
-        return " ".join("".join(r.choice("abcdefghilmnoprstuv") for _ in range(r.randint(2, 9))) for _ in range(r.randint(a, b)))
+        return " ".join(r.choices(_WORDS, k=r.randint(a, b)))
 
     def content(self, text: str) -> str:
         return _OPEN + text + _CLOSE
@@ -103,6 +105,8 @@ class _Page:
             parts.append(self.comments())
         body = title + "".join(parts)
         kind = r.random()
+        if r.random() < 0.45:
+            return self.unmarked(body)
         if kind < 0.55:
             return f"<article>{body}</article>"
         if kind < 0.65:
@@ -111,8 +115,21 @@ class _Page:
             return f"<main>{body}</main>"
         return f'<div {r.choice(["class", "id"])}="{r.choice(["content", "post", "entry-content", "article-body", "story", "main-content", "post-body"])}">{body}</div>'
 
+    def unmarked(self, body: str) -> str:
+        """An article that nothing names: bare blocks, or in elements with any words or none for a class."""
+        r = self.rng
+        if r.random() < 0.1:
+            body = "<br><br>".join(self.content(self.sentence()) for _ in range(r.randint(1, 6)))
+        attribute = lambda: r.choice(["", "", f' class="{self.words(1, 2)}"', f' id="{self.words(1, 1)}"', f' class="{r.choice("abcxyz")}-{r.randint(1, 12)}"', f' class="{self.words(1, 1)}-{r.choice(["left", "right", "inner", "box", "more", "row"])}"'])
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+            kind = r.choice(["div", "div", "div", "section", "center", "td"])
+            body = f"<table><tr><td{attribute()}>{body}</td></tr></table>" if kind == "td" else f"<{kind}{attribute()}>{body}</{kind}>"
+        return body
+
     def page(self) -> str:
         r = self.rng
+        if r.random() < 0.03:  # no page at all but a text
+            return self.content(self.sentence(r.random() < 0.5))
         before = [self.menu()] if r.random() < 0.8 else []
         before += [self.head()] * (r.random() < 0.5) + [self.advert()] * (r.random() < 0.5) + [self.notice()] * (r.random() < 0.3) + [self.side()] * (r.random() < 0.2)
         after = [self.junk() for _ in range(r.randint(0, 3))] + [self.foot()] * (r.random() < 0.9)
@@ -135,7 +152,7 @@ def _labels(dom) -> list[int]:
         else:
             # a container of the article is content whatever else was put into it, a wrapper of the whole page is not
             own = dom.kind[i] in ("article", "main") or dom.mark[i] == "content"
-            wrapper = dom.kind[i] in ("html", "body") or (not dom.mark[i] and not own and dom.kind[dom.parent[i]] == "body" and good[i] < every[i])
+            wrapper = dom.kind[i] in ("html", "body") or (not dom.mark[i] and not own and dom.kind[dom.parent[i]] == "body" and good[i] < every[i] and dom.kind[i] in ("div", "table"))
             labels[i] = int(good[i] > 0 and not wrapper and (own or 2 * good[i] >= every[i]))
         good[dom.parent[i]] += good[i]
         every[dom.parent[i]] += every[i]
