@@ -78,6 +78,8 @@ _DOT_BEFORE = re.compile(rf"[ \t]{{1,3}}(?:{'|'.join(w[::-1] for w in DOT_WORDS)
 _REAL = r"(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2})"
 _SET_OFF = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:[ \t]{{1,3}}@[ \t]{{0,3}}|@[ \t]{{1,3}}){_REAL}")
 _REAL_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])({_ATOM}{_PLAIN_DOT})?([A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])([ \t]{{1,3}}(?:{_AT})[ \t]{{1,3}}){_REAL}", re.I)
+#: What every match of the two has in it, found by far faster.
+_AT_HINT = re.compile(rf"[ \t](?:{_AT})[ \t]{{1,3}}{_REAL}", re.I)
 _NO_WORD = re.compile(r"(?=.*[A-Za-z])[^.]*(?:[0-9_%+]|[^.]\.[^.])")
 # runs of digit words and digit groups with gaps and dots, for the detectors of ip, card and phone
 _RUN_GAP = r"[ \t,()-]{1,3}"
@@ -218,8 +220,9 @@ def _numbers(r: Rewritten) -> list[tuple[str, int, int]]:
 
 def _real_ats(text: str) -> list[tuple[int, int, str]]:
     """Edits of the disguised signs between a local part and a real domain."""
-    edits = [(m.start(), m.end(), "@") for m in _SET_OFF.finditer(text)]
-    edits += [(m.start(3), m.end(3), "@") for m in _REAL_AT.finditer(text) if m[1] or _NO_WORD.match(m[2])]
+    edits = [(m.start(), m.end(), "@") for m in _SET_OFF.finditer(text)] if "@" in text else []
+    if _AT_HINT.search(text):
+        edits += [(m.start(3), m.end(3), "@") for m in _REAL_AT.finditer(text) if m[1] or _NO_WORD.match(m[2])]
     return sorted(edits)
 
 
