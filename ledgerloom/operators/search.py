@@ -1,6 +1,6 @@
 """Full-text search: an inverted index as a table, ranked by BM25.
 
-Terms are runs of letters and digits, lower-cased. There is no stemming. Queries are terms (all must
+Terms are runs of letters and digits, lower-cased; ``sources.text_index`` keeps an index with stems in files. Queries are terms (all must
 occur), ``OR`` between groups, ``"phrases"`` and ``prefix*``.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,23 +42,34 @@ def parse(query: str) -> list[list[tuple[str, ...]]]:
     return [g for g in out if g]
 
 
+def words_of(groups: list[list[tuple[str, ...]]]) -> list[str]:
+    return sorted({w for g in groups for p in g for w in p})
+
+
+def matching(postings: DataFrame, word: str) -> DataFrame:
+    """The postings of a query's word, or of all terms that begin with it."""
+    return postings.where(F.col("term").startswith(word[:-1]) if word.endswith("*") else F.col("term") == word).withColumn("word", F.lit(word))
+
+
 def search(postings: DataFrame, lengths: DataFrame, query: str, limit: int = 25) -> DataFrame:
     """The best documents (doc_id, score), highest first. Reads the postings of the query's terms only."""
     groups = parse(query)
-    words = sorted({w for g in groups for p in g for w in p})
+    words = words_of(groups)
     if not words:
         return lengths.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    test = lambda w: F.col("term").startswith(w[:-1]) if w.endswith("*") else F.col("term") == w
     total = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    n, mean = total["n"], total["mean"] or 1.0
-    parts = [postings.where(test(w)).groupBy("doc_id").agg(F.sum("tf").alias("tf"), F.flatten(F.collect_list("places")).alias("places")).withColumn("word", F.lit(w)) for w in words]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = reduce(DataFrame.unionByName, [matching(postings, w) for w in words])
+    return rank(found.join(lengths, "doc_id"), groups, total["n"], total["mean"], limit)
+
+
+def rank(found: DataFrame, groups: list[list[tuple[str, ...]]], n: int, mean: float | None, limit: int = 25) -> DataFrame:
+    """The best documents of the postings (word, doc_id, tf, places, length) of a query's words, among ``n`` of that mean length."""
+    words, mean = words_of(groups), mean or 1.0
+    found = found.groupBy("doc_id", "word").agg(F.sum("tf").alias("tf"), F.flatten(F.collect_list("places")).alias("places"), F.max("length").alias("length"))
     df = {r["word"]: r["d"] for r in found.groupBy("word").agg(F.count("*").alias("d")).collect()}
     idf = {w: math.log(1 + (n - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5)) for w in words}
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in idf.items() for x in kv]), F.col("word"))
-    hits = found.join(lengths, "doc_id").withColumn("part", weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean)))
+    hits = found.withColumn("part", weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean)))
     scored = hits.groupBy("doc_id").agg(F.sum("part").alias("score"), F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("at"))
     accept = F.lit(False)
     for g in groups:

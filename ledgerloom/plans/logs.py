@@ -105,3 +105,20 @@ def rollout_user_turns(spark, d):
     u = rollouts.user_turns(rollouts.typed_lines(rollout_lines(spark, d)))
     size = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b["tokens"])
     return u.groupBy("session_id").agg(F.count("*").alias("user_turns"), F.sum(size).alias("tokens"), F.count_if(F.exists("blocks", lambda b: b["is_error"])).alias("failed"), F.count_if(F.col("preceding").isNull()).alias("broken"))
+
+
+@_query(""", q as (select conv_id, turn, list_transform(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x != ''), lambda x: strip_accents(x)) w from conversations where (conv_id + turn) % 7 != 3), n as (select count(*) n, avg(len(w)) m from q),
+  h as (select conv_id, turn, len(w) l, len(list_filter(w, lambda x: x in ('the', 'thes', 'theing'))) tf from q), df as (select count(*) d from h where tf > 0)
+  select conv_id, turn, round(ln(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m)), 10) score from h, n, df where tf > 0 order by score desc, conv_id * 1000 + turn limit 25""")
+def search_stored(spark, d):
+    """All conversations through a stored index: in two batches, the first half of whose turns had another text before, and then a seventh of all deleted. The words
+    that stem to ``the`` are those that the SQL names."""
+    from ledgerloom.sources.text_index import TextIndex
+
+    c = spark.read.parquet(f"{d}/conversations.parquet").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
+    index = TextIndex(spark, folder(spark))
+    index.add(c.where("turn < 2").withColumn("text", F.concat(F.lit("the former the "), "text")))
+    index.add(c)
+    index.delete(c.where((F.col("conv_id") + F.col("turn")) % 7 == 3).select("doc_id"))
+    found = index.search("thes")
+    return found.select(F.expr("doc_id div 1000").alias("conv_id"), F.pmod("doc_id", F.lit(1000)).alias("turn"), F.round("score", 10).alias("score"))
