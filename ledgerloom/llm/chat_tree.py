@@ -13,8 +13,11 @@ own; so the loss mask (a span of a node's tokens) covers an assistant's text exa
 Reading back uses nothing but the trees: a conversation is the tokens of the intervals that its last turn's node attends to, then
 that node's own.
 
-Nodes are merged by partial aggregation, ordered by ranges of their paths and placed by partition-wise running sums, so a
-first turn shared by a third of all conversations costs no single task more than its share. A conversation itself is one row.
+Depth-first order needs the order of whole conversations only: their distinct paths of node names, one row a conversation, are ordered by ranges, and a node belongs to the first path
+that has it. A path's own nodes follow each other, so nodes are placed by running sums in that order, and a node's ancestors are what stands before it in its path. So all shuffled rows are
+in proportion to the turns; only the intervals in the result, one for each ancestor as asked for, grow with the square of a conversation's length. They are made in the last step, some at a
+time. Nodes are merged by partial aggregation, equal conversations too, so a first turn or a conversation that a third of all rows share costs no single task more than its
+share. A conversation itself is one row.
 
 Results for special input: a null text or role counts as empty; turns with equal numbers are ordered by role and text, null
 turn numbers come first; repeated rows are repeated turns; a null conv_id is a conversation of its own; an empty table
@@ -102,7 +105,7 @@ def _encode_nodes(path: str, pattern: str):
             np.cumsum([len(x) for x in ids], out=offs[1:])
             lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
             span = pa.array(spans, pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), batch.column(1), batch.column(3), lists, pa.array(np.diff(offs).astype(np.int64)), span], names=["node", "role", "path", "ids", "n_tokens", "loss"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), batch.column(1), batch.column(3), batch.column(4), lists, pa.array(np.diff(offs).astype(np.int64)), span], names=["node", "role", "rank", "k", "ids", "n_tokens", "loss"])
 
     return run
 
@@ -119,32 +122,76 @@ def build_trees(df: DataFrame, tokenizer_path: str, pattern: str, conv_col: str
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hashes = [F.xxhash64("k", "role", "text"), F.xxhash64("text", F.lit(7), "role", "k")]
     name = F.md5(F.concat_ws("/", *[F.sum(h.cast("decimal(20,0)")).over(so_far).cast("string") for h in hashes], F.col("k").cast("string")))
-    named = placed.withColumn("node", name).withColumn("path", F.collect_list("node").over(so_far))
-    named = written(named, folder, "turns")
+    named = written(placed.withColumn("node", name), folder, "turns")
     leaves = named.groupBy("conv_id").agg(F.max_by("node", "k").alias("node"))
 
-    merged = named.groupBy("node").agg(F.first("role").alias("role"), F.first("text").alias("text"), F.first("path").alias("path"))
-    nodes = written(merged.mapInArrow(tidy(_encode_nodes(tokenizer_path, pattern)), "node string, role string, path array<string>, ids array<int>, n_tokens long, loss struct<start: int, end: int>"), folder, "nodes")
-
-    # depth-first order is the order of paths: ranges, then a running sum within each and over their totals
+    # distinct paths in order; a node belongs to the first path that has it
+    path = F.transform(F.array_sort(F.collect_list(F.struct("k", "node"))), lambda x: x["node"])
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = written(nodes.select("node", "path", "n_tokens").repartitionByRange(parts, "path").withColumn("part", F.spark_partition_id()), folder, "ranges")
-    before = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    paths = named.groupBy("conv_id").agg(path.alias("path")).select("path").distinct()
+    paths = written(paths.repartitionByRange(parts, "path").sortWithinPartitions("path").withColumn("rank", F.monotonically_increasing_id()), folder, "paths")
+    steps = paths.select("rank", F.posexplode("path").alias("k", "node"))
+    owners = steps.groupBy("node").agg(F.min("rank").alias("rank"), F.first("k").alias("k"))
+    merged = named.groupBy("node").agg(F.first("role").alias("role"), F.first("text").alias("text")).join(owners, "node")
+    encoded = merged.select("node", "role", "text", "rank", "k").mapInArrow(tidy(_encode_nodes(tokenizer_path, pattern)), "node string, role string, rank long, k int, ids array<int>, n_tokens long, loss struct<start: int, end: int>")
+    nodes = written(encoded, folder, "nodes")
+
+    # a running sum in each range of paths, and over the ranges' totals
+    ranged = nodes.select("node", "rank", "k", "n_tokens", F.shiftright("rank", 33).alias("part"))
+    before = Window.partitionBy("part").orderBy("rank", "k").rowsBetween(Window.unboundedPreceding, -1)
     bases = ranged.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     bases = bases.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row a range
-    starts = ranged.withColumn("local", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(F.broadcast(bases), "part")
-    starts = written(starts.select("node", "path", "n_tokens", (F.col("base") + F.col("local")).alias("start")), folder, "starts")
-
-    above = starts.select("node", F.posexplode("path").alias("depth", "up")).join(starts.select(F.col("node").alias("up"), F.col("start").alias("up_start"), F.col("n_tokens").alias("up_tokens")), "up")
-    above = above.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("depth", "up_start", "up_tokens"))).alias("line"))
-    line, own = F.slice("line", F.lit(1), F.size("line") - 1), F.element_at("line", -1)
-    tree_start = F.get("line", F.lit(0))["up_start"]
-    first = F.aggregate(line, F.lit(0).cast("long"), lambda s, x: s + x["up_tokens"])
-    attends = F.transform(line, lambda x: F.struct((x["up_start"] - tree_start).alias("start"), (x["up_start"] - tree_start + x["up_tokens"]).alias("end")))
-    # a turn is never empty: its marks make tokens
-    placed = above.select("node", (own["up_start"] - tree_start).alias("seq_start"), F.sequence(first, first + own["up_tokens"] - 1).alias("position_ids"), attends.alias("attends"))
-    out = nodes.join(placed, "node").select(F.get("path", F.lit(0)).alias("tree"), "node", (F.size("path") - 1).alias("depth"), "role", "ids", "seq_start", "position_ids", "attends", "loss")
-    return written(out, folder, "trees"), leaves
+    starts = ranged.withColumn("local", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(F.broadcast(bases), "part").select("node", (F.col("base") + F.col("local")).alias("start"))
+
+    known = nodes.drop("k").withColumnRenamed("rank", "owner").join(starts, "node")
+    own = F.col("owner") == F.col("rank")
+    line = F.struct("k", "node", "start", "n_tokens", own.alias("own"), F.when(own, F.col("role")).alias("role"), F.when(own, F.col("ids")).alias("ids"), F.when(own, F.col("loss")).alias("loss"))
+    lines = steps.join(known, "node").groupBy("rank").agg(F.array_sort(F.collect_list(line)).alias("line"))
+    return written(lines.select("line").mapInArrow(tidy(_lay_out), TREE), folder, "trees"), leaves
+
+
+TREE = "tree string, node string, depth int, role string, ids array<int>, seq_start long, position_ids array<long>, attends array<struct<start: long, end: long>>, loss struct<start: int, end: int>"
+#: Intervals that are made at a time, about.
+INTERVALS = 1 << 19
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each begin on, one list after the other, and where each list starts (lists + 1)."""
+    offs = np.zeros(len(count) + 1, np.int64)
+    np.cumsum(count, out=offs[1:])
+    return np.arange(offs[-1]) + np.repeat(begin - offs[:-1], count), offs
+
+
+def _lay_out(batches):
+    """The own nodes of each path (a list of structs in order), with places, position ids and the intervals of their ancestors."""
+    for batch in batches:
+        lists = batch.column(0)
+        sizes = np.array(lists.value_lengths(), np.int64)
+        cost = np.cumsum(sizes * sizes)
+        at = 0
+        while at < len(sizes):
+            to = max(int(np.searchsorted(cost, (cost[at - 1] if at else 0) + INTERVALS, "right")), at + 1)
+            yield _placed(lists.slice(at, to - at).flatten(), sizes[at:to])
+            at = to
+
+
+def _placed(flat: pa.StructArray, sizes: np.ndarray) -> pa.RecordBatch:
+    field = lambda name: flat.field(name)
+    start, tokens, own = (field(n).to_numpy(zero_copy_only=False) for n in ("start", "n_tokens", "own"))
+    head = np.repeat(np.cumsum(sizes) - sizes, sizes)  # of each turn the first one of its path
+    so_far = np.concatenate(([0], np.cumsum(tokens)))
+    mine = np.flatnonzero(own)
+    first, depth = head[mine], mine - head[mine]
+    above, cuts = _ranges(first, depth)
+    origin = np.repeat(start[first], depth)
+    spans = pa.StructArray.from_arrays([pa.array(start[above] - origin), pa.array(start[above] - origin + tokens[above])], names=["start", "end"])
+    positions, ends = _ranges(so_far[mine] - so_far[first], tokens[mine])
+    pick = pa.array(mine)
+    columns = {
+        "tree": field("node").take(pa.array(first)), "node": field("node").take(pick), "depth": pa.array(depth.astype(np.int32)), "role": field("role").take(pick), "ids": field("ids").take(pick), "seq_start": pa.array(start[mine] - start[first]),
+        "position_ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(positions)), "attends": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), spans), "loss": field("loss").take(pick),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def read_back(nodes: DataFrame, leaves: DataFrame, tokenizer_path: str) -> DataFrame:
