@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions.cost import rate
 from ledgerloom.functions.text import mcp_parts
+from ledgerloom.operators import dominance
+from ledgerloom.sources.scratch import cut
 
-#: Turns whose riding results are weighed at a time.
+#: Turns of a block of a session: within a block every result is weighed against every turn, over blocks by dominance sums.
 BLOCK = 512
 FILE_TOOLS = ("Read", "Edit", "Write", "NotebookEdit")
 
@@ -34,28 +36,57 @@ def attributable(turns: DataFrame) -> DataFrame:
     return turns.where(F.coalesce("has_tool_calls", F.lit(True)) & F.coalesce("has_tool_results", F.lit(True)))
 
 
-_RIDES = "session_id string, tool_use_id string, riding_tokens double, riding_cost double, riding_turns long"
-_RIDES_ARROW = pa.schema([("session_id", pa.string()), ("tool_use_id", pa.string()), ("riding_tokens", pa.float64()), ("riding_cost", pa.float64()), ("riding_turns", pa.int64())])
+_RIDES = "tool_use_id string, at long, tokens double, cost double, turns long, part double"
+_RIDES_ARROW = pa.schema([("tool_use_id", pa.string()), ("at", pa.int64()), ("tokens", pa.float64()), ("cost", pa.float64()), ("turns", pa.int64()), ("part", pa.float64())])
 
 
 def _ride(calls: pa.Table, turns: pa.Table) -> pa.Table:
-    """One session: what each result takes of every later turn's cache reads. A turn after the paying one whose cache read is at least
-    a result's size has it in its context; the results that it has share ``min(cache read, their sizes)`` by size."""
-    size, at = np.array(calls.column("size"), np.float64), np.array(calls.column("rank"), np.int64)
-    when, read = np.array(turns.column("at"), np.int64), np.array(turns.column("read"), np.float64)
-    price = np.array(turns.column("price").fill_null(np.nan), np.float64)
-    paid = np.flatnonzero(~np.isnan(price) & (read > 0))
-    share, cost, n = np.zeros(len(size)), np.zeros(len(size)), np.zeros(len(size), np.int64)
-    for lo in range(0, len(paid), BLOCK):
-        t = paid[lo : lo + BLOCK]
-        inside = (size[None, :] > 0) & (at[None, :] + 1 < when[t][:, None]) & (size[None, :] <= read[t][:, None])
-        active = inside @ size
-        part = np.divide(np.minimum(read[t], active), active, out=np.zeros(len(t)), where=active > 0)
-        share += part @ inside
-        cost += (part * price[t]) @ inside
-        n += inside.sum(axis=0)
-    cols = [calls.column("session_id"), calls.column("tool_use_id"), pa.array(share * size), pa.array(cost * size / 1e6), pa.array(n)]
-    return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=_RIDES_ARROW)
+    """One block of a session: what each of its results takes of the block's later turns' cache reads, and of how much of a result each turn has a part.
+
+    A turn after the paying one whose cache read is at least a result's size has it in its context; the results that it has share ``min(cache read, their sizes)`` by size. Sizes of
+    earlier blocks are in ``base``.
+    """
+    size, paying = np.array(calls.column("size"), np.float64), np.array(calls.column("paying"), np.int64)
+    when, read, price, base = (np.array(turns.column(c), t) for c, t in (("at", np.int64), ("read", np.float64), ("price", np.float64), ("base", np.float64)))
+    inside = (paying[None, :] < when[:, None]) & (size[None, :] <= read[:, None])
+    active = inside @ size + base
+    part = np.divide(np.minimum(read, active), active, out=np.zeros(len(when)), where=active > 0)
+    n, m = len(size), len(when)
+    none = lambda k, kind: pa.nulls(k, kind)
+    results = [calls.column("tool_use_id").combine_chunks(), none(n, pa.int64()), pa.array(part @ inside), pa.array((part * price) @ inside), pa.array(inside.sum(axis=0).astype(np.int64)), none(n, pa.float64())]
+    shares = [none(m, pa.string()), pa.array(when), none(m, pa.float64()), none(m, pa.float64()), none(m, pa.int64()), pa.array(part)]
+    return pa.concat_tables(pa.Table.from_arrays(x, schema=_RIDES_ARROW) for x in (results, shares))
+
+
+def rides(results: DataFrame, readers: DataFrame) -> DataFrame:
+    """(tool_use_id, riding_tokens, riding_cost, riding_turns) of ``results`` (session_id, tool_use_id, rank, size) in ``readers`` (session_id, at, read, price), turns with a rate and a
+    cache read.
+
+    A session's time is cut into blocks of BLOCK turns, each one task's group. Over blocks, a turn first learns the sizes of the earlier results that fit into its cache read; with those in
+    its block it knows what a result's part is; then each result learns the parts of the later turns that have it (``operators.dominance``).
+    """
+    number = lambda c: F.expr(f"{c} div {BLOCK}")
+    last = readers.groupBy("session_id").agg(F.max(number("at")).alias("most")).withColumn("places", F.when(F.col("most") == 0, 0).otherwise(F.length(F.bin("most"))))
+    owned = results.where("size > 0").withColumn("paying", F.col("rank") + 1).withColumn("block", number("paying")).join(last, "session_id").where("block <= most")
+    turns = readers.withColumn("block", number("at")).join(last, "session_id")
+    turns = turns.withColumn("turn", F.concat_ws("|", "session_id", "at"))
+    points = owned.select("session_id", "block", "places", F.col("size").alias("y"), F.col("size").cast("double").alias("base"))
+    earlier = dominance.sums(points, turns.select("session_id", "block", "places", F.col("read").alias("y"), "turn"), ["base"], "turn")
+    known = turns.join(earlier, "turn", "left").select(F.col("session_id").alias("reader"), F.col("block").alias("in_block"), "at", "read", "price", F.coalesce("base", F.lit(0.0)).alias("base"))
+    weighed = owned.select("session_id", "block", "tool_use_id", "paying", "size").groupBy("session_id", "block").cogroup(known.groupBy("reader", "in_block")).applyInArrow(_ride_of, f"session_id string, {_RIDES}")
+    weighed = cut(weighed)  # two plans read it
+    parts = weighed.where("at is not null").select("session_id", "at", "part")
+    later = turns.where("places > 0").join(parts, ["session_id", "at"]).select("session_id", "block", "places", F.col("read").alias("y"), F.col("part").alias("tokens"), (F.col("part") * F.col("price")).alias("cost"), F.lit(1).cast("long").alias("turns"))
+    asked = owned.select("session_id", "block", "places", F.col("size").alias("y"), "tool_use_id")
+    far = dominance.sums(later, asked, ["tokens", "cost", "turns"], "tool_use_id", later=True)
+    both = weighed.where("tool_use_id is not null").select("tool_use_id", "tokens", "cost", "turns").unionByName(far)
+    total = both.groupBy("tool_use_id").agg(*[F.sum(c).alias(c) for c in ("tokens", "cost", "turns")]).join(owned.select("tool_use_id", "size"), "tool_use_id")
+    return total.select("tool_use_id", (F.col("tokens") * F.col("size")).alias("riding_tokens"), (F.col("cost") * F.col("size") / 1e6).alias("riding_cost"), F.col("turns").alias("riding_turns"))
+
+
+def _ride_of(key: tuple, calls: pa.Table, turns: pa.Table) -> pa.Table:
+    out = _ride(calls, turns)
+    return pa.Table.from_arrays([pa.array([key[0].as_py()] * out.num_rows, pa.string()), *(c.combine_chunks() for c in out.columns)], names=["session_id", *_RIDES_ARROW.names])
 
 
 def hotspots(calls: DataFrame, turns: DataFrame) -> DataFrame:
@@ -65,7 +96,7 @@ def hotspots(calls: DataFrame, turns: DataFrame) -> DataFrame:
     ``turns``: session_id, turn_index, usage and rate columns, ``priced``. In a session with any known size (``method`` sized) the results of a
     turn enter at the next one with at most its new content, by size, at its mix of input and cache-write rates, and ride
     after that; in one without (even-split) the next turn's new content is split evenly and nothing rides. A turn without a rate
-    charges neither tokens nor cost. A session is one task's work: its turns times its calls, in blocks, as arrays.
+    charges neither tokens nor cost. No session is one task's work (``rides``).
     """
     created = F.col("cache_create_5m") + F.col("cache_create_1h")
     bound = turns.select("session_id", "turn_index", "cache_read", "priced", "input_tokens", created.alias("created"), rate("input").alias("p_in"), rate("cache_write").alias("p_write"), rate("cache_read_rate").alias("price"))
@@ -82,10 +113,10 @@ def hotspots(calls: DataFrame, turns: DataFrame) -> DataFrame:
     by_size = F.when(able & (F.col("siblings") > 0), F.col("size") / F.col("siblings") * F.least("siblings", fresh))
     tokens = F.coalesce(F.when(F.col("sized"), by_size).otherwise(F.when(able, fresh / F.col("k"))), F.lit(0.0))
     c = c.withColumns({"initial_tokens": tokens, "initial_cost": F.coalesce(tokens / 1e6 * mixed, F.lit(0.0))})
-    results = c.where("sized").select(F.col("session_id").alias("session_id"), F.col("tool_use_id").alias("tool_use_id"), F.col("rank").alias("rank"), F.col("size").alias("size"))
-    readers = bound.select(F.col("session_id").alias("reader"), F.col("rank").alias("at"), F.col("cache_read").alias("read"), F.when(F.col("priced"), F.col("price")).alias("price"))
-    rides = results.groupBy("session_id").cogroup(readers.groupBy("reader")).applyInArrow(_ride, _RIDES)
-    out = c.join(rides, ["session_id", "tool_use_id"], "left")
+    results = c.where("sized").select("session_id", F.concat_ws("|", "session_id", "tool_use_id").alias("tool_use_id"), "rank", "size")
+    readers = bound.where("priced and price is not null and cache_read > 0").select("session_id", F.col("rank").alias("at"), F.col("cache_read").alias("read"), "price")
+    ridden = rides(results, readers).withColumnRenamed("tool_use_id", "own")
+    out = c.withColumn("own", F.concat_ws("|", "session_id", "tool_use_id")).join(ridden, "own", "left")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     return out.select(
         *[F.col(x) for x in c.columns if x in calls.columns and x != "size"], "size", F.when(F.col("sized"), "sized").otherwise("even-split").alias("method"), "initial_tokens", "initial_cost",
