@@ -7,7 +7,8 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import activity, text
-from ledgerloom.operators import agents, attribution, filters, findings, patterns, quality, sequences, spans
+from ledgerloom.functions.cost import rate
+from ledgerloom.operators import agents, attribution, filters, findings, growth, patterns, quality, sequences, spans
 from ledgerloom.plans.projection import CALLS_SQL, TURNS_SQL, calls, turns
 from ledgerloom.plans.registry import ORACLES, QUERIES, _rounded, priced_turns
 
@@ -387,3 +388,27 @@ def subagent_tree(spark, d):
 @_query(_TREE + " select label subagent_type, count(*) invocations, cast(sum(turns) as bigint) turns, round(sum(cost), 9) total, round(quantile_disc(cost, 0.5), 9) p50, round(quantile_disc(cost, 0.95), 9) p95, round(avg(cost), 9) mean from lb join ow using (node) where label not in ('main', '(unresolved)') group by 1", recursive=True)
 def subagent_types(spark, d):
     return _rounded(agents.type_statistics(agents.subagent_tree(*_family(spark, d))), "total", "p50", "p95", "mean", digits=9)
+
+
+_GROWTH = """, rl as (select *, case when event_id % 4 = 0 then concat('a', cast(k % 2 as varchar)) else 'main' end rail, input_tokens + cache_read + cache_create_5m + cache_create_1h ctx from priced),
+  gp as (select *, row_number() over w inference_idx, lag(ctx) over w prior, lag(ts) over w p_ts, lag(message_id) over w p_id from rl window w as (partition by session_id, rail order by turn_index)),
+  ga as (select *, ctx - prior raw, ctx < prior and exists (select 1 from rl c where c.session_id = gp.session_id and c.turn_index % 10 = 4 and c.ts between p_ts and gp.ts) compacted from gp where prior is not null),
+  st as (select message_id m, count(*) n, sum(size * 4 // 4) tokens, string_agg(tool_name || ' result', ',' order by call_index) names from cl where size is not null group by 1)
+  select session_id, rail, message_id turn_id, inference_idx, prior, ctx "current", case when compacted then 0 else raw end delta, round(case when compacted or r_read is null then 0 else greatest(raw, 0) / 1e6 * r_read end, 10) usd,
+  coalesce(n, 0) + case when compacted then 1 else 0 end steps, cast(coalesce(tokens, 0) + case when compacted then -raw else 0 end as bigint) step_tokens, concat_ws(',', names, case when compacted then concat('compaction -', cast(-raw as varchar), ' tok') end) drivers
+  from ga left join st on m = p_id where compacted or raw >= 1000"""
+
+
+@_query(_GROWTH)
+def context_growth(spark, d):
+    """Every gap of the main rail and of agents, with the results between; a session is compacted at the time of every tenth turn."""
+    t, c = _both(spark, d)
+    rail = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("a"), (F.col("k") % 2).cast("string"))).otherwise("main")
+    place = lambda i: F.struct("turn_index", F.lit(0).alias("inference"), i.cast("long").alias("call"))
+    context = F.col("input_tokens") + F.col("cache_read") + F.col("cache_create_5m") + F.col("cache_create_1h")
+    inferences = t.select("session_id", rail.alias("rail"), place(F.lit(-1)).alias("place"), F.col("message_id").alias("turn_id"), F.col("ts").alias("start_ts"), F.col("ts").alias("end_ts"), context.alias("context"), rate("cache_read_rate").alias("cache_read_rate"))
+    results = c.where("size is not null").select("session_id", rail.alias("rail"), place(F.col("call_index")).alias("place"), "tool_use_id", "tool_name", (F.col("size") * 4).alias("bytes"), F.lit(False).alias("truncated"))
+    out = growth.rail_growth(inferences, growth.result_steps(results), t.where("turn_index % 10 = 4").select("session_id", "ts"), top=None)
+    tokens = F.aggregate("steps", F.lit(0).cast("long"), lambda a, s: a + s["tokens"])
+    names = F.array_join(F.transform("steps", growth.driver), ",")
+    return out.select("session_id", "rail", "turn_id", "inference_idx", "prior", "current", "delta", F.round("usd", 10).alias("usd"), F.size("steps").alias("steps"), tokens.alias("step_tokens"), names.alias("drivers"))
