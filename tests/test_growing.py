@@ -161,3 +161,34 @@ def test_transcripts_followed_in_pieces_equal_one_read(spark, tmp_path):
     columns = ["session_id", "message_id", "turn_index", "input_tokens", "output_tokens", "stop_reason"]
     want = readers.transcript_turns(readers.transcript_rows(spark, str(logs / "s1.jsonl")), complete_only=True)
     assert told(ingest.table(spark, str(tmp_path / "t")).select(*columns)) == told(want.select(*columns))
+
+
+def test_all_tables_of_a_ledger_in_pieces(spark, tmp_path, monkeypatch):
+    """Pieces cut anywhere, with a crash before one commit, give the tables of one piece."""
+    from ledgerloom.sources import store
+
+    usage = {"usage": {"input_tokens": 3, "output_tokens": 4, "cache_read_input_tokens": 5}}
+    user = lambda u, content: json.dumps({"type": "user", "sessionId": "s1", "uuid": u, "timestamp": "2024-01-01T00:00:00Z", "message": {"role": "user", "content": content}}).encode() + b"\n"
+    call = {"content": [{"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "ls"}}, {"type": "text", "text": "on it"}]}
+    whole = b"".join([
+        user("u1", "/resume old"), _assistant("m1", None, **call), _assistant("m1", "tool_use", **usage), user("u2", [{"type": "tool_result", "tool_use_id": "t1", "content": "out", "is_error": True}]),
+        b'{"type": "system", "subtype": "compact_boundary", "uuid": "c1", "sessionId": "s1", "timestamp": "2024-01-01T00:00:00Z"}\n', _assistant("m2", "end_turn", **usage), user("u3", "thanks"),
+    ])
+    made = {}
+    for name, cuts in (("once", [0, len(whole)]), ("pieces", [0, 90, len(whole) // 2, len(whole) - 30, len(whole)])):
+        logs, ledger, reports = tmp_path / name / "logs", store.Ledger(spark, str(tmp_path / name / "ledger")), []
+        logs.mkdir(parents=True)
+        run = lambda: ingest.follow_ledger(spark, str(logs), ledger, str(tmp_path / name / "cp"), reports=reports).awaitTermination(180)  # noqa: B023, E731
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            with open(logs / "s1.jsonl", "ab") as f:
+                f.write(whole[a:b])
+            if i == 2:
+                with monkeypatch.context() as m:
+                    m.setattr(ledger.commits, "commit", lambda *a: 1 / 0)
+                    with pytest.raises(Exception, match="division"):
+                        run()
+            run()
+        made[name] = {k: sorted(str(sorted(r.asDict(recursive=True).items(), key=str)) for r in ledger.table(k).collect()) for k in store.KEYS if ledger.table(k) is not None}
+        assert store.merge_reports(*reports) == {k: len(v) for k, v in made[name].items() if k != "inferences"}
+    assert made["pieces"] == made["once"]
+    assert {k: len(v) for k, v in made["once"].items()} == {"turns": 2, "tool_result_events": 1, "user_turns": 3, "content": 5, "compactions": 1, "relationships": 2, "inferences": 2}
