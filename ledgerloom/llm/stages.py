@@ -1,4 +1,10 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame with the columns of documents (the last adds ids)."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame with the columns of documents (the last adds ids).
+
+Results for special input, of every stage: other columns than those of documents are left out; an empty table gives an empty table with the stage's columns. A null or
+empty text has no language, so it goes in the first stage; in a later one, given such rows itself, it is in no group, matches no passage, holds no personal data and has no ids, and stays.
+Null doc_ids stay as they are, and only count as greater than others where one of a group is chosen. Of repeated rows one stays as of any group of copies; before and after that stage they are rows
+like others. Texts of any length are taken whole.
+"""
 
 from __future__ import annotations
 
