@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm.textkit import annotate, forget_between_tasks, strings
 
 #: Bytes of each of the two generations of the unit table, and of the pairs' memo in entries.
-CACHE_BYTES, CACHE_PAIRS = 12 << 20, 120_000
+CACHE_BYTES, CACHE_PAIRS = 48 << 20, 120_000
 #: Units that are looked up at a time, characters of text that are cut into units at a time, and ids decoded at a time.
 STEP, SEGMENT, DECODED = 8192, 1 << 17, 1 << 17
 #: What an entry of a table takes besides its characters, about.
