@@ -37,6 +37,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,10 @@ FOOTER = struct.Struct("<QIQIQQB6s")
 WORDS_CACHED = 24 << 20
 #: Small letters of ASCII and Latin-1 as UTF-8: composed, lower-case and letters under every Unicode version.
 LETTERS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
+#: The same letters in either case, and the ASCII marks behind them.
+TWO_PARTS = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+#: Bytes of text whose distinct words are found together.
+ENCODED = 16 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -207,10 +212,10 @@ _STEPS = [
 class WordEncoder:
     """Ids by the ``tokenizers`` library.
 
-    The vocabulary drops white space, never joins characters over it and lower-cases, so text is encoded word by
-    word after A-Z are lowered, and the ids of recurring words come from a table of bounded size. Of a word that is
-    letters and then ASCII marks (no digit or apostrophe) both parts are looked up on their own, since
-    the pre-tokenizer cuts between them. A tokenizer file with other steps before the model is used for whole texts instead.
+    The vocabulary drops white space, never joins characters over it and lower-cases, so texts are encoded word by word. Arrow cuts the
+    texts of a batch into words and finds the distinct ones. Of a word that is letters of ``LETTERS`` in either case and then ASCII marks (no digit or
+    apostrophe) both parts are encoded on their own, since the pre-tokenizer cuts between them; the ids of recurring parts come from a table
+    of bounded size. All other words go to the library as they are. A tokenizer file with other steps before the model is used for whole texts instead.
     """
 
     def __init__(self, path: str):
@@ -222,7 +227,6 @@ class WordEncoder:
         self.by_words = [told["normalizer"], told["pre_tokenizer"], told["post_processor"]] == _STEPS and not any(t["normalized"] for t in told["added_tokens"])
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.code, self.cache = (np.uint16, "H", GenerationCache(WORDS_CACHED)) if self.width == 2 else (np.uint32, "I", GenerationCache(WORDS_CACHED))
-        self.two_parts = re.compile(rb"(%b)([!-&(-/:-@\[-`{-~]+)" % LETTERS).fullmatch
         self.letters, self.tokenize = re.compile(LETTERS).fullmatch, self.library.model.tokenize
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [b for b in range(256) if b not in plain]
@@ -234,28 +238,41 @@ class WordEncoder:
         if self.letters(part):
             text = part.decode("latin-1")
             return array(self.code, [t.id for t in self.tokenize(text if part.isascii() else text.translate(self.characters))]).tobytes()
-        return array(self.code, self.library.encode(part.decode(), add_special_tokens=False).ids).tobytes()
-
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        parts = []
-        known: dict[bytes, bytes | None] = {}
-        for w in words:
-            m = self.two_parts(w)
-            own = (w,) if m is None or b"<|" in w else m.groups()
-            parts.append(own)
-            for p in own:
-                if p not in known:
-                    known[p] = self.cache.get(p)
-        for p, v in known.items():
-            if v is None:
-                known[p] = self._encode_part(p)
-                self.cache.add(p, known[p])
-        return [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in parts]
+        return self._encode_whole(part)
+
+    def _encode_whole(self, text: bytes) -> bytes:
+        return array(self.code, self.library.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _encode_distinct(self, words: pa.Array) -> pa.Array:
+        """The ids of each word as bytes."""
+        cut = pc.extract_regex(words, TWO_PARTS)
+        own = pc.coalesce(pc.utf8_lower(pc.struct_field(cut, "letters")), words)
+        parts = pa.concat_arrays([own, pc.struct_field(cut, "marks").fill_null("")]).dictionary_encode()
+        data, offs = text_buffers(parts.dictionary)
+        raw, offs = data.tobytes(), offs.tolist()
+        ids = pa.array(self.cache.fill([raw[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)], lambda keys: list(map(self._encode_part, keys))), pa.large_binary())
+        return pc.binary_join_element_wise(ids.take(parts.indices[: len(words)]), ids.take(parts.indices[len(words) :]), pa.scalar(b"", pa.large_binary()))
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as bytes; null counts as empty."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = texts.fill_null("")
+        # an added token may hold a blank or reach over one
+        whole = pc.match_substring(texts, "<|") if self.by_words else pa.array(np.ones(len(texts), bool))
+        lists = pc.ascii_split_whitespace(pc.if_else(whole, "", texts))
+        words = lists.flatten().dictionary_encode()
+        ids = self._encode_distinct(words.dictionary).take(words.indices)
+        _, ends, data = ids.buffers()
+        raw = memoryview(data or b"")
+        cuts = np.frombuffer(ends, np.int64)[np.append(0, np.cumsum(lists.value_lengths()))].tolist()
+        out = [raw[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._encode_whole(texts[i].as_py().encode())
+        return out
 
     def encode(self, text: bytes) -> bytes:
-        if not self.by_words or b"<|" in text:  # an added token may hold a blank or reach over one
-            return array(self.code, self.library.encode(text.decode(), add_special_tokens=False).ids).tobytes()
-        return b"".join(self.cache.fill(text.lower().split(), self._encode_words))
+        return self.encode_all(pa.array([text.decode()]))[0]
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -283,12 +300,10 @@ def write_tables(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
         enc, at, writer = _encoder(tokenizer_path), TaskContext.get().partitionId(), None
         path, tail = f"{folder}/shard-{at:08d}.sst", np.array([end_id], enc.kind).tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
-                data, offs = text_buffers(part.column(1))
-                raw, offs = data.tobytes(), offs.tolist()
-                for key, a, b in zip(part.column(0).to_pylist(), offs[:-1], offs[1:], strict=True):
+            for part in slices(batch, "text", ENCODED):
+                for key, ids in zip(part.column(0).to_pylist(), enc.encode_all(part.column(1)), strict=True):
                     writer = writer or TableWriter(path, enc.width)
-                    writer.add(key_of(key), enc.encode(raw[a:b]) + tail)
+                    writer.add(key_of(key), ids + tail)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([path]), pa.array([writer.documents], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import byte_bpe, chat_tree, html_extract, html_pages, pii, sstable
@@ -52,6 +53,25 @@ def test_words_encode_as_whole_texts_do():
         assert np.frombuffer(enc.encode(t.encode()), enc.kind).tolist() == enc.library.encode(t, add_special_tokens=False).ids
 
 
+def test_capitals_before_combining_marks_encode_as_in_the_library():
+    enc = sstable.WordEncoder(P.path("word_bpe_49k.json"))
+    for t in ("H\u0331", "T\u0308 X\u0304", "the W\u030a, J\u030c", "\u00c9t\u00c9### \u00dcber,", "\u0130\u00d7\u00df \u00c9\u0301"):
+        assert np.frombuffer(enc.encode(t.encode()), enc.kind).tolist() == enc.library.encode(t, add_special_tokens=False).ids
+
+
+def test_a_batch_encodes_each_distinct_part_once(monkeypatch):
+    monkeypatch.setattr(sstable, "WORDS_CACHED", 0)
+    enc, made = sstable.WordEncoder(P.path("word_bpe_49k.json")), []
+    encode = enc._encode_part
+    monkeypatch.setattr(enc, "_encode_part", lambda part: (made.append(part), encode(part))[1])
+    some = [" ".join(f"w{chr(97 + (i + j) % 26)}{'###,'[: j % 5]}" for j in range(60)) for i in range(40)] + [None, "", "\u00c9a \u00e9A <|endoftext|> x"]
+    for kind in (pa.string(), pa.large_string()):
+        made.clear()
+        out = enc.encode_all(pa.array(some, kind))
+        assert [np.frombuffer(x, enc.kind).tolist() for x in out] == [enc.library.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert len(made) == len(set(made)) <= 26 + 5
+
+
 def test_cache_never_changes_results():
     cache, made = byte_bpe.GenerationCache(3 * byte_bpe.ENTRY_BYTES), []
     for keys in (["a", "b"], ["c", "d"], ["a", "e", "a"], ["f"], ["a"]):
