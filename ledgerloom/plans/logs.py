@@ -29,12 +29,12 @@ def rollout_lines(spark, d) -> DataFrame:
     total = lambda c: F.sum(c).over(so_far)
     cached, n = F.col("k") * 10, F.col("event_id")
     t = t.withColumn("grow", F.greatest("output_tokens", F.lit(0))).withColumns({"t_in": total(F.col("input_tokens") + cached), "t_cached": total(cached), "t_out": total("grow")})
-    ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    t = t.withColumn("told", F.coalesce(F.concat(F.lit('"timestamp":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit('",')), F.lit("")))
     call = F.concat(F.lit("c"), n.cast("string"))
 
     def line(kind: str, **fields):
         body = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
-        return F.to_json(F.struct(ts.alias("timestamp"), F.lit(kind).alias("type"), F.lit("@").alias("payload"))), body
+        return F.concat(F.lit("{"), F.col("told"), F.lit(f'"type":"{kind}","payload":'), body, F.lit("}"))
 
     turn = F.col("message_id")
     usage = F.struct(F.struct(F.col("t_in").alias("input_tokens"), F.col("t_cached").alias("cached_input_tokens"), F.col("t_out").alias("output_tokens"), F.lit(0).alias("reasoning_output_tokens")).alias("total_token_usage"))
@@ -50,7 +50,7 @@ def rollout_lines(spark, d) -> DataFrame:
         (line("event_msg", type=F.lit("token_count"), info=usage), F.lit(True)),
         (line("event_msg", type=F.lit("task_complete"), turn_id=turn), n % 5 != 0),
     ]
-    texts = F.array(*[F.when(when, F.concat(F.substring_index(head, '"@"', 1), body, F.lit("}"))) for (head, body), when in parts])
+    texts = F.array(*[F.when(when, value) for value, when in parts])
     rows = t.select(F.col("session_id").alias("file"), "turn_index", F.posexplode(texts).alias("at", "value")).where("value is not null")
     return rows.select("file", (F.col("turn_index") * len(parts) + F.col("at")).alias("line"), "value")
 

@@ -18,7 +18,9 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions import payload, text
 
-_LINE = "timestamp string, type string, payload string"
+_HEADS = ("type", "turn_id", "id", "model", "cwd", "role", "content", "call_id", "name", "arguments", "input", "output", "success", "status", "exit_code", "agent_id", "subagent_id", "session_id")
+_LINE = f"timestamp string, type string, payload struct<{', '.join(f'{c}: string' for c in _HEADS)}, info: struct<total_token_usage: string>>"
+_TOLD = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")
 CALL = "struct<id: string, name: string, target: string, command: string, args_hash: string>"
 TOTALS = ("input", "cached", "output", "reasoning")
 #: The columns of ``typed_lines`` after file and line.
@@ -28,42 +30,44 @@ FIELDS = (
 )
 
 
+def _row(parsed: Column, *names: str) -> Column:
+    """A struct's fields as columns of their own, by a generator of one row: what is built on them can't be pushed below and parse the text again for each mention."""
+    return F.inline(F.array(parsed)).alias(*names)
+
+
 def typed_lines(lines: DataFrame) -> DataFrame:
-    """(file, line, ts, kind, ...) of (file, line, value); kinds that nothing here uses are left out."""
-    r = lines.withColumn("row", F.from_json("value", _LINE)).where(F.ltrim("value").startswith("{") & F.col("row.payload").startswith("{"))
-    get = lambda p: F.get_json_object("row.payload", f"$.{p}")
-    inner = get("type")
+    """(file, line, ts, kind, ...) of (file, line, value); kinds that nothing here uses are left out. A line is parsed once; what only one kind has is looked at there only."""
+    r = lines.where(F.ltrim("value").startswith("{")).select("file", "line", _row(F.from_json("value", _LINE), "timestamp", "outer", "body")).where("body is not null").select("file", "line", "timestamp", "outer", "body.*")
+    outer, inner = F.col("outer"), F.col("type")
     ended = inner.rlike("^subagent_.*_(complete|done|finished|terminated)$")
     kind = (
-        F.when(F.col("row.type").isin("session_meta", "turn_context", "compacted"), F.col("row.type"))
-        .when((F.col("row.type") == "event_msg") & inner.isin("token_count", "task_started", "task_complete"), inner)
-        .when((F.col("row.type") == "event_msg") & inner.isin("exec_command_end", "patch_apply_end"), "end")
-        .when((F.col("row.type") == "event_msg") & ended, "notification")
-        .when((F.col("row.type") == "response_item") & inner.isin("function_call", "custom_tool_call"), "call")
-        .when((F.col("row.type") == "response_item") & inner.isin("function_call_output", "custom_tool_call_output"), "result")
-        .when((F.col("row.type") == "response_item") & (inner == "message") & (get("role") == "user"), "said")
+        F.when(outer.isin("session_meta", "turn_context", "compacted"), outer)
+        .when((outer == "event_msg") & inner.isin("token_count", "task_started", "task_complete"), inner)
+        .when((outer == "event_msg") & inner.isin("exec_command_end", "patch_apply_end"), "end")
+        .when((outer == "event_msg") & ended, "notification")
+        .when((outer == "response_item") & inner.isin("function_call", "custom_tool_call"), "call")
+        .when((outer == "response_item") & inner.isin("function_call_output", "custom_tool_call_output"), "result")
+        .when((outer == "response_item") & (inner == "message") & (F.col("role") == "user"), "said")
     )
-    arguments = F.coalesce(get("arguments"), get("input"), F.lit(""))
-    arg = lambda k: F.get_json_object(get("arguments"), f"$.{k}")
-    name = text.tool_name(get("name"))
-    call = F.struct(get("call_id").alias("id"), name.alias("name"), F.coalesce(arg("path"), arg("command"), get("input")).alias("target"), arg("command").alias("command"), text.short_hash(arguments).alias("args_hash"))
-    parts = F.filter(F.from_json(get("content"), "array<struct<type: string, text: string>>"), lambda p: p["text"].isNotNull() & ~payload.boilerplate(p["text"]))
-    total = lambda c: get(f"info.total_token_usage.{c}").try_cast("long")
-    told = F.lower(get("status"))
+    is_a = lambda k: F.col("kind") == k
+    parts = F.filter(F.from_json("content", "array<struct<type: string, text: string>>"), lambda p: p["text"].isNotNull() & ~payload.boilerplate(p["text"]))
+    said = F.when(is_a("said"), F.octet_length(F.array_join(F.transform(parts, lambda p: p["text"]), "\n"))).cast("long")
+    known = r.withColumn("kind", kind).where("kind is not null and not (kind = 'task_started' and turn_id is null) and not (kind in ('call', 'result', 'end', 'notification') and coalesce(call_id, '') = '')")
+    known = known.withColumn("totals", F.col("info.total_token_usage")).where("not (kind = 'token_count' and totals is null)").withColumn("said", said).where("not (kind = 'said' and coalesce(said, 0) = 0)")
+    arg = lambda k: F.get_json_object("arguments", f"$.{k}")
+    total = lambda c: F.get_json_object("totals", f"$.{c}").try_cast("long")
+    call = F.struct(F.col("call_id").alias("id"), text.tool_name(F.col("name")).alias("name"), F.coalesce(arg("path"), arg("command"), "input").alias("target"), arg("command").alias("command"), text.short_hash(F.coalesce("arguments", "input", F.lit(""))).alias("args_hash"))
+    success, told = F.col("success"), F.lower("status")
     status = (
-        F.when(get("success") == "true", "completed").when(get("success") == "false", "errored").when(told.isin("errored", "failed", "error"), "errored").when(told.isin("cancelled", "canceled"), "cancelled").otherwise("completed")
+        F.when(success == "true", "completed").when(success == "false", "errored").when(told.isin("errored", "failed", "error"), "errored").when(told.isin("cancelled", "canceled"), "cancelled").otherwise("completed")
     )
-    out = r.select(
-        "file", "line", F.try_to_timestamp("row.timestamp").alias("ts"), kind.alias("kind"), get("turn_id").alias("turn"), F.when(kind == "session_meta", get("id")).alias("session"), get("model").alias("model"), get("cwd").alias("cwd"),
-        F.when(kind == "token_count", F.coalesce(total("input_tokens"), F.lit(0))).alias("input"), F.when(kind == "token_count", F.coalesce(total("cached_input_tokens"), F.lit(0))).alias("cached"),
-        F.when(kind == "token_count", F.coalesce(total("output_tokens"), F.lit(0))).alias("output"), F.when(kind == "token_count", F.coalesce(total("reasoning_output_tokens"), F.lit(0))).alias("reasoning"),
-        get("call_id").alias("call_id"), F.when(kind == "call", call).alias("call"), ((kind == "end") & (F.coalesce(get("exit_code").try_cast("int") != 0, F.lit(False)) | F.coalesce(get("success") == "false", F.lit(False)))).alias("failed"),
-        F.when(kind == "said", F.octet_length(F.array_join(F.transform(parts, lambda p: p["text"]), "\n"))).cast("long").alias("said"), F.when(kind == "result", F.coalesce(F.octet_length(get("output")), F.lit(0))).cast("long").alias("result_bytes"),
-        F.when(kind == "notification", status).alias("status"), F.coalesce(get("agent_id"), get("subagent_id"), get("session_id"), *[F.get_json_object(get("output"), f"$.{k}") for k in ("agent_id", "agentId", "id")]).alias("agent"),
-        (F.col("row.payload").contains('"total_token_usage"') & get("info.total_token_usage").isNotNull()).alias("has_totals"),
+    agent = F.coalesce("agent_id", "subagent_id", "session_id", *[F.get_json_object("output", f"$.{k}") for k in ("agent_id", "agentId", "id")])
+    return known.select(
+        "file", "line", F.try_to_timestamp("timestamp").alias("ts"), "kind", F.col("turn_id").alias("turn"), F.when(is_a("session_meta"), F.col("id")).alias("session"), "model", "cwd",
+        *[F.when(is_a("token_count"), F.coalesce(total(told), F.lit(0))).alias(c) for c, told in zip(TOTALS, _TOLD, strict=True)],
+        "call_id", F.when(is_a("call"), call).alias("call"), (is_a("end") & (F.coalesce(F.col("exit_code").try_cast("int") != 0, F.lit(False)) | F.coalesce(success == "false", F.lit(False)))).alias("failed"),
+        "said", F.when(is_a("result"), F.coalesce(F.octet_length("output"), F.lit(0))).cast("long").alias("result_bytes"), F.when(is_a("notification"), status).alias("status"), F.when(is_a("notification"), agent).alias("agent"),
     )
-    wanted = out.where("kind is not null and not (kind = 'token_count' and not has_totals) and not (kind = 'task_started' and turn is null) and not (kind = 'said' and coalesce(said, 0) = 0) and not (kind in ('call', 'result', 'end', 'notification') and coalesce(call_id, '') = '')")
-    return wanted.drop("has_totals")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -108,6 +108,76 @@ def test_rules_of_rollouts(spark, tmp_path):
     assert all(f(nothing).count() == 0 for f in (rollouts.turns, rollouts.user_turns, rollouts.results, rollouts.compactions))
 
 
+def test_a_line_is_parsed_once(spark):
+    """Neither filters nor columns parse a line again, however often they mention what it says."""
+    plan = rollouts.typed_lines(spark.createDataFrame([("f", 1, "{}")], "file string, line long, value string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("value#") and plan.count("StructField(payload") == 1
+
+
+def test_state_in_pages_equals_one_read(spark, tmp_path, states, monkeypatch):
+    """Pages that split, in each of many short pieces, keep every context and counter; a log cut back to its beginning starts with none."""
+    monkeypatch.setattr(resumed, "PAGE", 2)
+    r = random.Random(9)
+    rows = [(f"f{i}", n, v) for i in range(3) for n, v in enumerate(log(r, 150, f"s{i}"))]
+    for piece in range(3):
+        part = [x for x in rows if piece * 50 <= x[1] < piece * 50 + 50]
+        spark.createDataFrame(part, "file string, line long, value string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = resumed.rollout_records(spark.readStream.schema("file string, line long, value string").parquet(str(tmp_path / "in")))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    lines = rollouts.typed_lines(spark.createDataFrame(rows, "file string, line long, value string"))
+    assert told(got.where("record = 'turn'").select(*TURN)) == told(rollouts.turns(lines).select(*TURN))
+    assert told(got.where("record = 'result'").select(*RESULT)) == told(rollouts.results(lines).select(*RESULT))
+
+
+class Handle:
+    """States kept in memory, with the number of calls made."""
+
+    def __init__(self):
+        self.kept, self.calls = {}, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.kept.get("value")
+
+    def update(self, value):
+        self.calls += 1
+        self.kept["value"] = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.kept[key] = value
+
+    def clear(self):
+        self.kept = {}
+
+
+def test_calls_to_the_state_do_not_grow_with_lines():
+    """A batch of a file asks the state for its value and its pages, not for every turn and call; ends of a log cut back start anew."""
+    handle, p = Handle(), resumed.RolloutProcessor()
+    p.init(handle)
+    turn = lambda n, at: [
+        {"line": at, "kind": "turn_context", "turn": f"t{n}", "model": f"m{n}"}, {"line": at + 1, "kind": "task_started", "turn": f"t{n}"}, {"line": at + 2, "kind": "result", "call_id": "c", "result_bytes": 3}, {"line": at + 3, "kind": "task_complete", "turn": f"t{n}"}
+    ]
+    run = lambda lines: [r for row in p.handleInputRows(("f",), iter([("f", json.dumps(lines))]), None) for r in json.loads(row["records"])]
+    first = run([x for n in range(300) for x in turn(n, 4 * n)])
+    assert handle.calls <= 4 and [r["model"] for r in first if r["record"] == "turn"] == [f"m{n}" for n in range(300)]
+    again = run(turn(5, 1200))
+    assert handle.calls <= 8 and [(r["call_index"], r["event_index"]) for r in again if r["record"] == "result"] == [(300, 300)]
+    anew = run(turn(0, 0))
+    assert [(r["call_index"], r["event_index"]) for r in anew if r["record"] == "result"] == [(0, 0)] and [r["turn_index"] for r in anew if r["record"] == "turn"] == [0]
+
+
 def _drain(spark, tmp_path, **options):
     spark.dataSource.register(GrowingLogs)
     stream = spark.readStream.format("growing_logs").option("path", str(tmp_path / "logs")).options(**options).load()
