@@ -15,17 +15,22 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.stemming import index_term, index_terms
+from ledgerloom.functions.stemming import index_term, known_terms
 from ledgerloom.operators import search
 from ledgerloom.sources.commits import Commits
 
 BUCKETS = 128
+#: Words of documents that are grouped at once.
+AT_ONCE = 500_000
 
 
 def _bucket(term: str) -> int:
@@ -36,6 +41,32 @@ def _bucket_column():
     return F.pmod(F.crc32(F.substring("term", 1, 2).cast("binary")), F.lit(BUCKETS)).cast("int")
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, doc_id, tf, places, length) of (doc_id, words): a document's own words make its postings, so nothing is shuffled or spilled for them."""
+    for b in batches:
+        ends, first = np.cumsum(b["words"].value_lengths().to_numpy(zero_copy_only=False)), 0
+        while first < len(ends):
+            to = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + AT_ONCE, side="right")))
+            yield _of(b.slice(first, to - first))
+            first = to
+
+
+def _of(b: pa.RecordBatch) -> pa.RecordBatch:
+    length = b["words"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+    row = np.repeat(np.arange(len(length)), length)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+    words = b["words"].flatten().dictionary_encode()
+    terms = pa.array(known_terms(words.dictionary.to_pylist()), pa.string()).dictionary_encode()
+    term = terms.indices.to_numpy()[words.indices.to_numpy()]
+    order = np.lexsort((place, term, row))
+    row, term, place = row[order], term[order], place[order]
+    starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])][: len(row)])
+    ends = np.r_[starts, len(row)]
+    of = row[starts]
+    columns = {"term": terms.dictionary.take(pa.array(term[starts])), "doc_id": b["doc_id"].take(pa.array(of)), "tf": pa.array(np.diff(ends), pa.int64()), "places": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32())), "length": pa.array(length[of], pa.int32())}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 class TextIndex:
     def __init__(self, spark: SparkSession, folder: str, id_type: str = "long"):
         self.spark, self.folder, self.commits = spark, folder.rstrip("/"), Commits(spark, folder)
@@ -71,8 +102,7 @@ class TextIndex:
         number, part = self._name(state)
         batch = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
         words = batch.select("doc_id", search.terms(F.col("text")).alias("words"))
-        told = words.select("doc_id", F.size("words").alias("length"), F.posexplode_outer("words").alias("place", "word")).where("word is not null").withColumn("term", index_terms(F.col("word")))
-        self._write(part, "postings", told.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"), F.max("length").alias("length")))
+        self._write(part, "postings", words.mapInArrow(_postings, f"term string, doc_id {words.schema['doc_id'].dataType.simpleString()}, tf long, places array<int>, length int"))
         self._write(part, "docs", words.select("doc_id", F.size("words").alias("length"), F.lit(True).alias("live")))
         own = self.spark.read.parquet(f"{self.folder}/docs/part={part}")
         return self._commit(version, state, number, part, own, own)

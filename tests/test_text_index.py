@@ -67,3 +67,19 @@ def test_a_query_reads_its_terms_only(spark, tmp_path):
 def test_rank_of_the_old_index_is_unchanged(spark):
     postings, lengths = search.build_index(docs(spark, *ROWS))
     assert [r["doc_id"] for r in search.search(postings, lengths, "run OR dog").collect()] and search.search(postings, lengths, "").count() == 0
+
+
+def test_postings_are_made_within_documents(spark, tmp_path, monkeypatch):
+    """No row a word leaves a task: neither words are exploded nor is anything but documents dealt anew; slices of any size give the same."""
+    seen = {}
+    monkeypatch.setattr(text_index.TextIndex, "_write", lambda self, part, table, rows, write=text_index.TextIndex._write: (seen.__setitem__(table, rows), write(self, part, table, rows))[1])
+    index = text_index.TextIndex(spark, str(tmp_path / "i"))
+    index.add(docs(spark, *ROWS, (9, "x" * 3000 + " é É e"), (10, " ".join(["b", "a"] * 40))))
+    plan = seen["postings"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1 and index.search("run").count() == 3
+    words = spark.createDataFrame([(i, (t or "").lower().replace(",", "").replace(";", "").split()) for i, t in ROWS] + [(10, ["b", "a"] * 40)], "doc_id long, words array<string>").collect()
+    want = sorted((index_term(w), r["doc_id"], len(at), at, len(r["words"])) for r in words for w in {*map(index_term, r["words"])} for at in [[i for i, x in enumerate(r["words"]) if index_term(x) == w]])
+    batch = text_index.pa.RecordBatch.from_pylist([r.asDict() for r in words], schema=text_index.pa.schema([("doc_id", "int64"), ("words", text_index.pa.list_(text_index.pa.string()))]))
+    for size in (1, 7, 500):
+        monkeypatch.setattr(text_index, "AT_ONCE", size)
+        assert sorted(tuple(r.values()) for b in text_index._postings(iter([batch])) for r in b.to_pylist()) == want
