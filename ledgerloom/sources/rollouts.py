@@ -87,35 +87,35 @@ def placed(lines: DataFrame) -> DataFrame:
     return r.withColumns({"last": F.max("end").over(whole), "open": (F.col("n") > 0) & (F.col("end").isNull() | (F.col("line") <= F.col("end"))), "session_id": session, "told_so_far": F.last(F.when(F.col("kind") == "turn_context", F.col("model")), ignorenulls=True).over(so_far), **{f"so_far_{c}": F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.lit(0)) for c in TOTALS}})
 
 
-def turns(lines: DataFrame) -> DataFrame:
-    """Turns up to the last complete one: (file, session_id, message_id, turn_index, ts, model, cwd, usage, calls, start, end)."""
-    p = placed(lines).where("n > 0")
-    contexts = lines.where("kind = 'turn_context'").select("file", F.col("line").alias("at"), F.col("turn").alias("current"), F.col("model").alias("told_model"), F.col("cwd").alias("told_cwd"))
-    start = F.col("kind") == "task_started"
+def _islands(lines: DataFrame) -> DataFrame:
+    """All that follows one task_started up to the next, and what lies before the first (n 0), a row each: a turn's usage, calls and contexts, and the compactions in it. The lines are gone through once."""
+    so_far = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start, context = F.col("kind") == "task_started", F.col("kind") == "turn_context"
+    p = placed(lines).withColumn("folder_so_far", F.last(F.when(F.col("kind") == "session_meta", F.col("cwd")), ignorenulls=True).over(so_far))
+    p = p.withColumn("told_before", F.last(F.when(context, F.struct("model", "cwd")), ignorenulls=True).over(Window.partitionBy("file", "turn").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     at = lambda c: F.max(F.when(start, F.col(f"so_far_{c}")))
     final = lambda c: F.max_by(f"so_far_{c}", F.when(F.col("open") | F.col("end").isNull(), F.col("line")))
     grown = {c: F.greatest(final(c) - at(c), F.lit(0)) for c in TOTALS}
     fresh = F.greatest((final("input") - final("cached")) - (at("input") - at("cached")), F.lit(0))
     p = p.withColumn("own_call", F.when((F.col("kind") == "call") & F.col("open"), F.col("call_id"))).withColumn("fresh_call", F.row_number().over(Window.partitionBy("file", "n", "own_call").orderBy("line")) == 1)
     calls = F.transform(F.array_sort(F.collect_list(F.when(F.col("own_call").isNotNull() & F.col("fresh_call"), F.struct("line", "call")))), lambda x: x["call"])
-    out = p.groupBy("file", "n", "session_id", "current", "last", "end").agg(
+    late = context & F.col("open") & (F.col("turn") == F.col("current"))
+    folder = F.col("open") & F.col("cwd").isNotNull() & ((F.col("kind") == "session_meta") | late)
+    return p.groupBy("file", "n", "session_id", "current", "last", "end").agg(
         F.min(F.when(start, F.col("ts"))).alias("ts"), F.min("line").alias("start"), fresh.alias("input_tokens"), grown["cached"].alias("cache_read"), grown["output"].alias("output_tokens"), grown["reasoning"].alias("reasoning_tokens"), calls.alias("calls"),
-        F.min(F.when((F.col("kind") == "session_meta") & F.col("open") & F.col("cwd").isNotNull(), F.struct(F.col("line").alias("at"), F.col("cwd").alias("told_cwd")))).alias("meta_within"), F.max("line").alias("until"), F.max(F.when(start, F.col("told_so_far"))).alias("told_last"),
-    ).where("start <= last")
-    # the context told last before the start counts, else the first one while the turn is open; else the session's folder
-    seen = out.select("file", "n", "current", "start", F.coalesce("end", "until").alias("stop")).join(contexts, ["file", "current"])
-    early, late = F.col("at") < F.col("start"), (F.col("at") > F.col("start")) & (F.col("at") <= F.col("stop"))
-    told = seen.groupBy("file", "n").agg(
-        F.max_by(F.struct("told_model", "told_cwd"), F.when(early, F.col("at"))).alias("before"), F.min_by("told_model", F.when(late & F.col("told_model").isNotNull(), F.col("at"))).alias("model_within"),
-        F.min(F.when(late & F.col("told_cwd").isNotNull(), F.struct("at", "told_cwd"))).alias("cwd_within"),
+        F.max(F.when(start, F.col("told_so_far"))).alias("told_last"), F.max(F.when(start, F.col("folder_so_far"))).alias("session_cwd"), F.max(F.when(start, F.col("told_before"))).alias("before"),
+        F.min_by("model", F.when(late & F.col("model").isNotNull(), F.col("line"))).alias("model_within"), F.min_by("cwd", F.when(folder, F.col("line"))).alias("cwd_within"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "compacted", F.struct("line", "ts")))).alias("compacted"),
     )
-    metas = lines.where("kind = 'session_meta' and cwd is not null").select("file", F.col("line").alias("at"), F.col("cwd").alias("meta_cwd"))
-    session_cwd = out.select("file", "n", "start").join(metas, "file").where(F.col("at") < F.col("start")).groupBy("file", "n").agg(F.max_by("meta_cwd", "at").alias("session_cwd"))
-    order = Window.partitionBy("file").orderBy("start")
-    full = out.join(told, ["file", "n"], "left").join(session_cwd, ["file", "n"], "left")
+
+
+def turns(lines: DataFrame) -> DataFrame:
+    """Turns up to the last complete one: (file, session_id, message_id, turn_index, ts, model, cwd, usage, calls, start, end)."""
+    # the context told last before the start counts, else the first one while the turn is open; else the session's folder
+    full, order = _islands(lines).where("n > 0 and start <= last"), Window.partitionBy("file").orderBy("start")
     return full.select(
-        "file", "n", "session_id", F.col("current").alias("message_id"), (F.row_number().over(order) - 1).cast("long").alias("turn_index"), "ts", F.coalesce("before.told_model", "model_within", "told_last").alias("model"),
-        F.coalesce(F.col("before.told_cwd"), F.col("session_cwd"), F.least("cwd_within", "meta_within")["told_cwd"]).alias("cwd"), "input_tokens", "cache_read", "output_tokens", "reasoning_tokens", "calls", "start", "end",
+        "file", "n", "session_id", F.col("current").alias("message_id"), (F.row_number().over(order) - 1).cast("long").alias("turn_index"), "ts", F.coalesce("before.model", "model_within", "told_last").alias("model"),
+        F.coalesce("before.cwd", "session_cwd", "cwd_within").alias("cwd"), "input_tokens", "cache_read", "output_tokens", "reasoning_tokens", "calls", "start", "end",
     )
 
 
@@ -149,11 +149,11 @@ def results(lines: DataFrame) -> DataFrame:
     A result outside a turn has no message; those of a turn that was broken off are left out.
     """
     p = placed(lines)
-    failed = p.where("kind = 'end' and failed and open and end is not null and turn = current").select("file", "n", "call_id", F.lit(True).alias("bad")).distinct()
+    ended = (F.col("kind") == "end") & F.col("failed") & F.col("open") & F.col("end").isNotNull() & (F.col("turn") == F.col("current"))
+    p = p.where("kind in ('result', 'notification', 'end')").withColumn("bad", F.max(ended).over(Window.partitionBy("file", "n", "call_id")))
     events = p.where("kind in ('result', 'notification')")
     order = lambda *c: Window.partitionBy("file", *c).orderBy("line")
     events = events.withColumns({"call_index": (F.row_number().over(order("call_id")) - 1).cast("long"), "event_index": (F.row_number().over(order()) - 1).cast("long")}).where("line <= last and not (open and end is null)")
-    events = events.join(failed, ["file", "n", "call_id"], "left")
     status = F.when(F.col("open") & F.col("bad"), "errored").when(F.col("kind") == "notification", F.col("status")).when(F.col("open"), "completed").otherwise("unknown")
     return events.select(
         "file", "session_id", F.when(F.col("open"), F.col("current")).alias("message_id"), F.col("call_id").alias("tool_use_id"), "call_index", "event_index", "ts", status.alias("status"),
@@ -163,13 +163,12 @@ def results(lines: DataFrame) -> DataFrame:
 
 def compactions(lines: DataFrame) -> DataFrame:
     """(file, session_id, ts, preceding, tokens_before): compactions with the last complete turn before them and its cache read."""
-    p = placed(lines).where("kind = 'compacted' and line <= last").select("file", "session_id", "line", "ts")
-    done = turns(lines).where("end is not null").select("file", F.col("end").alias("at"), "message_id", "cache_read")
-    marks = p.select("file", F.col("line").alias("at"), F.struct("session_id", "line", "ts").alias("c"), F.lit(None).cast("string").alias("message_id"), F.lit(None).cast("long").alias("cache_read"))
-    both = marks.unionByName(done.withColumn("c", F.lit(None).cast(marks.schema["c"].dataType)))
-    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    told = both.withColumn("d", F.last(F.when(F.col("message_id").isNotNull(), F.struct("message_id", "cache_read")), ignorenulls=True).over(before)).where("c is not null")
-    return told.select("file", "c.session_id", "c.ts", F.col("d.message_id").alias("preceding"), F.col("d.cache_read").alias("tokens_before"))
+    done = F.when(F.col("end").isNotNull(), F.struct(F.col("current").alias("message_id"), "cache_read"))
+    earlier = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    found = _islands(lines).withColumn("own", done).withColumn("earlier", F.last("own", ignorenulls=True).over(earlier))
+    each = found.select("file", "session_id", "last", "end", "own", "earlier", F.explode("compacted").alias("c")).where("c.line <= last")
+    told = F.when(F.col("c.line") >= F.col("end"), F.col("own")).otherwise(F.col("earlier"))
+    return each.select("file", "session_id", "c.ts", told["message_id"].alias("preceding"), told["cache_read"].alias("tokens_before"))
 
 
 def as_turns(found: DataFrame) -> DataFrame:

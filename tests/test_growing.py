@@ -114,6 +114,14 @@ def test_a_line_is_parsed_once(spark):
     assert plan.count("value#") and plan.count("StructField(payload") == 1
 
 
+def test_lines_are_gone_through_once(spark):
+    """Turns, results and compactions come from one pass over the lines each, not from joins of several."""
+    lines = rollouts.typed_lines(spark.createDataFrame([("f", 1, "{}")], "file string, line long, value string"))
+    for f in (rollouts.turns, rollouts.results, rollouts.compactions):
+        plan = f(lines)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("StructField(payload") == 1 and "Join" not in plan, f.__name__
+
+
 def test_state_in_pages_equals_one_read(spark, tmp_path, states, monkeypatch):
     """Pages that split, in each of many short pieces, keep every context and counter; a log cut back to its beginning starts with none."""
     monkeypatch.setattr(resumed, "PAGE", 2)
