@@ -133,10 +133,10 @@ def user_turns(lines: DataFrame) -> DataFrame:
     failed = F.collect_set(F.when((F.col("kind") == "end") & F.col("failed") & F.col("open") & F.col("end").isNotNull() & (F.col("turn") == F.col("current")), F.col("call_id")))
     island = p.groupBy("file", "session_id", "n", "last").agg(
         F.array_sort(F.collect_list(F.when(has, F.struct("line", block.alias("b"))))).alias("blocks"), F.min_by("ts", F.when(has & F.col("ts").isNotNull(), F.col("line"))).alias("ts"), F.max(F.when(F.col("end").isNotNull(), F.col("current"))).alias("preceding"),
-        F.max("end").alias("end"), failed.alias("failed"),
+        F.max("end").alias("end"), failed.alias("failed"), F.max(F.when(F.col("kind") == "task_started", F.struct(F.col("turn").alias("following"), F.col("ts").alias("next_ts"), F.col("line").alias("next_line")))).alias("started"),
     )
-    following = p.where("kind = 'task_started'").select("file", (F.col("n") - 1).alias("n"), F.col("turn").alias("following"), F.col("ts").alias("next_ts"), F.col("line").alias("next_line"))
-    out = island.join(following, ["file", "n"]).where("size(blocks) > 0 and next_line <= last")
+    # every number but the first has a start, so the next island's is the next one
+    out = island.withColumn("next", F.lead("started").over(Window.partitionBy("file").orderBy("n"))).select("*", "next.*").where("size(blocks) > 0 and next_line <= last")
     # a result that came before its turn's end is marked by the ends of commands within the turn
     marked = F.transform("blocks", lambda x: F.struct(*[x["b"][f].alias(f) for f in ("kind", "tool_use_id", "bytes", "tokens")], ((x["line"] <= F.coalesce("end", F.lit(-1))) & x["b"]["tool_use_id"].isNotNull() & F.array_contains("failed", x["b"]["tool_use_id"])).alias("is_error")))
     uuid = F.concat(F.col("session_id"), F.lit(":"), F.coalesce("preceding", F.lit("start")), F.lit("->"), F.col("following"))

@@ -122,6 +122,12 @@ def test_lines_are_gone_through_once(spark):
         assert plan.count("StructField(payload") == 1 and "Join" not in plan, f.__name__
 
 
+def test_user_turns_go_through_lines_once(spark):
+    lines = rollouts.typed_lines(spark.createDataFrame([("f", 1, "{}")], "file string, line long, value string"))
+    plan = rollouts.user_turns(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructField(payload") == 1 and "Join" not in plan
+
+
 def test_state_in_pages_equals_one_read(spark, tmp_path, states, monkeypatch):
     """Pages that split, in each of many short pieces, keep every context and counter; a log cut back to its beginning starts with none."""
     monkeypatch.setattr(resumed, "PAGE", 2)
